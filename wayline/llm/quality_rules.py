@@ -98,9 +98,13 @@ def cutoffs_at(level: int) -> dict[str, float]:
 
 def first_level(values: Column) -> Column:
     """The mildest level that rejects a text (from there on all do); LEVELS + 1 if none does."""
-    grid = lambda r: F.lit([cutoffs_at(k)[r] for k in range(LEVELS + 1)])
-    each = [F.when(values[r].isNull(), F.lit(LEVELS + 1)).otherwise(F.size(F.filter(grid(r), lambda c, r=r: values[r] <= c))) for r in RULES]
-    return F.least(*each)
+
+
+    def of(rule: str) -> Column:
+        grid = F.lit([cutoffs_at(k)[rule] for k in range(LEVELS + 1)])
+        return F.when(values[rule].isNull(), F.lit(LEVELS + 1)).otherwise(F.size(F.filter(grid, lambda c: values[rule] <= c)))
+
+    return F.least(*map(of, RULES))
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
