@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, token_counts, url_filter
+from . import mixing, pii, quality_rules, token_counts, url_filter, warc
 from .shared import table
 
 #: (host, path, verdict) of op6.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -32,11 +36,23 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_quality_rules, op6_url_filter, op7_mixing)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_token_counts, op3_quality_rules, op6_url_filter, op7_mixing, op9_pii)}
 
 _W = r"'[\x20\x09-\x0D]+'"
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 SQL = {
+    "op1_warc": """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+q as (select page_id, octet_length(b) as n, sha256(b) as d from p),
+f as (select *, min(page_id) over (partition by d) as m from q)
+select page_id, cast(n as bigint) as payload_bytes, d as payload_digest,
+  case when n >= 100 and page_id <> m then 'revisit' else 'response' end as record_type,
+  case when n >= 100 and page_id <> m then m end as refers_to
+from f""",
     "op6_url_filter": rf"""
 with p as (select page_id, coalesce(url, '') u from pages),
 h as (select page_id, lower(regexp_extract(u, '^.*?://([^/?#]*)', 1)) as host, regexp_extract(u, '^.*?://[^/?#]*([^?#]*)', 1) as path from p),
