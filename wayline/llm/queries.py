@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, quality_rules, token_counts, url_filter, warc
+from . import line_dedup, mixing, pii, quality_rules, token_counts, url_filter, warc
 from .shared import table
 
 #: (host, path, verdict) of op6.
@@ -26,6 +26,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the text that is left, and how many of its lines went."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     judged = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -40,7 +46,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_token_counts, op3_quality_rules, op6_url_filter, op7_mixing, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_token_counts, op3_quality_rules, op4_line_dedup, op6_url_filter, op7_mixing, op9_pii)}
 
 _W = r"'[\x20\x09-\x0D]+'"
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)

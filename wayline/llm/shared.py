@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8
     at = None
     for b in batches:
         at = b.schema.get_field_index(column) if at is None else at
-        sizes = pa.compute.fill_null(pa.compute.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False)
         ends, start = np.cumsum(sizes, dtype=np.int64), 0
         while start < len(sizes):
             base = ends[start - 1] if start else 0
@@ -66,7 +67,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows on end, and each row's start (one more than rows). Nulls are empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = pa.compute.fill_null(col, b"" if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else "")
+    col = pc.fill_null(col, b"" if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else "")
     n, wide = len(col), pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

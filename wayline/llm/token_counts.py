@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -312,7 +313,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         machine = tokenizer(tokenizer_path)
         for b in small_batches(batches, "__text", 4 << 20):
             n = machine.count_column(b.column(1))
-            size = pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0).cast(pa.int64())
+            size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(n), pa.array(n > limit)], names=["__id", "n_bytes", "n_tokens", "over_limit"])
 
     picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
