@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, mixing, pii, quality_rules, token_counts, url_filter, warc
+from . import decontaminate, jaccard_join, line_dedup, mixing, pii, quality_rules, token_counts, url_filter, warc
 from .shared import table
 
 #: (host, path, verdict) of op6.
@@ -51,7 +51,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_token_counts, op3_quality_rules, op4_line_dedup, op6_url_filter, op7_mixing, op8_decontamination, op9_pii)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_token_counts, op3_quality_rules, op4_line_dedup, op6_url_filter, op7_mixing, op8_decontamination, op9_pii, op10_jaccard_join)}
 
 _W = r"'[\x20\x09-\x0D]+'"
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
