@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, pii, quality_rules, token_counts, url_filter, warc
+from . import decontaminate, jaccard_join, line_dedup, lm_score, mixing, pii, quality_rules, token_counts, url_filter, warc
 from .shared import table
 
 #: (host, path, verdict) of op6.
@@ -32,6 +32,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     judged = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -55,7 +59,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_token_counts, op3_quality_rules, op4_line_dedup, op6_url_filter, op7_mixing, op8_decontamination, op9_pii, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_token_counts, op3_quality_rules, op4_line_dedup, op5_lm_score, op6_url_filter, op7_mixing, op8_decontamination, op9_pii, op10_jaccard_join)}
 
 _W = r"'[\x20\x09-\x0D]+'"
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
