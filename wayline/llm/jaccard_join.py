@@ -25,16 +25,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import bloom_words, possible
 from .components import components
-from .shared import mix64, small_batches, stage, word_codes
+from .shared import discard, mix64, small_batches, stage, word_codes
 
 SHINGLE = 4
 PERCENT = 85
 DIMS = 32
 LEAF = 16
+MAX_POINT = 65_535
 SHARD_ROWS = 2_000_000
 U64 = np.uint64
 
@@ -54,7 +57,7 @@ def groups_of_range(k: int, percent: int = PERCENT) -> tuple[int, int]:
     """(groups, slack) of a size range: linked texts of it have slack + 1 or more of their groups in common."""
     largest = int(RANGES[k + 1]) - 1
     differ = 2 * largest * (100 - percent) // (100 + percent)
-    slack = max(2, -(-differ // 5))
+    slack = max(2, -(-differ // 10))
     return differ + 1 + slack, slack
 
 
@@ -111,7 +114,8 @@ def bucket_keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((mix64(s ^ U64(0x5851F42D4C957F2D)) % U64(DIMS)).astype(np.int64), minlength=DIMS).astype(np.int32)
+    """Counts per group; a set of more than MAX_POINT shingles is not bounded by it."""
+    return np.bincount((mix64(s ^ U64(0x5851F42D4C957F2D)) % U64(DIMS)).astype(np.int64), minlength=DIMS)
 
 
 def describe(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -126,7 +130,7 @@ def describe(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Da
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None for s in sets], pa.int64()),
                 pa.array([bucket_keys(s, percent).tobytes() for s in sets], pa.binary()),
-                pa.array([point(s).tobytes() for s in sets], pa.binary()),
+                pa.array([np.minimum(point(s), MAX_POINT).astype(np.uint16).tobytes() for s in sets], pa.binary()),
             ], names=["doc_id", "n", "class", "keys", "point"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, class long, keys binary, point binary")
@@ -135,48 +139,61 @@ def describe(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Da
 # ---------------------------------------------------------------- buckets
 
 
+def _distinct(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (key, class) pairs in order of both."""
+    order = np.lexsort((classes, keys))
+    keys, classes = keys[order], classes[order]
+    new = np.insert((keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1]), 0, True) if len(keys) else np.zeros(0, bool)
+    return keys[new], classes[new]
+
+
 def shared_buckets(texts: DataFrame) -> DataFrame:
     """(key, class) of the buckets that two classes or more share.
 
-    Keys travel as packed arrays, deduplicated before the shuffle: one row per task and shard.
+    Keys travel as packed arrays, deduplicated before the shuffle: one row per task and shard, the shards being ranges of
+    keys. Of a key 48 bits are kept: where two fall together, a bucket has members more, and none less.
     """
     total = texts.agg(F.sum(F.octet_length("keys") / 8)).first()[0] or 0
     shards = int(max(8, -(-total // SHARD_ROWS)))
+    wide = -(-(1 << 48) // shards)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size, z = 0, zstandard.ZstdCompressor(level=1)
 
-        def out() -> Iterator[pa.RecordBatch]:
-            rows = np.unique(np.concatenate(held))
-            shard = (mix64(rows["key"].view(U64)) % U64(shards)).astype(np.int32)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            picks = [(k, rows[order[a:z]].tobytes()) for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if z > a]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in picks], pa.int32()), pa.array([x for _, x in picks], pa.binary())], names=["shard", "rows"])
+        def out() -> pa.RecordBatch:
+            keys, classes = _distinct(*(np.concatenate(x) for x in zip(*held)))
+            cuts = np.searchsorted(keys, np.arange(shards + 1) * wide)
+            picks = [(k, z.compress(np.diff(keys[a:e], prepend=k * wide).astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()), classes[a:e].tobytes()) for k, (a, e) in enumerate(zip(cuts[:-1], cuts[1:])) if e > a]
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in picks], pa.int32()), pa.array([p[1] for p in picks], pa.binary()), pa.array([p[2] for p in picks], pa.binary())], names=["shard", "keys", "classes"])
 
         for b in batches:
             for c, keys in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                part = np.empty(len(keys) // 8, [("key", np.int64), ("class", np.int64)])
-                part["key"], part["class"] = np.frombuffer(keys, np.int64), c
-                held.append(part)
+                part = (np.frombuffer(keys, np.uint64) >> U64(16)).astype(np.int64)
+                held.append((part, np.full(len(part), c, np.int64)))
                 size += len(part)
             if size > SHARD_ROWS:
-                yield from out()
+                yield out()
                 held, size = [], 0
         if size:
-            yield from out()
+            yield out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.frombuffer(x, [("key", np.int64), ("class", np.int64)]) for b in batches for x in b.column(1).to_pylist()]
+        z, parts = zstandard.ZstdDecompressor(), []
+        for b in batches:
+            for k, keys, classes in zip(*(c.to_pylist() for c in b.columns)):
+                steps = np.frombuffer(z.decompress(keys), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+                parts.append((np.cumsum(steps) + k * wide, np.frombuffer(classes, np.int64)))
         if not parts:
             return
-        rows = np.unique(np.concatenate(parts))
-        same = rows["key"][1:] == rows["key"][:-1]
-        rows = rows[np.append(same, False) | np.insert(same, 0, False)]
-        for k in range(0, len(rows), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[name][k : k + (1 << 16)])) for name in ("key", "class")], names=["key", "class"])
-
-    packed = texts.where("class is not null").select("class", "keys").mapInArrow(pack, "shard int, rows binary")
+        keys, classes = _distinct(*(np.concatenate(x) for x in zip(*parts)))
+        same = keys[1:] == keys[:-1]
+        shared = np.append(same, False) | np.insert(same, 0, False)
+        keys, classes = keys[shared], classes[shared]
+        for k in range(0, len(keys), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)]), pa.array(classes[k : k + (1 << 16)])], names=["key", "class"])
+
+    packed = texts.where("class is not null").select("class", "keys").mapInArrow(pack, "shard int, keys binary, classes binary")
     return packed.repartition(shards, "shard").mapInArrow(meet, "key long, class long")
 
 
@@ -188,12 +205,13 @@ class Tree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         self.order = np.lexsort((*points.T[:4], sizes))
-        top, least = points[self.order], sizes[self.order]
-        self.levels = [(top, least)]
+        top, least, wide = points[self.order], sizes[self.order], sizes[self.order] > MAX_POINT
+        self.levels, self.wide = [(top, least)], [wide]
         while len(top) > 1:
             cuts = np.arange(0, len(top), LEAF)
-            top, least = np.maximum.reduceat(top, cuts), np.minimum.reduceat(least, cuts)
+            top, least, wide = np.maximum.reduceat(top, cuts), np.minimum.reduceat(least, cuts), np.logical_or.reduceat(wide, cuts)
             self.levels.append((top, least))
+            self.wide.append(wide)
 
     def join(self, limit: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of points whose bound allows a link, each once, in blocks."""
@@ -201,8 +219,8 @@ class Tree:
         while stack:
             level, i, j = stack.pop()
             top, least = self.levels[level]
-            bound = np.concatenate([np.minimum(top[i[k : k + limit]], top[j[k : k + limit]]).sum(axis=1) for k in range(0, len(i), limit)])
-            ok = bound >= least_overlap(least[i], least[j])
+            bound = np.concatenate([np.minimum(top[i[k : k + limit]], top[j[k : k + limit]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), limit)])
+            ok = (bound >= least_overlap(least[i], least[j])) | (self.wide[level][i] & self.wide[level][j])
             i, j = i[ok], j[ok]
             if not len(i):
                 continue
@@ -217,29 +235,40 @@ class Tree:
                 stack.append((level - 1, a[fit], b[fit]))
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Rows of one key at a time, of batches sorted by key (first column)."""
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of whole groups of equal keys (first column), with the groups' edges, of batches sorted by key."""
     rest: list[np.ndarray] = []
     for b in batches:
-        cols = [np.frombuffer(b"".join(c.to_pylist()), np.int32).reshape(-1, DIMS) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns]
+        cols = [np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, DIMS) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns]
         cols = [np.concatenate(x) for x in zip(rest, cols)] if rest else cols
-        cuts = np.flatnonzero(np.diff(cols[0])) + 1
-        for a, z in zip(np.insert(cuts, 0, 0)[:-1] if len(cuts) else [], cuts):
-            yield tuple(c[a:z] for c in cols)
-        rest = [c[cuts[-1] :] for c in cols] if len(cuts) else cols
+        edges = np.insert(np.flatnonzero(np.diff(cols[0])) + 1, 0, 0)
+        rest = [c[edges[-1] :] for c in cols]
+        if len(edges) > 1:
+            yield [c[: edges[-1]] for c in cols], edges
     if rest and len(rest[0]):
-        yield tuple(rest)
+        yield rest, np.array([0, len(rest[0])])
+
+
+def _bounded(p: np.ndarray, q: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the summed coordinate minima allow a link of points p and q of sizes m and n."""
+    return (np.minimum(p, q).sum(axis=1, dtype=np.int64) >= least_overlap(m, n)) | (m > MAX_POINT) & (n > MAX_POINT)
 
 
 def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each bucket: its members with the one nearest to their mean."""
     out: set[tuple[int, int]] = set()
-    for _, classes, sizes, points in _groups(batches):
-        near = int(np.argmax(np.minimum(points, points.mean(axis=0)).sum(axis=1) / np.maximum(sizes, sizes.mean()))) if len(sizes) > 2 else 0
-        ok = np.minimum(points, points[near]).sum(axis=1) >= least_overlap(sizes, sizes[near])
-        ok[near] = False
-        hub = int(classes[near])
-        out.update((min(c, hub), max(c, hub)) for c in classes[ok].tolist())
+    for (_, classes, sizes, points), edges in _whole_groups(batches):
+        n = np.diff(edges)
+        two = edges[:-1][n == 2]
+        two = two[_bounded(points[two], points[two + 1], sizes[two], sizes[two + 1])]
+        out.update(zip(np.minimum(classes[two], classes[two + 1]).tolist(), np.maximum(classes[two], classes[two + 1]).tolist()))
+        for a, z in zip(edges[:-1][n > 2].tolist(), edges[1:][n > 2].tolist()):
+            c, s, p = classes[a:z], sizes[a:z], points[a:z]
+            near = int(np.argmax(np.minimum(p, p.mean(axis=0)).sum(axis=1) / np.maximum(s, s.mean())))
+            ok = _bounded(p, p[near], s, s[near])
+            ok[near] = False
+            hub = int(c[near])
+            out.update((min(x, hub), max(x, hub)) for x in c[ok].tolist())
         if len(out) > 100_000:
             yield _pairs(out)
             out = set()
@@ -249,16 +278,16 @@ def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each bucket between different components, by joining its tree with itself."""
     out: set[tuple[int, int]] = set()
-    for _, classes, sizes, points, roots in _groups(batches):
-        if (roots == roots[0]).all():
-            continue
-        for i, j in Tree(points, sizes).join():
-            ok = roots[i] != roots[j]
-            a, b = classes[i[ok]], classes[j[ok]]
-            out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
-            if len(out) > 100_000:
-                yield _pairs(out)
-                out = set()
+    for cols, edges in _whole_groups(batches):
+        for k, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            _, classes, sizes, points, roots = (c[k:z] for c in cols)
+            for i, j in Tree(points, sizes).join():
+                ok = roots[i] != roots[j]
+                a, b = classes[i[ok]], classes[j[ok]]
+                out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+                if len(out) > 100_000:
+                    yield _pairs(out)
+                    out = set()
     yield _pairs(out)
 
 
@@ -273,7 +302,9 @@ def verified(pairs: DataFrame, docs: DataFrame, member: DataFrame, percent: int
     """The pairs (a, b) of classes that link. member: (class, doc_id, n), a text for each class."""
     pairs = stage(pairs.distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(member, "class").select("class", F.col("doc_id").alias("__d"))
-    texts = docs.join(wanted, F.col("doc_id") == F.col("__d")).select("class", "text")
+    wanted = stage(wanted, "wanted")
+    # Only texts that may be wanted are shuffled.
+    texts = possible(docs, "doc_id", bloom_words(wanted, "__d")).join(wanted, F.col("doc_id") == F.col("__d")).select("class", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text", 4 << 20):
@@ -305,18 +336,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     link nothing. A doc_id with several texts belongs to each text's component, a row each. Other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    texts = stage(describe(docs, percent, size), "texts")
-    named = texts.where("class is not null and doc_id is not null")
+    described = stage(describe(docs, percent, size), "described")
+    texts = stage(described.select("doc_id", "n", "class"), "texts")
+    named = described.where("class is not null and doc_id is not null")
     member = stage(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point")), "classes")
     buckets = stage(shared_buckets(named), "buckets")
-    rows = buckets.join(member.select("class", "n", "point"), "class").select("key", "class", "n", "point")
-    stars = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_star, "a long, b long")
+    discard(described)
+    points = member.select("class", "n", "point")
+    stars = buckets.join(points, "class").select("key", "class", "n", "point").repartition("key").sortWithinPartitions("key").mapInArrow(_star, "a long, b long")
     links = verified(stars, docs, member, percent, size)
     roots = stage(components(links), "roots")
-    rooted = rows.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "n", "point", F.coalesce("root", "class").alias("root"))
-    several = stage(rooted, "rooted")
-    mixed = several.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    across = several.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long")
+    rooted = stage(buckets.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root")), "rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    several = stage(rooted.join(mixed, "key", "left_semi"), "several")
+    across = several.join(points, "class").select("key", "class", "n", "point", "root").repartition("key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long")
     more = verified(across, docs, member, percent, size)
     ends = stage(components(links.union(more)), "roots")
     labelled = member.join(ends, member["class"] == ends["node"]).select("class", "doc_id", "root")

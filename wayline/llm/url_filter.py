@@ -12,18 +12,11 @@ positives, never a wrong verdict. The list itself is never broadcast by a hint.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix64, stage
-
-BLOCK_WORDS = 8
-PROBES = 8
-MAX_FILTER_BYTES = 64 << 20
+from .bloom import MAX_FILTER_BYTES, bloom_words, possible
+from .shared import stage
 
 
 def url_host(url: Column) -> Column:
@@ -36,31 +29,6 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s:.*?)://[^/?#]*([^?#]*)", 1)
 
 
-def _bits(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Block of each key, and word and bit in it of each probe."""
-    h = mix64(h.view(np.uint64))
-    block = (h >> np.uint64(32)) % np.uint64(blocks)
-    second = mix64(h ^ np.uint64(0x9E3779B97F4A7C15))
-    at = np.stack([(second >> np.uint64(7 * k)) & np.uint64(511) for k in range(PROBES)])
-    return block.astype(np.int64), (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
-
-
-def bloom_words(listed: DataFrame, key: str = "rule", bits_per_key: int = 12, max_filter_bytes: int = MAX_FILTER_BYTES) -> np.ndarray:
-    """The filter's 64-bit words (blocks x 8). Executors turn keys to words; the driver holds max_filter_bytes at most."""
-    n = listed.count()
-    blocks = max(1, min(max_filter_bytes // 64, -(-n * bits_per_key // 512)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            block, word, bit = _bits(b.column(0).to_numpy(zero_copy_only=False), blocks)
-            yield pa.RecordBatch.from_arrays([pa.array((block * BLOCK_WORDS + word).ravel()), pa.array(bit.ravel().view(np.int64))], names=["word", "bits"])
-
-    words = listed.select(F.xxhash64(key)).mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(blocks * BLOCK_WORDS, np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
 def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", default: str = "allow", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """pages with host, path, rule and verdict.
 
@@ -69,13 +37,12 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", default:
     or malformed URLs have an empty host, which only a rule with an empty host fits. Rows with null host or path in
     the list are left out. Repeated rows each get their verdict.
     """
-    spark = pages.sparkSession
     rules = listed.where("host is not null and path is not null").groupBy("host", "path").agg(F.min(F.when(F.col("verdict") == "block", F.lit(0)).otherwise(F.lit(1))).alias("__v"))
     rules = stage(rules.select(F.concat("host", "path").alias("rule"), F.length("host").alias("__hl"), F.when(F.col("__v") == 0, "block").otherwise("allow").alias("__rv")), "rules")
     lengths = sorted(r[0] for r in rules.select((F.length("rule") - F.col("__hl")).alias("l")).distinct().limit(4096).collect())
     if len(lengths) >= 4096:
         raise ValueError("more than 4095 different path lengths in the list")
-    sent = spark.sparkContext.broadcast(bloom_words(rules.select("rule").distinct(), max_filter_bytes=max_filter_bytes))
+    words = bloom_words(rules.select("rule").distinct(), "rule", max_filter_bytes)
 
     d = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
     seen = d.select("host", "path").distinct()
@@ -84,17 +51,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", default:
     probes = seen.select("host", "path", F.explode(suffixes).alias("__suffix"))
     probes = probes.select("host", "path", "__suffix", F.explode(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda k: k <= F.length("path"))).alias("__l"))
     probes = probes.select("host", "path", F.length("__suffix").alias("__hl"), F.concat("__suffix", F.substring(F.col("path"), F.lit(1), F.col("__l"))).alias("rule"))
-    probes = probes.withColumn("__h", F.xxhash64("rule"))
-
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = sent.value
-        blocks = len(words) // BLOCK_WORDS
-        for b in batches:
-            h = b.column(4).to_numpy(zero_copy_only=False)
-            block, word, bit = _bits(h, blocks)
-            yield b.filter(pa.array(((words[block * BLOCK_WORDS + word] & bit) != 0).all(axis=0)))
-
-    hits = probes.mapInArrow(possible, probes.schema).drop("__h")
+    hits = possible(probes, "rule", words)
     fits = hits.join(rules, ["rule", "__hl"])
     best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("l"), "__hl", "rule", "__rv")).alias("__b"))
     best = best.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("__b.rule").alias("rule"), F.col("__b.__rv").alias("verdict"))
