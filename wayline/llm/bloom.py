@@ -44,15 +44,15 @@ def bloom_words(keys: DataFrame, key: str, max_filter_bytes: int = MAX_FILTER_BY
     return out
 
 
-def possible(df: DataFrame, key: str, words: np.ndarray) -> DataFrame:
-    """The rows of df whose key may be in the filter."""
+def possible(df: DataFrame, key: str, words: np.ndarray, inside: bool = True) -> DataFrame:
+    """The rows of df whose key may be in the filter; with inside=False the others, whose key is not in it."""
     sent = df.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = sent.value
         for b in batches:
             word, bit = _bits(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False), len(words) // BLOCK_WORDS)
-            yield b.filter(pa.array(((words[word] & bit) != 0).all(axis=0)))
+            yield b.filter(pa.array(((words[word] & bit) != 0).all(axis=0) == inside))
 
-    keyed = df.withColumn("__h", F.xxhash64(key))
-    return keyed.mapInArrow(run, keyed.schema).drop("__h")
+    keyed = df.withColumn("__bloom", F.xxhash64(key))
+    return keyed.mapInArrow(run, keyed.schema).drop("__bloom")

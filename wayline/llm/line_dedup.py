@@ -20,9 +20,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import bloom_words, possible
 from .shared import small_batches, stage
 
 WINDOW = 2
@@ -114,6 +115,10 @@ def _shared_length(a: str, b: str):
     return F.when(at > 0, at - 1).otherwise(F.size(pairs).cast("long")).cast("int")
 
 
+def _key(thash: str) -> Column:
+    return F.xxhash64("doc_id", thash)
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, thash, cuts): ranges [first, end) of the lines to remove, for texts that lose any."""
     d = docs.select("doc_id", F.xxhash64("text").alias("thash"), "text").where(F.col("text").isNotNull())
@@ -121,7 +126,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     twice = rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     named = rows.join(twice, "hash", "left_semi").dropDuplicates(["doc_id", "thash", "idx"])
     lists = stage(named.groupBy("doc_id", "thash").agg(F.collect_list(F.struct("idx", "hash")).alias("wanted")), "wanted")
-    once = d.join(lists.withColumnsRenamed({"doc_id": "__d", "thash": "__t"}), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("thash") == F.col("__t"))).select("doc_id", "thash", "text", "wanted")
+    # Only texts that may hold such a chunk are shuffled.
+    once = possible(d.withColumn("__k", _key("thash")), "__k", bloom_words(lists.select(_key("thash").alias("__k")), "__k"))
+    once = once.join(lists.withColumnsRenamed({"doc_id": "__d", "thash": "__t"}), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("thash") == F.col("__t"))).select("doc_id", "thash", "text", "wanted")
     cand = stage(_candidates(once).dropDuplicates(["doc_id", "thash", "idx"]), "candidates")
     place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "thash", "idx", "above", "below")
     kept = cand.groupBy("hash", "chunk").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -138,9 +145,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     one document and each gets its result; rows with a null doc_id come first in the order. Other columns are kept, those
     named like new ones are replaced.
     """
-    cuts = removed_lines(docs).select(F.col("doc_id").alias("__d"), F.col("thash").alias("__t"), F.col("cuts").alias("__cuts"))
-    d = docs.withColumn("__h", F.xxhash64("text"))
-    d = d.join(cuts, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t")), "left")
+    found = removed_lines(docs)
+    d = docs.withColumn("__h", F.xxhash64("text")).withColumn("__k", _key("__h"))
+    words = bloom_words(found.select(_key("thash").alias("__k")), "__k")
+    cuts = found.select(F.col("doc_id").alias("__d"), F.col("thash").alias("__t"), F.col("cuts").alias("__cuts"))
+    touched = possible(d, "__k", words).join(cuts, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t")), "left").drop("__d", "__t")
+    # Texts that lose nothing stay where they are.
+    d = touched.unionByName(possible(d, "__k", words, inside=False).withColumn("__cuts", F.lit(None).cast(found.schema["cuts"].dataType)))
     lines = F.split(F.col("text"), "\n")
     left = F.filter(lines, lambda line, k: ~F.exists("__cuts", lambda c: (c["first"] <= k) & (k < c["end"])))
     d = d.withColumn("__left", F.when(F.col("__cuts").isNotNull(), left))
@@ -150,4 +161,4 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         "n_removed": F.when(F.col("__left").isNotNull(), F.size(lines) - F.size("__left")).otherwise(0).cast("long"),
         "text": F.when(F.col("__left").isNotNull(), F.array_join("__left", "\n")).otherwise(F.col("text")),
     })
-    return d.drop("__h", "__d", "__t", "__cuts", "__left")
+    return d.drop("__h", "__k", "__cuts", "__left")
