@@ -88,3 +88,9 @@ def reflected_sum(v0: Column, sums: Column, w: WindowSpec | None = None) -> Colu
 def islands(flag: Column, by: str = BY, i: str = I) -> Column:
     """Number of the run of equal flags that a row is in."""
     return F.sum(F.when(flag == F.lag(flag).over(over(by, i)), 0).otherwise(1)).over(upto(by, i))
+
+
+def pearson(x: str | Column, y: str | Column) -> Column:
+    """Correlation; null where either side is constant."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.covar_pop(x, y) / F.when(spread > 0, spread)

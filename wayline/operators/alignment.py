@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.series import pearson
+
 
 def row_align(left: DataFrame, right: DataFrame, by: str = "trip_key", i: str = "i") -> DataFrame:
     """Rows with equal position in two series of one trip; the longer one is cut."""
@@ -22,7 +24,7 @@ def lag_correlations(a: DataFrame, lags: list[int], by: str = "trip_key", x: str
     moved = moved.select(by, "lag", "__x", F.pmod(F.col("i") + F.col("lag"), F.col("__n")).cast("long").alias("__at"))
     fixed = d.where(F.col(y) > floor).select(by, F.col("i").cast("long").alias("__at"), F.col(y).alias("__y"))
     pairs = moved.join(fixed, [by, "__at"]).where("__x is not null and __y is not null")
-    r = F.corr("__x", "__y")
+    r = pearson("__x", "__y")
     spread = F.least(F.stddev_pop("__x"), F.stddev_pop("__y"))
     return pairs.groupBy(by, "lag").agg(F.count("*").alias("n"), F.when((F.count("*") >= least) & (spread > 1e-9), r).alias("r"))
 

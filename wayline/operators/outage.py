@@ -66,18 +66,17 @@ def with_running(rows: DataFrame, max_step_s: float, moving: float, min_speed: f
 def fixed_outages(rows: DataFrame, warmup_s: float = 30.0, duration_s: float = 30.0, period_s: float = 120.0, min_speed: float = 3.0, min_moving: float = 0.5, max_gap_s: float = 0.6, recurring: bool = False) -> DataFrame:
     """(trip_key, window, i0, i1, t0, t1): outages at fixed starts, without gaps and mostly moving."""
     d = with_running(rows, max_gap_s, min_speed, min_speed)
-    ends = d.groupBy("trip_key").agg(F.max("t").alias("__end"))
+    ends = d.groupBy("trip_key").agg(F.max("t").alias("__end"), F.count("*").cast("int").alias("__n"))
     last = F.when(F.col("__end") - duration_s - 5 > warmup_s, F.ceil((F.col("__end") - duration_s - 5 - warmup_s) / period_s).cast("int") - 1).otherwise(0)
-    starts = ends.select("trip_key", "__end", F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)) if recurring else F.lit(0))).alias("window"))
+    starts = ends.select("trip_key", "__n", F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)) if recurring else F.lit(0))).alias("window"))
     starts = starts.withColumn("s", F.lit(warmup_s) + F.col("window") * period_s)
-    joined = d.join(starts, "trip_key")
-    spans = joined.groupBy("trip_key", "window", "s", "__end").agg(F.min(F.when(F.col("t") >= F.col("s"), F.col("i"))).alias("i0"), F.min(F.when(F.col("t") >= F.col("s") + duration_s, F.col("i"))).alias("i1"))
-    spans = spans.where("i0 is not null and i1 is not null and i1 > i0")
-    edge = d.select("trip_key", "i", "t", "__gaps", "__moving")
-    a, b = edge.select("trip_key", F.col("i").alias("i0"), F.col("t").alias("t0"), F.col("__gaps").alias("g0"), F.col("__moving").alias("m0"), F.lit(1)), edge.select("trip_key", (F.col("i") + 1).alias("i1"), F.col("t").alias("t1"), F.col("__gaps").alias("g1"), F.col("__moving").alias("m1"))
-    first = rows.select("trip_key", F.col("i").alias("i0"), (F.coalesce(F.col("speed") >= min_speed, F.lit(False))).alias("__go"), F.coalesce(F.col("speed") > min_speed, F.lit(False)).cast("long").alias("__m"))
-    out = spans.join(a, ["trip_key", "i0"]).join(b, ["trip_key", "i1"]).join(first, ["trip_key", "i0"])
-    fine = (F.col("g1") == F.col("g0")) & ((F.col("m1") - F.col("m0") + F.col("__m")) / (F.col("i1") - F.col("i0")) >= min_moving)
+    spans = d.join(starts, "trip_key").groupBy("trip_key", "window", "__n").agg(F.min(F.when(F.col("t") >= F.col("s"), F.col("i"))).alias("i0"), F.min(F.when(F.col("t") >= F.col("s") + duration_s, F.col("i"))).alias("i1"))
+    spans = spans.withColumn("i1", F.coalesce("i1", "__n")).where("i0 < __n - 2 and i1 > i0 + 1")
+    own = F.coalesce(F.col("speed") > min_speed, F.lit(False)).cast("long")
+    a = d.select("trip_key", F.col("i").alias("i0"), F.col("t").alias("t0"), F.col("__gaps").alias("g0"), (F.col("__moving") - own).alias("m0"))
+    b = d.select("trip_key", (F.col("i") + 1).alias("i1"), F.col("t").alias("t1"), F.col("__gaps").alias("g1"), F.col("__moving").alias("m1"))
+    out = spans.join(a, ["trip_key", "i0"]).join(b, ["trip_key", "i1"])
+    fine = (F.col("g1") == F.col("g0")) & ((F.col("m1") - F.col("m0")) / (F.col("i1") - F.col("i0")) >= min_moving)
     return out.where(fine).select("trip_key", "window", "i0", "i1", "t0", "t1")
 
 
