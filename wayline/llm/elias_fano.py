@@ -86,17 +86,32 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         return (((self._select(i, True) - i).astype(U64) << U64(self.bits)) | self._low(i)).astype(np.int64)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Place of the first number not below x (n if there is none): the successor search."""
+    def _run(self, place: np.ndarray) -> np.ndarray:
+        """How many ones follow from a place of the upper bits on, up to 64."""
+        word, shift = place >> 6, (place & 63).astype(U64)
+        x = self.high[word] >> shift
+        over = np.flatnonzero(shift > 0)
+        following = self.high[np.minimum(word[over] + 1, len(self.high) - 1)]
+        x[over] |= following << (U64(64) - shift[over])
+        return np.bitwise_count(x & ~(x + U64(1))).astype(np.int64)  # the lowest ones
+
+    def locate(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of the first number not below x (n if there is none), and whether it is x: the successor search."""
         x = np.asarray(x).astype(U64)
-        out = np.full(len(x), self.n, np.int64)
-        inside = x < U64(self.universe)
+        out, exact = np.full(len(x), self.n, np.int64), np.zeros(len(x), bool)
+        inside = np.flatnonzero(x < U64(self.universe))
         x = x[inside]
         if not len(x) or not self.n:
-            return out
+            return out, exact
         bucket = (x >> U64(self.bits)).astype(np.int64)
-        lo = np.where(bucket > 0, self._select(np.maximum(bucket - 1, 0), False) - (bucket - 1), 0)
-        hi = self._select(bucket, False) - bucket
+        # A bucket's ones stand between two zeros of the upper bits.
+        begin = np.where(bucket > 0, self._select(np.maximum(bucket - 1, 0), False) + 1, 0)
+        lo = begin - bucket
+        n = self._run(begin)
+        hi = lo + n
+        if (many := np.flatnonzero(n == 64)).size:
+            hi[many] = self._select(bucket[many], False) - bucket[many]
+        end = hi.copy()
         want = x & U64((1 << self.bits) - 1) if self.bits else np.zeros(len(x), U64)
         while (open_ := np.flatnonzero(lo < hi)).size:  # halving within the bucket, over the low bits alone
             mid = (lo[open_] + hi[open_]) >> 1
@@ -104,7 +119,12 @@ class EliasFano:
             lo[open_] = np.where(less, mid + 1, lo[open_])
             hi[open_] = np.where(less, hi[open_], mid)
         out[inside] = lo
-        return out
+        there = np.flatnonzero(lo < end)
+        exact[inside[there]] = self._low(lo[there]) == want[there]
+        return out, exact
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        return self.locate(x)[0]
 
     def nbytes(self) -> int:
         return sum(x.nbytes for x in (self.low, self.high, self.ones))

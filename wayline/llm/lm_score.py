@@ -38,6 +38,7 @@ DISCOUNT = 0.75
 LEAST_COUNT = 2
 FLUSH = 1_500_000
 SHARD_BYTES = 24 << 20
+BATCH_BYTES = 16 << 20
 END = xxhash.xxh3_64_intdigest(b"\x00end of text")
 #: Quantised logarithms: 16 bits for [-STEPS_TO, 0].
 STEPS_TO = 10.0
@@ -47,8 +48,11 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return np.rint(np.clip(-np.log10(np.maximum(p, 1e-300)) / STEPS_TO, 0, 1) * 65535).astype(np.uint16)
 
 
+_RESTORED = 10.0 ** (np.arange(65536) * (-STEPS_TO / 65535))
+
+
 def restore(q: np.ndarray) -> np.ndarray:
-    return 10.0 ** (q.astype(np.float64) * (-STEPS_TO / 65535))
+    return _RESTORED[q]
 
 
 # ---------------------------------------------------------------- files
@@ -79,7 +83,7 @@ def read_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
     """The arrays of a file, memory-mapped where the shared folder is mounted, else read once per worker."""
     if name not in _open:
         if folder.startswith("file:") or "://" not in folder:
-            raw = np.memmap(name, np.uint8, "r")
+            raw = np.memmap(name, np.uint8, "r").view(np.ndarray)
         else:
             with fs.FileSystem.from_uri(folder)[0].open_input_file(name) as f:
                 raw = np.frombuffer(f.read_buffer(), np.uint8)
@@ -135,9 +139,8 @@ class Model:
         for s, at, arrays in self._each_shard(shard, 0):
             e, total = _sequence(arrays, "nodes"), _sequence(arrays, "total")
             want = (hashes[at] - np.uint64(s * wide)).astype(np.int64)
-            k = e.find(want)
-            ok = np.flatnonzero(k < e.n)
-            ok = ok[e.get(k[ok]) == want[ok]]
+            k, exact = e.locate(want)
+            ok = np.flatnonzero(exact)
             node[at][ok] = self.levels[0].starts[s] + k[ok]
             count[at][ok] = total.get(k[ok] + 1) - total.get(k[ok])
         return node, count
@@ -154,11 +157,12 @@ class Model:
             e, pointers = _sequence(arrays, "nodes"), _sequence(arrays, "pointers")
             local = parent[at] - above.starts[s]
             want = codes[at] - above.starts[s] * lev.width
-            gamma[at] = restore(arrays["gamma"][local])
-            first[at] = lev.starts[s] + pointers.get(local)
-            k = e.find(want)
-            ok = np.flatnonzero(k < e.n)
-            ok = ok[e.get(k[ok]) == want[ok]]
+            each = np.flatnonzero(np.diff(local, prepend=-1))  # parents once each: codes are sorted
+            times = np.diff(each, append=len(local))
+            gamma[at] = np.repeat(restore(arrays["gamma"][local[each]]), times)
+            first[at] = np.repeat(lev.starts[s] + pointers.get(local[each]), times)
+            k, exact = e.locate(want)
+            ok = np.flatnonzero(exact)
             node[at][ok] = lev.starts[s] + k[ok]
             alpha[at][ok] = restore(arrays["alpha"][k[ok]])
         return node, alpha, gamma, first
@@ -300,7 +304,7 @@ def train(texts: DataFrame, order: int = ORDER, folder: str | None = None) -> Mo
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(np.array([s * (2**64 // shards) for s in range(shards)], np.uint64))
-        for b in small_batches(batches, "text"):
+        for b in small_batches(batches, "text", BATCH_BYTES):
             hashes, at, _ = word_hashes(b.column(0))
             n = np.bincount(at, minlength=len(hashes))
             yield from counter.add(hashes[n > 0], n[n > 0])
@@ -327,7 +331,7 @@ def train(texts: DataFrame, order: int = ORDER, folder: str | None = None) -> Mo
 
         def count_level(batches: Iterator[pa.RecordBatch], k=k, model=model) -> Iterator[pa.RecordBatch]:
             counter = Counter(model.levels[k - 1].starts[:-1] * model.levels[k].width)
-            for b in small_batches(batches, "text"):
+            for b in small_batches(batches, "text", BATCH_BYTES):
                 t = read_tokens(model, b.column(0))
                 if k == 1:  # a pair seen twice has two words seen twice
                     t.node[t.count < LEAST_COUNT] = -1
@@ -392,7 +396,7 @@ def score(docs: DataFrame, model: Model, order: int = ORDER) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "text"):
+        for b in small_batches(batches, "text", BATCH_BYTES):
             t = read_tokens(model, b.column(2))
             base, full = token_logs(model, t, min(order, len(model.levels)))
             at = t.rows[:-1]
