@@ -11,9 +11,10 @@ into more than D groups, some groups are the same in both. A bucket is the texts
 content in one group. (Where only empty groups are the same, there are at least `slack + 1` of them; texts with as
 many also meet in a bucket for each three of their empty groups.)
 
-Buckets give links in two rounds. First the members are tried against the member nearest to the bucket's mean, which
-joins a group of near copies by as many links as it has members. Then trees are joined with themselves, but only pairs of
-different components count. All pairs are verified on the whole sets, and links make components. No list of links,
+Buckets give links in rounds. First the members are tried against the member nearest to the bucket's mean, which
+joins a group of near copies by as many links as it has members; buckets that still hold several components try once more
+with a member of the smaller ones. Then trees are joined with themselves, but only pairs of different components count, and
+only those that pass the same bound over FINE groups, which few unlinked pairs do. All pairs are verified on the whole sets, and links make components. No list of links,
 members or sets reaches the driver, and texts with equal sets or one component are never paired.
 """
 
@@ -38,6 +39,8 @@ PERCENT = 85
 DIMS = 32
 LEAF = 16
 MAX_POINT = 65_535
+#: Groups of the finer point that pairs between components must also pass.
+FINE = 256
 SHARD_ROWS = 2_000_000
 U64 = np.uint64
 
@@ -118,8 +121,13 @@ def point(s: np.ndarray) -> np.ndarray:
     return np.bincount((mix64(s ^ U64(0x5851F42D4C957F2D)) % U64(DIMS)).astype(np.int64), minlength=DIMS)
 
 
+def fine_point(s: np.ndarray) -> np.ndarray:
+    """Counts in FINE groups, at most 255; a set with such a count is not bounded by it."""
+    return np.minimum(np.bincount((mix64(s ^ U64(0x2545F4914F6CDD1D)) % U64(FINE)).astype(np.int64), minlength=FINE), 255).astype(np.uint8)
+
+
 def describe(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, class, keys, point): class is a hash of the set, null for an empty one."""
+    """(doc_id, n, class, keys, point, fine): class is a hash of the set, null for an empty one."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,9 +139,10 @@ def describe(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Da
                 pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None for s in sets], pa.int64()),
                 pa.array([bucket_keys(s, percent).tobytes() for s in sets], pa.binary()),
                 pa.array([np.minimum(point(s), MAX_POINT).astype(np.uint16).tobytes() for s in sets], pa.binary()),
-            ], names=["doc_id", "n", "class", "keys", "point"])
+                pa.array([fine_point(s).tobytes() for s in sets], pa.binary()),
+            ], names=["doc_id", "n", "class", "keys", "point", "fine"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, class long, keys binary, point binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, class long, keys binary, point binary, fine binary")
 
 
 # ---------------------------------------------------------------- buckets
@@ -239,7 +248,8 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.n
     """Columns of whole groups of equal keys (first column), with the groups' edges, of batches sorted by key."""
     rest: list[np.ndarray] = []
     for b in batches:
-        cols = [np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, DIMS) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns]
+        kinds = {"point": (np.uint16, DIMS), "fine": (np.uint8, FINE)}
+        cols = [np.frombuffer(b"".join(c.to_pylist()), kinds[name][0]).reshape(-1, kinds[name][1]) if name in kinds else c.to_numpy(zero_copy_only=False) for name, c in zip(b.schema.names, b.columns)]
         cols = [np.concatenate(x) for x in zip(rest, cols)] if rest else cols
         edges = np.insert(np.flatnonzero(np.diff(cols[0])) + 1, 0, 0)
         rest = [c[edges[-1] :] for c in cols]
@@ -275,14 +285,41 @@ def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pairs(out)
 
 
+def _star_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of each bucket with several components: all members with one of the smaller components' that is
+    nearest to the mean, where the components differ."""
+    out: set[tuple[int, int]] = set()
+    for (_, classes, sizes, points, roots), edges in _whole_groups(batches):
+        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            c, s, p, r = classes[a:z], sizes[a:z], points[a:z], roots[a:z]
+            score = np.minimum(p, p.mean(axis=0)).sum(axis=1) / np.maximum(s, s.mean())
+            names, inverse, n = np.unique(r, return_inverse=True, return_counts=True)
+            score[inverse == int(np.argmax(n))] = -1.0
+            near = int(np.argmax(score))
+            ok = _bounded(p, p[near], s, s[near]) & (r != r[near])
+            hub = int(c[near])
+            out.update((min(x, hub), max(x, hub)) for x in c[ok].tolist())
+        if len(out) > 100_000:
+            yield _pairs(out)
+            out = set()
+    yield _pairs(out)
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each bucket between different components, by joining its tree with itself."""
     out: set[tuple[int, int]] = set()
     for cols, edges in _whole_groups(batches):
         for k, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            _, classes, sizes, points, roots = (c[k:z] for c in cols)
+            _, classes, sizes, points, roots, fine = (c[k:z] for c in cols)
+            full = (fine == 255).any(axis=1)
             for i, j in Tree(points, sizes).join():
-                ok = roots[i] != roots[j]
+                other = roots[i] != roots[j]
+                i, j = i[other], j[other]
+                if not len(i):
+                    continue
+                least = least_overlap(sizes[i], sizes[j])
+                ok = np.concatenate([np.minimum(fine[i[m : m + 20_000]], fine[j[m : m + 20_000]]).sum(axis=1, dtype=np.int64) for m in range(0, len(i), 20_000)]) >= least
+                ok |= full[i] | full[j]
                 a, b = classes[i[ok]], classes[j[ok]]
                 out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
                 if len(out) > 100_000:
@@ -339,18 +376,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     described = stage(describe(docs, percent, size), "described")
     texts = stage(described.select("doc_id", "n", "class"), "texts")
     named = described.where("class is not null and doc_id is not null")
-    member = stage(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point")), "classes")
+    member = stage(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point"), F.min("fine").alias("fine")), "classes")
     buckets = stage(shared_buckets(named), "buckets")
     discard(described)
     points = member.select("class", "n", "point")
     stars = buckets.join(points, "class").select("key", "class", "n", "point").repartition("key").sortWithinPartitions("key").mapInArrow(_star, "a long, b long")
     links = verified(stars, docs, member, percent, size)
-    roots = stage(components(links), "roots")
-    rooted = stage(buckets.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root")), "rooted")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    several = stage(rooted.join(mixed, "key", "left_semi"), "several")
-    across = several.join(points, "class").select("key", "class", "n", "point", "root").repartition("key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long")
-    more = verified(across, docs, member, percent, size)
+
+    def between_components() -> DataFrame:
+        """Rows of the buckets that still hold several components, with their roots."""
+        roots = stage(components(links), "roots")
+        rooted = stage(buckets.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root")), "rooted")
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        return stage(rooted.join(mixed, "key", "left_semi"), "several")
+
+    again = between_components().join(points, "class").select("key", "class", "n", "point", "root").repartition("key").sortWithinPartitions("key")
+    links = links.union(verified(again.mapInArrow(_star_again, "a long, b long"), docs, member, percent, size))
+    across = between_components().join(member.select("class", "n", "point", "fine"), "class").select("key", "class", "n", "point", "root", "fine").repartition("key").sortWithinPartitions("key")
+    more = verified(across.mapInArrow(_across, "a long, b long"), docs, member, percent, size)
     ends = stage(components(links.union(more)), "roots")
     labelled = member.join(ends, member["class"] == ends["node"]).select("class", "doc_id", "root")
     first = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
