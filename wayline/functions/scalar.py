@@ -154,6 +154,7 @@ def stationary_edge(ax: Column, ay: Column, az: Column, gyro: Column, model_spee
 
 
 def clamp_dt(dt: Column) -> Column:
+    """Within [0.001, 0.5]; a missing dt gives 0.5, since least and greatest leave nulls out."""
     return F.greatest(F.lit(0.001), F.least(dt, F.lit(0.5)))
 
 
