@@ -31,9 +31,12 @@ def predict_speed(windows: DataFrame, load: Callable[[], Predict], x_mean: list[
             out = np.full(len(pdf), np.nan)
             ok = pdf[column].notna().to_numpy()
             if ok.any():
-                x = np.stack([np.stack(v) for v in pdf.loc[ok, column]])
-                out[ok] = np.maximum(y_mean + model((x - mean) / std) * y_std, 0.0)
-            yield pdf.assign(model_speed=pd.array(out, dtype="Float64"))
+                x = [np.stack(v) for v in pdf.loc[ok, column]]
+                at, lengths = np.flatnonzero(ok), np.array([len(v) for v in x])
+                for n in np.unique(lengths):  # windows of one length at a time
+                    same = np.flatnonzero(lengths == n)
+                    out[at[same]] = np.maximum(y_mean + model((np.stack([x[k] for k in same]) - mean) / std) * y_std, 0.0)
+            yield pdf.assign(model_speed=pd.Series(out, index=pdf.index).astype(object).where(ok, None))
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
