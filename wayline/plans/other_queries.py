@@ -368,7 +368,7 @@ query("s19_serial_lines", "with x as (select 1) " + _LINE_SQL)(_parsed)
 query("f14_corrupt_drop", "with x as (select 1) select count(*) as n from events where event_id % 5 < 2")(lambda s, d: logs.parse_lines(_lines(s, d)).agg(F.count("*").alias("n")))
 
 
-@query("s17_external_imu", f", m as (select trip_key, i, t, lag(t) {OVER} as pt, acc_x, acc_y from sig) select trip_key, {R('t')} as t, {R('coalesce(greatest(0.001::double, least(t - pt, 0.5::double)), 0.01::double)')} as dt, {R('acc_x * 9.80665::double')} as ax, {R('-acc_y * 9.80665::double')} as ay from m")
+@query("s17_external_imu", f", m as (select trip_key, i, t, lag(t) {OVER} as pt, acc_x, acc_y from sig) select trip_key, {R('t')} as t, {R('case when pt is null then 0.01::double else greatest(0.001::double, least(t - pt, 0.5::double)) end')} as dt, {R('acc_x * 9.80665::double')} as ax, {R('-acc_y * 9.80665::double')} as ay from m")
 def s17(spark, sf_dir):
     d = signals(spark, sf_dir).select("trip_key", _c("t").alias("timestamp"), _c("acc_x").alias("ax"), _c("acc_y").alias("ay"), _c("acc_z").alias("az"), F.lit(0.0).alias("gx"), F.lit(0.0).alias("gy"), _c("gyro_z").alias("gz"))
     s = logs.imu_samples(d, "trip_key", "g", "rad/s", "FLU")
