@@ -41,7 +41,7 @@ LEAF = 16
 MAX_POINT = 65_535
 #: Groups of the finer point that pairs between components must also pass.
 FINE = 256
-SHARD_ROWS = 2_000_000
+SHARD_ROWS = 1_000_000
 U64 = np.uint64
 
 
@@ -126,6 +126,17 @@ def fine_point(s: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((mix64(s ^ U64(0x2545F4914F6CDD1D)) % U64(FINE)).astype(np.int64), minlength=FINE), 255).astype(np.uint8)
 
 
+def _pack48(keys: np.ndarray) -> bytes:
+    """The upper 48 bits of each key: where two keys fall together, a bucket has members more, and none less."""
+    return np.ascontiguousarray((keys.view(U64) >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpack48(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.int64).ravel()
+
+
 def describe(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n, class, keys, point, fine): class is a hash of the set, null for an empty one."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -137,7 +148,7 @@ def describe(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Da
                 b.column(0),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None for s in sets], pa.int64()),
-                pa.array([bucket_keys(s, percent).tobytes() for s in sets], pa.binary()),
+                pa.array([_pack48(bucket_keys(s, percent)) for s in sets], pa.binary()),
                 pa.array([np.minimum(point(s), MAX_POINT).astype(np.uint16).tobytes() for s in sets], pa.binary()),
                 pa.array([fine_point(s).tobytes() for s in sets], pa.binary()),
             ], names=["doc_id", "n", "class", "keys", "point", "fine"])
@@ -160,9 +171,9 @@ def shared_buckets(texts: DataFrame) -> DataFrame:
     """(key, class) of the buckets that two classes or more share.
 
     Keys travel as packed arrays, deduplicated before the shuffle: one row per task and shard, the shards being ranges of
-    keys. Of a key 48 bits are kept: where two fall together, a bucket has members more, and none less.
+    keys, with the classes as places in a list of those that the row holds.
     """
-    total = texts.agg(F.sum(F.octet_length("keys") / 8)).first()[0] or 0
+    total = texts.agg(F.sum(F.octet_length("keys") / 6)).first()[0] or 0
     shards = int(max(8, -(-total // SHARD_ROWS)))
     wide = -(-(1 << 48) // shards)
 
@@ -173,12 +184,19 @@ def shared_buckets(texts: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             keys, classes = _distinct(*(np.concatenate(x) for x in zip(*held)))
             cuts = np.searchsorted(keys, np.arange(shards + 1) * wide)
-            picks = [(k, z.compress(np.diff(keys[a:e], prepend=k * wide).astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()), classes[a:e].tobytes()) for k, (a, e) in enumerate(zip(cuts[:-1], cuts[1:])) if e > a]
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in picks], pa.int32()), pa.array([p[1] for p in picks], pa.binary()), pa.array([p[2] for p in picks], pa.binary())], names=["shard", "keys", "classes"])
+            rows = []
+            for k, (a, e) in enumerate(zip(cuts[:-1], cuts[1:])):
+                if e > a:
+                    named, place = np.unique(classes[a:e], return_inverse=True)
+                    rows.append((k, small(np.diff(keys[a:e], prepend=k * wide)), small(place.astype(np.int64)), named.tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2, 3))], names=["shard", "keys", "places", "classes"])
+
+        def small(x: np.ndarray) -> bytes:
+            return z.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes())
 
         for b in batches:
             for c, keys in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                part = (np.frombuffer(keys, np.uint64) >> U64(16)).astype(np.int64)
+                part = _unpack48(keys)
                 held.append((part, np.full(len(part), c, np.int64)))
                 size += len(part)
             if size > SHARD_ROWS:
@@ -189,10 +207,13 @@ def shared_buckets(texts: DataFrame) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, parts = zstandard.ZstdDecompressor(), []
+
+        def wide_again(x: bytes) -> np.ndarray:
+            return np.frombuffer(z.decompress(x), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+
         for b in batches:
-            for k, keys, classes in zip(*(c.to_pylist() for c in b.columns)):
-                steps = np.frombuffer(z.decompress(keys), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
-                parts.append((np.cumsum(steps) + k * wide, np.frombuffer(classes, np.int64)))
+            for k, keys, places, classes in zip(*(c.to_pylist() for c in b.columns)):
+                parts.append((np.cumsum(wide_again(keys)) + k * wide, np.frombuffer(classes, np.int64)[wide_again(places)]))
         if not parts:
             return
         keys, classes = _distinct(*(np.concatenate(x) for x in zip(*parts)))
@@ -202,7 +223,7 @@ def shared_buckets(texts: DataFrame) -> DataFrame:
         for k in range(0, len(keys), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)]), pa.array(classes[k : k + (1 << 16)])], names=["key", "class"])
 
-    packed = texts.where("class is not null").select("class", "keys").mapInArrow(pack, "shard int, keys binary, classes binary")
+    packed = texts.where("class is not null").select("class", "keys").mapInArrow(pack, "shard int, keys binary, places binary, classes binary")
     return packed.repartition(shards, "shard").mapInArrow(meet, "key long, class long")
 
 
