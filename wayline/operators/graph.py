@@ -46,26 +46,27 @@ def snap(points: DataFrame, segments: DataFrame, reach: float = CELL_M, limit: f
 
 
 def nearest_node(points: DataFrame, nodes: DataFrame, cell: float = 500.0) -> DataFrame:
-    """(point_id, node, distance): expanding search by rings of grid cells; exact, since a ring of k cells is searched until
-    the best distance is at most k cells. An empty graph gives no rows."""
-    grid = nodes.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    left, found, ring = points.select("point_id", "e", "n"), None, 1
-    if nodes.isEmpty():
+    """(point_id, node, distance): the nearest node, the smaller id first among equals.
+
+    A point looks into its grid cell and the eight around it, and takes what is found within one cell's length; points left over look
+    again with cells four times as wide. An empty graph gives no rows.
+    """
+    extent = nodes.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("m")).first().m
+    if extent is None:
         return points.select("point_id", F.lit(None).cast("long").alias("node"), F.lit(0.0).alias("distance")).limit(0)
+    reach = points.agg(F.max(F.greatest(F.abs("e"), F.abs("n"))).alias("m")).first().m or 0.0
+    left, found, around = points.select("point_id", "e", "n"), None, F.sequence(F.lit(-1), F.lit(1))
     while True:
-        steps = F.sequence(F.lit(-ring), F.lit(ring))
-        p = left.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
+        grid = nodes.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
+        p = left.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
         p = p.withColumns({"cx": F.floor(F.col("e") / cell) + F.col("dx"), "cy": F.floor(F.col("n") / cell) + F.col("dy")})
         d = p.join(grid, ["cx", "cy"]).withColumn("distance", F.sqrt((F.col("e") - F.col("x")) ** 2 + (F.col("n") - F.col("y")) ** 2))
-        best = d.groupBy("point_id").agg(F.min(F.struct("distance", "id")).alias("b")).where(F.col("b.distance") <= ring * cell).select("point_id", F.col("b.id").alias("node"), F.col("b.distance").alias("distance"))
+        best = d.groupBy("point_id").agg(F.min(F.struct("distance", "id")).alias("b")).where(F.col("b.distance") <= cell).select("point_id", F.col("b.id").alias("node"), F.col("b.distance").alias("distance"))
         found = best if found is None else found.union(best)
         left = left.join(best.select("point_id"), "point_id", "left_anti")
-        if ring > 64 or left.isEmpty():
-            if ring > 64:  # the few points far from everything are compared with all nodes
-                far = left.join(F.broadcast(nodes) if nodes.count() < 100_000 else nodes, F.lit(True)).withColumn("distance", F.sqrt((F.col("e") - F.col("x")) ** 2 + (F.col("n") - F.col("y")) ** 2))
-                found = found.union(far.groupBy("point_id").agg(F.min(F.struct("distance", "id")).alias("b")).select("point_id", F.col("b.id").alias("node"), F.col("b.distance").alias("distance")))
+        if cell > 3 * (extent + reach) or left.isEmpty():
             return found
-        ring *= 4
+        cell *= 4
 
 
 def neighbours(frontier: DataFrame, edges: DataFrame) -> DataFrame:
