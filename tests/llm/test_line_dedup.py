@@ -20,10 +20,16 @@ def brute(rows):
         for d, t, k in places[1:]:
             x, y, a, b = t.split("\n"), t0.split("\n"), line_dedup.chunks_of(t), line_dedup.chunks_of(t0)
             first, end, f0, e0 = *a[k][:2], *b[k0][:2]
-            while k and k0 and first > a[k - 1][0] and f0 > b[k0 - 1][0] and x[first - 1] == y[f0 - 1]:
-                first, f0 = first - 1, f0 - 1
-            while k + 1 < len(a) and k0 + 1 < len(b) and end < a[k + 1][1] and e0 < b[k0 + 1][1] and x[end] == y[e0]:
-                end, e0 = end + 1, e0 + 1
+            for _ in range(line_dedup.RIM):
+                if first and f0 and x[first - 1] == y[f0 - 1]:
+                    first, f0 = first - 1, f0 - 1
+                else:
+                    break
+            for _ in range(line_dedup.RIM):
+                if end < len(x) and e0 < len(y) and x[end] == y[e0]:
+                    end, e0 = end + 1, e0 + 1
+                else:
+                    break
             gone[d, t] |= set(range(first, end))
     return [(d, t and "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d, t])) for d, t in rows]
 

@@ -5,8 +5,8 @@ an inserted or deleted line moves no other boundary. A line of `LONG_LINE` words
 always a chunk of its own. A chunk counts if it has several lines, or `LONG_LINE` words.
 
 Of chunks with equal bytes, the first by (doc_id, text hash, place) stays and the others go. Around a removed chunk,
-neighbour lines go too as far as the kept copy has the same neighbours (128-bit line hashes), within the next chunk on
-either side: so a passage goes whole, though its rim shares chunks with what surrounds it. Each removed line stands
+neighbour lines go too as far as the kept copy has the same neighbours (128-bit line hashes), `RIM` lines on either side at
+most: so a passage goes whole, though its rim shares chunks with what surrounds it. Each removed line stands
 in a kept copy earlier in that order, and the earliest copy of any line is never removed.
 
 Only chunks whose 64-bit hash occurs twice are compared, and only their bytes are shuffled for it. Groups of equal
@@ -30,6 +30,7 @@ WINDOW = 2
 DIVISOR = 2
 MAX_LINES = 16
 LONG_LINE = 25
+RIM = 8
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -100,9 +101,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
                 for w in wanted:
                     k = w["idx"]
                     a, z, _ = chunks[k]
-                    up = chunks[k - 1] if k else (a, a)
-                    down = chunks[k + 1] if k + 1 < len(chunks) else (z, z)
-                    rows.append({"doc_id": doc, "thash": thash, "idx": k, "hash": w["hash"], "chunk": "\n".join(lines[a:z]), "first": a, "end": z, "above": _line_keys(lines[up[0] : up[1]])[::-1], "below": _line_keys(lines[down[0] : down[1]])})
+                    rows.append({"doc_id": doc, "thash": thash, "idx": k, "hash": w["hash"], "chunk": "\n".join(lines[a:z]), "first": a, "end": z, "above": _line_keys(lines[max(0, a - RIM) : a])[::-1], "below": _line_keys(lines[z : z + RIM])})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return docs.mapInArrow(run, f"doc_id {kind}, thash long, idx int, hash long, chunk string, first int, end int, above array<binary>, below array<binary>")
