@@ -62,8 +62,63 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_warc, op2_token_counts, op3_quality_rules, op4_line_dedup, op5_lm_score, op6_url_filter, op7_mixing, op8_decontamination, op9_pii, op10_jaccard_join)}
 
 _W = r"'[\x20\x09-\x0D]+'"
+_CUT = {r: (a, b) for r, (a, b) in quality_rules.RULES.items()}
+
+
+def _over(rule: str, value: str, level: str) -> str:
+    """Whether a statistic is above a rule's cutoff at a level."""
+    mild, strict = _CUT[rule]
+    return f"coalesce({value} > {mild}::double + ({strict}::double - {mild}::double) * {level} / {quality_rules.LEVELS}, false)"
+
+
+_VALUES = {"symbols": "n_symbols / nullif(n_words, 0)::double", "dup_lines": "n_dup_lines / nullif(n_lines, 0)::double", "repeats": "n_repeat_words / nullif(n_words, 0)::double", "long_words": "word_chars / nullif(n_words, 0)::double", "short_words": "-(word_chars / nullif(n_words, 0)::double)"}
+_BROKEN = lambda level: " or ".join(_over(r, v, level) for r, v in _VALUES.items())
+_SPLIT_WORDS = rf"list_filter(string_split_regex(coalesce(text, ''), {_W}), lambda w: w <> '')"
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 SQL = {
+    "op10_jaccard_join": rf"""
+with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_W}), lambda w: w <> '') as w from documents),
+x as (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) as i from d where len(w) > 0),
+sh as (select distinct doc_id, array_to_string(w[i:i + 3], ' ') as s from x),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+pr as (select a.doc_id as p, b.doc_id as q, count(*) as both_in from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+li as (select p, q from pr join n a on a.doc_id = p join n b on b.doc_id = q where 100 * both_in >= 85 * (a.n + b.n - both_in)),
+re(doc_id, other) as (select doc_id, doc_id from d union select re.doc_id, li.q from re join li on li.p = re.other),
+co as (select doc_id, min(other) as component_id from re group by doc_id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, co.component_id from d join co on co.doc_id = d.doc_id left join n on n.doc_id = d.doc_id""",
+    "op3_quality_rules": rf"""
+with d as (select row_number() over () as r, doc_id, lang, coalesce(text, '') as t, {_SPLIT_WORDS} as w from documents),
+x as (select r, unnest(range(1, len(w) - 1)) as i, w from d where len(w) >= 3),
+tri as (select r, i, w[i] as a, w[i + 1] as b, w[i + 2] as c from x),
+twice as (select r, i from (select r, i, count(*) over (partition by r, a, b, c) as n from tri) z where n > 1),
+cov as (select r, count(distinct p) as n_repeat_words from (select r, i as p from twice union all select r, i + 1 from twice union all select r, i + 2 from twice) z group by r),
+s as (select d.r, doc_id, lang, cast(len(w) as bigint) as n_words, cast(length(regexp_replace(t, '[ 	-
+]', '', 'g')) as bigint) as word_chars, cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+ cast(len(list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^ 	-
+]'))) as bigint) as n_lines, cast(len(list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^ 	-
+]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^ 	-
+]')))) as bigint) as n_dup_lines,
+ coalesce(n_repeat_words, 0) as n_repeat_words from d left join cov on cov.r = d.r),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from s),
+l as (select doc_id, min(quality) as q from labels where quality is not null group by doc_id),
+h as (select b.*, q from b join l on l.doc_id = b.doc_id where not base_failed),
+lv as (select lang, k.level, count(case when q = 1 then 1 end) as n, count(case when q = 1 and ({_BROKEN('k.level')}) then 1 end) as g, count(case when q <> 1 and ({_BROKEN('k.level')}) then 1 end) as bad from h cross join (select unnest(range(0, {quality_rules.LEVELS + 1})) as level) k group by lang, k.level),
+ta as (select *, list_sum(list_transform(range(0, g + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality_rules.ALPHA}) + (n - i) * ln({1 - quality_rules.ALPHA})))) <= {quality_rules.DELTA} / (select count(distinct coalesce(lang, '?')) from h) as fine from lv),
+ok as (select *, bool_and(fine) over (partition by lang order by level) as certified from ta),
+pick as (select lang, level from (select *, row_number() over (partition by lang order by bad desc, level) as rk from ok where certified) z where rk = 1)
+select b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (pick.level is not null and ({_BROKEN('pick.level')})) as kept
+from b left join pick on pick.lang is not distinct from b.lang""",
+    "op7_mixing": rf"""
+with d as (select doc_id, source, cast(len({_SPLIT_WORDS}) as bigint) as size from documents),
+p as (select source, sum(size) as source_size, 3 * sum(size) as cap, row_number() over (order by source is null, source) - 1 as k from d group by source),
+w as (select *, case k % 3 when 0 then 5 when 1 then 2 else 1 end as weight from p),
+c as (select *, sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight::double, k rows between unbounded preceding and 1 preceding), 0) as rest, sum(weight) over () - coalesce(sum(weight) over (order by cap / weight::double, k rows between unbounded preceding and 1 preceding), 0) as open from w),
+v as (select *, rest / open::double as lev from c),
+f as (select *, first_value(case when weight * lev <= cap then lev end ignore nulls) over (order by cap / weight::double, k rows between unbounded preceding and current row) as level from v),
+t as (select source, source_size, coalesce(weight * level, cap::double) as target, cast(floor(cast(('0x' || substr(md5('7/' || coalesce('=' || source, 'null')), 1, 8)) as bigint) * {mixing.UNIT / 2**32!r}::double) as bigint) as off from f),
+e as (select d.*, t.source_size, t.target, off, cast(coalesce(round(target / nullif(t.source_size, 0) * {mixing.UNIT}), 0) as bigint) as x from d join t on t.source is not distinct from d.source),
+s as (select *, off + sum(x) over (partition by source order by size, doc_id rows between unbounded preceding and current row) as fin from e)
+select doc_id, size, cast(source_size as bigint) as source_size, target, cast((fin // {mixing.UNIT} - (fin - x) // {mixing.UNIT}) * size as bigint) as taken from s""",
     "op1_warc": """
 with p as (select page_id, encode(coalesce(html, '')) as b from pages),
 q as (select page_id, octet_length(b) as n, sha256(b) as d from p),
