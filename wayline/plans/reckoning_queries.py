@@ -87,9 +87,7 @@ def d06(spark, sf_dir):
 
 
 def _source(name, kind, source):
-    other = "truth" if source == "truth" or kind == "speed" else "hold"
     pair = next(p for p in PLAIN if p[0 if kind == "speed" else 1] == source)
-    del other
 
     @query(name, f"{_TRACK}select trip_key, i, {R('v' if kind == 'speed' else 'degrees(c)')} as x from tr where speed_source = '{pair[0]}' and heading_source = '{pair[1]}'")
     def run(spark, sf_dir):
