@@ -387,6 +387,24 @@ def verified(pairs: DataFrame, docs: DataFrame, member: DataFrame, percent: int
     return stage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
 
 
+def linked(pairs: DataFrame, links: DataFrame | None, docs: DataFrame, member: DataFrame, percent: int, size: int) -> DataFrame:
+    """links and enough of the pairs' links to have the components of all of them.
+
+    First each class is held against the partner that it shares most buckets with; of the other pairs only those between
+    different components are verified. So about two sets travel per class, not per pair.
+    """
+    counted = stage(pairs.groupBy("a", "b").agg(F.count("*").alias("n")), "counted")
+    pair = F.struct("n", "a", "b")
+    ends = counted.select(F.col("a").alias("u"), pair.alias("p")).union(counted.select("b", pair))
+    best = ends.groupBy("u").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
+    own = verified(best, docs, member, percent, size)
+    links = own if links is None else links.union(own)
+    roots = stage(components(links), "roots")
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    rest = counted.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    return links.union(verified(rest.join(best, ["a", "b"], "left_anti"), docs, member, percent, size))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: component_id is the smallest doc_id reachable by links.
 
@@ -401,8 +419,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     buckets = stage(shared_buckets(named), "buckets")
     discard(described)
     points = member.select("class", "n", "point")
-    stars = buckets.join(points, "class").select("key", "class", "n", "point").repartition("key").sortWithinPartitions("key").mapInArrow(_star, "a long, b long")
-    links = verified(stars, docs, member, percent, size)
+    stars = buckets.join(points, "class").select("key", "class", "n", "point").repartition("key").sortWithinPartitions("key")
+    links = linked(stars.mapInArrow(_star, "a long, b long"), None, docs, member, percent, size)
 
     def between_components() -> DataFrame:
         """Rows of the buckets that still hold several components, with their roots."""
@@ -412,7 +430,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         return stage(rooted.join(mixed, "key", "left_semi"), "several")
 
     again = between_components().join(points, "class").select("key", "class", "n", "point", "root").repartition("key").sortWithinPartitions("key")
-    links = links.union(verified(again.mapInArrow(_star_again, "a long, b long"), docs, member, percent, size))
+    links = linked(again.mapInArrow(_star_again, "a long, b long"), links, docs, member, percent, size)
     across = between_components().join(member.select("class", "n", "point", "fine"), "class").select("key", "class", "n", "point", "root", "fine").repartition("key").sortWithinPartitions("key")
     more = verified(across.mapInArrow(_across, "a long, b long"), docs, member, percent, size)
     ends = stage(components(links.union(more)), "roots")
