@@ -58,3 +58,20 @@ def test_against_definition(spark):
         if sum(len(x.split()) for x in p) > 50 and any(len(x.split()) >= line_dedup.LONG_LINE for x in p):
             assert sum(p_line in (x.text or "").split("\n") for x in out for p_line in p if len(p_line.split()) >= line_dedup.LONG_LINE and x.doc_id != 3) <= len(p)
     assert line_dedup.dedup_lines(df.limit(0)).collect() == []
+
+
+def test_passages_of_short_lines_go_whole(spark):
+    r = random.Random(11)
+    line = lambda n: " ".join("".join(r.choice("abcdefghijkl") for _ in range(5)) for _ in range(n))
+    passages = [[line(n) for _ in range(lines)] for lines, n in [(3, 20), (4, 15), (5, 12), (6, 10), (8, 8), (2, 8), (30, 9)] for _ in range(5)]
+    rows, own = [], {}
+    for d in range(10):
+        for k, p in enumerate(passages):
+            above, below = [line(9) for _ in range(r.randint(0, 3))], [line(9) for _ in range(r.randint(0, 3))]
+            gap = "\n \n" if k % 2 else "\n"
+            rows.append((d * 100 + k, "\n".join([*above, gap.join(p), *below])))
+            own[d * 100 + k] = [*above, *below]
+    rows += [(5000 + k, f"{line(9)}\n\none short line\n\n{line(9)}") for k in range(3)]
+    out = {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, t in rows:
+        assert out[d] == (t if d < 100 or d >= 5000 else "\n".join(own[d]))

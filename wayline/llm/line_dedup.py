@@ -1,13 +1,12 @@
-"""Removal of passages that repeat across documents, by content-defined chunks of lines.
+"""Removal of passages that repeat across documents, by overlapping chunks of lines.
 
-Lines are hashed; a rolling hash over the last `WINDOW` line hashes ends a chunk where it is 0 modulo `DIVISOR`, so
-an inserted or deleted line moves no other boundary. A line of `LONG_LINE` words or more is a passage of itself and
-always a chunk of its own. A chunk counts if it has several lines, or `LONG_LINE` words.
+Lines are hashed; a rolling hash runs over each two neighbour lines with words, and whatever blank lines stand between them:
+they are a chunk. A line of `LONG_LINE` words or more is a passage of itself and a chunk of its own too. Chunks overlap and
+depend on their own lines only, so a repeated run of several lines is covered whole by repeated chunks, whatever surrounds it;
+a short single line is no chunk, however often it occurs.
 
-Of chunks with equal bytes, the first by (doc_id, text hash, place) stays and the others go. Around a removed chunk,
-neighbour lines go too as far as the kept copy has the same neighbours (128-bit line hashes), `RIM` lines on either side at
-most: so a passage goes whole, though its rim shares chunks with what surrounds it. Each removed line stands
-in a kept copy earlier in that order, and the earliest copy of any line is never removed.
+Of chunks with equal bytes, the first by (doc_id, text hash, place) stays and the lines of the others go. Each removed line
+stands in a kept copy earlier in that order, and the earliest copy of any line is never removed.
 
 Only chunks whose 64-bit hash occurs twice are compared, and only their bytes are shuffled for it. Groups of equal
 chunks are reduced to their first by a partial aggregate, so a chunk in a third of all documents meets in no task.
@@ -26,62 +25,42 @@ from pyspark.sql import functions as F
 from .bloom import bloom_words, possible
 from .shared import small_batches, stage
 
-WINDOW = 2
-DIVISOR = 2
-MAX_LINES = 16
 LONG_LINE = 25
+#: Equal neighbour lines of a chunk may be taken for removed this far and farther: each is in an equal chunk itself.
 RIM = 8
+_MIX, _MASK = 0x9E3779B97F4A7C15, 2**64 - 1
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def chunks_of(text: str) -> list[tuple[int, int, bool]]:
-    """(first line, end line, eligible) of each chunk of a text; they tile its lines."""
-    lines = text.split("\n")
-    out, start, words, last = [], 0, 0, [0] * WINDOW
-
-    def close(end: int) -> None:
-        nonlocal start, words
-        if end > start:
-            out.append((start, end, words > 0 and end - start > 1 or words >= LONG_LINE))
-        start, words = end, 0
-
-    for k, line in enumerate(lines):
-        n = sum(1 for _ in _WORD.finditer(line))
-        last = [*last[1:], xxhash.xxh3_64_intdigest(line)]
-        if n >= LONG_LINE:
-            close(k)
-            words = n
-            close(k + 1)
-            last = [0] * WINDOW
+def chunks_of(text: str) -> list[tuple[int, int, int]]:
+    """(first line, end line, hash) of each chunk of a text."""
+    out, before, long_before, rolled = [], -1, False, 0
+    for k, line in enumerate(text.split("\n")):
+        h = xxhash.xxh3_64_intdigest(line)
+        rolled = (rolled * _MIX + h) & _MASK
+        if not _WORD.search(line):
             continue
-        words += n
-        rolled = 0
-        for h in last:
-            rolled = (rolled * 0x9E3779B97F4A7C15 + h) & (2**64 - 1)
-        if (rolled >> 40) % DIVISOR == 0 or k + 1 - start >= MAX_LINES:
-            close(k + 1)
-    close(len(lines))
+        long = len(line) >= 2 * LONG_LINE - 1 and len(_WORD.findall(line)) >= LONG_LINE
+        if long:
+            out.append((k, k + 1, h))
+        if before >= 0 and not (long and long_before):
+            out.append((before, k + 1, rolled))
+        before, long_before, rolled = k, long, h
     return out
 
 
-def _line_keys(lines: list[str]) -> list[bytes]:
-    return [xxhash.xxh3_128_digest(x) for x in lines]
-
-
 def _chunk_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, thash, idx, hash) of every eligible chunk."""
+    """(doc_id, thash, idx, hash) of every chunk."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text"):
             at, idx, hashes = [], [], []
             for row, text in enumerate(b.column(2).to_pylist()):
-                lines = text.split("\n")
-                for k, (a, z, fit) in enumerate(chunks_of(text)):
-                    if fit:
-                        at.append(row)
-                        idx.append(k)
-                        hashes.append(xxhash.xxh3_64_intdigest("\n".join(lines[a:z])) - 2**63)
+                for k, (_, _, h) in enumerate(chunks_of(text)):
+                    at.append(row)
+                    idx.append(k)
+                    hashes.append(h - 2**63)
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(idx, pa.int32()), pa.array(hashes, pa.int64())], names=["doc_id", "thash", "idx", "hash"])
 
@@ -89,9 +68,9 @@ def _chunk_rows(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    """Bytes, place and neighbour line keys of the chunks named in `wanted`."""
+    """Bytes and lines of the chunks named in `wanted`."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = pa.schema([("doc_id", docs.limit(0).toArrow().schema.field("doc_id").type), ("thash", pa.int64()), ("idx", pa.int32()), ("hash", pa.int64()), ("chunk", pa.string()), ("first", pa.int32()), ("end", pa.int32()), ("above", pa.list_(pa.binary())), ("below", pa.list_(pa.binary()))])
+    schema = pa.schema([("doc_id", docs.limit(0).toArrow().schema.field("doc_id").type), ("thash", pa.int64()), ("idx", pa.int32()), ("hash", pa.int64()), ("chunk", pa.string()), ("first", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text", 2 << 20):
@@ -101,17 +80,10 @@ def _candidates(docs: DataFrame) -> DataFrame:
                 for w in wanted:
                     k = w["idx"]
                     a, z, _ = chunks[k]
-                    rows.append({"doc_id": doc, "thash": thash, "idx": k, "hash": w["hash"], "chunk": "\n".join(lines[a:z]), "first": a, "end": z, "above": _line_keys(lines[max(0, a - RIM) : a])[::-1], "below": _line_keys(lines[z : z + RIM])})
+                    rows.append({"doc_id": doc, "thash": thash, "idx": k, "hash": w["hash"], "chunk": "\n".join(lines[a:z]), "first": a, "end": z})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, thash long, idx int, hash long, chunk string, first int, end int, above array<binary>, below array<binary>")
-
-
-def _shared_length(a: str, b: str):
-    """How many leading elements two arrays have in common."""
-    pairs = F.zip_with(F.slice(a, F.lit(1), F.least(F.size(a), F.size(b))), F.slice(b, F.lit(1), F.least(F.size(a), F.size(b))), lambda x, y: x == y)
-    at = F.array_position(pairs, F.lit(False))
-    return F.when(at > 0, at - 1).otherwise(F.size(pairs).cast("long")).cast("int")
+    return docs.mapInArrow(run, f"doc_id {kind}, thash long, idx int, hash long, chunk string, first int, end int")
 
 
 def _key(thash: str) -> Column:
@@ -129,12 +101,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     once = possible(d.withColumn("__k", _key("thash")), "__k", bloom_words(lists.select(_key("thash").alias("__k")), "__k"))
     once = once.join(lists.withColumnsRenamed({"doc_id": "__d", "thash": "__t"}), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("thash") == F.col("__t"))).select("doc_id", "thash", "text", "wanted")
     cand = stage(_candidates(once).dropDuplicates(["doc_id", "thash", "idx"]), "candidates")
-    place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "thash", "idx", "above", "below")
+    place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "thash", "idx")
     kept = cand.groupBy("hash", "chunk").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
     gone = cand.join(kept, ["hash", "chunk"]).where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("thash") == F.col("kept.thash")) & (F.col("idx") == F.col("kept.idx"))))
-    gone = gone.withColumns({"a2": F.col("kept.above"), "b2": F.col("kept.below")})
-    cut = F.struct((F.col("first") - _shared_length("above", "a2")).alias("first"), (F.col("end") + _shared_length("below", "b2")).alias("end"))
-    return stage(gone.groupBy("doc_id", "thash").agg(F.sort_array(F.collect_set(cut)).alias("cuts")), "cuts")
+    return stage(gone.groupBy("doc_id", "thash").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("cuts")), "cuts")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -152,7 +122,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     # Texts that lose nothing stay where they are.
     d = touched.unionByName(possible(d, "__k", words, inside=False).withColumn("__cuts", F.lit(None).cast(found.schema["cuts"].dataType)))
     lines = F.split(F.col("text"), "\n")
-    left = F.filter(lines, lambda line, k: ~F.exists("__cuts", lambda c: (c["first"] <= k) & (k < c["end"])))
+    cut = F.flatten(F.transform("__cuts", lambda c: F.sequence(c["first"], c["end"] - 1)))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), cut), lambda k: F.get(lines, k))
     d = d.withColumn("__left", F.when(F.col("__cuts").isNotNull(), left))
     d = d.withColumns({
         "text_before": F.col("text"),
