@@ -67,3 +67,29 @@ def test_blocks_find_all_within_radius(spark, radius):
 
     b = df.select(decontaminate.blocks(F.col("x"), radius).alias("p"), decontaminate.blocks(F.col("y"), radius).alias("q")).collect()
     assert all(set(map(tuple, z.p)) & set(map(tuple, z.q)) for z in b)
+
+
+def test_near_copies_at_edges_and_in_another_order(spark):
+    r = random.Random(6)
+    text = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    w = text(60)
+    docs = [
+        ("shorter", w[:30] + w[31:]),  # one word deleted, nothing else
+        ("end", text(40) + w[:-1]),
+        ("begin", w[1:] + text(40)),
+        ("swapped", w[30:] + w[:30] + text(50)),
+        ("swapped inside", text(50) + w[30:] + w[:30] + text(50)),
+        ("swapped at the end", text(50) + w[30:] + w[:30]),
+        ("too short", w[:50]),  # 46 of 56 shingles
+        ("shorter by a fifth", w[:48]),  # 44 of 56 shingles
+        ("half", text(30) + w[:30] + text(30)),
+    ]
+    df = spark.createDataFrame([(k, " ".join(x)) for k, x in docs], "doc_id string, text string")
+    rows = decontaminate.leaks(df, spark.createDataFrame([(1, " ".join(w)), (2, " ".join(text(60)))], "item_id long, text string")).collect()
+    assert {x.item_id for x in rows} == {1}
+    got = {x.doc_id: (x.start, x.words, round(x.similarity, 9)) for x in sorted(rows, key=lambda x: (x.similarity, -x.start))}
+    assert got == {
+        "shorter": (0, 59, round(51 / 60, 9)), "end": (39, 60, round(55 / 57, 9)), "begin": (0, 60, round(55 / 57, 9)),
+        "swapped": (0, 60, round(52 / 60, 9)), "swapped inside": (50, 60, round(52 / 60, 9)), "swapped at the end": (50, 60, round(52 / 60, 9)),
+        "too short": (0, 50, round(46 / 56, 9)),
+    }

@@ -5,9 +5,12 @@ each occurs). Fingerprints are cut into RADIUS + 1 blocks; two within the radius
 (size, block number, block) finds every pair within the radius. Candidates are verified by the exact weighted
 Jaccard similarity of their shingles.
 
-The windows of an item's size are those aligned with it: at least one shingle stands in the same place in both. Windows with
-no shared shingle have similarity 0, and those beside an aligned one repeat less of the item than it does; where
-words were put in or left out, each stretch between gives a window of its own. Only DataFrame expressions are used.
+The windows of an item's size are those aligned with it: at least one shingle stands in the same place in both. Where an
+aligned one would stick out of the text it is moved to the edge, and a text of fewer words than the item is a window as a whole.
+Windows with no shared shingle have similarity 0, and those beside an aligned one repeat less of the item than it does, unless
+the item's parts stand in another order. So windows that no aligned leak of the item overlaps are tried as well, if they
+begin with a shingle of the item or end the text (moving any other to the next such start loses no shared shingle) and hold
+as many of its shingles as the similarity needs. Only DataFrame expressions are used.
 """
 
 from __future__ import annotations
@@ -88,12 +91,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similarity: f
     found = []
     for j in sizes:
         here = d.withColumn("s", _shingles(F.col("w"), F.col("n"), j)).select("doc_id", "thash", "n", F.posexplode_outer("s").alias("at", "h"))  # outer: an inner one adds a filter that repeats the work below
-        marks = items.where(F.col("k") == j).groupBy("h", "m", "place").agg(F.count("*").alias("__n")).drop("__n")
-        hit = here.join(marks, "h")
-        found.append(hit.select("doc_id", "thash", "m", (F.col("at") - F.col("place")).alias("start"), "n").where("start >= 0 and start + m <= n").drop("n").distinct())
+        found.append(here.join(items.where(F.col("k") == j).select("h").distinct(), "h").select("doc_id", "thash", "n", F.lit(j).alias("k"), "at", "h"))
     if not found:
-        found = [docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("thash"), F.lit(0).alias("m"), F.lit(0).alias("start"))]
-    windows = stage(reduce(DataFrame.unionByName, found), "windows")
+        found = [docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("thash"), F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("h"))]
+    # Shingles of texts that some item has.
+    hits = stage(reduce(DataFrame.unionByName, found).distinct(), "hits")
+    marks = items.groupBy("k", "h", "m", "place").agg(F.count("*").alias("__n")).drop("__n")
+    size = lambda words: words - F.col("k") + 1
+    fits = size(F.least("n", "m")) + 1e-9 >= similarity * size(F.col("m"))  # only texts shorter than the item may not
+    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.col("n") - F.col("m")))
+    windows = stage(hits.join(marks, ["k", "h"]).where(fits).select("doc_id", "thash", "m", start.alias("start")).distinct(), "windows")
+    aligned = stage(_similar(docs, windows, items, fps, sizes, k, similarity, radius), "aligned")
+    # The windows at hits that hold enough of them: the last of those needed stands within the window.
+    need = F.greatest(F.lit(1), F.ceil(2 * similarity / (1 + similarity) * size(F.col("m")) - 1e-9)).cast("int")
+    own = items.select("item_id", "m", "k", "h").distinct()
+    places = hits.join(own, ["k", "h"]).where("n >= m and m > k").groupBy("doc_id", "thash", "n", "item_id", "m", "k").agg(F.sort_array(F.collect_set("at")).alias("a")).withColumn("need", need)
+    at = F.filter(F.transform("a", lambda x, i: F.when(F.get("a", i + F.col("need") - 1) <= x + F.col("m") - F.col("k"), F.least(x, F.col("n") - F.col("m")))), lambda x: x.isNotNull())
+    other = places.where(F.size("a") >= F.col("need")).select("doc_id", "thash", "item_id", "m", F.explode(F.array_distinct(at)).alias("start"))
+    seen = aligned.select(F.col("doc_id").alias("__d"), F.col("thash").alias("__t"), F.col("item_id").alias("__i"), F.col("m").alias("__m"), F.col("start").alias("__s"))
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("thash") == F.col("__t")) & (F.col("item_id") == F.col("__i")) & (F.col("m") == F.col("__m"))
+    other = stage(other.join(seen, same & (F.abs(F.col("start") - F.col("__s")) < F.col("m")), "left_anti"), "other")
+    both = aligned
+    if not other.isEmpty():
+        more = _similar(docs, other.select("doc_id", "thash", "m", "start").distinct(), items, fps, sizes, k, similarity, radius)
+        wanted = other.withColumnsRenamed({"doc_id": "__d", "thash": "__t", "item_id": "__i", "m": "__m", "start": "__s"})
+        both = both.unionByName(more.join(wanted, same & (F.col("start") == F.col("__s")), "left_semi"))
+    return both.groupBy("doc_id", "item_id", "start", "words").agg(F.min("hamming").cast("int").alias("hamming"), F.max("similarity").alias("similarity"))
+
+
+def _similar(docs: DataFrame, windows: DataFrame, items: DataFrame, fps: DataFrame, sizes: list[int], k: int, similarity: float, radius: int) -> DataFrame:
+    """(doc_id, thash, start, m, item_id, words, hamming, similarity) of the (doc_id, thash, m, start) windows that repeat an item of m words."""
     # The documents that hold such windows, with their words again.
     per = windows.groupBy("doc_id", "thash").agg(F.collect_list(F.struct("start", "m")).alias("windows"))
     per = per.withColumnsRenamed({"doc_id": "__d", "thash": "__t"})
@@ -102,13 +129,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similarity: f
     texts = texts.select("doc_id", "thash", "windows", _hashes().alias("w")).withColumn("n", F.size("w"))
     parts = []
     for j in sizes:
-        s = texts.select("doc_id", "thash", _shingles(F.col("w"), F.col("n"), j).alias("s"), F.explode("windows").alias("x"))
-        s = s.where((F.col("x.m") == j) if j < k else (F.col("x.m") >= j))
-        parts.append(s.select("doc_id", "thash", F.col("x.start").alias("start"), F.col("x.m").alias("m"), F.explode(F.slice("s", F.col("x.start") + 1, F.col("x.m") - (j - 1))).alias("h")))
+        s = texts.select("doc_id", "thash", "n", _shingles(F.col("w"), F.col("n"), j).alias("s"), F.explode("windows").alias("x"))
+        s = s.where((F.col("x.m") == j) if j < k else (F.col("x.m") >= j)).withColumn("words", F.least("n", "x.m"))
+        parts.append(s.select("doc_id", "thash", F.col("x.start").alias("start"), F.col("x.m").alias("m"), "words", F.explode(F.slice("s", F.col("x.start") + 1, F.col("words") - (j - 1))).alias("h")))
     if not parts:
-        parts = [windows.withColumn("h", F.lit(0).cast("long"))]
+        parts = [windows.withColumn("words", F.lit(0)).withColumn("h", F.lit(0).cast("long"))]
     inside = stage(reduce(DataFrame.unionByName, parts), "inside")
-    key = ["doc_id", "thash", "start", "m"]
+    key = ["doc_id", "thash", "start", "m", "words"]
     left = with_fingerprints(inside, key)
     left = left.select(*key, F.col("fp").alias("fp"), F.explode(blocks(F.col("fp"), radius)).alias("b")).select(*key, "fp", "b.block", "b.bits")
     right = fps.select("item_id", "m", F.col("fp").alias("fp2"), F.explode(blocks(F.col("fp"), radius)).alias("b")).select("item_id", "m", "fp2", "b.block", "b.bits")
@@ -117,12 +144,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similarity: f
     # Exact weighted similarity: sum of the smaller over sum of the larger counts.
     mine = inside.groupBy(*key, "h").agg(F.count("*").alias("c1"))
     theirs = items.groupBy("item_id", "m", "h").agg(F.count("*").alias("c2"))
-    renamed = near.withColumnsRenamed({"doc_id": "__d"})
-    both = mine.join(renamed, F.col("doc_id").eqNullSafe(F.col("__d")) & (mine["thash"] == near["thash"]) & (mine["start"] == near["start"]) & (mine["m"] == near["m"])).select("doc_id", mine["thash"], mine["start"], mine["m"], "item_id", "hamming", "h", "c1")
+    renamed = near.withColumnsRenamed({"doc_id": "__d"}).drop("words")
+    both = mine.join(renamed, F.col("doc_id").eqNullSafe(F.col("__d")) & (mine["thash"] == renamed["thash"]) & (mine["start"] == renamed["start"]) & (mine["m"] == renamed["m"])).select("doc_id", mine["thash"], mine["start"], mine["m"], "words", "item_id", "hamming", "h", "c1")
     both = both.join(theirs, ["item_id", "m", "h"]).groupBy(*key, "item_id", "hamming").agg(F.sum(F.least("c1", "c2")).alias("least"))
-    size = F.when(F.col("m") >= k, F.col("m") - (k - 1)).otherwise(F.lit(1))  # shingles of the window and of the item
-    both = both.withColumn("similarity", F.col("least") / (2 * size - F.col("least")))
-    return both.where(F.col("similarity") >= similarity).groupBy("doc_id", "item_id", "start", F.col("m").alias("words")).agg(F.min("hamming").cast("int").alias("hamming"), F.max("similarity").alias("similarity"))
+    size = lambda words: F.when(F.col("m") >= k, words - (k - 1)).otherwise(F.lit(1))
+    both = both.withColumn("similarity", F.col("least") / (size(F.col("words")) + size(F.col("m")) - F.col("least")))
+    return both.where(F.col("similarity") >= similarity).select(*key, "item_id", "hamming", "similarity")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
