@@ -27,9 +27,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; rows without an id stay."""
+    """The document with the smallest id of each group of near duplicates (0.8 of 5-word shingles in common); rows without an id stay."""
     docs = docs.select(*COLUMNS)
-    groups = jaccard_join.near_duplicates(docs)
+    groups = jaccard_join.near_duplicates(docs, percent=80, size=5)
     gone = stage(groups.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("own")).where("own = 0").select("doc_id"), "copies")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,8 @@ def groups_of_range(k: int, percent: int = PERCENT) -> tuple[int, int]:
     """(groups, slack) of a size range: linked texts of it have slack + 1 or more of their groups in common."""
     largest = int(RANGES[k + 1]) - 1
     differ = 2 * largest * (100 - percent) // (100 + percent)
-    slack = max(2, -(-differ // 10))
+    # Below PERCENT groups are smaller and more of them are empty: with little slack most texts would need keys of three.
+    slack = max(2, -(-differ // (10 if percent >= PERCENT else 3)))
     return differ + 1 + slack, slack
 
 
@@ -243,14 +245,14 @@ class Tree:
             self.levels.append((top, least))
             self.wide.append(wide)
 
-    def join(self, limit: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def join(self, percent: int = PERCENT, limit: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of points whose bound allows a link, each once, in blocks."""
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
             level, i, j = stack.pop()
             top, least = self.levels[level]
             bound = np.concatenate([np.minimum(top[i[k : k + limit]], top[j[k : k + limit]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), limit)])
-            ok = (bound >= least_overlap(least[i], least[j])) | (self.wide[level][i] & self.wide[level][j])
+            ok = (bound >= least_overlap(least[i], least[j], percent)) | (self.wide[level][i] & self.wide[level][j])
             i, j = i[ok], j[ok]
             if not len(i):
                 continue
@@ -280,23 +282,23 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.n
         yield rest, np.array([0, len(rest[0])])
 
 
-def _bounded(p: np.ndarray, q: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+def _bounded(p: np.ndarray, q: np.ndarray, m: np.ndarray, n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Whether the summed coordinate minima allow a link of points p and q of sizes m and n."""
-    return (np.minimum(p, q).sum(axis=1, dtype=np.int64) >= least_overlap(m, n)) | (m > MAX_POINT) & (n > MAX_POINT)
+    return (np.minimum(p, q).sum(axis=1, dtype=np.int64) >= least_overlap(m, n, percent)) | (m > MAX_POINT) & (n > MAX_POINT)
 
 
-def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _star(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each bucket: its members with the one nearest to their mean."""
     out: set[tuple[int, int]] = set()
     for (_, classes, sizes, points), edges in _whole_groups(batches):
         n = np.diff(edges)
         two = edges[:-1][n == 2]
-        two = two[_bounded(points[two], points[two + 1], sizes[two], sizes[two + 1])]
+        two = two[_bounded(points[two], points[two + 1], sizes[two], sizes[two + 1], percent)]
         out.update(zip(np.minimum(classes[two], classes[two + 1]).tolist(), np.maximum(classes[two], classes[two + 1]).tolist()))
         for a, z in zip(edges[:-1][n > 2].tolist(), edges[1:][n > 2].tolist()):
             c, s, p = classes[a:z], sizes[a:z], points[a:z]
             near = int(np.argmax(np.minimum(p, p.mean(axis=0)).sum(axis=1) / np.maximum(s, s.mean())))
-            ok = _bounded(p, p[near], s, s[near])
+            ok = _bounded(p, p[near], s, s[near], percent)
             ok[near] = False
             hub = int(c[near])
             out.update((min(x, hub), max(x, hub)) for x in c[ok].tolist())
@@ -306,7 +308,7 @@ def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pairs(out)
 
 
-def _star_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _star_again(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each bucket with several components: all members with one of the smaller components' that is
     nearest to the mean, where the components differ."""
     out: set[tuple[int, int]] = set()
@@ -317,7 +319,7 @@ def _star_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, inverse, n = np.unique(r, return_inverse=True, return_counts=True)
             score[inverse == int(np.argmax(n))] = -1.0
             near = int(np.argmax(score))
-            ok = _bounded(p, p[near], s, s[near]) & (r != r[near])
+            ok = _bounded(p, p[near], s, s[near], percent) & (r != r[near])
             hub = int(c[near])
             out.update((min(x, hub), max(x, hub)) for x in c[ok].tolist())
         if len(out) > 100_000:
@@ -326,19 +328,19 @@ def _star_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pairs(out)
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each bucket between different components, by joining its tree with itself."""
     out: set[tuple[int, int]] = set()
     for cols, edges in _whole_groups(batches):
         for k, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
             _, classes, sizes, points, roots, fine = (c[k:z] for c in cols)
             full = (fine == 255).any(axis=1)
-            for i, j in Tree(points, sizes).join():
+            for i, j in Tree(points, sizes).join(percent):
                 other = roots[i] != roots[j]
                 i, j = i[other], j[other]
                 if not len(i):
                     continue
-                least = least_overlap(sizes[i], sizes[j])
+                least = least_overlap(sizes[i], sizes[j], percent)
                 ok = np.concatenate([np.minimum(fine[i[m : m + 20_000]], fine[j[m : m + 20_000]]).sum(axis=1, dtype=np.int64) for m in range(0, len(i), 20_000)]) >= least
                 ok |= full[i] | full[j]
                 a, b = classes[i[ok]], classes[j[ok]]
@@ -420,7 +422,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     discard(described)
     points = member.select("class", "n", "point")
     stars = buckets.join(points, "class").select("key", "class", "n", "point").repartition("key").sortWithinPartitions("key")
-    links = linked(stars.mapInArrow(_star, "a long, b long"), None, docs, member, percent, size)
+    links = linked(stars.mapInArrow(partial(_star, percent=percent), "a long, b long"), None, docs, member, percent, size)
 
     def between_components() -> DataFrame:
         """Rows of the buckets that still hold several components, with their roots."""
@@ -430,9 +432,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         return stage(rooted.join(mixed, "key", "left_semi"), "several")
 
     again = between_components().join(points, "class").select("key", "class", "n", "point", "root").repartition("key").sortWithinPartitions("key")
-    links = linked(again.mapInArrow(_star_again, "a long, b long"), links, docs, member, percent, size)
+    links = linked(again.mapInArrow(partial(_star_again, percent=percent), "a long, b long"), links, docs, member, percent, size)
     across = between_components().join(member.select("class", "n", "point", "fine"), "class").select("key", "class", "n", "point", "root", "fine").repartition("key").sortWithinPartitions("key")
-    more = verified(across.mapInArrow(_across, "a long, b long"), docs, member, percent, size)
+    more = verified(across.mapInArrow(partial(_across, percent=percent), "a long, b long"), docs, member, percent, size)
     ends = stage(components(links.union(more)), "roots")
     labelled = member.join(ends, member["class"] == ends["node"]).select("class", "doc_id", "root")
     first = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
