@@ -48,3 +48,37 @@ def test_rows(spark):
     out = pii.find_pii(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, spans int")).collect()
     assert [r.n_email for r in out] == [0, 0, 3, 0, 0, 0] and out[3].spans == "email:0:12" and out[5].n_phone == 1
     assert out[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+DISGUISES = [
+    ("call plus 49 170 1234567 now", "phone", "plus 49 170 1234567"),
+    ("call +1 555 one two three 4567 now", "phone", "+1 555 one two three 4567"),
+    ("call +1 555 12 three 4567 now", "phone", "+1 555 12 three 4567"),
+    ("card 4111 1111 1111 111 one.", "card", "4111 1111 1111 111 one"),
+    ("ip one.two.three.four", "ip", "one.two.three.four"),
+    ("call +๑๒ ๓๔๕ ๖๗๘๙ now", "phone", "+๑๒ ๓๔๕ ๖๗๘๙"),
+    ("call +১২ ৩৪৫ ৬৭৮৯ now", "phone", "+১২ ৩৪৫ ৬৭৮৯"),
+    ("call +𝟏𝟐 𝟑𝟒𝟓 𝟔𝟕𝟖𝟗 now", "phone", "+𝟏𝟐 𝟑𝟒𝟓 𝟔𝟕𝟖𝟗"),
+    ("ip 10.0.0.ſix", "ip", "10.0.0.ſix"),
+    ("jane@mail\u2003dot\u2003org", "email", "jane@mail\u2003dot\u2003org"),
+    ("jane(\tat\t)mail.org", "email", "jane(\tat\t)mail.org"),
+]
+
+
+def test_disguises_are_found_in_texts_with_nothing_else(spark):
+    rows = [(k, t) for k, (t, _, _) in enumerate(DISGUISES)]
+    got = {x.doc_id: x for x in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (t, kind, part) in enumerate(DISGUISES):
+        a = t.index(part)
+        assert f"{kind}:{a}:{a + len(part)}" in got[k].spans.split(",") and got[k].n_added, (t, got[k])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from("plus|one|TWO|ſix|sİx|zéro|un|12| |\t|\u2003|(|)|at|dot|.|@|+|a|–|๑|é|-|,|​".split("|")), max_size=14).map("".join))
+def test_trigger_and_rewritten_agree_with_normalise(text):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    plain = pii.normalise(text)[0]
+    assert pii.rewritten(text) == plain
+    assert plain == text or pc.match_substring_regex(pa.array([text]), pii.TRIGGER)[0].as_py()

@@ -8,7 +8,8 @@ spans, and once more on a normalised text, made by a transducer that rewrites
 * disguised signs: (at), [dot], "name at host dot org", and the like.
 
 The transducer writes, for each character of its output, the span of the source it stands for, so a match of the
-normalised text maps back to exact source characters. A text without anything to rewrite is not normalised. Detectors
+normalised text maps back to exact source characters. A text without anything to rewrite is not normalised, nor is one whose
+rewritten form shows nothing. Detectors
 are linear in the text's length, whatever it holds.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -109,14 +111,6 @@ _RULES = re.compile(
     re.IGNORECASE,
 )
 _ONE = re.compile(_WORD, re.IGNORECASE)
-#: Texts without this (RE2) have nothing to rewrite: other scripts' letters and signs, bracketed signs, dot, or four spelled digits.
-TRIGGER = (
-    r"(?i)[\x{a0}\x{ad}\x{131}\x{370}-\x{3ff}\x{400}-\x{52f}\x{2007}\x{200b}-\x{200d}\x{2010}-\x{2013}\x{2024}\x{202f}\x{2060}\x{2170}-\x{217f}\x{2212}\x{3002}\x{fe6b}\x{feff}\x{ff01}-\x{ff61}]"
-    r"|[\p{Nd}--[0-9]]".replace("[\\p{Nd}--[0-9]]", r"[\x{660}-\x{669}\x{6f0}-\x{6f9}\x{966}-\x{96f}]")
-    + rf"|[\[({{<] ?(?:at|ät|arroba|arobase|@|dot|punkt|punto|point|\.) ?[\])}}>]|\sdot\s|{_WORD}(?:[\s,-]{{1,3}}{_WORD}){{3}}"
-)
-
-
 def _letter(c: str) -> str:
     if c in _DROPPED:
         return ""
@@ -130,6 +124,42 @@ def _letter(c: str) -> str:
     return c if value is None else str(value)
 
 
+def _ranges(chars: list[str]) -> str:
+    """An RE2 class of the sorted characters."""
+    out: list[list[int]] = []
+    for x in map(ord, chars):
+        if out and out[-1][1] == x - 1:
+            out[-1][1] = x
+        else:
+            out.append([x, x])
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out)
+
+
+_ALL = [chr(x) for x in range(0x80, sys.maxunicode + 1) if not 0xD800 <= x < 0xE000]
+#: What the first transducer rewrites, and other characters that the rules take for a space or for an ASCII letter.
+_ODD = [c for c in _ALL if _letter(c) != c or c.isspace() or re.match("[a-z]", c, re.IGNORECASE)]
+_REWRITTEN = str.maketrans({c: x for c in _ODD if (x := _letter(c)) != c})
+_SPACE = r"[\s\x{b}\x{1c}-\x{1f}]"
+#: Texts without this (RE2) have nothing to rewrite: odd characters, or what one of the rules needs at least.
+TRIGGER = rf"(?i)[{_ranges(_ODD)}]|[\[({{<]{_SPACE}?(?:{_AT[3:-1]}|{_DOT[3:-1]}){_SPACE}?[\])}}>]|{_SPACE}dot{_SPACE}|\bplus{_SPACE}|\b{_WORD}\b"
+
+
+def _digit(word: str) -> str:
+    """The digit that a word of _WORD spells, with letters that only equal ASCII ones without their case."""
+    return _VALUE.get(word.lower()) or next(v for w, v in _VALUE.items() if re.fullmatch(w, word, re.IGNORECASE))
+
+
+def rewritten(text: str) -> str:
+    """The normalised text alone."""
+
+    def of(m: re.Match) -> str:
+        if m["run"]:
+            return "".join(map(_digit, _ONE.findall(m["run"])))
+        return "@" if m["at"] else "." if m["dot"] else "+"
+
+    return _RULES.sub(of, text if text.isascii() else text.translate(_REWRITTEN))
+
+
 def normalise(text: str) -> tuple[str, list[int], list[int], list[bool]]:
     """The rewritten text; for each of its characters, where its source begins and ends, and whether it was rewritten."""
     # First transducer: letter by letter.
@@ -164,7 +194,7 @@ def normalise(text: str) -> tuple[str, list[int], list[int], list[bool]]:
         copy(at, m.start())
         if m["run"]:
             for w in _ONE.finditer(plain, m.start(), m.end()):
-                put(_VALUE[w[0].lower()], w.start(), w.end())
+                put(_digit(w[0]), w.start(), w.end())
         else:
             put("@" if m["at"] else "." if m["dot"] else "+", m.start(), m.end())
         at = m.end()
@@ -220,7 +250,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 digests[k], spans[k] = hashlib.sha256(own.encode()).hexdigest(), own
                 for c, x in zip(counts, KINDS):
                     c[k] = len(base[x])
-                if odd[k]:
+                if odd[k] and (other := rewritten(t)) != t and any(base_spans(other).values()):
                     more = added_spans(t, base)
                     added[k] = sum(map(len, more.values()))
                     if added[k]:
