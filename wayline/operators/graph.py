@@ -81,21 +81,20 @@ def crop(nodes: DataFrame, edges: DataFrame, radius_m: float) -> tuple[DataFrame
     return near, edges.join(a, "src").join(b, "dst").select("src", "dst", "a", "b", "cost")
 
 
-def routes(edges: DataFrame, starts: DataFrame, max_rounds: int = 64) -> DataFrame:
+def routes(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(query, node, cost, path): cheapest path from each query's start to every node it reaches.
 
-    Rounds of relaxation: only nodes that became cheaper go on. Each round is checkpointed, which cuts the plan. starts:
-    (query, node).
+    Rounds of relaxation until nothing becomes cheaper (costs are not negative): only nodes that did go on. Each round is
+    checkpointed, which cuts the plan. starts: (query, node).
     """
     roads = edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst"), F.col("cost").alias("__cost"))
     best = starts.select("query", "node", F.lit(0.0).alias("cost"), F.array("node").alias("path"))
     front = best
-    for _ in range(max_rounds):
+    while True:
         step = front.join(roads, F.col("node") == F.col("__src")).select("query", F.col("__dst").alias("node"), (F.col("cost") + F.col("__cost")).alias("cost"), F.concat("path", F.array("__dst")).alias("path"))
         step = step.groupBy("query", "node").agg(F.min(F.struct("cost", "path")).alias("s")).select("query", "node", "s.cost", "s.path")
         old = best.select("query", "node", F.col("cost").alias("old"))
         front = step.join(old, ["query", "node"], "left").where("old is null or cost < old - 1e-9").drop("old").checkpoint()
         if front.isEmpty():
-            break
+            return best
         best = front.union(best.join(front.select("query", "node"), ["query", "node"], "left_anti")).checkpoint()
-    return best
