@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import discard, stage
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
-        e = stage(small, "edges")
+        last, e = e, stage(small, "edges")
+        discard(last)
         now = _mark(e)
         if now == before:
             break

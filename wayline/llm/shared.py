@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 #: Java pattern of the six characters between words.
 GAP = r"[\x20\x09-\x0D]+"
 LOCAL_SCRATCH = "/tmp/checkpoints"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{LOCAL_SCRATCH}").rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, one of our own, but in local mode only."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{LOCAL_SCRATCH}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -26,18 +31,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table that stage() wrote, once nothing reads it any more."""
-    sc = df.sparkSession.sparkContext
-    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = sc._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    """Write df to the shared folder and read it back: cuts the lineage, and survives lost executors.
+
+    The shuffle files of the step are deleted when it ends, for nothing reads them again.
+    """
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that stage() wrote, once nothing reads them any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
