@@ -57,6 +57,29 @@ def test_against_all_pairs(spark, seed):
     assert got == brute(rows)
 
 
+def test_large_buckets_in_blocks(spark, monkeypatch):
+    """A passage that hundreds of texts share, near copies by the hundred and long texts, with buckets cut into blocks of 20 and few keys held at once."""
+    monkeypatch.setattr(jj, "SHARD_ROWS", 2_000)
+    monkeypatch.setattr(jj, "HOT", 5)
+    r = random.Random(9)
+    word = lambda: f"v{r.randrange(10**7)}"
+    base, passage, long = [word() for _ in range(300)], [word() for _ in range(60)], [word() for _ in range(30_000)]
+    rows = []
+    for _ in range(250):
+        v = list(base)
+        v[r.randrange(300)] = v[r.randrange(300)] = word()
+        rows.append(" ".join(v))
+    rows += [" ".join(passage + [word() for _ in range(r.randint(4, 50))]) for _ in range(200)]
+    for k in range(4):
+        v = list(long)
+        for _ in range(500 * k):
+            v[r.randrange(len(v))] = word()
+        rows.append(" ".join(v))
+    rows = list(enumerate(rows))
+    got = sorted(tuple(x) for x in jj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=20).collect())
+    assert got == brute(rows)
+
+
 def test_keys_lose_no_pair():
     r = np.random.default_rng(4)
     for _ in range(3000):
@@ -81,6 +104,17 @@ def test_tree_gives_all_pairs_within_the_bound():
     assert got == want and want
 
 
+@pytest.mark.parametrize("m, n", [(300, 7), (1, 40), (40, 1), (90, 300), (1, 1)])
+def test_two_trees_give_all_pairs_within_the_bound(m, n):
+    r = np.random.default_rng(m)
+    points = r.integers(0, 3, (m + n, jj.DIMS)).astype(np.uint16)
+    points[m:] = points[r.integers(0, m, n)]
+    sizes = points.sum(axis=1).astype(np.int64)
+    got = sorted(p for i, j in jj.Tree(points[:m], sizes[:m]).join(85, jj.Tree(points[m:], sizes[m:]), block=3) for p in zip(i.tolist(), j.tolist()))
+    want = [(i, j) for i in range(m) for j in range(n) if np.minimum(points[i], points[m + j]).sum() >= jj.least_overlap(sizes[i], sizes[m + j])]
+    assert got == want and want
+
+
 def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (1, "z y"), (0, "Z Y"), (None, "z y")], "doc_id long, text string")
     assert sorted(map(tuple, jj.near_duplicates(df).collect()), key=repr) == [(0, 1, 0), (1, 1, 0), (1, 2, 1), (1, 2, 1), (None, 1, None)]

@@ -11,6 +11,8 @@ into more than D groups, some groups are the same in both. A bucket is the texts
 content in one group. (Where only empty groups are the same, there are at least `slack + 1` of them; texts with as
 many also meet in a bucket for each three of their empty groups.)
 
+A bucket of more than `BLOCK` texts is cut into blocks, and a task holds one of them, or two.
+
 Buckets give links in rounds. First the members are tried against the member nearest to the bucket's mean, which
 joins a group of near copies by as many links as it has members; buckets that still hold several components try once more
 with a member of the smaller ones. Then trees are joined with themselves, but only pairs of different components count, and
@@ -42,7 +44,11 @@ LEAF = 16
 MAX_POINT = 65_535
 #: Groups of the finer point that pairs between components must also pass.
 FINE = 256
-SHARD_ROWS = 1_000_000
+#: Keys that a task holds at once, and members of a bucket that one holds; larger buckets are cut into blocks.
+SHARD_ROWS = 500_000
+BLOCK = 8_192
+#: A key with so many classes among SHARD_ROWS keys is dealt by class, not by key.
+HOT = 256
 U64 = np.uint64
 
 
@@ -170,10 +176,12 @@ def _distinct(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def shared_buckets(texts: DataFrame) -> DataFrame:
-    """(key, class) of the buckets that two classes or more share.
+    """(key, class) of the buckets that two classes or more share; a row may come twice.
 
     Keys travel as packed arrays, deduplicated before the shuffle: one row per task and shard, the shards being ranges of
-    keys, with the classes as places in a list of those that the row holds.
+    keys, with the classes as places in a list of those that the row holds. A key that is frequent among those of one task
+    is known to be shared: its rows go to further shards by class, and two of them to the key's own shard, where the rows of
+    tasks in which it is rare then find company.
     """
     total = texts.agg(F.sum(F.octet_length("keys") / 6)).first()[0] or 0
     shards = int(max(8, -(-total // SHARD_ROWS)))
@@ -185,13 +193,23 @@ def shared_buckets(texts: DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             keys, classes = _distinct(*(np.concatenate(x) for x in zip(*held)))
-            cuts = np.searchsorted(keys, np.arange(shards + 1) * wide)
-            rows = []
+            starts = np.flatnonzero(np.insert(keys[1:] != keys[:-1], 0, True))
+            n = np.diff(np.append(starts, len(keys)))
+            hot, nth = np.repeat(n > HOT, n), np.arange(len(keys)) - np.repeat(starts, n)
+            rest = ~hot | (nth < 2)
+            rows = list(dealt(keys[rest], classes[rest], np.searchsorted(keys[rest], np.arange(shards + 1) * wide), 0))
+            if hot.any():
+                keys, classes = keys[hot], classes[hot]
+                to = (mix64(classes.view(U64)) % U64(shards)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                rows += dealt(keys[order], classes[order], np.searchsorted(to[order], np.arange(shards + 1)), shards)
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2, 3))], names=["shard", "keys", "places", "classes"])
+
+        def dealt(keys: np.ndarray, classes: np.ndarray, cuts: np.ndarray, first: int) -> Iterator[tuple]:
             for k, (a, e) in enumerate(zip(cuts[:-1], cuts[1:])):
                 if e > a:
                     named, place = np.unique(classes[a:e], return_inverse=True)
-                    rows.append((k, small(np.diff(keys[a:e], prepend=k * wide)), small(place.astype(np.int64)), named.tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2, 3))], names=["shard", "keys", "places", "classes"])
+                    yield first + k, small(np.diff(keys[a:e], prepend=0)), small(place.astype(np.int64)), named.tobytes()
 
         def small(x: np.ndarray) -> bytes:
             return z.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes())
@@ -208,25 +226,28 @@ def shared_buckets(texts: DataFrame) -> DataFrame:
             yield out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, parts = zstandard.ZstdDecompressor(), []
+        z, parts, sure = zstandard.ZstdDecompressor(), [], []
 
         def wide_again(x: bytes) -> np.ndarray:
             return np.frombuffer(z.decompress(x), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
 
         for b in batches:
             for k, keys, places, classes in zip(*(c.to_pylist() for c in b.columns)):
-                parts.append((np.cumsum(wide_again(keys)) + k * wide, np.frombuffer(classes, np.int64)[wide_again(places)]))
-        if not parts:
-            return
-        keys, classes = _distinct(*(np.concatenate(x) for x in zip(*parts)))
-        same = keys[1:] == keys[:-1]
-        shared = np.append(same, False) | np.insert(same, 0, False)
-        keys, classes = keys[shared], classes[shared]
+                (parts if k < shards else sure).append((np.cumsum(wide_again(keys)), np.frombuffer(classes, np.int64)[wide_again(places)]))
+        if sure:
+            yield from rows(*_distinct(*(np.concatenate(x) for x in zip(*sure))))
+        if parts:
+            keys, classes = _distinct(*(np.concatenate(x) for x in zip(*parts)))
+            same = keys[1:] == keys[:-1]
+            shared = np.append(same, False) | np.insert(same, 0, False)
+            yield from rows(keys[shared], classes[shared])
+
+    def rows(keys: np.ndarray, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(keys), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)]), pa.array(classes[k : k + (1 << 16)])], names=["key", "class"])
 
     packed = texts.where("class is not null").select("class", "keys").mapInArrow(pack, "shard int, keys binary, places binary, classes binary")
-    return packed.repartition(shards, "shard").mapInArrow(meet, "key long, class long")
+    return packed.repartition(2 * shards, "shard").mapInArrow(meet, "key long, class long")
 
 
 # ---------------------------------------------------------------- R-trees
@@ -245,36 +266,59 @@ class Tree:
             self.levels.append((top, least))
             self.wide.append(wide)
 
-    def join(self, percent: int = PERCENT, limit: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of points whose bound allows a link, each once, in blocks."""
-        stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    def join(self, percent: int = PERCENT, other: Tree | None = None, block: int = 1 << 10) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of points whose bound allows a link, each once, in blocks: of this tree, or of this one with another.
+
+        Pairs of nodes wait unexpanded and are expanded `block` at a time, the deepest first, so that no more than
+        block * LEAF**2 of them wait per level.
+        """
+        that = other or self
+        high = max(len(self.levels), len(that.levels))
+        of = lambda tree, level: (*tree.levels[min(level, len(tree.levels) - 1)], tree.wide[min(level, len(tree.levels) - 1)])
+        stack = [(high - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
             level, i, j = stack.pop()
-            top, least = self.levels[level]
-            bound = np.concatenate([np.minimum(top[i[k : k + limit]], top[j[k : k + limit]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), limit)])
-            ok = (bound >= least_overlap(least[i], least[j], percent)) | (self.wide[level][i] & self.wide[level][j])
+            if len(i) > block:
+                stack.append((level, i[block:], j[block:]))
+                i, j = i[:block], j[:block]
+            if level < high - 1:  # the pairs are of nodes one level up
+                (a, ia), (b, jb) = below(self, level, i), below(that, level, j)
+                i, j = np.repeat(a, jb.shape[1], axis=1).ravel(), np.tile(b, (1, ia.shape[1])).ravel()
+                fit = np.repeat(ia, jb.shape[1], axis=1).ravel() & np.tile(jb, (1, ia.shape[1])).ravel()
+                if other is None:
+                    fit &= (i < j) if level == 0 else (i <= j)
+                i, j = i[fit], j[fit]
+            elif other is None and level == 0:
+                return  # a single point
+            (top, least, wide), (top2, least2, wide2) = of(self, level), of(that, level)
+            bound = np.minimum(top[i], top2[j]).sum(axis=1, dtype=np.int64)
+            ok = (bound >= least_overlap(least[i], least2[j], percent)) | (wide[i] & wide2[j])
             i, j = i[ok], j[ok]
             if not len(i):
                 continue
-            if not level:
-                yield self.order[i], self.order[j]
-                continue
-            below = len(self.levels[level - 1][0])
-            for k in range(0, len(i), 1 << 10):
-                a = (i[k : k + (1 << 10), None, None] * LEAF + np.arange(LEAF)[None, :, None] + np.zeros((1, 1, LEAF), np.int64)).ravel()
-                b = (j[k : k + (1 << 10), None, None] * LEAF + np.arange(LEAF)[None, None, :] + np.zeros((1, LEAF, 1), np.int64)).ravel()
-                fit = (a < below) & (b < below) & ((a < b) if level == 1 else (a <= b))
-                stack.append((level - 1, a[fit], b[fit]))
+            if level:
+                stack.append((level - 1, i, j))
+            else:
+                yield self.order[i], that.order[j]
+
+
+def below(tree: Tree, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of a level under those of the level above, a row each, and which of them exist; a tree may be lower than the level."""
+    if level >= len(tree.levels) - 1:
+        return nodes[:, None], np.ones((len(nodes), 1), bool)
+    at = nodes[:, None] * LEAF + np.arange(LEAF)
+    there = at < len(tree.levels[level][0])
+    return np.where(there, at, 0), there
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """Columns of whole groups of equal keys (first column), with the groups' edges, of batches sorted by key."""
+    """Columns of whole groups of equal keys and blocks (the first two columns), with the groups' edges, of batches sorted by both."""
     rest: list[np.ndarray] = []
     for b in batches:
         kinds = {"point": (np.uint16, DIMS), "fine": (np.uint8, FINE)}
         cols = [np.frombuffer(b"".join(c.to_pylist()), kinds[name][0]).reshape(-1, kinds[name][1]) if name in kinds else c.to_numpy(zero_copy_only=False) for name, c in zip(b.schema.names, b.columns)]
         cols = [np.concatenate(x) for x in zip(rest, cols)] if rest else cols
-        edges = np.insert(np.flatnonzero(np.diff(cols[0])) + 1, 0, 0)
+        edges = np.insert(np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1, 0, 0)
         rest = [c[edges[-1] :] for c in cols]
         if len(edges) > 1:
             yield [c[: edges[-1]] for c in cols], edges
@@ -290,17 +334,18 @@ def _bounded(p: np.ndarray, q: np.ndarray, m: np.ndarray, n: np.ndarray, percent
 def _star(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each bucket: its members with the one nearest to their mean."""
     out: set[tuple[int, int]] = set()
-    for (_, classes, sizes, points), edges in _whole_groups(batches):
+    for (_, _, classes, sizes, points), edges in _whole_groups(batches):
         n = np.diff(edges)
         two = edges[:-1][n == 2]
+        two = two[classes[two] != classes[two + 1]]
         two = two[_bounded(points[two], points[two + 1], sizes[two], sizes[two + 1], percent)]
         out.update(zip(np.minimum(classes[two], classes[two + 1]).tolist(), np.maximum(classes[two], classes[two + 1]).tolist()))
         for a, z in zip(edges[:-1][n > 2].tolist(), edges[1:][n > 2].tolist()):
             c, s, p = classes[a:z], sizes[a:z], points[a:z]
             near = int(np.argmax(np.minimum(p, p.mean(axis=0)).sum(axis=1) / np.maximum(s, s.mean())))
             ok = _bounded(p, p[near], s, s[near], percent)
-            ok[near] = False
             hub = int(c[near])
+            ok &= c != hub
             out.update((min(x, hub), max(x, hub)) for x in c[ok].tolist())
         if len(out) > 100_000:
             yield _pairs(out)
@@ -312,11 +357,13 @@ def _star_again(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> It
     """Candidate pairs of each bucket with several components: all members with one of the smaller components' that is
     nearest to the mean, where the components differ."""
     out: set[tuple[int, int]] = set()
-    for (_, classes, sizes, points, roots), edges in _whole_groups(batches):
+    for (_, _, classes, sizes, points, roots), edges in _whole_groups(batches):
         for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
             c, s, p, r = classes[a:z], sizes[a:z], points[a:z], roots[a:z]
             score = np.minimum(p, p.mean(axis=0)).sum(axis=1) / np.maximum(s, s.mean())
             names, inverse, n = np.unique(r, return_inverse=True, return_counts=True)
+            if len(names) == 1:  # a block of a larger bucket
+                continue
             score[inverse == int(np.argmax(n))] = -1.0
             near = int(np.argmax(score))
             ok = _bounded(p, p[near], s, s[near], percent) & (r != r[near])
@@ -329,13 +376,19 @@ def _star_again(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> It
 
 
 def _across(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each bucket between different components, by joining its tree with itself."""
+    """Candidate pairs of each bucket between different components, by joining its tree with itself; of two blocks of a
+    larger bucket (sides 1 and 2), by joining the tree of one with that of the other."""
     out: set[tuple[int, int]] = set()
     for cols, edges in _whole_groups(batches):
         for k, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            _, classes, sizes, points, roots, fine = (c[k:z] for c in cols)
+            _, _, classes, sizes, points, roots, side, fine = (c[k:z] for c in cols)
             full = (fine == 255).any(axis=1)
-            for i, j in Tree(points, sizes).join(percent):
+            parts = [np.flatnonzero(side == x) for x in ((0,) if not side[0] else (1, 2))]
+            if not all(map(len, parts)):
+                continue
+            trees = [Tree(points[x], sizes[x]) for x in parts]
+            for i, j in trees[0].join(percent, *trees[1:]):
+                i, j = parts[0][i], parts[-1][j]
                 other = roots[i] != roots[j]
                 i, j = i[other], j[other]
                 if not len(i):
@@ -374,6 +427,7 @@ def verified(pairs: DataFrame, docs: DataFrame, member: DataFrame, percent: int
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.array([found[k].tobytes() for k in own], pa.binary())], names=["class", "set"])
 
     found = stage(texts.mapInArrow(sets, "class long, set binary").dropDuplicates(["class"]), "sets")
+    discard(wanted)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -386,7 +440,9 @@ def verified(pairs: DataFrame, docs: DataFrame, member: DataFrame, percent: int
 
     left = found.withColumnsRenamed({"class": "a", "set": "x"})
     right = found.withColumnsRenamed({"class": "b", "set": "y"})
-    return stage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    links = stage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    discard(pairs, found)
+    return links
 
 
 def linked(pairs: DataFrame, links: DataFrame | None, docs: DataFrame, member: DataFrame, percent: int, size: int) -> DataFrame:
@@ -398,16 +454,18 @@ def linked(pairs: DataFrame, links: DataFrame | None, docs: DataFrame, member: D
     counted = stage(pairs.groupBy("a", "b").agg(F.count("*").alias("n")), "counted")
     pair = F.struct("n", "a", "b")
     ends = counted.select(F.col("a").alias("u"), pair.alias("p")).union(counted.select("b", pair))
-    best = ends.groupBy("u").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
+    best = stage(ends.groupBy("u").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct(), "best")
     own = verified(best, docs, member, percent, size)
     links = own if links is None else links.union(own)
     roots = stage(components(links), "roots")
     of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
     rest = counted.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    return links.union(verified(rest.join(best, ["a", "b"], "left_anti"), docs, member, percent, size))
+    links = links.union(verified(rest.join(best, ["a", "b"], "left_anti"), docs, member, percent, size))
+    discard(counted, best, roots)
+    return links
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: component_id is the smallest doc_id reachable by links.
 
     Null or empty texts have no shingles and their own id as component. Rows with a null doc_id get a null component and
@@ -420,21 +478,42 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     member = stage(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point"), F.min("fine").alias("fine")), "classes")
     buckets = stage(shared_buckets(named), "buckets")
     discard(described)
+    big = stage(buckets.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).alias("__blocks")), "big")
     points = member.select("class", "n", "point")
-    stars = buckets.join(points, "class").select("key", "class", "n", "point").repartition("key").sortWithinPartitions("key")
+
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        """Larger buckets cut into blocks of about `block` members each, others than in other buckets of the same members."""
+        d = rows.join(big, "key", "left")
+        return d.withColumn("block", F.coalesce(F.pmod(F.xxhash64("class", "key"), F.col("__blocks")), F.lit(0).cast("long")))
+
+    def sorted_by(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.select("key", "block", *columns).repartition("key", "block").sortWithinPartitions("key", "block")
+
+    stars = sorted_by(in_blocks(buckets).join(points, "class"), "class", "n", "point")
     links = linked(stars.mapInArrow(partial(_star, percent=percent), "a long, b long"), None, docs, member, percent, size)
 
     def between_components() -> DataFrame:
         """Rows of the buckets that still hold several components, with their roots."""
         roots = stage(components(links), "roots")
         rooted = stage(buckets.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root")), "rooted")
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        return stage(rooted.join(mixed, "key", "left_semi"), "several")
+        mixed = stage(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "mixed")
+        several = stage(rooted.join(mixed, "key", "left_semi"), "several")
+        discard(roots, rooted, mixed)
+        return several
 
-    again = between_components().join(points, "class").select("key", "class", "n", "point", "root").repartition("key").sortWithinPartitions("key")
+    several = between_components()
+    again = sorted_by(in_blocks(several).join(points, "class"), "class", "n", "point", "root")
     links = linked(again.mapInArrow(partial(_star_again, percent=percent), "a long, b long"), links, docs, member, percent, size)
-    across = between_components().join(member.select("class", "n", "point", "fine"), "class").select("key", "class", "n", "point", "root", "fine").repartition("key").sortWithinPartitions("key")
-    more = verified(across.mapInArrow(partial(_across, percent=percent), "a long, b long"), docs, member, percent, size)
+    discard(several)
+    several = between_components()
+    discard(buckets)
+    # Each block of a larger bucket meets itself (side 0) and each other one (sides 1 and 2).
+    pairs = in_blocks(several).withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__blocks", F.lit(1)) - 1)))
+    pairs = pairs.withColumn("side", F.when(F.col("block") == F.col("__other"), 0).when(F.col("block") < F.col("__other"), 1).otherwise(2))
+    pairs = pairs.withColumn("block", F.least("block", "__other") * F.coalesce("__blocks", F.lit(1)) + F.greatest("block", "__other"))
+    pairs = sorted_by(pairs.join(member.select("class", "n", "point", "fine"), "class"), "class", "n", "point", "root", "side", "fine")
+    more = verified(pairs.mapInArrow(partial(_across, percent=percent), "a long, b long"), docs, member, percent, size)
+    discard(several)
     ends = stage(components(links.union(more)), "roots")
     labelled = member.join(ends, member["class"] == ends["node"]).select("class", "doc_id", "root")
     first = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
