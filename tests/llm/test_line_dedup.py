@@ -11,29 +11,38 @@ def brute(rows):
     for d, t in docs:
         lines = t.split("\n")
         ch = line_dedup.chunks_of(t)
-        for k, (a, z, fit) in enumerate(ch):
-            if fit:
-                groups["\n".join(lines[a:z])].append((d, t, k))
+        for k, (a, z, _) in enumerate(ch):
+            groups["\n".join(lines[a:z])].append((d, t, k))
     gone = defaultdict(set)
     for places in groups.values():
-        d0, t0, k0 = places[0]
         for d, t, k in places[1:]:
-            x, y, a, b = t.split("\n"), t0.split("\n"), line_dedup.chunks_of(t), line_dedup.chunks_of(t0)
-            first, end, f0, e0 = *a[k][:2], *b[k0][:2]
-            for _ in range(line_dedup.RIM):
-                if first and f0 and x[first - 1] == y[f0 - 1]:
-                    first, f0 = first - 1, f0 - 1
-                else:
-                    break
-            for _ in range(line_dedup.RIM):
-                if end < len(x) and e0 < len(y) and x[end] == y[e0]:
-                    end, e0 = end + 1, e0 + 1
-                else:
-                    break
+            first, end = line_dedup.chunks_of(t)[k][:2]
             gone[d, t] |= set(range(first, end))
     return [(d, t and "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d, t])) for d, t in rows]
 
 
+def ranges(text):
+    """Chunks by the definition alone: each two neighbour lines with words (but not two long ones), and each long line."""
+    lines = text.split("\n")
+    full = [k for k, x in enumerate(lines) if x.split()]
+    long = {k for k in full if len(lines[k].split()) >= 25}
+    return sorted([(a, b + 1) for a, b in zip(full, full[1:]) if not {a, b} <= long] + [(k, k + 1) for k in long])
+
+
+def test_chunks():
+    r = random.Random(2)
+    for _ in range(200):
+        t = "\n".join(" ".join(["w"] * r.choice([0, 0, 1, 3, 24, 25, 26])) for _ in range(r.randint(0, 9)))
+        assert sorted(c[:2] for c in line_dedup.chunks_of(t)) == ranges(t)
+
+
+def test_very_long_text(spark):
+    line = " ".join(f"w{k}" for k in range(30))
+    long = "\n".join(f"line {k} has some words" for k in range(60_000))
+    out = {x.doc_id: x for x in line_dedup.dedup_lines(spark.createDataFrame([(1, long + "\n" + line), (2, line), (3, long)], "doc_id long, text string")).collect()}
+    assert out[1].n_removed == 0 and out[2].text == "" and out[3].n_removed == 60_000
+
+
 def test_against_definition(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))

@@ -9,7 +9,8 @@ Of chunks with equal bytes, the first by (doc_id, text hash, place) stays and th
 stands in a kept copy earlier in that order, and the earliest copy of any line is never removed.
 
 Only chunks whose 64-bit hash occurs twice are compared, and only their bytes are shuffled for it. Groups of equal
-chunks are reduced to their first by a partial aggregate, so a chunk in a third of all documents meets in no task.
+chunks are reduced to their first by a partial aggregate. The repeated hashes and the first chunks are written before all
+chunks are joined with them: the join is then one of two plain tables, whose hot keys the adaptive skew join splits.
 """
 
 from __future__ import annotations
@@ -23,11 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom_words, possible
-from .shared import small_batches, stage
+from .shared import discard, small_batches, stage
 
 LONG_LINE = 25
-#: Equal neighbour lines of a chunk may be taken for removed this far and farther: each is in an equal chunk itself.
-RIM = 8
 _MIX, _MASK = 0x9E3779B97F4A7C15, 2**64 - 1
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -94,17 +93,20 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, thash, cuts): ranges [first, end) of the lines to remove, for texts that lose any."""
     d = docs.select("doc_id", F.xxhash64("text").alias("thash"), "text").where(F.col("text").isNotNull())
     rows = stage(_chunk_rows(d), "chunks")
-    twice = rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    twice = stage(rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "twice")
     named = rows.join(twice, "hash", "left_semi").dropDuplicates(["doc_id", "thash", "idx"])
     lists = stage(named.groupBy("doc_id", "thash").agg(F.collect_list(F.struct("idx", "hash")).alias("wanted")), "wanted")
+    discard(rows, twice)
     # Only texts that may hold such a chunk are shuffled.
     once = possible(d.withColumn("__k", _key("thash")), "__k", bloom_words(lists.select(_key("thash").alias("__k")), "__k"))
     once = once.join(lists.withColumnsRenamed({"doc_id": "__d", "thash": "__t"}), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("thash") == F.col("__t"))).select("doc_id", "thash", "text", "wanted")
     cand = stage(_candidates(once).dropDuplicates(["doc_id", "thash", "idx"]), "candidates")
     place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "thash", "idx")
-    kept = cand.groupBy("hash", "chunk").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    kept = stage(cand.groupBy("hash", "chunk").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n"), "kept")
     gone = cand.join(kept, ["hash", "chunk"]).where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("thash") == F.col("kept.thash")) & (F.col("idx") == F.col("kept.idx"))))
-    return stage(gone.groupBy("doc_id", "thash").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("cuts")), "cuts")
+    cuts = stage(gone.groupBy("doc_id", "thash").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("cuts")), "cuts")
+    discard(lists, cand, kept)
+    return cuts
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
