@@ -4,8 +4,9 @@ Within a source, documents stand in a fixed order on a line, each as long as its
 offset is added, and a document is emitted once per whole number that its stretch crosses. Documents of like size
 stand together, so that the words taken come near the target, whichever offset is drawn.
 
-The prefix sums are exact integers (units of 1e-12 copies) in two levels: buckets of about `bucket_rows` documents
-of one size class, then documents within a bucket. A hot source is many buckets, so no task gets all of a source.
+The prefix sums are exact integers (units of 1e-12 copies) in two levels: the documents of one size class in `BUCKETS` buckets by
+a hash of their id, then documents within a bucket. The order is always the same, however many documents there are. A hot
+source is many buckets, so no task gets all of a source.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from .shared import stage, words_of
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 UNIT = 10**12
+BUCKETS = 1024
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
@@ -48,28 +50,35 @@ def _draw(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
 
 
-def systematic_copies(docs: DataFrame, expected: str = "expected", group: str = "source", size: str = "size", doc_id: str = "doc_id", seed: int = 7, bucket_rows: int = 50_000) -> DataFrame:
+def size_class(size: Column) -> Column:
+    """Eight classes for each doubling of size + 1: the place of its highest bit and the next three."""
+    n = size.cast("long") + 1
+    high = F.length(F.bin(n)) - 1
+    return (high * 8 + F.call_function("shiftright", n * 8, high).bitwiseAND(F.lit(7))).cast("int")
+
+
+def systematic_copies(docs: DataFrame, expected: str = "expected", group: str = "source", size: str = "size", doc_id: str = "doc_id", tie: str | None = None, seed: int = 7, buckets: int = BUCKETS) -> DataFrame:
     """Add copies (long): how often each row is emitted. `expected` (double, not negative) is rounded to 1e-12.
 
-    Rows with one doc_id and size are emitted as one run of equal neighbours; which of them comes first is open
-    only between rows that are equal here. Null groups are a group. Empty input gives no rows.
+    The order is (size class, bucket, size, doc_id, tie); the bucket is drawn from doc_id, from `tie` (a string) where that is
+    null. Which of several rows comes first is open only between rows that are equal in all of these. Null groups are a
+    group. Empty input gives no rows. Sums are decimals: no number of rows overflows them.
     """
     d = docs.withColumn("__e", F.coalesce(F.round(F.col(expected) * UNIT).cast("long"), F.lit(0)))
-    d = d.withColumn("__class", F.floor(F.log2(F.col(size) + 1) * 8).cast("int"))
-    counts = d.groupBy(group, "__class").agg(F.count("*").alias("__n"))
-    d = d.join(counts.withColumnRenamed(group, "__g"), F.col(group).eqNullSafe(F.col("__g")) & (d["__class"] == counts["__class"]), "left").drop("__g").drop(counts["__class"])
-    d = d.withColumn("__bucket", F.pmod(_draw(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))), F.ceil(F.col("__n") / bucket_rows)))
-    per = d.groupBy(group, "__class", "__bucket").agg(F.sum("__e").alias("__sum"))
+    d = d.withColumn("__class", size_class(F.col(size)))
+    key = F.coalesce(F.col(doc_id).cast("string"), F.col(tie) if tie else F.lit(""), F.lit(""))
+    d = d.withColumn("__bucket", F.pmod(_draw(F.concat(F.lit(f"{seed}:"), key)), F.lit(buckets)))
+    exact = F.col("__e").cast("decimal(20,0)")
+    per = d.groupBy(group, "__class", "__bucket").agg(F.sum(exact).alias("__sum"))
     run = Window.partitionBy(group).orderBy("__class", "__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.floor(_draw(F.concat(F.lit(f"{seed}/"), F.coalesce(F.concat(F.lit("="), F.col(group)), F.lit("null")))) * (UNIT / 2**32)).cast("long")
-    per = per.select(F.col(group).alias("__g"), F.col("__class").alias("__c"), F.col("__bucket").alias("__b"), (F.coalesce(F.sum(F.col("__sum").cast("decimal(38,0)")).over(run), F.lit(0)) + offset).alias("__from"))
+    per = per.select(F.col(group).alias("__g"), F.col("__class").alias("__c"), F.col("__bucket").alias("__b"), ((F.coalesce(F.sum("__sum").over(run), F.lit(0)) + offset) % UNIT).cast("long").alias("__from"))
     d = d.join(per, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__class") == F.col("__c")) & (F.col("__bucket") == F.col("__b")), "left")
-    within = Window.partitionBy(group, "__class", "__bucket").orderBy(size, doc_id).rowsBetween(Window.unboundedPreceding, 0)
-    # Whole copies before the bucket don't matter; what is left of it stays below 2^63 with the bucket's own sum.
-    end = F.sum("__e").over(within) + (F.col("__from") % UNIT).cast("long")
-    d = d.withColumn("__end", end)
-    copies = F.expr(f"(__end div {UNIT}L) - ((__end - __e) div {UNIT}L)")
-    return d.withColumn("copies", copies).drop("__e", "__class", "__n", "__bucket", "__g", "__c", "__b", "__from", "__end")
+    within = Window.partitionBy(group, "__class", "__bucket").orderBy(size, doc_id, *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, 0)
+    # Whole copies before the bucket, and before the row within it, don't matter: what is left fits in a long.
+    d = d.withColumn("__start", ((F.sum(exact).over(within) - exact + F.col("__from")) % UNIT).cast("long"))
+    copies = F.expr(f"(__start + __e) div {UNIT}L")
+    return d.withColumn("copies", copies).drop("__e", "__class", "__bucket", "__g", "__c", "__b", "__from", "__start")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -77,11 +86,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = M
 
     Null and empty texts have size 0 and are never taken more than once per expected copy; null is a source.
     """
-    sizes = docs.select("doc_id", "source", F.size(words_of()).cast("long").alias("size"), *keep)
+    tie = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("__tie")
+    sizes = docs.select("doc_id", "source", F.size(words_of()).cast("long").alias("size"), tie, *keep)
     if not keep:
         sizes = stage(sizes, "sizes")
     targets = stage(source_targets(sizes.select("source", "size"), weights, max_copies), "targets").withColumnRenamed("source", "__s")
     d = sizes.join(targets, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s", "source_docs")
     d = d.withColumn("expected", F.coalesce(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")), F.lit(0.0)))
-    d = systematic_copies(d, seed=seed)
+    d = systematic_copies(d, tie="__tie", seed=seed).drop("__tie")
     return d.withColumn("taken", F.col("copies") * F.col("size"))

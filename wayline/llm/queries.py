@@ -109,15 +109,15 @@ pick as (select lang, level from (select *, row_number() over (partition by lang
 select b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (pick.level is not null and ({_BROKEN('pick.level')})) as kept
 from b left join pick on pick.lang is not distinct from b.lang""",
     "op7_mixing": rf"""
-with d as (select doc_id, source, cast(len({_SPLIT_WORDS}) as bigint) as size from documents),
+with d as (select doc_id, source, case when doc_id is null then md5(coalesce(text, '')) end as tie, cast(len({_SPLIT_WORDS}) as bigint) as size from documents),
 p as (select source, sum(size) as source_size, 3 * sum(size) as cap, row_number() over (order by source is null, source) - 1 as k from d group by source),
 w as (select *, case k % 3 when 0 then 5 when 1 then 2 else 1 end as weight from p),
 c as (select *, sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight::double, k rows between unbounded preceding and 1 preceding), 0) as rest, sum(weight) over () - coalesce(sum(weight) over (order by cap / weight::double, k rows between unbounded preceding and 1 preceding), 0) as open from w),
 v as (select *, rest / open::double as lev from c),
 f as (select *, first_value(case when weight * lev <= cap then lev end ignore nulls) over (order by cap / weight::double, k rows between unbounded preceding and current row) as level from v),
 t as (select source, source_size, coalesce(weight * level, cap::double) as target, cast(floor(cast(('0x' || substr(md5('7/' || coalesce('=' || source, 'null')), 1, 8)) as bigint) * {mixing.UNIT / 2**32!r}::double) as bigint) as off from f),
-e as (select d.*, t.source_size, t.target, off, cast(coalesce(round(target / nullif(t.source_size, 0) * {mixing.UNIT}), 0) as bigint) as x from d join t on t.source is not distinct from d.source),
-s as (select *, off + sum(x) over (partition by source order by size, doc_id rows between unbounded preceding and current row) as fin from e)
+e as (select d.*, cast(('0x' || substr(md5('7:' || coalesce(cast(doc_id as varchar), tie)), 1, 8)) as bigint) % {mixing.BUCKETS} as bucket, (length(bin(size + 1)) - 1) * 8 + (((size + 1) * 8 >> (length(bin(size + 1)) - 1)) & 7) as class, t.source_size, t.target, off, cast(coalesce(round(target / nullif(t.source_size, 0) * {mixing.UNIT}), 0) as bigint) as x from d join t on t.source is not distinct from d.source),
+s as (select *, off + sum(x) over (partition by source order by class, bucket, size, doc_id nulls first, tie rows between unbounded preceding and current row) as fin from e)
 select doc_id, size, cast(source_size as bigint) as source_size, target, cast((fin // {mixing.UNIT} - (fin - x) // {mixing.UNIT}) * size as bigint) as taken from s""",
     "op1_warc": """
 with p as (select page_id, encode(coalesce(html, '')) as b from pages),
