@@ -1,9 +1,11 @@
 """Benchmark decontamination: windows of documents that repeat a benchmark item, by SimHash.
 
 Each item and each window of as many words gets a 64-bit SimHash over its shingles (`SHINGLE` words, weighted by how often
-each occurs). Fingerprints are cut into RADIUS + 1 blocks; two within the radius agree in one block at least, so joining on
-(size, block number, block) finds every pair within the radius. Candidates are verified by the exact weighted
-Jaccard similarity of their shingles.
+each occurs). Fingerprints are cut into BLOCKS blocks of 16 bits. Two within the radius differ in 3 bits at most of some block
+(15 bits over 4 blocks), so an item's blocks with up to 2 bits flipped and a window's with up to 1 flipped meet: joining on
+(size, block number, block) finds every pair within the radius, and few others. Candidates are verified by the exact weighted
+Jaccard similarity of their shingles. Texts with 0.8 of their shingles in common are 10 bits apart on average, so the
+radius misses about one in forty of those just at 0.8, and hardly any closer ones; the tests measure it.
 
 The windows of an item's size are those aligned with it: at least one shingle stands in the same place in both. Where an
 aligned one would stick out of the text it is moved to the edge, and a text of fewer words than the item is a window as a whole.
@@ -16,6 +18,7 @@ as many of its shingles as the similarity needs. Only DataFrame expressions are
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +27,13 @@ from .shared import stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 19
-#: Counters of four bits of the fingerprint share a long, 16 bits each: 65,535 shingles a window at most.
-LANES, LANE_BITS, MAX_WORDS = 16, 16, 65_000
+BLOCKS, BLOCK_BITS = 4, 16
+#: Bits flipped in the blocks of an item and of a window, and the distance within which their pairs are found for sure.
+ITEM_FLIPS, WINDOW_FLIPS = 2, 1
+RADIUS = BLOCKS * (ITEM_FLIPS + WINDOW_FLIPS + 1) - 1
+#: Counters of two bits of the fingerprint share a long, 32 bits each: enough for any text.
+PER_LANE, LANE_BITS = 2, 32
+LANES = 64 // PER_LANE
 
 
 def _hashes(text: str = "text") -> Column:
@@ -44,17 +51,17 @@ def _shingles(words: Column, size: Column, k: int) -> Column:
 
 
 def fingerprint_lanes(h: Column) -> list[Column]:
-    """The 64 bits of a hash spread over 16 longs, ready to be summed."""
-    return [reduce(lambda a, b: a + b, [F.shiftleft(F.shiftrightunsigned(h, lane * 4 + j).bitwiseAND(F.lit(1)), j * LANE_BITS) for j in range(4)]) for lane in range(LANES)]
+    """The 64 bits of a hash spread over longs, ready to be summed."""
+    return [reduce(lambda a, b: a + b, [F.shiftleft(F.shiftrightunsigned(h, lane * PER_LANE + j).bitwiseAND(F.lit(1)), j * LANE_BITS) for j in range(PER_LANE)]) for lane in range(LANES)]
 
 
 def fingerprint(sums: list[Column], total: Column) -> Column:
     """Bit b is set if most of the weight has it set."""
     bits = []
     for lane, s in enumerate(sums):
-        for j in range(4):
-            n = F.shiftrightunsigned(s, j * LANE_BITS).bitwiseAND(F.lit(0xFFFF))
-            bits.append(F.shiftleft((n * 2 > total).cast("long"), lane * 4 + j))
+        for j in range(PER_LANE):
+            n = F.shiftrightunsigned(s, j * LANE_BITS).bitwiseAND(F.lit(2**LANE_BITS - 1))
+            bits.append(F.shiftleft((n * 2 > total).cast("long"), lane * PER_LANE + j))
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
@@ -64,21 +71,26 @@ def with_fingerprints(shingles: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, "total", fingerprint([F.col(f"__{k}") for k in range(LANES)], F.col("total")).alias("fp"))
 
 
-def blocks(fp: Column, radius: int) -> Column:
-    """RADIUS + 1 blocks that tile the 64 bits, as (number, bits)."""
-    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
-    return F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for k, (a, b) in enumerate(zip(edges, edges[1:]))])
+def blocks(fp: Column, flips: int) -> Column:
+    """The blocks that tile the 64 bits, each with up to `flips` of its bits changed, as (block, bits)."""
+    masks = F.from_json(F.lit(str([sum(1 << b for b in c) for n in range(flips + 1) for c in combinations(range(BLOCK_BITS), n)])), "array<int>")
+
+    def flipped(k: int) -> Column:
+        own = F.shiftrightunsigned(fp, k * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
+        return F.transform(masks, lambda mask: F.struct(F.lit(k).alias("block"), own.bitwiseXOR(mask).alias("bits")))
+
+    return F.concat(*map(flipped, range(BLOCKS)))
 
 
 def item_shingles(benchmark: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(item_id, m, k, place, h) of each item with words: m words, shingles of k words or the whole item if it is shorter."""
-    d = benchmark.where("item_id is not null").select("item_id", _hashes().alias("w")).withColumn("m", F.size("w")).where(f"m between 1 and {MAX_WORDS}").dropDuplicates(["item_id", "w"])
+    d = benchmark.where("item_id is not null").select("item_id", _hashes().alias("w")).withColumn("m", F.size("w")).where("m > 0").dropDuplicates(["item_id", "w"])
     short = [F.when(F.col("m") == j, _shingles(F.col("w"), F.col("m"), j)) for j in range(1, k)]
     d = d.withColumn("s", F.coalesce(*short, _shingles(F.col("w"), F.col("m"), k)))
     return d.select("item_id", "m", F.least("m", F.lit(k)).alias("k"), F.posexplode("s").alias("place", "h"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, start, words, hamming, similarity): windows that repeat an item, start counted in words from 0.
 
     Nulls and empty texts leak nothing; items without words are left out; rows with one doc_id are one document each,
@@ -101,7 +113,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similarity: f
     fits = size(F.least("n", "m")) + 1e-9 >= similarity * size(F.col("m"))  # only texts shorter than the item may not
     start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.col("n") - F.col("m")))
     windows = stage(hits.join(marks, ["k", "h"]).where(fits).select("doc_id", "thash", "m", start.alias("start")).distinct(), "windows")
-    aligned = stage(_similar(docs, windows, items, fps, sizes, k, similarity, radius), "aligned")
+    aligned = stage(_similar(docs, windows, items, fps, sizes, k, similarity), "aligned")
     # The windows at hits that hold enough of them: the last of those needed stands within the window.
     need = F.greatest(F.lit(1), F.ceil(2 * similarity / (1 + similarity) * size(F.col("m")) - 1e-9)).cast("int")
     own = items.select("item_id", "m", "k", "h").distinct()
@@ -113,13 +125,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similarity: f
     other = stage(other.join(seen, same & (F.abs(F.col("start") - F.col("__s")) < F.col("m")), "left_anti"), "other")
     both = aligned
     if not other.isEmpty():
-        more = _similar(docs, other.select("doc_id", "thash", "m", "start").distinct(), items, fps, sizes, k, similarity, radius)
+        more = _similar(docs, other.select("doc_id", "thash", "m", "start").distinct(), items, fps, sizes, k, similarity)
         wanted = other.withColumnsRenamed({"doc_id": "__d", "thash": "__t", "item_id": "__i", "m": "__m", "start": "__s"})
         both = both.unionByName(more.join(wanted, same & (F.col("start") == F.col("__s")), "left_semi"))
     return both.groupBy("doc_id", "item_id", "start", "words").agg(F.min("hamming").cast("int").alias("hamming"), F.max("similarity").alias("similarity"))
 
 
-def _similar(docs: DataFrame, windows: DataFrame, items: DataFrame, fps: DataFrame, sizes: list[int], k: int, similarity: float, radius: int) -> DataFrame:
+def _similar(docs: DataFrame, windows: DataFrame, items: DataFrame, fps: DataFrame, sizes: list[int], k: int, similarity: float) -> DataFrame:
     """(doc_id, thash, start, m, item_id, words, hamming, similarity) of the (doc_id, thash, m, start) windows that repeat an item of m words."""
     # The documents that hold such windows, with their words again.
     per = windows.groupBy("doc_id", "thash").agg(F.collect_list(F.struct("start", "m")).alias("windows"))
@@ -137,9 +149,9 @@ def _similar(docs: DataFrame, windows: DataFrame, items: DataFrame, fps: DataFra
     inside = stage(reduce(DataFrame.unionByName, parts), "inside")
     key = ["doc_id", "thash", "start", "m", "words"]
     left = with_fingerprints(inside, key)
-    left = left.select(*key, F.col("fp").alias("fp"), F.explode(blocks(F.col("fp"), radius)).alias("b")).select(*key, "fp", "b.block", "b.bits")
-    right = fps.select("item_id", "m", F.col("fp").alias("fp2"), F.explode(blocks(F.col("fp"), radius)).alias("b")).select("item_id", "m", "fp2", "b.block", "b.bits")
-    near = left.join(right, ["m", "block", "bits"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2")))).where(F.col("hamming") <= radius)
+    left = left.withColumn("b", F.explode(blocks(F.col("fp"), WINDOW_FLIPS))).select(*key, "fp", "b.block", "b.bits")
+    right = fps.withColumn("b", F.explode(blocks(F.col("fp"), ITEM_FLIPS))).select("item_id", "m", F.col("fp").alias("fp2"), "b.block", "b.bits")
+    near = left.join(right, ["m", "block", "bits"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2")))).where(F.col("hamming") <= RADIUS)
     near = stage(near.select(*key, "item_id", "hamming").distinct(), "near")
     # Exact weighted similarity: sum of the smaller over sum of the larger counts.
     mine = inside.groupBy(*key, "h").agg(F.count("*").alias("c1"))
