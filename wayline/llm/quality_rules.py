@@ -125,10 +125,11 @@ def certified_levels(stats: DataFrame, labels: DataFrame, stratum: str = "lang",
     """(stratum, level, holdout, rejected_good, bad, rejected_bad) of each stratum with a certified level.
 
     stats: rows of with_statistics(); labels: (doc_id, quality). A text labelled twice is good if all its labels
-    are; labels without quality are left out, and so are texts that the base rules reject. Null is a stratum of its own.
+    are; of several texts with one doc_id, the least by (stratum, level that rejects it) counts; labels without quality are left out, and so are texts that the base rules reject. Null is a stratum of its own.
     """
     good = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
-    held = stats.where(~base_failed()).select("doc_id", F.col(stratum).alias("stratum"), first_level(rule_values()).alias("step")).dropDuplicates(["doc_id"]).join(good, "doc_id")
+    held = stats.where(~base_failed()).select("doc_id", F.col(stratum).alias("stratum"), first_level(rule_values()).alias("step"))
+    held = held.groupBy("doc_id").agg(F.min(F.struct("stratum", "step")).alias("h")).select("doc_id", "h.*").join(good, "doc_id")
     counts = held.groupBy("stratum", "good", "step").agg(F.count("*").alias("n"))
     of = lambda kind: F.filter(F.col("by_step"), lambda s: s["good"] if kind else ~s["good"])
     count = lambda steps: F.aggregate(steps, F.lit(0).cast("long"), lambda a, s: a + s["n"])
