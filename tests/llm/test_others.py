@@ -125,6 +125,13 @@ def test_url_filter(spark):
     assert all(x.verdict == "allow" and x.rule is None for x in url_filter.filter_urls(pages, rules.limit(0)).collect())
 
 
+def test_url_filter_with_rules_of_very_many_lengths(spark):
+    rules = spark.createDataFrame([("org", "/" + "a" * k, "block" if k % 2 else "allow") for k in range(5000)], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(k, "http://" + "x." * 300 + "org/" + "a" * k + "b") for k in (0, 1, 2, 4097, 4999, 6000)], "page_id long, url string")
+    got = {x.page_id: (len(x.rule), x.verdict) for x in url_filter.filter_urls(pages, rules).collect()}
+    assert got == {k: (4 + min(k, 4999), "block" if min(k, 4999) % 2 else "allow") for k in (0, 1, 2, 4097, 4999, 6000)}
+
+
 def test_mixing(spark):
     r = random.Random(6)
     rows = [(k, " ".join("w" for _ in range(min(4000, int(r.paretovariate(1.1) * 20)))), r.choice(["a", "b", "b", "b", "c", "d", "é", None])) for k in range(3000)]
@@ -159,6 +166,17 @@ def test_mixing(spark):
 
 def test_systematic_copies(spark):
     df = spark.createDataFrame([(k, "s", 10, 0.37) for k in range(1000)], "doc_id long, source string, size int, expected double")
-    for bucket in (10_000, 30):
-        c = [x.copies for x in mixing.systematic_copies(df, bucket_rows=bucket).collect()]
+    for buckets in (1, 30, 1024):
+        c = [x.copies for x in mixing.systematic_copies(df, buckets=buckets).collect()]
         assert set(c) <= {0, 1} and abs(sum(c) - 370) <= 1
+    # Rows without an id share a bucket, whatever they add up to.
+    many = spark.createDataFrame([(None, "s", 10, 300_000.25, str(k % 3)) for k in range(400)], "doc_id long, source string, size int, expected double, t string")
+    assert abs(sum(x.copies for x in mixing.systematic_copies(many, tie="t").collect()) - 400 * 300_000.25) <= 1
+
+
+def test_size_class(spark):
+    df = spark.createDataFrame([(k,) for k in [*range(0, 5000), 2**40 - 1, 2**40 + 2**37]], "size long")
+    for r in df.select("size", mixing.size_class(df["size"]).alias("c")).collect():
+        n = r["size"] + 1
+        high = n.bit_length() - 1
+        assert r.c == high * 8 + (n * 8 >> high) % 8
