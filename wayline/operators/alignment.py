@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import pearson
-
 
 def row_align(left: DataFrame, right: DataFrame, by: str = "trip_key", i: str = "i") -> DataFrame:
     """Rows with equal position in two series of one trip; the longer one is cut."""
     return left.join(right, [by, i])
 
 
-def lag_correlations(a: DataFrame, lags: list[int], by: str = "trip_key", x: str = "a", y: str = "b", least: int = 200, floor: float = 3.0) -> DataFrame:
-    """(by, lag, n, r): correlation of x, turned round its series by each lag, with y where y > floor.
+def lag_correlations(a: DataFrame, lags: list[int], by: str = "trip_key", x: str = "a", y: str = "b", least: int = 200, floor: float = 3.0, where: str | None = None) -> DataFrame:
+    """(by, lag, n, r): correlation of x, turned round its series by each lag, with y where y > floor, or where the column
+    `where` holds; r is null for fewer than `least` pairs or without spread.
 
-    a: (by, i, x, y). Each row is sent to its place per lag, so the join is on (by, lag, place).
+    a: (by, i, x, y). One shuffle by series; a series is turned within the task that holds it, whatever the number of lags.
     """
-    n = Window.partitionBy(by)
-    d = a.withColumn("__n", F.count("*").over(n))
-    moved = d.select(by, "__n", F.col(x).alias("__x"), "i", F.explode(F.array(*map(F.lit, lags))).alias("lag"))
-    moved = moved.select(by, "lag", "__x", F.pmod(F.col("i") + F.col("lag"), F.col("__n")).cast("long").alias("__at"))
-    fixed = d.where(F.col(y) > floor).select(by, F.col("i").cast("long").alias("__at"), F.col(y).alias("__y"))
-    pairs = moved.join(fixed, [by, "__at"]).where("__x is not null and __y is not null")
-    r = pearson("__x", "__y")
-    spread = F.least(F.stddev_pop("__x"), F.stddev_pop("__y"))
-    return pairs.groupBy(by, "lag").agg(F.count("*").alias("n"), F.when((F.count("*") >= least) & (spread > 1e-9), r).alias("r"))
+    kind = a.schema[by].dataType.simpleString()
+
+    def turn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        u, v = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
+        use = pdf["use"].fillna(False).to_numpy(bool) & np.isfinite(v)
+        v, out = v[use], []
+        for lag in lags:
+            p = np.roll(u, lag)[use]
+            ok = np.isfinite(p)
+            p, q = p[ok], v[ok]
+            if not len(p):
+                continue
+            dp, dq = p - p.mean(), q - q.mean()
+            some = len(p) >= least and min(p.std(), q.std()) > 1e-9
+            out.append((pdf[by].iloc[0], lag, len(p), float((dp * dq).sum() / np.sqrt((dp * dp).sum() * (dq * dq).sum())) if some else None))
+        return pd.DataFrame(out, columns=[by, "lag", "n", "r"])
+
+    use = F.col(where) if where else F.col(y) > floor
+    return a.select(by, "i", F.col(x).alias("x"), F.col(y).alias("y"), use.alias("use")).groupBy(by).applyInPandas(turn, f"`{by}` {kind}, lag int, n long, r double")
 
 
 def best_lag(correlations: DataFrame, by: str = "trip_key") -> DataFrame:

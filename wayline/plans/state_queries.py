@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import deadreckon, outage
-from ..sources import logs
 from ..sources.signals import signals
 from ..streaming import fusion
 from .other_queries import fusion_rows, road, snapped
@@ -82,92 +80,4 @@ def t07(spark, sf_dir):
     return front.groupBy("query").agg(F.min(F.struct(f.alias("f"), "dst")).alias("b")).select("query", "b.dst", "b.f")
 
 
-# ---------------------------------------------------------------- files
-
-def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/wayline/logs-{uuid.uuid4().hex}"
-
-
-def _phone_file(spark, sf_dir) -> str:
-    """A phone log of the first trips, in one file."""
-    d = signals(spark, sf_dir).where("trip_key <= 3")
-    d = d.select(
-        _c("lat").alias(" GPS LATITUDE (deg)"), _c("lon").alias("GPS LONGITUDE (deg)"), _c("speed").alias("GPS SPEED (Kmh)"), F.concat(_c("k"), F.lit(" / 99")).alias("GPS SATELLITES IN RANGE"), (_c("t") * 1000).alias("TIME SINCE START (ms)"),
-        _c("acc_x").alias("ACCELEROMETER X (m/s²)"), _c("acc_y").alias("ACCELEROMETER Y (m/s²)"), _c("acc_z").alias("ACCELEROMETER Z (m/s²)"), _c("gyro_z").alias("GYROSCOPE Yaw (rad/s)"), _c("trip_key").alias("ORIENTATION (Yaw) (deg)"),
-    )
-    d.coalesce(1).write.option("header", True).option("encoding", "ISO-8859-1").csv(path := _folder(spark))
-    return path
-
-
-def _vehicle_file(spark, sf_dir) -> str:
-    d = signals(spark, sf_dir).where("trip_key <= 3").select((_c("t") + 36000).alias("Time since start of day (s)"), (_c("speed") * 3.6).alias("Velocity (km/h)"), _c("heading_deg").alias("Heading (deg)"), _c("k").alias("Gear requested"), _c("trip_key").alias("Gear"))
-    d.coalesce(1).write.option("header", True).csv(path := _folder(spark))
-    return path
-
-
-_PHONE_SQL = f"select trip_key, {R('lat')} as lat, {R('acc_x')} as acc_x, {R('gyro_z')} as gyro_z, cast(k as double) as gps_sats from sig where trip_key <= 3"
-
-
-def _phone(spark, sf_dir):
-    d = logs.read_phone(spark, _phone_file(spark, sf_dir))
-    return d.select(_c("ori_yaw").cast("long").alias("trip_key"), *[rounded(_c(x)).alias(x) for x in ("lat", "acc_x", "gyro_z")], "gps_sats")
-
-
-query("s05_phone_csv", _PHONE_SQL)(_phone)
-query("s07_canonical_phone", _PHONE_SQL)(lambda s, d: logs.require_valid(logs.read_phone(s, _phone_file(s, d)), ["acc_x", "gyro_z"]).select(_c("ori_yaw").cast("long").alias("trip_key"), *[rounded(_c(x)).alias(x) for x in ("lat", "acc_x", "gyro_z")], "gps_sats"))
-_VEH_SQL = f"select trip_key, {R('speed', 4)} as speed, {R('heading_deg', 4)} as heading_deg, cast(k as double) as gear_req from sig where trip_key <= 3"
-
-
-def _vehicle(spark, sf_dir):
-    return logs.read_vehicle(spark, _vehicle_file(spark, sf_dir)).select(_c("gear").cast("long").alias("trip_key"), rounded(_c("speed_ms"), 4).alias("speed"), rounded(_c("heading_deg"), 4).alias("heading_deg"), "gear_req")
-
-
-query("s06_vehicle_csv", _VEH_SQL)(_vehicle)
-query("s08_canonical_vehicle", _VEH_SQL)(_vehicle)
-query("s13_inventory", "select 'other' as kind, count(*) as \"rows\" from sig where trip_key <= 3")(lambda s, d: logs.inventory(s, _vehicle_file(s, d)).groupBy("kind").agg(F.sum("rows").cast("long").alias("rows")))
-
-
-@query("s16_phone_time", "select trip_key, count(*) as n from sig where trip_key <= 3 group by trip_key")
-def s16(spark, sf_dir):
-    return logs.read_phone(spark, _phone_file(spark, sf_dir)).where("t is not null").groupBy(_c("ori_yaw").cast("long").alias("trip_key")).agg(F.count("*").alias("n"))
-
-
-@query("s25_replay_csv", f"select trip_key, i, {R('t', 3)} as t from sig where trip_key <= 3")
-def s25(spark, sf_dir):
-    logs.write_csv(signals(spark, sf_dir).where("trip_key <= 3").select("trip_key", "i", "t"), path := _folder(spark), {"t": 3})
-    return spark.read.option("header", True).schema("trip_key long, i int, t double").csv(path).select("trip_key", "i", rounded(_c("t"), 3).alias("t"))
-
-
-@query("s27_window_sink", "select split, count(*) as n from (select case when trip_key % 3 = 0 then 'val' else 'train' end as split from sig) x group by split")
-def s27(spark, sf_dir):
-    logs.write_windows(signals(spark, sf_dir).select("trip_key", "i", F.array("acc_x", "acc_y").alias("X"), F.when(_c("trip_key") % 3 == 0, "val").otherwise("train").alias("split")), path := _folder(spark))
-    return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"))
-
-
-@query("s28_road_graph", "with nodes as (select s_suppkey as id from supplier) select count(*) as n from nodes")
-def s28(spark, sf_dir):
-    nodes, _, _, _ = road(spark, sf_dir)
-    nodes.write.parquet(path := _folder(spark))
-    return spark.read.parquet(path).agg(F.count("*").alias("n"))
-
-
-@query("f13_error_tolerant_load", "select trip_key from (select distinct trip_key from sig) x where trip_key % 5 <> 0")
-def f13(spark, sf_dir):
-    """Trips that can't be read are left out, by an anti-join with the list of failures."""
-    d = signals(spark, sf_dir).select("trip_key").distinct()
-    return d.join(d.where("trip_key % 5 = 0"), "trip_key", "left_anti")
-
-
-query("s21_phone_adapter", f", m as (select trip_key, i, t, lag(t) over (partition by trip_key order by t) as pt, gyro_z from sig) select trip_key, i, {R('case when pt is null then 0.02::double else greatest(0.001::double, least(t - pt, 0.5::double)) end')} as dt, {R('gyro_z - 0.01')} as gz from m")(
-    lambda s, d: (lambda v: v.select("trip_key", "i", rounded(F.when(F.lag("t").over(_by_t()).isNull(), 0.02).otherwise(F.greatest(F.lit(0.001), F.least(_c("t") - F.lag("t").over(_by_t()), F.lit(0.5))))).alias("dt"), rounded(_c("gyro_z") - 0.01).alias("gz")))(signals(s, d))
-)
-
-
-def _by_t():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("trip_key").orderBy("t")
-
-
 query("s39_benchmark_series")(lambda s, d: (lambda v: deadreckon.dead_reckon(deadreckon.with_sources(v, outage.fixed_outages(v, warmup_s=15.0, max_gap_s=5.0)), (("hold", "gps_hold"),)).select("trip_key", "i", "t", "err"))(vehicle(s, d)))

@@ -3,44 +3,110 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 
-# Canonical columns and the words that a header must have, in the order in which headers are claimed.
+# Canonical columns in the order in which they claim headers, each with its forms in order of preference; a
+# header fits a form if it has all its words.
 PHONE = {
-    "lat": "gps latitude", "lon": "gps longitude", "alt_m": "gps altitude", "gps_speed_ms": "gps speed", "gps_acc_m": "gps accuracy", "gps_course_deg": "gps orientation", "gps_sats": "satellites",
-    "t_ms": "time start", "date": "date", "acc_x": "accelerometer x", "acc_y": "accelerometer y", "acc_z": "accelerometer z", "grav_x": "gravity x", "grav_y": "gravity y", "grav_z": "gravity z",
-    "gyro_x": "gyroscope x|gyroscope roll", "gyro_y": "gyroscope y|gyroscope pitch", "gyro_z": "gyroscope z|gyroscope yaw", "mag_x": "magnetic x", "mag_y": "magnetic y", "mag_z": "magnetic z",
-    "ori_yaw": "orientation yaw|orientation azimuth", "ori_pitch": "orientation pitch", "ori_roll": "orientation roll",
-}
+    "lat": ["gps latitude"],
+    "lon": ["gps longitude"],
+    "alt_m": ["gps altitude"],
+    "gps_speed_ms": ["gps speed"],
+    "gps_acc_m": ["gps accuracy"],
+    "gps_course_deg": ["gps orientation"],
+    "gps_sats": ["gps satellites"],
+    "t_ms": ["time since start"],
+    "date": ["date"],
+    "acc_x": ["accelerometer x"],
+    "acc_y": ["accelerometer y"],
+    "acc_z": ["accelerometer z"],
+    "grav_x": ["gravity x"],
+    "grav_y": ["gravity y"],
+    "grav_z": ["gravity z"],
+    "gyro_x": ["gyroscope x", "gyroscope roll"],
+    "gyro_y": ["gyroscope y", "gyroscope pitch"],
+    "gyro_z": ["gyroscope z", "gyroscope yaw"],
+    "mag_x": ["magnetic x"],
+    "mag_y": ["magnetic y"],
+    "mag_z": ["magnetic z"],
+    "ori_yaw": ["orientation yaw", "orientation azimuth"],
+    "ori_pitch": ["orientation pitch"],
+    "ori_roll": ["orientation roll"],
+}
 VEHICLE = {
-    "n_sats": "satellites", "t_sod_s": "time start day", "lat": "latitude", "lon": "longitude", "vvel_kmh": "vertical velocity", "vel_kmh": "velocity", "heading_deg": "heading", "height_m": "height",
-    "dt_s": "sample period", "steer_deg": "steering", "ws_fl": "wheel front left", "ws_fr": "wheel front right", "ws_rl": "wheel rear left", "ws_rr": "wheel rear right", "yaw_rate_dps": "yaw rate",
-    "ind_speed_kmh": "indicated speed", "acc_long_g": "longitudinal acceleration", "acc_lat_g": "lateral acceleration", "handbrake": "handbrake", "gear_req": "gear requested", "gear": "gear",
-    "engine_rpm": "engine speed", "coolant_c": "coolant", "clutch": "clutch", "brake_psi": "brake pressure", "brake_pos": "brake position", "battery_v": "battery", "air_temp_c": "air temperature", "accel_pedal": "accelerator",
-}
+    "n_sats": ["gps satellites"],
+    "t_sod_s": ["time since start day"],
+    "lat": ["latitude"],
+    "lon": ["longitude"],
+    "vel_kmh": ["velocity"],
+    "heading_deg": ["heading"],
+    "height_m": ["height"],
+    "vvel_kmh": ["vertical velocity"],
+    "dt_s": ["sample period"],
+    "steer_deg": ["steering angle"],
+    "ws_fl": ["wheel speed front left"],
+    "ws_fr": ["wheel speed front right"],
+    "ws_rl": ["wheel speed rear left"],
+    "ws_rr": ["wheel speed rear right"],
+    "yaw_rate_dps": ["yaw rate"],
+    "ind_speed_kmh": ["indicated vehicle speed"],
+    "acc_long_g": ["indicated longitudinal acceleration"],
+    "acc_lat_g": ["indicated lateral acceleration"],
+    "handbrake": ["handbrake"],
+    "gear_req": ["gear requested"],
+    "gear": ["gear"],
+    "engine_rpm": ["engine speed"],
+    "coolant_c": ["coolant temperature"],
+    "clutch": ["clutch position"],
+    "brake_psi": ["brake pressure"],
+    "brake_pos": ["brake position"],
+    "battery_v": ["battery voltage"],
+    "air_temp_c": ["air temperature"],
+    "accel_pedal": ["accelerator pedal"],
+}
+# Texts that stand for a missing number in a table.
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+POINTER = "version https://git-lfs"
 
 
 def clean(header: str) -> str:
     return re.sub(r"[^0-9a-zA-Z]+", " ", header).strip().lower()
 
 
-def rename_map(headers: list[str], mapping: dict[str, str]) -> dict[str, str]:
-    """raw header -> canonical name: all words must be whole words of the header; the header with the fewest words wins, and
-    each is used once."""
-    free, out = {h: clean(h).split() for h in headers}, {}
+def rename_map(headers: list[str], mapping: dict[str, list[str]]) -> dict[str, str]:
+    """raw header -> canonical name: all words of a form must be whole words of the header. The first form that any free header
+    fits decides; of those headers the one with the fewest words is taken, and none twice."""
+    free, out = {h: set(clean(h).split()) for h in headers}, {}
     for name, forms in mapping.items():
-        found = [(len(words), k, h) for k, (h, words) in enumerate(free.items()) for form in forms.split("|") if set(form.split()) <= set(words)]
-        if found:
-            h = min(found)[2]
+        fits = ([h for h, words in free.items() if set(form.split()) <= words] for form in forms)
+        if best := next(filter(None, fits), None):
+            h = min(best, key=lambda h: len(free[h]))
             out[h] = name
             del free[h]
     return out
 
 
+def write_files(rows: DataFrame, root: str, path: str = "path", order: str = "i") -> None:
+    """A CSV file per value of `path` below root, in latin-1, written by the task that holds its rows; columns other than these two."""
+    import pandas as pd
+    from pyarrow import fs
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        store, base = fs.FileSystem.from_uri(root)
+        name = f"{base}/{pdf[path].iloc[0]}"
+        store.create_dir(name.rpartition("/")[0], recursive=True)
+        with store.open_output_stream(name) as f:
+            f.write(pdf.sort_values(order).drop(columns=[path, order]).to_csv(index=False).encode("latin-1"))
+        return pdf[[path]].head(1)
+
+    rows.groupBy(path).applyInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+
+
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, name, folder, kind) of all CSV files below a folder; contents are not read."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(folder).select("path", "length")
@@ -50,6 +116,7 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def synced_trips(files: DataFrame, root: str) -> DataFrame:
     """(driver, trip_id, phone, vehicle): folders with a phone and a vehicle file, the first of each by name."""
+    root = re.sub("^file:/+", "/", root)
     of = lambda kind: files.where(F.col("kind") == kind).groupBy("folder").agg(F.min_by("path", "name").alias(kind))
     d = of("phone").join(of("vehicle"), "folder")
     rest = F.regexp_replace(F.regexp_replace("folder", r"^file:/+", "/"), "^" + re.escape(root.rstrip("/")) + "/?", "")
@@ -61,18 +128,66 @@ def phone_only(files: DataFrame, part: str = "S-Dataset") -> DataFrame:
     return files.where((F.col("kind") == "phone") & F.col("path").contains(f"/{part}/"))
 
 
-def pointers(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths of files that hold a large-file pointer in place of data."""
+def pointers(spark: SparkSession, folder: str, longest: int = 4096) -> DataFrame:
+    """Paths of files that hold a large-file pointer in place of data. Pointers are short: contents of longer files are not read."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(folder)
-    return d.where(F.substring(F.col("content"), 1, 40).cast("string").startswith("version https://git-lfs")).select("path")
+    return d.where((F.col("length") <= longest) & F.substring(F.col("content"), 1, 40).cast("string").startswith(POINTER)).select("path")
+
+
+def read_layouts(spark: SparkSession, files: DataFrame, folder: str, read) -> DataFrame:
+    """The files (path) below a folder, read by read_phone or read_vehicle, those with one header together: a reader's plan
+    holds the paths of its files, as any plan over files does."""
+    heads = csv_lines(spark, folder).where("i = -1").select(plain_path(F.col("file")).alias("__p"), "columns")
+    groups: dict[tuple, list[str]] = {}
+    for r in files.select("path").join(heads, plain_path(F.col("path")) == F.col("__p")).collect():
+        groups.setdefault(tuple(r["columns"]), []).append(r["path"])
+    return reduce(DataFrame.unionByName, [read(spark, sorted(paths)) for paths in groups.values()])
+
+
+def discover_pairs(spark: SparkSession, root: str, least: int = 200, max_lag: int = 60) -> DataFrame:
+    """Synced trips below root with their verdict: row counts, overlap, and the correlation of the smoothed speeds of phone and
+    vehicle at lag 0 and at the best lag. Files without enough valid values give a row with counts of -1."""
+    from ..functions import series as W
+    from ..operators import alignment
+
+    files = list_files(spark, root)
+    trips = synced_trips(files.join(pointers(spark, root), "path", "left_anti"), root)
+    if trips.isEmpty():
+        raise FileNotFoundError(f"no synced trips below {root}")
+    of = lambda d: d.withColumn("folder", F.regexp_extract(plain_path(F.col("file")), r"^(.*)/[^/]+$", 1))
+    ends = lambda d, c, n: d.groupBy("folder").agg(F.count("*").alias(f"n_{n}"), F.max_by("t", "i").alias(f"t_{n}"), F.avg(F.col(c).isNotNull().cast("double")).alias(f"ok_{n}"))
+    phone, vehicle = (of(read_layouts(spark, trips.select(F.col(c).alias("path")), root, read)) for c, read in (("phone", read_phone), ("vehicle", read_vehicle)))
+    both = phone.select("folder", "i", F.col("t").alias("tp"), F.col("gps_speed_ms").alias("a")).join(vehicle.select("folder", "i", F.col("t").alias("tv"), F.col("speed_ms").alias("b")), ["folder", "i"])
+    overlap = both.groupBy("folder").agg(F.max_by(F.least("tp", "tv"), "i").alias("overlap"))
+    smooth = both.select("folder", "i", *[W.smooth(F.coalesce(F.col(x), F.lit(0.0)), by="folder").alias(x) for x in "ab"])
+    r = alignment.lag_correlations(smooth.withColumn("moving", F.col("b") > 3.0), list(range(-max_lag, max_lag + 1)), "folder", "b", "a", least, where="moving")
+    zero = r.where("lag = 0").select("folder", F.coalesce("r", F.lit(0.0)).alias("r0"))
+    best = alignment.best_lag(r, "folder").withColumnsRenamed({"lag": "best_lag", "r": "r_best"})
+    d = trips.withColumn("folder", F.regexp_extract(plain_path(F.col("phone")), r"^(.*)/[^/]+$", 1))
+    for x in (ends(phone, "acc_x", "s"), ends(vehicle, "vel_kmh", "v"), overlap, zero, best):
+        d = d.join(x, "folder", "left")
+    bad = (F.col("ok_s") < 0.5) | (F.col("ok_v") < 0.5) | F.col("ok_s").isNull() | F.col("ok_v").isNull()
+    r0 = F.coalesce("r0", F.lit(0.0))
+    good = lambda x, other: F.when(bad, F.lit(other)).otherwise(x)
+    return d.select(
+        "driver", "trip_id", good(F.col("n_s"), -1).alias("n_rows_s"), good(F.col("n_v"), -1).alias("n_rows_v"), good(F.abs(F.col("n_s") - F.col("n_v")), -1).alias("row_mismatch"),
+        good(S.sync_status(r0, F.col("n_s") - F.col("n_v")), "load_error").alias("status"), good(F.col("overlap"), 0.0).alias("overlap_s"), good(r0, 0.0).alias("corr_lag0"), good(F.coalesce("r_best", F.lit(0.0)), 0.0).alias("corr_best"), good(F.coalesce("best_lag", F.lit(0)), 0).cast("int").alias("best_lag"),
+    )
+
 
+def plain_path(c: Column) -> Column:
+    """A path as the two file readers would both write it."""
+    return F.try_url_decode(F.replace(F.regexp_replace(c, "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
+
+def read_raw(spark: SparkSession, path: str | list[str], glob: str = "*.csv") -> DataFrame:
     """A CSV's rows as strings with `file` and `i`, its place in the file.
 
-    ISO-8859-1; a file is one partition, and rows are numbered by their place in it.
+    ISO-8859-1; a file is one partition, and rows are numbered by their place in it. In a folder, all files whose names fit `glob`
+    are read, at any depth; they must have one header.
     """
-    d = spark.read.option("header", True).option("encoding", "ISO-8859-1").option("multiLine", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    below = {} if isinstance(path, list) or path.endswith(".csv") else {"recursiveFileLookup": True, "pathGlobFilter": glob}
+    d = spark.read.options(**below).option("header", True).option("encoding", "ISO-8859-1").option("multiLine", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
     d = d.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("__id"))
     return d.withColumn("i", F.row_number().over(Window.partitionBy("file").orderBy("__id")) - 1).drop("__id")
 
@@ -85,11 +200,11 @@ def _canonical(raw: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return raw.select("file", "i", *[(col(n) if n == "date" else number(n)).alias(n) for n in mapping])
 
 
-def read_phone(spark: SparkSession, path: str) -> DataFrame:
+def read_phone(spark: SparkSession, path: str | list[str], glob: str = "S-*.csv") -> DataFrame:
     """Canonical phone columns and t in seconds: the date if over 90 % parse (gaps are interpolated by row), else t_ms, else 0.1 i."""
     from ..functions.series import interpolate
 
-    d = _canonical(read_raw(spark, path), PHONE)
+    d = _canonical(read_raw(spark, path, glob), PHONE)
     stamp = F.try_to_timestamp(F.regexp_replace("date", r":(\d+)$", ".$1"), F.lit("yyyy-MM-dd HH:mm:ss.SSS"))
     d = d.withColumn("__abs", F.unix_micros(stamp) / F.lit(1e6))
     whole = Window.partitionBy("file")
@@ -102,9 +217,9 @@ def read_phone(spark: SparkSession, path: str) -> DataFrame:
     return d.withColumn("t", t).drop("__abs", "__t", "__share", "__ms")
 
 
-def read_vehicle(spark: SparkSession, path: str) -> DataFrame:
+def read_vehicle(spark: SparkSession, path: str | list[str], glob: str = "V-*.csv") -> DataFrame:
     """Canonical vehicle columns, t in seconds, and speed_ms; the clock is the seconds of the day, else summed periods, else 0.1 i."""
-    d = _canonical(read_raw(spark, path), VEHICLE)
+    d = _canonical(read_raw(spark, path, glob), VEHICLE)
     whole = Window.partitionBy("file")
     up = whole.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     share = lambda c: F.avg(F.col(c).isNotNull().cast("double")).over(whole)
@@ -113,15 +228,23 @@ def read_vehicle(spark: SparkSession, path: str) -> DataFrame:
     return d.withColumns({"t": t, "speed_ms": S.kmh_to_ms(F.col("vel_kmh"))}).drop("__a", "__b", "__sum")
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
-    name = path.rpartition("/")[2]
+def read_any(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """The reader for a file, or for the files of a folder that fit `glob`, by the prefix of their name."""
+    name = glob or path.rpartition("/")[2]
     if name.startswith("S-"):
-        return read_phone(spark, path)
+        return read_phone(spark, path, name)
     if name.startswith("V-"):
-        return read_vehicle(spark, path)
+        return read_vehicle(spark, path, name)
     raise ValueError(f"neither a phone nor a vehicle file: {name}")
 
 
+def tolerant(d: DataFrame, columns: list[str], least: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """The rows of files that can be used, and the files (file, reason) that can't: a required column has too few valid values."""
+    shares = d.groupBy("file").agg(*[F.avg(F.col(c).isNotNull().cast("double")).alias(c) for c in columns])
+    failed = shares.select("file", F.concat_ws(", ", *[F.when(F.col(c) < least, F.lit(c)) for c in columns]).alias("reason")).where("reason <> ''")
+    return d.join(failed, "file", "left_anti"), failed
+
+
 def require_valid(d: DataFrame, columns: list[str], least: float = 0.5) -> DataFrame:
     """Fails, when it runs, for a file with less than `least` valid values in a required column."""
     w = Window.partitionBy("file")
@@ -129,13 +252,24 @@ def require_valid(d: DataFrame, columns: list[str], least: float = 0.5) -> DataF
     return d.withColumn("__ok", worst).where(F.when(F.col("__ok") < least, F.raise_error(F.concat(F.lit("too few valid values in "), F.col("file"))).cast("boolean")).otherwise(F.lit(True))).drop("__ok")
 
 
-def timestamp_column(headers: list[str]) -> str | None:
-    """The header to take time from, by priority."""
-    for part in ("time since start of day", "date", "time since start"):
-        for h in headers:
-            if part in h.lower():
-                return h
-    return None
+#: Parts of a header's name that make it the time, by priority.
+TIME_PARTS = ("time since start of day", "date", "time since start")
+
+
+def timestamp_place(headers: Column) -> Column:
+    """Place, from 1, of the header to take time from; null if there is none."""
+    low = F.transform(headers, F.lower)
+    place = lambda part: F.array_position(F.transform(low, lambda h: h.contains(part)), True)
+    return F.coalesce(*[F.nullif(place(part), F.lit(0)) for part in TIME_PARTS])
+
+
+def parse_time(value: Column, name: Column, by: str, order: str) -> Column:
+    """Seconds of a column named `name`: stamps from the first row on, or numbers (milliseconds if the name says so) from their least on."""
+    w = Window.partitionBy(by)
+    first = w.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    stamp = F.unix_micros(F.try_to_timestamp(F.regexp_replace(F.trim(value), r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}):(\d+)$", "$1.$2"))) / F.lit(1e6)
+    number = F.nanvl(F.trim(value).try_cast("double"), F.lit(None).cast("double")) / F.when(F.lower(name).contains("ms"), 1000.0).otherwise(1.0)
+    return F.when(F.lower(name).contains("date"), stamp - F.first(stamp).over(first)).otherwise(number - F.min(number).over(w))
 
 
 SAMPLE = "timestamp double, ax double, ay double, az double, gx double, gy double, gz double"
@@ -162,6 +296,36 @@ def imu_samples(rows: DataFrame, by: str, accel_unit: str = "m/s2", gyro_unit: s
     return rows.select(by, "timestamp", dt.alias("dt"), *[x.alias(n) for x, n in zip(S.to_frd(*a, frame), ("ax", "ay", "az"))], *[x.alias(n) for x, n in zip(S.to_frd(*g, frame), ("gx", "gy", "gz"))])
 
 
+STANDARD = ("timestamp", "dt", "ax", "ay", "az", "gx", "gy", "gz")
+
+
+def _steps(t: str, by: str, first: float) -> Column:
+    step = F.col(t) - F.lag(t).over(Window.partitionBy(by).orderBy(t))
+    return F.when(step.isNull(), F.lit(first)).otherwise(S.clamp_dt(step))
+
+
+def phone_samples(rows: DataFrame, by: str = "trip_key", bias: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """Standard samples of phone packets: (by, t_ms, acc_*, gyro_*) to seconds, steps clamped, the first 0.02; the gyro's bias goes."""
+    d = rows.withColumn("timestamp", F.col("t_ms") / 1000.0)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return d.select(by, "timestamp", _steps("timestamp", by, 0.02).alias("dt"), *[zero(f"acc_{x}").alias(f"a{x}") for x in "xyz"], *[S.remove_bias(zero(f"gyro_{x}"), b).alias(f"g{x}") for x, b in zip("xyz", bias)])
+
+
+def log_samples(rows: DataFrame, by: str = "file") -> DataFrame:
+    """Standard samples of a phone log as read: steps clamped, the first 0.1; missing accelerations, rates and fields are 0,
+    missing angles (and angles of 0, as defined) null."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in rows.columns else F.lit(0.0)
+    angle = lambda c: F.nullif(F.col(c), F.lit(0.0)) if c in rows.columns else F.lit(None).cast("double")
+    return rows.select(
+        by, F.col("t").alias("timestamp"), _steps("t", by, 0.1).alias("dt"), *[zero(f"acc_{x}").alias(f"a{x}") for x in "xyz"], *[zero(f"gyro_{x}").alias(f"g{x}") for x in "xyz"], *[zero(f"mag_{x}").alias(f"m{x}") for x in "xyz"],
+        *[angle(f"ori_{x}").alias(x) for x in ("roll", "pitch", "yaw")],
+    )
+
+
+#: An adapter is a function from rows to rows with `by` and the STANDARD columns, for DataFrame.transform.
+ADAPTERS = {"imu": imu_samples, "phone": phone_samples, "log": log_samples}
+
+
 PHONE_MESSAGE = "session string, t_ms long, acc_x double, acc_y double, acc_z double, gyro_x double, gyro_y double, gyro_z double, heading_deg double, gnss_heading_deg double, gnss_speed_ms double, gnss_accuracy_m double, lat double, lon double, gnss_valid boolean"
 
 
@@ -198,18 +362,54 @@ def write_windows(windows: DataFrame, path: str) -> None:
     windows.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def csv_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, i, cells, columns): the cells of each line of all CSV files below a folder, whatever their headers; i from 0. Blank
+    lines are left out; a file with a header alone has no rows here."""
+    cells = lambda c: F.transform(F.split(c, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda x: F.regexp_replace(x, r'^"|"$', ""))
+    whole = {"sep": "\u0001", "quote": "", "escape": "", "encoding": "ISO-8859-1", "mode": "PERMISSIVE"}  # the text reader knows no encodings
+    d = spark.read.options(recursiveFileLookup=True, pathGlobFilter="*.csv", **whole).schema("value string").csv(folder)
+    d = d.select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("at")).where("trim(value) <> ''")
+    w = Window.partitionBy("file").orderBy("at")
+    d = d.withColumns({"i": F.row_number().over(w) - 2, "__head": F.first("value").over(w)})
+    return d.select("file", "i", F.when(F.col("i") >= 0, cells(F.col("value"))).alias("cells"), cells(F.col("__head")).alias("columns"))
+
+
 def inventory(spark: SparkSession, folder: str, cache: str | None = None) -> DataFrame:
-    """(kind, path, rows) of every CSV, kept as Parquet in `cache` if that is given."""
+    """A row per CSV file below a folder, sorted by kind and path; kept as Parquet in `cache` if that is given.
+
+    Name, path, kind, type and size; rows, columns and missing cells; the time column, its first and last value, duration,
+    interval (median of the steps forward), rate and largest gap. Without a time column rows are 0.1 s apart.
+    duplicate_timestamps counts steps of 0 among the steps forward, so it is always 0: kept as it is defined.
+    """
     if cache:
         try:
             return spark.read.parquet(cache)
         except Exception as e:  # not there yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
+    lines = csv_lines(spark, folder).withColumn("place", timestamp_place(F.col("columns")))
+    rows = lines.where("i >= 0")
+    name = F.get("columns", (F.col("place") - 1).cast("int"))
+    t = F.when(F.col("place").isNull(), F.col("i") * 0.1).otherwise(parse_time(F.get("cells", (F.col("place") - 1).cast("int")), name, "file", "i"))
+    n = F.size("columns")
+    empty = F.greatest(n - F.size("cells"), F.lit(0)) + F.size(F.filter(F.slice("cells", F.lit(1), n), lambda x: x.isin(MISSING)))
+    timed = rows.select("file", "i", empty.alias("missing"), t.alias("t"))
+    step = F.col("t") - F.lag("t").over(Window.partitionBy("file").orderBy(F.col("t").asc_nulls_last(), "i"))
+    per = timed.withColumn("step", F.when(step > 0, step)).groupBy("file").agg(
+        F.count("*").alias("n_rows"), F.sum("missing").alias("missing_values"), F.min_by("t", F.when(F.col("t").isNotNull(), F.col("i"))).alias("first"), F.max_by("t", F.when(F.col("t").isNotNull(), F.col("i"))).alias("last"),
+        F.percentile("step", 0.5).alias("median"), F.max("step").alias("gap"),
+    )
+    heads = lines.where("i = -1").select("file", "columns", F.coalesce(name, F.lit("(none - assumed 10Hz index)")).alias("timestamp_column"))
     files = list_files(spark, folder)
-    counts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("encoding", "ISO-8859-1").text(folder).groupBy(F.col("_metadata.file_path").alias("path")).agg((F.count("*") - 1).alias("rows"))
-    same = lambda c: F.try_url_decode(F.replace(F.regexp_replace(c, "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
-    out = files.withColumn("path", same("path")).join(counts.withColumn("path", same("path")), "path", "left").select("kind", "path", "rows").orderBy("kind", "path")
+    zero = F.lit(0).cast("long")
+    d = files.withColumn("path", plain_path(F.col("path"))).join(heads.withColumn("path", plain_path(F.col("file"))).drop("file"), "path", "left").join(per.withColumn("path", plain_path(F.col("file"))).drop("file"), "path", "left")
+    out = d.select(
+        F.col("name").alias("filename"), F.col("path").alias("relpath"), "kind", F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1)).alias("filetype"), F.col("length").alias("size_bytes"), F.round(F.col("length") / 1e6, 2).alias("size_mb"),
+        F.coalesce("n_rows", zero).alias("n_rows"), F.coalesce(F.size("columns"), F.lit(0)).alias("n_cols"), F.array_join("columns", " | ").alias("columns"), "timestamp_column",
+        F.round("first", 3).alias("first_timestamp_s"), F.round("last", 3).alias("last_timestamp_s"), F.round(F.col("last") - F.col("first"), 2).alias("duration_s"),
+        F.coalesce("missing_values", zero).alias("missing_values"), zero.alias("duplicate_timestamps"),
+        F.round("median", 4).alias("est_sampling_interval_s"), F.round(1 / F.col("median"), 2).alias("est_sampling_hz"), F.round("gap", 2).alias("max_gap_s"),
+    ).orderBy("kind", "relpath")
     if cache:
         out.write.mode("overwrite").parquet(cache)
         return spark.read.parquet(cache)
