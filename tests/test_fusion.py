@@ -18,8 +18,20 @@ def rows(session="s", n=900, outage=(300, 700), seed=1):
     return out
 
 
+class One:
+    """A single session, a row at a time."""
+
+    def __init__(self):
+        self.all = fusion.Sessions(1)
+
+    def push(self, r):
+        d = {k: np.array([np.nan if r[k] is None else r[k]], float) for k in fusion._NUMBERS} | {"gnss_valid": np.array([r["gnss_valid"]])}
+        k, out = self.all.push(np.zeros(1, int), d)
+        return {c: v[0] for c, v in out.items()} if len(k) else None
+
+
 def test_position_through_an_outage():
-    s = fusion.Session()
+    s = One()
     names = [x.split()[0] for x in fusion.INPUT.split(", ")]
     outs = [s.push(dict(zip(names, x))) for x in rows()]
     modes = [o["mode"] for o in outs]
@@ -31,29 +43,44 @@ def test_position_through_an_outage():
 
 
 def test_gates_and_reinit():
-    e = fusion.Ekf()
-    e.init(52.0, -1.0, 0.0, 10.0, 4.0)
-    assert not e.position_enu(500.0, 0.0, 4.0) and e.position_enu(5.0, 0.0, 4.0)
-    assert not e.heading(math.radians(90), fusion.GNSS_HEADING, gate=True) and e.heading(math.radians(3), fusion.GNSS_HEADING, gate=True)
-    plain = fusion.Ekf(gating=False, joseph=False)
-    plain.init(52.0, -1.0, 0.0, 10.0, 4.0)
-    assert plain.position_enu(500.0, 0.0, 4.0) and np.allclose(plain.p, plain.p.T)
-    s, names = fusion.Session(), [x.split()[0] for x in fusion.INPUT.split(", ")]
+    e, two = fusion.Ekf(2), np.arange(2)
+    of = lambda *x: np.array(x, float)
+    e.init(two, of(52, 52), of(-1, -1), of(0, 0), of(10, 10), of(4, 4))
+    assert e.position(two, of(500, 5), of(0, 0), 4.0).tolist() == [False, True] and e.x[0, 0] == 0 < e.x[1, 0]
+    assert e.heading(two, np.radians(of(90, 3)), fusion.GNSS_HEADING, gate=True).tolist() == [False, True]
+    plain = fusion.Ekf(1, gating=False, joseph=False)
+    plain.init(two[:1], of(52), of(-1), of(0), of(10), of(4))
+    assert plain.position(two[:1], of(500), of(0), 4.0).all() and np.allclose(plain.p[0], plain.p[0].T)
+    s, names = One(), [x.split()[0] for x in fusion.INPUT.split(", ")]
     data = [dict(zip(names, x)) for x in rows(outage=(0, 0))]
     for d in data[:50]:
         s.push(d)
     data[50]["lat"] += 0.002
-    assert s.push(data[50])["gnss_health"] == "DEGRADED" and s.left == 4
+    assert s.push(data[50])["gnss_health"] == "DEGRADED" and s.all.left[0] == 4
 
 
 def test_hold_and_low_pass():
-    s, names = fusion.Session(), [x.split()[0] for x in fusion.INPUT.split(", ")]
+    s, names = One(), [x.split()[0] for x in fusion.INPUT.split(", ")]
     outs = [s.push(dict(zip(names, x))) for x in rows(outage=(100, 900))]
     assert outs[-1]["pos_std"] == 999.0 and outs[-1]["lat"] == outs[-2]["lat"]
     h = fusion.impulse_response(80)
     assert sum(h) == pytest.approx(1.0, abs=1e-5) and abs(h[-1]) < 1e-10
 
 
+def test_sessions_in_lock_step_are_sessions_alone(spark):
+    data = {n: rows(n, 100 + 37 * k, (20 + k, 60 + 2 * k), k) for k, n in enumerate("abcdefg")}
+    df = spark.createDataFrame([x for d in data.values() for x in d], fusion.INPUT)
+    got = {(r.session, r.t): r for r in fusion.fuse_batch(df).collect()}
+    names = [x.split()[0] for x in fusion.INPUT.split(", ")]
+    for n, d in data.items():
+        s = One()
+        for x in d:
+            if o := s.push(dict(zip(names, x))):
+                r = got.pop((n, x[1]))
+                assert r.lat == pytest.approx(o["lat"], abs=1e-12) and r.pos_std == pytest.approx(o["pos_std"]) and (r["mode"], r.phase, r.window_fill) == (o["mode"], o["phase"], o["window_fill"])
+    assert not got
+
+
 def test_batch_is_stream(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     data = rows("a", 120, (40, 70)) + rows("b", 120, (60, 90), 2)

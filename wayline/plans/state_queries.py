@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -19,40 +18,68 @@ _c = F.col
 _OUT = "trip_key long, i int, ve double, vn double, heading double, pos_std double, done boolean"
 
 
-def _alone(name: str, act, sql: str | None = None, **options):
-    """On each row: a filter started at the row's own fix, then one act on it."""
+def _alone(name: str, act, sql: str, **options):
+    """On each row: a filter started at the row's own fix, then one act on it; all rows of a batch at once."""
 
     def run(spark, sf_dir):
         def step(batches):
             for pdf in batches:
-                out = []
-                for r in pdf.itertuples():
-                    e = fusion.Ekf(**options)
-                    e.init(r.lat, r.lon, math.radians(r.heading_deg), r.speed, 5.0)
-                    done = act(e, r)
-                    out.append((r.trip_key, r.i, e.x[2], e.x[3], math.degrees(e.x[4]), e.pos_std, done is not False))
-                yield pd.DataFrame(out, columns=[x.split()[0] for x in _OUT.split(", ")])
+                at, e = np.arange(len(pdf)), fusion.Ekf(len(pdf), **options)
+                r = {c: pdf[c].to_numpy(float) for c in pdf.columns if c not in ("trip_key", "i")}
+                e.init(at, r["lat"], r["lon"], np.radians(r["heading_deg"]), r["speed"], np.full(len(at), 5.0))
+                done = act(e, at, r)
+                yield pd.DataFrame({"trip_key": pdf["trip_key"], "i": pdf["i"], "ve": e.x[:, 2], "vn": e.x[:, 3], "heading": np.degrees(e.x[:, 4]), "pos_std": e.pos_std(at), "done": True if done is None else done})
 
         d = signals(spark, sf_dir).select("trip_key", "i", "lat", "lon", "heading_deg", "speed", "gyro_z", "acc_x", "k")
         d = d.mapInPandas(step, _OUT)
-        return d.select("trip_key", "i", *[rounded(_c(x)).alias(x) for x in ("ve", "vn", "heading", "pos_std")], "done")
+        # Half a turn may come out with either sign.
+        return d.select("trip_key", "i", *[rounded(_c(x), 5).alias(x) for x in ("ve", "vn", "pos_std")], rounded(F.abs("heading"), 5).alias("heading"), "done")
 
     query(name, sql)(run)
 
 
-_INIT = f"select trip_key, i, {R('speed * sin(radians(heading_deg))')} as ve, {R('speed * cos(radians(heading_deg))')} as vn, {R('((heading_deg + 180) % 360 + 360) % 360 - 180')} as heading, 8.0::double as pos_std, true as done from sig"
-_alone("x08_filter_init", lambda e, r: None, _INIT)
-_alone("x09_predict_nhc", lambda e, r: e.predict(0.1))
-_alone("x10_imu_heading", lambda e, r: e.heading(math.radians(r.heading_deg + r.gyro_z * 10), fusion.IMU_HEADING))
-_alone("x11_model_speed", lambda e, r: e.speed(r.speed + r.acc_x, fusion.MODEL_SPEED))
-_alone("x12_gnss_position", lambda e, r: e.position_enu(r.k * 0.5, -r.k * 0.5, 4.0))
-_alone("x13_gnss_heading", lambda e, r: e.heading(math.radians(r.heading_deg + r.k), fusion.GNSS_HEADING, gate=True))
-_alone("x14_gnss_speed", lambda e, r: e.speed(r.speed * 1.1, fusion.GNSS_SPEED))
-_alone("x15_road_bearing", lambda e, r: e.heading(math.radians(round(r.heading_deg / 90) * 90), fusion.ROAD))
-_alone("x16_zero_velocity", lambda e, r: e.zupt())
-_alone("x17_covariance_repair", lambda e, r: e.p.fill(float("nan")) or e._repair())
-_alone("f10_position_gate", lambda e, r: e.position_enu(r.k * 2.0, 0.0, 4.0))
-_alone("f11_heading_gate", lambda e, r: e.heading(math.radians(r.heading_deg + r.k * 2), fusion.GNSS_HEADING, gate=True))
+# The filter's start in SQL: velocity along the heading, position variance 64, velocity variances 1, heading's of 10 degrees.
+_D = "radians(10::double)"
+_W = lambda x: f"(((({x}) + pi()) % (2 * pi()) + 2 * pi()) % (2 * pi()) - pi())"
+_START = f", f as (select trip_key, i, k, gyro_z, acc_x, heading_deg, speed as v, {_W('radians(heading_deg)')} as h from sig)\n"
+
+
+def _shown(ve: str, vn: str, h: str, std: str = "8.0::double", done: str = "true", start: str = _START, table: str = "f") -> str:
+    return f"{start}select trip_key, i, {R(ve, 5)} as ve, {R(vn, 5)} as vn, {R(std, 5)} as pos_std, {R(f'abs(degrees({h}))', 5)} as heading, {done} as done from {table}"
+
+
+def _toward(target: str, std: str, gate: bool = False) -> str:
+    """A heading measurement: the gain is the heading's variance over the sum of both, and the velocity turns with it."""
+    start = f"{_START}, z as (select *, {_W(f'{target} - h')} as z from f), g as (select *, {f'z * z / (pow({_D}, 2) + pow({std}, 2)) <= 9' if gate else 'true'} as ok from z), n as (select *, case when ok then {_W(f'h + z * pow({_D}, 2) / (pow({_D}, 2) + pow({std}, 2))')} else h end as h2 from g)\n"
+    return _shown("v * sin(h2)", "v * cos(h2)", "h2", done="ok", start=start, table="n")
+
+
+def _faster(target: str, std: float) -> str:
+    gain = f"(({target}) - v) / (1 + {std * std!r}::double)"
+    return _shown(f"v * sin(h) + sin(h) * {gain}", f"v * cos(h) + cos(h) * {gain}", "h")
+
+
+_ROAD_BEARING = "radians(round_even(heading_deg / 90, 0) * 90)"
+_alone("x08_filter_init", lambda e, at, r: None, _shown("v * sin(h)", "v * cos(h)", "h"))
+_NHC_S = f"(pow(cos(h), 2) * 1.05::double + pow(sin(h), 2) * 1.05::double + pow(v, 2) * (pow({_D}, 2) + 0.0005::double) + 0.01::double)"
+_alone("x09_predict_nhc", lambda e, at, r: e.predict(at, 0.1), _shown("v * sin(h)", "v * cos(h)", "h", f"sqrt((2 * (64 + 0.01::double + 0.001::double) - (pow(0.1::double * cos(h), 2) + pow(0.1::double * sin(h), 2)) / {_NHC_S}) / 2)"))
+_alone("x10_imu_heading", lambda e, at, r: e.heading(at, np.radians(r["heading_deg"] + r["gyro_z"] * 10), fusion.IMU_HEADING), _toward("radians(heading_deg + gyro_z * 10)", "radians(5::double)"))
+_alone("x11_model_speed", lambda e, at, r: e.speed(at, r["speed"] + r["acc_x"], fusion.MODEL_SPEED), _faster("v + acc_x", 1.0))
+_alone("x12_gnss_position", lambda e, at, r: e.position(at, r["k"] * 0.5, -r["k"] * 0.5, 4.0), _shown("v * sin(h)", "v * cos(h)", "h", "case when 0.5::double * k * k / 80 <= 25 then sqrt(64 * 16 / 80.0::double) else 8 end", "0.5::double * k * k / 80 <= 25"))
+_alone("x13_gnss_heading", lambda e, at, r: e.heading(at, np.radians(r["heading_deg"] + r["k"]), fusion.GNSS_HEADING, gate=True), _toward("radians(heading_deg + k)", "radians(1.5::double)", gate=True))
+_alone("x14_gnss_speed", lambda e, at, r: e.speed(at, r["speed"] * 1.1, fusion.GNSS_SPEED), _faster("v * 1.1::double", 0.3))
+_alone("x15_road_bearing", lambda e, at, r: e.heading(at, np.radians(np.round(r["heading_deg"] / 90) * 90), fusion.ROAD), _toward(_ROAD_BEARING, "0.087::double"))
+_alone("x16_zero_velocity", lambda e, at, r: e.zupt(at), _shown("v * sin(h) * 0.0025::double / 1.0025::double", "v * cos(h) * 0.0025::double / 1.0025::double", "h"))
+
+
+def _broken(e, at, r) -> None:
+    e.p[:] = np.nan
+    e.repair(at)
+
+
+_alone("x17_covariance_repair", _broken, _shown("v * sin(h)", "v * cos(h)", "h", "50.0::double"))
+_alone("f10_position_gate", lambda e, at, r: e.position(at, r["k"] * 2.0, np.zeros(len(at)), 4.0), _shown("v * sin(h)", "v * cos(h)", "h", "case when 4.0::double * k * k / 80 <= 25 then sqrt(64 * 16 / 80.0::double) else 8 end", "4.0::double * k * k / 80 <= 25"))
+_alone("f11_heading_gate", lambda e, at, r: e.heading(at, np.radians(r["heading_deg"] + r["k"] * 2), fusion.GNSS_HEADING, gate=True), _toward("radians(heading_deg + k * 2)", "radians(1.5::double)", gate=True))
 
 query("x03_gnss_side_input")(lambda s, d: fusion.fuse_batch(fusion_rows(s, d).withColumn("gnss_valid", _c("gnss_valid") & (F.pmod(F.floor(_c("t")), F.lit(2)) == 0))).select("session", "t", "mode", "gnss_health"))
 query("x06_window_reset")(lambda s, d: fusion.fuse_batch(fusion_rows(s, d).withColumn("acc_z", F.when(F.pmod(F.floor(_c("t") * 10), F.lit(97)) == 0, 40.0).otherwise(_c("acc_z")))).select("session", "t", "pothole", "window_fill"))

@@ -1,7 +1,7 @@
 """Sensor fusion: filter, aligner, Kalman filter and the per-session step, shared by batch and stream.
 
-The recursion is non-linear, so it runs as one function (state, row) -> (state, output) per session; everything before and
-after it is columns. State is JSON, so a stateful stream can keep and restore it.
+The recursion is non-linear, so it runs in Python; everything before and after it is columns. Sessions step in lock-step: the
+state of many is held as arrays, and one step takes the next row of each. State is JSON, so a stateful stream can keep and restore it.
 """
 
 from __future__ import annotations
@@ -27,157 +27,174 @@ FLOOR = (1e-4, 1e-4, 1e-4, 1e-4, math.radians(0.1) ** 2)
 SECTIONS = ((0.02287021, 0.04574042, 0.02287021, 1.0, -0.6020332, 0.12355934), (1.0, 2.0, 1.0, 1.0, -0.8099503, 0.51158976))
 
 
-def wrap(a: float) -> float:
+def wrap(a):
     return (a + math.pi) % (2 * math.pi) - math.pi
 
 
 class Ekf:
-    """State east, north, vE, vN, heading (clockwise from north). gating and joseph off give the simpler variant."""
+    """n filters with state east, north, vE, vN, heading (clockwise from north). gating and joseph off give the simpler variant.
 
-    def __init__(self, gating: bool = True, joseph: bool = True):
+    Every step takes the places `at` of the filters that make it, and arrays with a value for each of these.
+    """
+
+    STATE = ("x", "p", "lat0", "lon0", "ready")
+
+    def __init__(self, n: int = 1, gating: bool = True, joseph: bool = True):
         self.gating, self.joseph = gating, joseph
-        self.x, self.p, self.lat0, self.lon0, self.ready = np.zeros(5), np.diag(BEFORE_INIT), 0.0, 0.0, False
-
-    def init(self, lat: float, lon: float, heading: float, speed: float, accuracy: float) -> None:
-        acc = max(accuracy, 8.0)
-        self.lat0, self.lon0, self.ready = lat, lon, True
-        self.x = np.array([0.0, 0.0, speed * math.sin(heading), speed * math.cos(heading), wrap(heading)])
-        self.p = np.diag([acc**2, acc**2, 1.0, 1.0, math.radians(10) ** 2])
-
-    def _repair(self) -> None:
-        self.p = (self.p + self.p.T) / 2
-        if not np.isfinite(self.p).all():
-            self.p = np.diag(RESET)
+        self.x, self.p = np.zeros((n, 5)), np.tile(np.diag(BEFORE_INIT), (n, 1, 1))
+        self.lat0, self.lon0, self.ready = np.zeros(n), np.zeros(n), np.zeros(n, bool)
+
+    def init(self, at, lat, lon, heading, speed, accuracy) -> None:
+        var = np.maximum(accuracy, 8.0) ** 2
+        self.lat0[at], self.lon0[at], self.ready[at] = lat, lon, True
+        self.x[at] = np.stack([np.zeros(len(at)), np.zeros(len(at)), speed * np.sin(heading), speed * np.cos(heading), wrap(heading)], axis=1)
+        self.p[at] = 0.0
+        self.p[at, 0, 0] = self.p[at, 1, 1] = var
+        self.p[at, 2, 2] = self.p[at, 3, 3] = 1.0
+        self.p[at, 4, 4] = math.radians(10) ** 2
+
+    def repair(self, at) -> None:
+        """Symmetric, finite, and no variance below its floor."""
+        p = (self.p[at] + self.p[at].transpose(0, 2, 1)) / 2
+        p[~np.isfinite(p).all(axis=(1, 2))] = np.diag(RESET)
         k = np.arange(5)
-        self.p[k, k] = np.maximum(self.p[k, k], FLOOR)
-
-    def _update(self, h: np.ndarray, z: np.ndarray, r: np.ndarray) -> bool:
-        """Measurement update with rows h, innovations z and covariance r; false if it can't be done."""
-        s = h @ self.p @ h.T + r
-        if not np.isfinite(s).all() or np.linalg.det(s) <= 0:
-            return False
-        k = self.p @ h.T @ np.linalg.inv(s)
-        self.x = self.x + k @ z
-        a = np.eye(5) - k @ h
-        self.p = a @ self.p @ a.T + k @ r @ k.T if self.joseph else a @ self.p
-        self.x[4] = wrap(self.x[4])
-        self._repair()
-        return True
-
-    def _scalar(self, h: list[float], z: float, std: float) -> bool:
-        return self._update(np.array([h]), np.array([z]), np.array([[std * std]]))
-
-    def _along(self) -> tuple[float, float, float, float]:
-        s, c = math.sin(self.x[4]), math.cos(self.x[4])
-        return s, c, self.x[2] * s + self.x[3] * c, self.x[2] * c - self.x[3] * s
-
-    def _reproject(self) -> None:
-        v = math.hypot(self.x[2], self.x[3])
-        self.x[2], self.x[3] = v * math.sin(self.x[4]), v * math.cos(self.x[4])
-
-    def predict(self, dt: float) -> None:
-        self.x[0] += self.x[2] * dt
-        self.x[1] += self.x[3] * dt
-        f = np.eye(5)
-        f[0, 2] = f[1, 3] = dt
-        self.p = f @ self.p @ f.T + np.diag(Q) * dt
-        self._repair()
-        s, c, fwd, lat = self._along()
-        self._scalar([0, 0, c, -s, -fwd], -lat, NHC)
-
-    def heading(self, heading: float, std: float, gate: bool = False) -> bool:
-        z = wrap(heading - self.x[4])
-        if gate and self.gating and z * z / (self.p[4, 4] + std * std) > HEADING_GATE:
-            return False
-        if done := self._scalar([0, 0, 0, 0, 1], z, std):
-            self._reproject()
+        p[:, k, k] = np.maximum(p[:, k, k], FLOOR)
+        self.p[at] = p
+
+    def _update(self, at, h: np.ndarray, z: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Measurement update with rows h, innovations z and covariances r; false for those where it can't be done."""
+        ph = self.p[at] @ h.transpose(0, 2, 1)
+        s = h @ ph + r
+        fine = np.isfinite(s).all(axis=(1, 2))
+        fine[fine] = np.linalg.det(s[fine]) > 0
+        if not fine.all():
+            at, h, z, r, ph, s = at[fine], h[fine], z[fine], r[fine], ph[fine], s[fine]
+        k = ph @ np.linalg.inv(s)
+        x = self.x[at] + (k @ z[:, :, None])[:, :, 0]
+        x[:, 4] = wrap(x[:, 4])
+        a, p = np.eye(5) - k @ h, self.p[at]
+        self.x[at] = x
+        self.p[at] = a @ p @ a.transpose(0, 2, 1) + k @ r @ k.transpose(0, 2, 1) if self.joseph else a @ p
+        self.repair(at)
+        return fine
+
+    def _scalar(self, at, h: list, z, std) -> np.ndarray:
+        n = len(at)
+        rows = np.stack([np.broadcast_to(np.asarray(v, float), n) for v in h], axis=1)[:, None, :]
+        return self._update(at, rows, np.broadcast_to(z, n)[:, None], np.broadcast_to(np.square(np.asarray(std, float)), n)[:, None, None])
+
+    def _along(self, at) -> tuple:
+        x = self.x[at]
+        s, c = np.sin(x[:, 4]), np.cos(x[:, 4])
+        return s, c, x[:, 2] * s + x[:, 3] * c, x[:, 2] * c - x[:, 3] * s
+
+    def predict(self, at, dt) -> None:
+        x, f = self.x[at], np.tile(np.eye(5), (len(at), 1, 1))
+        x[:, 0] += x[:, 2] * dt
+        x[:, 1] += x[:, 3] * dt
+        f[:, 0, 2] = f[:, 1, 3] = dt
+        self.x[at] = x
+        self.p[at] = f @ self.p[at] @ f.transpose(0, 2, 1) + np.diag(Q) * np.broadcast_to(dt, len(at))[:, None, None]
+        self.repair(at)
+        s, c, fwd, lat = self._along(at)
+        self._scalar(at, [0, 0, c, -s, -fwd], -lat, NHC)
+
+    def heading(self, at, heading, std: float, gate: bool = False) -> np.ndarray:
+        z = wrap(heading - self.x[at, 4])
+        done = np.ones(len(at), bool)
+        if gate and self.gating:
+            done = z * z / (self.p[at, 4, 4] + std * std) <= HEADING_GATE
+        done[done] = self._scalar(at[done], [0, 0, 0, 0, 1], z[done], std)
+        at = at[done]
+        v = np.hypot(self.x[at, 2], self.x[at, 3])
+        self.x[at, 2], self.x[at, 3] = v * np.sin(self.x[at, 4]), v * np.cos(self.x[at, 4])
         return done
 
-    def speed(self, v: float, std: float) -> bool:
-        s, c, fwd, lat = self._along()
-        return self._scalar([0, 0, s, c, lat], v - fwd, max(std, 0.1))
-
-    def position(self, lat: float, lon: float, accuracy: float) -> bool:
-        e, n = self.to_enu(lat, lon)
-        return self.position_enu(e, n, accuracy)
-
-    def position_enu(self, e: float, n: float, std: float) -> bool:
-        h, z, r = np.eye(5)[:2], np.array([e - self.x[0], n - self.x[1]]), np.eye(2) * std * std
-        if self.gating and float(z @ np.linalg.inv(self.p[:2, :2] + r) @ z) > POSITION_GATE:
-            return False
-        return self._update(h, z, r)
-
-    def zupt(self) -> None:
-        self._scalar([0, 0, 1, 0, 0], -self.x[2], ZUPT)
-        self._scalar([0, 0, 0, 1, 0], -self.x[3], ZUPT)
-
-    def to_enu(self, lat: float, lon: float) -> tuple[float, float]:
-        return math.radians(lon - self.lon0) * RADIUS * math.cos(math.radians(self.lat0)), math.radians(lat - self.lat0) * RADIUS
+    def speed(self, at, v, std: float) -> np.ndarray:
+        s, c, fwd, lat = self._along(at)
+        return self._scalar(at, [0, 0, s, c, lat], v - fwd, max(std, 0.1))
+
+    def position(self, at, e, n, std) -> np.ndarray:
+        h = np.tile(np.eye(5)[:2], (len(at), 1, 1))
+        z = np.stack([e - self.x[at, 0], n - self.x[at, 1]], axis=1)
+        r = np.eye(2) * np.broadcast_to(np.square(np.asarray(std, float)), len(at))[:, None, None]
+        done = np.ones(len(at), bool)
+        if self.gating and len(at):
+            done = np.einsum("ki,kij,kj->k", z, np.linalg.inv(self.p[at][:, :2, :2] + r), z) <= POSITION_GATE
+        done[done] = self._update(at[done], h[done], z[done], r[done])
+        return done
 
-    @property
-    def latlon(self) -> tuple[float, float]:
-        return self.lat0 + math.degrees(self.x[1] / RADIUS), self.lon0 + math.degrees(self.x[0] / (RADIUS * math.cos(math.radians(self.lat0))))
+    def zupt(self, at) -> np.ndarray:
+        self._scalar(at, [0, 0, 1, 0, 0], -self.x[at, 2], ZUPT)
+        return self._scalar(at, [0, 0, 0, 1, 0], -self.x[at, 3], ZUPT)
 
-    @property
-    def pos_std(self) -> float:
-        v = (self.p[0, 0] + self.p[1, 1]) / 2
-        return math.sqrt(v) if math.isfinite(v) and v >= 0 else 999.0
+    def to_enu(self, at, lat, lon) -> tuple:
+        return np.radians(lon - self.lon0[at]) * RADIUS * np.cos(np.radians(self.lat0[at])), np.radians(lat - self.lat0[at]) * RADIUS
 
-    def dump(self) -> dict:
-        return {"x": self.x.tolist(), "p": self.p.tolist(), "lat0": self.lat0, "lon0": self.lon0, "ready": self.ready}
+    def latlon(self, at) -> tuple:
+        return self.lat0[at] + np.degrees(self.x[at, 1] / RADIUS), self.lon0[at] + np.degrees(self.x[at, 0] / (RADIUS * np.cos(np.radians(self.lat0[at]))))
 
-    def load(self, d: dict) -> None:
-        self.x, self.p, self.lat0, self.lon0, self.ready = np.array(d["x"]), np.array(d["p"]), d["lat0"], d["lon0"], d["ready"]
+    def pos_std(self, at) -> np.ndarray:
+        v = (self.p[at, 0, 0] + self.p[at, 1, 1]) / 2
+        return np.where(np.isfinite(v) & (v >= 0), np.sqrt(np.abs(v)), 999.0)
 
 
 class LowPass:
-    """The low-pass over six channels, from zero state."""
+    """The low-pass over six channels of n sessions, from zero state."""
 
-    def __init__(self):
-        self.z = np.zeros((2, 2, 6))
+    STATE = ("z",)
 
-    def push(self, v: np.ndarray) -> np.ndarray:
+    def __init__(self, n: int = 1):
+        self.z = np.zeros((n, 2, 2, 6))
+
+    def push(self, at, v: np.ndarray) -> np.ndarray:
         for k, (b0, b1, b2, _, a1, a2) in enumerate(SECTIONS):
-            y = b0 * v + self.z[k, 0]
-            self.z[k, 0] = b1 * v - a1 * y + self.z[k, 1]
-            self.z[k, 1] = b2 * v - a2 * y
+            y = b0 * v + self.z[at, k, 0]
+            self.z[at, k, 0] = b1 * v - a1 * y + self.z[at, k, 1]
+            self.z[at, k, 1] = b2 * v - a2 * y
             v = y
         return v
 
 
 def impulse_response(n: int = 80) -> list[float]:
-    f = LowPass()
-    return [float(f.push(np.full(6, float(k == 0)))[0]) for k in range(n)]
+    f, one = LowPass(), np.zeros(1, int)
+    return [float(f.push(one, np.full((1, 6), float(k == 0)))[0, 0]) for k in range(n)]
+
+
+PHASES = np.array(["UNCALIBRATED", "STATIC_DONE", "CALIBRATED"], object)
 
 
 class Aligner:
     """Tilt from 50 still samples, then yaw offset from 60 moving ones: UNCALIBRATED, STATIC_DONE, CALIBRATED."""
 
     STILL, MOVING = 50, 60
-
-    def __init__(self):
-        self.phase, self.still, self.diffs, self.pitch, self.roll, self.yaw = "UNCALIBRATED", [], [], 0.0, 0.0, 0.0
-
-    def push_static(self, a: np.ndarray, gyro: float) -> None:
-        if self.phase != "UNCALIBRATED" or gyro >= 0.08:
-            return
-        self.still.append([float(x) for x in a])
-        if len(self.still) == self.STILL:
-            m = np.mean(self.still, axis=0)
-            g = m / (np.linalg.norm(m) or 1.0)
-            self.pitch, self.roll, self.phase, self.still = math.asin(g[0]), math.asin(-g[1]), "STATIC_DONE", []
-
-    def push_dynamic(self, gnss_heading: float, imu_heading: float, speed: float) -> None:
-        if self.phase != "STATIC_DONE" or speed < 3:
-            return
-        self.diffs.append(wrap(gnss_heading - imu_heading))
-        if len(self.diffs) == self.MOVING:
-            self.yaw, self.phase, self.diffs = float(np.median(self.diffs)), "CALIBRATED", []
-
-    def rotate(self, a: np.ndarray) -> np.ndarray:
-        cy, sy, cp, sp, cr, sr = math.cos(self.yaw), math.sin(self.yaw), math.cos(self.pitch), math.sin(self.pitch), math.cos(self.roll), math.sin(self.roll)
-        r = np.array([[cy * cp, cy * sp * sr - sy * cr, cy * sp * cr + sy * sr], [sy * cp, sy * sp * sr + cy * cr, sy * sp * cr - cy * sr], [-sp, cp * sr, cp * cr]])
-        return r @ a
+    STATE = ("phase", "seen", "still", "diffs", "pitch", "roll", "yaw")
+
+    def __init__(self, n: int = 1):
+        self.phase, self.seen = np.zeros(n, int), np.zeros(n, int)
+        self.still, self.diffs = np.zeros((n, self.STILL, 3)), np.zeros((n, self.MOVING))
+        self.pitch, self.roll, self.yaw = np.zeros(n), np.zeros(n), np.zeros(n)
+
+    def push_static(self, at, a: np.ndarray, gyro: np.ndarray) -> None:
+        on = (self.phase[at] == 0) & (gyro < 0.08)
+        at, a = at[on], a[on]
+        self.still[at, self.seen[at]] = a
+        self.seen[at] += 1
+        at = at[self.seen[at] == self.STILL]
+        if len(at):
+            m = self.still[at].mean(axis=1)
+            norm = np.linalg.norm(m, axis=1)
+            g = m / np.where(norm == 0, 1.0, norm)[:, None]
+            self.pitch[at], self.roll[at], self.phase[at], self.seen[at] = np.arcsin(g[:, 0]), np.arcsin(-g[:, 1]), 1, 0
+
+    def push_dynamic(self, at, gnss_heading, imu_heading, speed) -> None:
+        on = (self.phase[at] == 1) & (speed >= 3)
+        at = at[on]
+        self.diffs[at, self.seen[at]] = wrap(gnss_heading[on] - imu_heading[on])
+        self.seen[at] += 1
+        at = at[self.seen[at] == self.MOVING]
+        if len(at):
+            self.yaw[at], self.phase[at], self.seen[at] = np.median(self.diffs[at], axis=1), 2, 0
 
 
 @dataclass(frozen=True)
@@ -198,112 +215,161 @@ INPUT = "session string, t double, acc_x double, acc_y double, acc_z double, gyr
 OUTPUT = "session string, t double, lat double, lon double, heading_deg double, speed double, pos_std double, mode string, gnss_health string, phase string, still boolean, pothole boolean, window_fill int, model_speed double"
 
 
-def _missing(v) -> bool:
-    return v is None or v != v
-
-
-class Session:
-    """All state of one session; push() takes a row and gives an output, or None before the first fix."""
-
-    def __init__(self, config: Config = Config()):
-        self.c, self.ekf, self.filter, self.aligner = config, Ekf(config.gating, config.joseph), LowPass(), Aligner()
-        self.t = self.fix_t = self.hold = None
-        self.valid, self.streak, self.last_raw, self.left, self.fill = True, 0, None, 0, 0
-
-    def push(self, r: dict) -> dict | None:
-        c = self.c
-        if self.t is not None and r["t"] <= self.t:
-            return None  # late or repeated
-        dt = 0.02 if self.t is None else max(0.001, min(r["t"] - self.t, 0.5))
-        self.t = r["t"]
-        acc, gyro = np.array([r["acc_x"], r["acc_y"], r["acc_z"]]), np.array([r["gyro_x"], r["gyro_y"], r["gyro_z"]])
-        acc, gyro = np.nan_to_num(acc.astype(float)), np.nan_to_num(gyro.astype(float))
-        up, down = abs(acc[2] - 9.81), abs(acc[2] + 9.81)
-        pothole = bool((max if c.legacy_pothole else min)(up, down) > 15)
-        smooth = self.filter.push(np.concatenate([acc, gyro]))
-        self.fill = 1 if pothole else min(c.window, self.fill + 1)
-        turn, norm = float(np.linalg.norm(gyro)), float(np.linalg.norm(acc))
-        self.aligner.push_static(smooth[:3], turn)
-        model = None if _missing(r["model_speed"]) or self.fill < c.window else float(r["model_speed"])
-        still = abs(norm - 9.81) < 0.5 and turn < (0.08 if c.zupt_last else 0.15) and (not c.zupt_last or (model or 0.0) < 0.3)
-        raw = bool(r["gnss_valid"]) and not _missing(r["lat"]) and not _missing(r["lon"]) and not (r["lat"] == 0 and r["lon"] == 0)
-        self.streak = self.streak + 1 if raw == self.last_raw else 1
-        self.last_raw, before = raw, self.valid
-        if raw and self.streak >= c.good_fixes:
-            self.valid = True
-        if not raw and self.streak >= c.bad_fixes:
-            self.valid = False
-        use, ekf = self.valid and raw, self.ekf
-        accuracy = 8.0 if _missing(r["gnss_accuracy"]) else float(r["gnss_accuracy"])
-        gspeed = None if _missing(r["gnss_speed"]) else float(r["gnss_speed"])
-        ghead = None if _missing(r["gnss_heading_deg"]) or r["gnss_heading_deg"] == 0 else math.radians(r["gnss_heading_deg"])
-        if not ekf.ready:
-            if not use:
-                return None
-            ekf.init(r["lat"], r["lon"], ghead or 0.0, gspeed or 0.0, accuracy)
-        if self.valid and not before:
-            self.left = 2
-        ekf.predict(dt)
-        if not _missing(r["heading_deg"]):
-            ekf.heading(wrap(math.radians(r["heading_deg"]) + self.aligner.yaw), IMU_HEADING)
-        if model is not None and not still:
-            ekf.speed(model, MODEL_SPEED)
-        if still and not c.zupt_last:
-            ekf.zupt()
-        if use:
-            e, n = ekf.to_enu(r["lat"], r["lon"])
-            if math.hypot(e - ekf.x[0], n - ekf.x[1]) > c.reinit_m:
-                ekf.init(r["lat"], r["lon"], ghead if ghead is not None else ekf.x[4], gspeed or 0.0, accuracy)
-                self.left = c.inflated
-            ekf.position(r["lat"], r["lon"], accuracy + 20.0 * self.left / c.inflated)
-            self.left = max(0, self.left - 1)
-            if gspeed is not None:
-                ekf.speed(gspeed, GNSS_SPEED)
-            if ghead is not None and (gspeed or 0.0) > 1.5:
-                if not _missing(r["heading_deg"]):
-                    self.aligner.push_dynamic(ghead, math.radians(r["heading_deg"]), gspeed or 0.0)
-                ekf.heading(ghead, GNSS_HEADING, gate=True)
-            self.fix_t, self.hold = r["t"], None
-        if not _missing(r["road_e"]) and not _missing(r["road_n"]):
-            ekf.position_enu(r["road_e"], r["road_n"], 15.0 if use else 3.0)
-            if not _missing(r["road_bearing"]):
-                ekf.heading(r["road_bearing"], ROAD)
-        if still and c.zupt_last:
-            ekf.zupt()
-        lat, lon = ekf.latlon
-        std = ekf.pos_std
-        if self.fix_t is not None and r["t"] - self.fix_t > c.hold_s:
-            self.hold = self.hold or [lat, lon]
-            (lat, lon), std = self.hold, 999.0
-        mode = ("GNSS_REACQUIRE" if self.left > 0 else "GNSS_AIDED") if self.valid else "DR_ACTIVE"
-        health = ("DEGRADED" if self.left > 0 else "OK") if self.valid else "OUTAGE"
-        return {"session": r["session"], "t": r["t"], "lat": lat, "lon": lon, "heading_deg": math.degrees(ekf.x[4]) % 360, "speed": math.hypot(ekf.x[2], ekf.x[3]), "pos_std": std, "mode": mode, "gnss_health": health, "phase": self.aligner.phase, "still": bool(still), "pothole": pothole, "window_fill": self.fill, "model_speed": model}
+_OUT = [x.split()[0] for x in OUTPUT.split(", ")]
+_IN = [x.split()[0] for x in INPUT.split(", ")]
+_NUMBERS = [x.split()[0] for x in INPUT.split(", ") if x.endswith(" double")]
 
-    def dump(self) -> str:
-        a = self.aligner
-        return json.dumps({"ekf": self.ekf.dump(), "z": self.filter.z.tolist(), "al": [a.phase, a.still, a.diffs, a.pitch, a.roll, a.yaw], "own": [self.t, self.fix_t, self.hold, self.valid, self.streak, self.last_raw, self.left, self.fill]})
 
-    def load(self, text: str) -> None:
-        d, a = json.loads(text), self.aligner
-        self.ekf.load(d["ekf"])
-        self.filter.z = np.array(d["z"])
-        a.phase, a.still, a.diffs, a.pitch, a.roll, a.yaw = d["al"]
-        self.t, self.fix_t, self.hold, self.valid, self.streak, self.last_raw, self.left, self.fill = d["own"]
+class Sessions:
+    """All state of n sessions; push() takes a row for each of some of them."""
 
+    STATE = ("t", "fix_t", "hold", "valid", "streak", "last_raw", "left", "fill")
 
-_OUT = [x.split()[0] for x in OUTPUT.split(", ")]
-_IN = [x.split()[0] for x in INPUT.split(", ")]
+    def __init__(self, n: int = 1, config: Config = Config()):
+        self.c, self.ekf, self.filter, self.aligner = config, Ekf(n, config.gating, config.joseph), LowPass(n), Aligner(n)
+        self.t, self.fix_t, self.hold = np.full(n, np.nan), np.full(n, np.nan), np.full((n, 2), np.nan)
+        self.valid, self.streak, self.last_raw, self.left, self.fill = np.ones(n, bool), np.zeros(n, int), np.full(n, -1), np.zeros(n, int), np.zeros(n, int)
 
+    def parts(self) -> dict[str, tuple[object, str]]:
+        """Every array of state, by name: (owner, attribute)."""
+        return {f"{k}.{name}": (x, name) for k, x in (("own", self), ("ekf", self.ekf), ("filter", self.filter), ("aligner", self.aligner)) for name in x.STATE}
 
-def _run(session: Session, pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = [o for r in pdf.sort_values("t", kind="stable").to_dict("records") if (o := session.push(r))]
-    out = pd.DataFrame(rows, columns=_OUT)
-    return out.astype({"window_fill": "int32", "still": bool, "pothole": bool})
+    def grown(self, n: int) -> Sessions:
+        """The same sessions with room for n."""
+        out = Sessions(n, self.c)
+        mine = self.parts()
+        for k, (x, name) in out.parts().items():
+            getattr(x, name)[: len(self.t)] = getattr(*mine[k])
+        return out
+
+    def dump(self) -> str:
+        return json.dumps({k: getattr(x, name).tolist() for k, (x, name) in self.parts().items()})
+
+    def load(self, text: str) -> None:
+        d = json.loads(text)
+        for k, (x, name) in self.parts().items():
+            getattr(x, name)[:] = d[k]
+
+    def push(self, at: np.ndarray, r: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """A row for each session in `at` (none twice), as arrays by column. Returns which rows give an output, and the outputs:
+        none for late and repeated rows and before the first fix."""
+        c, ekf = self.c, self.ekf
+        rows = np.flatnonzero(~(r["t"] <= self.t[at]))
+
+        def only(keep: np.ndarray) -> None:
+            nonlocal at, rows, r
+            if not keep.all():
+                at, rows, r = at[keep], rows[keep], {k: v[keep] for k, v in r.items()}
+
+        if len(rows) < len(at):
+            at, r = at[rows], {k: v[rows] for k, v in r.items()}
+        step = r["t"] - self.t[at]
+        dt = np.where(np.isnan(step), 0.02, np.clip(step, 0.001, 0.5))
+        self.t[at] = r["t"]
+        acc = np.nan_to_num(np.stack([r["acc_x"], r["acc_y"], r["acc_z"]], axis=1))
+        gyro = np.nan_to_num(np.stack([r["gyro_x"], r["gyro_y"], r["gyro_z"]], axis=1))
+        up, down = np.abs(acc[:, 2] - 9.81), np.abs(acc[:, 2] + 9.81)
+        r["pothole"] = (np.maximum if c.legacy_pothole else np.minimum)(up, down) > 15
+        smooth = self.filter.push(at, np.concatenate([acc, gyro], axis=1))
+        self.fill[at] = np.where(r["pothole"], 1, np.minimum(c.window, self.fill[at] + 1))
+        turn, norm = np.linalg.norm(gyro, axis=1), np.linalg.norm(acc, axis=1)
+        self.aligner.push_static(at, smooth[:, :3], turn)
+        r["model"] = np.where(self.fill[at] < c.window, np.nan, r["model_speed"])
+        r["still"] = (np.abs(norm - 9.81) < 0.5) & (turn < (0.08 if c.zupt_last else 0.15)) & (not c.zupt_last or np.nan_to_num(r["model"]) < 0.3)
+        raw = r["gnss_valid"] & ~np.isnan(r["lat"]) & ~np.isnan(r["lon"]) & ~((r["lat"] == 0) & (r["lon"] == 0))
+        self.streak[at] = np.where(raw == self.last_raw[at], self.streak[at] + 1, 1)
+        self.last_raw[at] = raw
+        before = self.valid[at]
+        self.valid[at] = (before | raw & (self.streak[at] >= c.good_fixes)) & ~(~raw & (self.streak[at] >= c.bad_fixes))
+        r["use"], r["back"], r["dt"] = self.valid[at] & raw, self.valid[at] & ~before, dt
+        r["accuracy"] = np.where(np.isnan(r["gnss_accuracy"]), 8.0, r["gnss_accuracy"])
+        r["course"] = np.where(r["gnss_heading_deg"] == 0, np.nan, np.radians(r["gnss_heading_deg"]))
+        only(ekf.ready[at] | r["use"])
+        new = ~ekf.ready[at]
+        ekf.init(at[new], r["lat"][new], r["lon"][new], np.nan_to_num(r["course"][new]), np.nan_to_num(r["gnss_speed"][new]), r["accuracy"][new])
+        self.left[at[r["back"]]] = 2
+        ekf.predict(at, r["dt"])
+        turned = ~np.isnan(r["heading_deg"])
+        ekf.heading(at[turned], wrap(np.radians(r["heading_deg"][turned]) + self.aligner.yaw[at[turned]]), IMU_HEADING)
+        moving = ~np.isnan(r["model"]) & ~r["still"]
+        ekf.speed(at[moving], r["model"][moving], MODEL_SPEED)
+        if not c.zupt_last:
+            ekf.zupt(at[r["still"]])
+        self._fixes(at[r["use"]], {k: v[r["use"]] for k, v in r.items()})
+        on_road = ~np.isnan(r["road_e"]) & ~np.isnan(r["road_n"])
+        ekf.position(at[on_road], r["road_e"][on_road], r["road_n"][on_road], np.where(r["use"][on_road], 15.0, 3.0))
+        on_road &= ~np.isnan(r["road_bearing"])
+        ekf.heading(at[on_road], r["road_bearing"][on_road], ROAD)
+        if c.zupt_last:
+            ekf.zupt(at[r["still"]])
+        lat, lon = ekf.latlon(at)
+        held = r["t"] - self.fix_t[at] > c.hold_s
+        fresh = held & np.isnan(self.hold[at, 0])
+        self.hold[at[fresh]] = np.stack([lat[fresh], lon[fresh]], axis=1)
+        lat, lon = np.where(held, self.hold[at, 0], lat), np.where(held, self.hold[at, 1], lon)
+        valid, left = self.valid[at], self.left[at] > 0
+        return rows, {
+            "t": r["t"], "lat": lat, "lon": lon, "heading_deg": np.degrees(ekf.x[at, 4]) % 360, "speed": np.hypot(ekf.x[at, 2], ekf.x[at, 3]), "pos_std": np.where(held, 999.0, ekf.pos_std(at)),
+            "mode": np.where(valid, np.where(left, "GNSS_REACQUIRE", "GNSS_AIDED"), "DR_ACTIVE"), "gnss_health": np.where(valid, np.where(left, "DEGRADED", "OK"), "OUTAGE"),
+            "phase": PHASES[self.aligner.phase[at]], "still": r["still"], "pothole": r["pothole"], "window_fill": self.fill[at].astype(np.int32), "model_speed": r["model"],
+        }
+
+    def _fixes(self, at: np.ndarray, r: dict[str, np.ndarray]) -> None:
+        """The updates of sessions with a fix that is used."""
+        c, ekf = self.c, self.ekf
+        e, n = ekf.to_enu(at, r["lat"], r["lon"])
+        far = np.hypot(e - ekf.x[at, 0], n - ekf.x[at, 1]) > c.reinit_m
+        course = np.where(np.isnan(r["course"]), ekf.x[at, 4], r["course"])
+        ekf.init(at[far], r["lat"][far], r["lon"][far], course[far], np.nan_to_num(r["gnss_speed"][far]), r["accuracy"][far])
+        self.left[at[far]] = c.inflated
+        ekf.position(at, *ekf.to_enu(at, r["lat"], r["lon"]), r["accuracy"] + 20.0 * self.left[at] / c.inflated)
+        self.left[at] = np.maximum(0, self.left[at] - 1)
+        some = ~np.isnan(r["gnss_speed"])
+        ekf.speed(at[some], r["gnss_speed"][some], GNSS_SPEED)
+        fast = ~np.isnan(r["course"]) & (np.nan_to_num(r["gnss_speed"]) > 1.5)
+        both = fast & ~np.isnan(r["heading_deg"])
+        self.aligner.push_dynamic(at[both], r["course"][both], np.radians(r["heading_deg"][both]), r["gnss_speed"][both])
+        ekf.heading(at[fast], r["course"][fast], GNSS_HEADING, gate=True)
+        self.fix_t[at], self.hold[at] = r["t"], np.nan
+
+
+def _columns(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+    return {k: pdf[k].to_numpy(float, na_value=np.nan) for k in _NUMBERS} | {"gnss_valid": pdf["gnss_valid"].fillna(False).to_numpy(bool)}
+
+
+def _steps(sessions: Sessions, at: np.ndarray, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Outputs of rows in order of time: the first row of every session in one step, then the second ones, and so on."""
+    r, nth = _columns(pdf), pd.Series(at).groupby(at).cumcount().to_numpy()
+    order = np.argsort(nth, kind="stable")
+    edges = np.append(np.flatnonzero(np.diff(nth[order], prepend=-1)), len(order))
+    kept, parts = [], []
+    for a, z in zip(edges[:-1], edges[1:]):
+        rows = order[a:z]
+        k, out = sessions.push(at[rows], {c: v[rows] for c, v in r.items()})
+        kept.append(rows[k])
+        parts.append(out)
+    place = np.concatenate(kept) if kept else np.zeros(0, int)
+    out = pd.DataFrame({c: np.concatenate([p[c] for p in parts]) if parts else [] for c in _OUT[1:]})
+    out.insert(0, "session", pdf["session"].to_numpy()[place])
+    return out.iloc[np.argsort(place, kind="stable")]
 
 
 def fuse_batch(rows: DataFrame, config: Config = Config()) -> DataFrame:
-    """Outputs of every session of a table with the columns of INPUT; one task per session."""
-    return rows.select(*_IN).groupBy("session").applyInPandas(lambda pdf: _run(Session(config), pdf), OUTPUT)
+    """Outputs of every session of a table with the columns of INPUT.
+
+    Sessions are dealt to tasks and a task's rows go by in order of time, so that it steps all its sessions at once, and holds
+    their states and one batch of rows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sessions, known = Sessions(64, config), {}
+        for pdf in batches:
+            at = np.array([known.setdefault(s, len(known)) for s in pdf["session"]], int)
+            if len(known) > len(sessions.t):
+                sessions = sessions.grown(2 * len(known))
+            yield _steps(sessions, at, pdf)
+
+    return rows.select(*_IN).repartition("session").sortWithinPartitions("t").mapInPandas(run, OUTPUT)
 
 
 def fuse_stream(rows: DataFrame, config: Config = Config()) -> DataFrame:
@@ -315,11 +381,14 @@ def fuse_stream(rows: DataFrame, config: Config = Config()) -> DataFrame:
             self.state = handle.getValueState("session", "state string")
 
         def handleInputRows(self, key, batches, timerValues) -> Iterator[pd.DataFrame]:
-            s = Session(config)
+            s = Sessions(1, config)
             if self.state.exists():
                 s.load(self.state.get()[0])
             parts = list(batches)
-            out = _run(s, pd.concat(parts)) if parts else None
+            out = None
+            if parts:
+                pdf = pd.concat(parts).sort_values("t", kind="stable")
+                out = _steps(s, np.zeros(len(pdf), int), pdf)
             self.state.update((s.dump(),))
             if out is not None:
                 yield out
