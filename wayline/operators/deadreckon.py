@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions import series as W
+from .alignment import as_of_forward
 
 KEY = ["trip_key", "window"]
 # The pairs of speed and heading source that a benchmark runs.
@@ -19,10 +20,18 @@ def anchors(rows: DataFrame, windows: DataFrame) -> DataFrame:
     return windows.select("trip_key", "window", "i0", "i1").withColumn("a", F.col("i0") - 1).join(at, ["trip_key", "a"])
 
 
+def rows_of(rows: DataFrame, intervals: DataFrame, first: str, end: str) -> DataFrame:
+    """Each row of a trip once per interval first <= i < end that holds it, with the interval's columns: intervals are spread to
+    their places, so the join is on (trip_key, i) and grows with what the intervals hold."""
+    places = F.when(F.col(end) > F.col(first), F.sequence(F.col(first), F.col(end) - 1)).otherwise(F.array().cast("array<int>"))
+    return rows.join(intervals.withColumn("i", F.explode(places)), ["trip_key", "i"])
+
+
 def lead_in(rows: DataFrame, anchored: DataFrame, seconds: float) -> DataFrame:
-    """Rows of the `seconds` before each outage. An interval join within the trip."""
-    w = anchored.select("trip_key", "window", F.col("i0").alias("__i0"), F.col("ta").alias("__ta"))
-    return rows.join(w, "trip_key").where((F.col("i") < F.col("__i0")) & (F.col("t") >= F.col("__ta") - seconds)).drop("__i0", "__ta")
+    """Rows of the `seconds` before each outage."""
+    w = anchored.select("trip_key", "window", F.col("i0").alias("__i0"), (F.col("ta") - seconds).alias("__ts"))
+    first = as_of_forward(rows, w, "__ts", "t").withColumnRenamed("found", "__il")
+    return rows_of(rows, first.drop("__ts"), "__il", "__i0").drop("__i0", "__il")
 
 
 def course_rate(by: list[str] = KEY) -> Column:
@@ -57,7 +66,7 @@ def calibrate_gyro(rows: DataFrame, anchored: DataFrame, gyro_dps: str = "gyro_d
     return agg.select(*KEY, F.when(fine, F.col("__s")).otherwise(-1.0).alias("scale"), F.when(fine, F.col("__b")).when(F.col("__n") >= 20, F.col("__m")).otherwise(0.0).alias("bias"))
 
 
-def align_phone(rows: DataFrame, anchored: DataFrame, seconds: float = 60.0) -> DataFrame:
+def align_phone(rows: DataFrame, anchored: DataFrame, seconds: float = 60.0, least: int = 30) -> DataFrame:
     """(trip_key, window, gx, gy, gz, scale, bias, quality): mean gravity, and the fit of the vertical turn rate to the course.
 
     Only the third row of the tilt rotation turns the gyro into a turn rate, and that row is the unit gravity itself.
@@ -70,7 +79,7 @@ def align_phone(rows: DataFrame, anchored: DataFrame, seconds: float = 60.0) ->
     d = d.where((F.abs("__true") < 60) & (F.col("speed") > 2))
     agg = d.groupBy(*KEY, "gx", "gy", "gz").agg(F.count("*").alias("n"), F.stddev_pop("__true").alias("s1"), F.stddev_pop("__z").alias("s2"), F.regr_slope("__true", "__z").alias("s"), F.regr_intercept("__true", "__z").alias("b"), F.avg(F.col("__true") + F.col("__z")).alias("m"), W.pearson("__true", "__z").alias("r"))
     fine = F.coalesce((F.col("s1") > 1) & (F.col("s2") > 1) & (F.abs("s") > 0.3) & (F.abs("s") < 3), F.lit(False))
-    return agg.where("n >= 30").select(*KEY, "gx", "gy", "gz", F.when(fine, F.col("s")).otherwise(-1.0).alias("scale"), F.when(fine, F.col("b")).otherwise(F.col("m")).alias("bias"), F.coalesce("r", F.lit(0.0)).alias("quality"))
+    return agg.where(F.col("n") >= least).select(*KEY, "gx", "gy", "gz", F.when(fine, F.col("s")).otherwise(-1.0).alias("scale"), F.when(fine, F.col("b")).otherwise(F.col("m")).alias("bias"), F.coalesce("r", F.lit(0.0)).alias("quality"))
 
 
 def wheel_radius(rows: DataFrame, anchored: DataFrame, seconds: float = 300.0) -> DataFrame:
@@ -87,33 +96,49 @@ def level_acceleration() -> Column:
     return F.when(ax2 < 0, -1.0).otherwise(1.0) * F.sqrt(ax2 * ax2 + ay2 * ay2)
 
 
-def with_sources(rows: DataFrame, windows: DataFrame, fixed_bias: bool = False) -> DataFrame:
-    """Rows from the anchor to an outage's end with v_<source> and h_<source> of every speed and heading source.
+def with_sources(rows: DataFrame, windows: DataFrame, combos=COMBOS, fixed_bias: bool = False, least: int = 30) -> DataFrame:
+    """Rows from the anchor to an outage's end with v_<source> and h_<source> of the sources that the combinations name; only
+    their calibrations are made. `least`: rows that the phone's alignment needs.
 
     The rate calibration fits scale * (rate - bias) and by default applies scale * rate + bias; fixed_bias applies what it fits.
     """
+    wanted = {f"v_{a}" for a, _ in combos} | {f"h_{b}" for _, b in combos}
     a = anchors(rows, windows)
-    d = rows.join(a, "trip_key").where((F.col("i") >= F.col("a")) & (F.col("i") < F.col("i1")))
+    d = rows_of(rows, a, "a", "i1")
     w = Window.partitionBy(*KEY).orderBy("i")
     up = w.rowsBetween(Window.unboundedPreceding, 0)
-    for name, cal in (("y", calibrate_rate(rows, a)), ("g", calibrate_gyro(rows, a))):
-        d = d.join(cal.withColumnsRenamed({"scale": f"{name}_scale", "bias": f"{name}_bias"}), KEY, "left")
-    al = align_phone(rows, a).withColumnsRenamed({"scale": "p_scale", "bias": "p_bias"})
-    d = d.join(al, KEY, "left").join(wheel_radius(rows, a), KEY, "left")
+    fits = {
+        "h_veh_yawrate": lambda: calibrate_rate(rows, a).withColumnsRenamed({"scale": "y_scale", "bias": "y_bias"}),
+        "h_gyro": lambda: calibrate_gyro(rows, a).withColumnsRenamed({"scale": "g_scale", "bias": "g_bias"}),
+        "h_imu_aligned": lambda: align_phone(rows, a, least=least).withColumnsRenamed({"scale": "p_scale", "bias": "p_bias"}),
+        "v_wheel_speed": lambda: wheel_radius(rows, a),
+    }
+    for name, fit in fits.items():
+        if name in wanted:
+            d = d.join(fit(), KEY, "left")
     d = d.withColumn("dt", F.coalesce(W.diff(F.col("t"), w), F.lit(0.0)))
+    if "v_imu_integrate" in wanted:
+        d = d.withColumn("__s", F.sum(level_acceleration() * F.col("dt")).over(up))
     own = F.col("yaw_rate_dps") - F.col("y_bias") if fixed_bias else F.col("yaw_rate_dps")
-    rates = {
-        "veh_yawrate": F.coalesce(F.col("y_scale") * own + (0.0 if fixed_bias else F.col("y_bias")), F.lit(0.0)),
-        "gyro": F.coalesce(F.col("g_scale") * F.col("gyro_dps") + F.col("g_bias"), F.lit(0.0)),
-        "imu_aligned": F.when(F.abs("quality") >= 0.4, F.col("p_scale") * F.degrees(F.col("gx") * F.col("gyro_x") + F.col("gy") * F.col("gyro_y") + F.col("gz") * F.col("gyro_z")) + F.col("p_bias")).otherwise(0.0),
+
+    def turned(rate: Column) -> Column:
+        return F.col("course0") + F.sum(F.coalesce(rate, F.lit(0.0)) * F.col("dt")).over(up)
+
+    sources = {
+        "v_truth": lambda: F.col("speed"),
+        "v_hold": lambda: F.col("v0"),
+        "v_gps_decay": lambda: S.gps_decay(F.col("v0"), F.col("t") - F.col("ta")),
+        "v_imu_integrate": lambda: W.reflected_sum(F.col("v0"), F.col("__s"), up),
+        "v_obd": lambda: F.coalesce(S.kmh_to_ms(F.col("ind_speed_kmh")), F.col("v0")),
+        "v_wheel_speed": lambda: F.col("radius") * F.col("wheel"),
+        "h_truth": lambda: F.col("heading_deg"),
+        "h_gps_hold": lambda: F.col("course0"),
+        "h_veh_yawrate": lambda: turned(F.col("y_scale") * own + (0.0 if fixed_bias else F.col("y_bias"))),
+        "h_gyro": lambda: turned(F.col("g_scale") * F.col("gyro_dps") + F.col("g_bias")),
+        "h_imu_aligned": lambda: turned(F.when(F.abs("quality") >= 0.4, F.col("p_scale") * F.degrees(F.col("gx") * F.col("gyro_x") + F.col("gy") * F.col("gyro_y") + F.col("gz") * F.col("gyro_z")) + F.col("p_bias"))),
     }
-    d = d.withColumn("__s", F.sum(level_acceleration() * F.col("dt")).over(up))
-    speeds = {
-        "truth": F.col("speed"), "hold": F.col("v0"), "gps_decay": S.gps_decay(F.col("v0"), F.col("t") - F.col("ta")),
-        "imu_integrate": W.reflected_sum(F.col("v0"), F.col("__s"), up), "obd": F.coalesce(S.kmh_to_ms(F.col("ind_speed_kmh")), F.col("v0")), "wheel_speed": F.col("radius") * F.col("wheel"),
-    }
-    heads = {"truth": F.col("heading_deg"), "gps_hold": F.col("course0")} | {k: F.col("course0") + F.sum(F.coalesce(r, F.lit(0.0)) * F.col("dt")).over(up) for k, r in rates.items()}
-    return d.withColumns({f"v_{k}": F.greatest(F.lit(0.0), F.least(x, F.lit(90.0))) for k, x in speeds.items()} | {f"h_{k}": x for k, x in heads.items()}).drop("__s")
+    limit = lambda x: F.greatest(F.lit(0.0), F.least(x, F.lit(90.0)))
+    return d.withColumns({k: limit(f()) if k.startswith("v_") else f() for k, f in sources.items() if k in wanted}).drop("__s")
 
 
 def dead_reckon(sourced: DataFrame, combos=COMBOS) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import series as W
+from .alignment import as_of_forward
 
 
 def native_validity(rows: DataFrame, stale_s: float = 12.0, moving: float = 3.0) -> DataFrame:
@@ -70,7 +71,8 @@ def fixed_outages(rows: DataFrame, warmup_s: float = 30.0, duration_s: float = 3
     last = F.when(F.col("__end") - duration_s - 5 > warmup_s, F.ceil((F.col("__end") - duration_s - 5 - warmup_s) / period_s).cast("int") - 1).otherwise(0)
     starts = ends.select("trip_key", "__n", F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)) if recurring else F.lit(0))).alias("window"))
     starts = starts.withColumn("s", F.lit(warmup_s) + F.col("window") * period_s)
-    spans = d.join(starts, "trip_key").groupBy("trip_key", "window", "__n").agg(F.min(F.when(F.col("t") >= F.col("s"), F.col("i"))).alias("i0"), F.min(F.when(F.col("t") >= F.col("s") + duration_s, F.col("i"))).alias("i1"))
+    spans = as_of_forward(d, starts, "s", "t").withColumnRenamed("found", "i0").withColumn("s1", F.col("s") + duration_s)
+    spans = as_of_forward(d, spans, "s1", "t").withColumnRenamed("found", "i1")
     spans = spans.withColumn("i1", F.coalesce("i1", "__n")).where("i0 < __n - 2 and i1 > i0 + 1")
     own = F.coalesce(F.col("speed") > min_speed, F.lit(False)).cast("long")
     a = d.select("trip_key", F.col("i").alias("i0"), F.col("t").alias("t0"), F.col("__gaps").alias("g0"), (F.col("__moving") - own).alias("m0"))
@@ -89,8 +91,6 @@ def candidates(rows: DataFrame, spec: Spec) -> DataFrame:
     stop = F.greatest(F.lit(spec.warmup_s + spec.step), F.col("__end") - spec.cooldown_s)
     steps = F.ceil((stop - spec.warmup_s) / spec.step).cast("int")
     at = ends.select("trip_key", F.explode(F.sequence(F.lit(0), F.greatest(steps - 1, F.lit(0)))).alias("c")).withColumn("s", F.lit(spec.warmup_s) + F.col("c") * spec.step)
-    from .alignment import as_of_forward
-
     place = as_of_forward(d, at, "s", "t").withColumnRenamed("found", "i0").where("i0 is not null")
     cols = ["t", "dist", "speed", "__gaps", "__moving", "__fast", "__valid"]
     start = d.select("trip_key", F.col("i").alias("i0"), *[F.col(x).alias(f"{x}_0") for x in cols])
@@ -141,7 +141,6 @@ def outages(rows: DataFrame, spec: Spec) -> DataFrame:
 
 def apply_mask(rows: DataFrame, windows: DataFrame) -> DataFrame:
     """Add gnss_available: 0 in an outage, else the native validity as 0 or 1."""
-    w = windows.select("trip_key", "i0", "i1")
-    hit = rows.select("trip_key", "i").join(w, "trip_key").where("i >= i0 and i < i1").select("trip_key", "i").distinct().withColumn("__out", F.lit(True))
+    hit = windows.where("i1 > i0").select("trip_key", F.explode(F.sequence("i0", F.col("i1") - 1)).alias("i")).distinct().withColumn("__out", F.lit(True))
     d = rows.join(hit, ["trip_key", "i"], "left")
     return d.withColumn("gnss_available", F.when(F.coalesce("__out", F.lit(False)), 0).otherwise(F.col("gnss_valid").cast("int")).cast("byte")).drop("__out")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..operators import deadreckon, outage
 from ..sources.signals import signals
 from ..streaming import fusion
-from .other_queries import fusion_rows, road, snapped
-from .reckoning_queries import fixed, vehicle
+from .other_queries import _GRAPH, fusion_rows, road, snapped
+from .reckoning_queries import _WIN0, _run_sql, fixed, vehicle
 from .registry import query, rounded
 from .series_queries import R
 
@@ -89,22 +89,27 @@ query("x22_static_map_join")(snapped)
 query("x23_session_reset")(lambda s, d: fusion.fuse_batch(fusion_rows(s, d).withColumn("session", F.concat("session", F.lit("/"), F.floor(_c("t") / 24)))).groupBy("session").agg(F.count("*").alias("n"), F.min("t").alias("t0")))
 
 
-@query("m01_pluggable_sources")
+@query("m01_pluggable_sources", _run_sql(_WIN0, (("walk", "north"), ("hold", "north")), f"select trip_key, speed_source, heading_source, {R('final_m', 3)} as final_m from me").replace("so as (select *,", "so as (select *, 1.4::double as v_walk, 0.0::double as h_north,"))
 def m01(spark, sf_dir):
     """A source by name is a column: any pair of them can be run."""
     v = vehicle(spark, sf_dir)
-    d = deadreckon.with_sources(v, fixed(v)).withColumn("v_walk", F.lit(1.4)).withColumn("h_north", F.lit(0.0))
+    d = deadreckon.with_sources(v, fixed(v), (("hold", "truth"),)).withColumn("v_walk", F.lit(1.4)).withColumn("h_north", F.lit(0.0))
     return deadreckon.drift_metrics(deadreckon.dead_reckon(d, (("walk", "north"), ("hold", "north")))).select("trip_key", "speed_source", "heading_source", rounded(_c("final_m"), 3).alias("final_m"))
 
 
-@query("t07_frontier_pop")
+@query("t07_frontier_pop", _GRAPH + f"""select src as query, dst, {R('f', 6)} as f from (select e.src, e.dst, e.cost + sqrt(pow(n.x - g.x, 2) + pow(n.y - g.y, 2)) as f, row_number() over (partition by e.src order by e.cost + sqrt(pow(n.x - g.x, 2) + pow(n.y - g.y, 2)), e.dst) as rk from edges e join nodes n on n.id = e.dst join nodes g on g.id = (select max(id) from nodes)) z where rk = 1""")
 def t07(spark, sf_dir):
     """The next node of each query by cost so far plus the straight line to the goal."""
     nodes, edges, _, _ = road(spark, sf_dir)
-    goal = nodes.where("id = 77").select(_c("x").alias("gx"), _c("y").alias("gy"))  # one row
+    goal = nodes.select(F.max_by("x", "id").alias("gx"), F.max_by("y", "id").alias("gy"))  # one row: the last node
     front = edges.select(_c("src").alias("query"), "dst", "cost").join(nodes, _c("dst") == _c("id")).crossJoin(goal)
     f = _c("cost") + F.sqrt((_c("x") - _c("gx")) ** 2 + (_c("y") - _c("gy")) ** 2)
-    return front.groupBy("query").agg(F.min(F.struct(f.alias("f"), "dst")).alias("b")).select("query", "b.dst", "b.f")
+    return front.groupBy("query").agg(F.min(F.struct(f.alias("f"), "dst")).alias("b")).select("query", "b.dst", rounded(_c("b.f")).alias("f"))
 
 
-query("s39_benchmark_series")(lambda s, d: (lambda v: deadreckon.dead_reckon(deadreckon.with_sources(v, outage.fixed_outages(v, warmup_s=15.0, max_gap_s=5.0)), (("hold", "gps_hold"),)).select("trip_key", "i", "t", "err"))(vehicle(s, d)))
+@query("s39_benchmark_series", _run_sql(_WIN0, (("hold", "gps_hold"),), f"select trip_key, i, {R('t', 4)} as t, {R('err', 3)} as err from tr"))
+def s39(spark, sf_dir):
+    """The error over time that a figure of a run shows."""
+    v = vehicle(spark, sf_dir)
+    d = deadreckon.dead_reckon(deadreckon.with_sources(v, fixed(v), (("hold", "gps_hold"),)), (("hold", "gps_hold"),))
+    return d.select("trip_key", "i", rounded(_c("t"), 4).alias("t"), rounded(_c("err"), 3).alias("err"))
