@@ -68,17 +68,20 @@ def systematic_copies(docs: DataFrame, expected: str = "expected", group: str =
     d = d.withColumn("__class", size_class(F.col(size)))
     key = F.coalesce(F.col(doc_id).cast("string"), F.col(tie) if tie else F.lit(""), F.lit(""))
     d = d.withColumn("__bucket", F.pmod(_draw(F.concat(F.lit(f"{seed}:"), key)), F.lit(buckets)))
-    exact = F.col("__e").cast("decimal(20,0)")
-    per = d.groupBy(group, "__class", "__bucket").agg(F.sum(exact).alias("__sum"))
-    run = Window.partitionBy(group).orderBy("__class", "__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.floor(_draw(F.concat(F.lit(f"{seed}/"), F.coalesce(F.concat(F.lit("="), F.col(group)), F.lit("null")))) * (UNIT / 2**32)).cast("long")
-    per = per.select(F.col(group).alias("__g"), F.col("__class").alias("__c"), F.col("__bucket").alias("__b"), ((F.coalesce(F.sum("__sum").over(run), F.lit(0)) + offset) % UNIT).cast("long").alias("__from"))
-    d = d.join(per, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__class") == F.col("__c")) & (F.col("__bucket") == F.col("__b")), "left")
-    within = Window.partitionBy(group, "__class", "__bucket").orderBy(size, doc_id, *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, 0)
+    # One key without nulls for the join and the window, so that rows are dealt out once.
+    d = d.withColumn("__group", F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("null")))
+    exact, place = F.col("__e").cast("decimal(20,0)"), ["__group", "__class", "__bucket"]
+    per = d.groupBy(*place).agg(F.sum(exact).alias("__sum"))
+    run = Window.partitionBy("__group").orderBy("__class", "__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.floor(_draw(F.concat(F.lit(f"{seed}/"), F.col("__group"))) * (UNIT / 2**32)).cast("long")
+    per = per.select(*place, ((F.coalesce(F.sum("__sum").over(run), F.lit(0)) + offset) % UNIT).cast("long").alias("__from"))
+    # Written first: a small table of known size is sent to the rows, and a large one is dealt like the window below.
+    d = d.join(stage(per, "buckets"), place, "left")
+    within = Window.partitionBy(*place).orderBy(size, doc_id, *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, 0)
     # Whole copies before the bucket, and before the row within it, don't matter: what is left fits in a long.
     d = d.withColumn("__start", ((F.sum(exact).over(within) - exact + F.col("__from")) % UNIT).cast("long"))
     copies = F.expr(f"(__start + __e) div {UNIT}L")
-    return d.withColumn("copies", copies).drop("__e", "__class", "__bucket", "__g", "__c", "__b", "__from", "__start")
+    return d.withColumn("copies", copies).drop("__e", "__group", "__class", "__bucket", "__from", "__start")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
