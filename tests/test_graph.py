@@ -2,9 +2,8 @@ from wayline.operators import graph
 
 
 def test_routes_of_more_than_64_edges(spark):
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
     edges = [(k, k + 1, 1.0) for k in range(66)] + [(0, 66, 100.0)]
     start = spark.createDataFrame([(1, 0)], "query int, node long")
-    out = {x.node: x for x in graph.routes(spark.createDataFrame(edges, "src long, dst long, cost double").coalesce(1), start).collect()}
+    found = graph.routes(spark.createDataFrame(edges, "src long, dst long, cost double").coalesce(1), start)
+    out = {x.node: x for x in graph.with_paths(found).collect()}
     assert {k: x.cost for k, x in out.items()} == {k: float(k) for k in range(67)} and list(out[66].path) == list(range(67))

@@ -82,19 +82,30 @@ def crop(nodes: DataFrame, edges: DataFrame, radius_m: float) -> tuple[DataFrame
 
 
 def routes(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(query, node, cost, path): cheapest path from each query's start to every node it reaches.
+    """(query, node, cost, prev): the cheapest way from each query's start to every node it reaches, by the node before it (of
+    equal ways found in one round, the least); null at the start itself.
 
     Rounds of relaxation until nothing becomes cheaper (costs are not negative): only nodes that did go on. Each round is
     checkpointed, which cuts the plan. starts: (query, node).
     """
     roads = edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst"), F.col("cost").alias("__cost"))
-    best = starts.select("query", "node", F.lit(0.0).alias("cost"), F.array("node").alias("path"))
+    best = starts.select("query", "node", F.lit(0.0).alias("cost"), F.lit(None).cast(edges.schema["src"].dataType).alias("prev"))
     front = best
     while True:
-        step = front.join(roads, F.col("node") == F.col("__src")).select("query", F.col("__dst").alias("node"), (F.col("cost") + F.col("__cost")).alias("cost"), F.concat("path", F.array("__dst")).alias("path"))
-        step = step.groupBy("query", "node").agg(F.min(F.struct("cost", "path")).alias("s")).select("query", "node", "s.cost", "s.path")
+        step = front.join(roads, F.col("node") == F.col("__src")).select("query", F.col("__dst").alias("node"), (F.col("cost") + F.col("__cost")).alias("cost"), F.col("__src").alias("prev"))
+        step = step.groupBy("query", "node").agg(F.min(F.struct("cost", "prev")).alias("s")).select("query", "node", "s.cost", "s.prev")
         old = best.select("query", "node", F.col("cost").alias("old"))
         front = step.join(old, ["query", "node"], "left").where("old is null or cost < old - 1e-9").drop("old").checkpoint()
         if front.isEmpty():
             return best
         best = front.union(best.join(front.select("query", "node"), ["query", "node"], "left_anti")).checkpoint()
+
+
+def with_paths(found: DataFrame) -> DataFrame:
+    """(query, node, cost, path) of routes(): each node's stretch of path is put behind that of the node where it begins, so
+    stretches double each round."""
+    d = found.select("query", "node", "cost", F.col("prev").alias("before"), F.array("node").alias("path")).checkpoint()
+    while not d.where("before is not null").isEmpty():
+        upper = d.select("query", F.col("node").alias("before"), F.col("before").alias("__b"), F.col("path").alias("__p"))
+        d = d.join(upper, ["query", "before"], "left").select("query", "node", "cost", F.col("__b").alias("before"), F.concat(F.coalesce("__p", F.array().cast(d.schema["path"].dataType)), "path").alias("path")).checkpoint()
+    return d.drop("before")

@@ -9,10 +9,11 @@ from ..functions import scalar as S
 from ..functions import series as W
 from ..operators import alignment, graph, model, prep
 from ..sources import logs
+from ..sources.graphs import shared_folder
 from ..sources.signals import GAP_S, signals
 from ..streaming import fusion
 from .registry import query, rounded
-from .series_queries import OVER, STEP, R
+from .series_queries import _NATIVE, OVER, STEP, R
 
 _c = F.col
 
@@ -127,7 +128,8 @@ def w15(spark, sf_dir):
 query("r02_window_tensor", f"{_GAPS}select e.trip_key, e.i as \"end\", cast(e.wlen as bigint) as rows, 2 as channels from b e join b s on s.trip_key = e.trip_key and s.i = e.i - e.wlen + 1 and e.cg = s.cg - s.own")(lambda s, d: prep.training_windows(signals(s, d), ["speed", "gyro_z"], "speed", seconds=8.0, max_gap_s=GAP_S).select("trip_key", "end", F.size("X").cast("long").alias("rows"), F.size(_c("X")[0]).alias("channels")))
 
 
-@query("d22_build_sequence")
+@query("d22_build_sequence", f"""{_NATIVE}, v0 as (select trip_key, min(i) as iv from sig where gnss_valid group by trip_key), oo as (select s.trip_key, s.lat as la0, s.lon as lo0 from v0 join sig s on s.trip_key = v0.trip_key and s.i = iv)
+select y.trip_key, y.i, {R('y.t')} as timestamp, {R('radians(y.lon - lo0) * 6378137.0::double * cos(radians(la0))', 3)} as reference_x, {R('radians(y.lat - la0) * 6378137.0::double', 3)} as reference_y, {R('y.speed')} as reference_speed, cast((y.lat between -90 and 90 and y.lon between -180 and 180 and not (y.lat = 0 and y.lon = 0)) and not coalesce(since > 12 and y.speed > 3, false) as tinyint) as native_gnss_valid from y left join oo on oo.trip_key = y.trip_key""")
 def d22(spark, sf_dir):
     """A timeline: position-aligned phone and reference rows, metres about the first valid fix, validity."""
     from ..operators.outage import native_validity
@@ -135,7 +137,7 @@ def d22(spark, sf_dir):
     d = signals(spark, sf_dir)
     d = native_validity(d).withColumn("o", W.first_valid(F.struct("lat", "lon"), _c("gnss_valid")))
     e, n = S.to_enu(_c("lat"), _c("lon"), _c("o.lat"), _c("o.lon"))
-    return d.select("trip_key", "i", _c("t").alias("timestamp"), e.alias("reference_x"), n.alias("reference_y"), _c("speed").alias("reference_speed"), _c("native_valid").cast("byte").alias("native_gnss_valid"))
+    return d.select("trip_key", "i", rounded(_c("t")).alias("timestamp"), rounded(e, 3).alias("reference_x"), rounded(n, 3).alias("reference_y"), rounded(_c("speed")).alias("reference_speed"), _c("native_valid").cast("byte").alias("native_gnss_valid"))
 
 
 @query("a05_imu_usefulness", f"select trip_key, {R('greatest(abs(coalesce(corr(acc_x, speed), 0)), abs(coalesce(corr(acc_y, speed), 0)), abs(coalesce(corr(gyro_z, heading_deg), 0)))', 6)} as r from sig group by trip_key")
@@ -171,7 +173,10 @@ def p22(spark, sf_dir):
     return e.select("vec_id", rounded(F.aggregate(z, F.lit(0.0), lambda a, x: a + x), 4).alias("z"), rounded(S.unscale_speed(_c("e")[0], 12.432, 8.272), 4).alias("y"))
 
 
-@query("x05_low_pass")
+_TAPS = ", ".join(f"({k}, {v!r}::double)" for k, v in enumerate(fusion.impulse_response(80)))
+
+
+@query("x05_low_pass", f", h(k, v) as (values {_TAPS}) select s.trip_key, s.i, {R('sum(p.acc_x * h.v)')} as y from sig s join h on h.k <= s.i join sig p on p.trip_key = s.trip_key and p.i = s.i - h.k group by s.trip_key, s.i")
 def x05(spark, sf_dir):
     """The low-pass over whole series: a product with 80 values of its impulse response."""
     d = signals(spark, sf_dir)
@@ -239,10 +244,10 @@ def j12(spark, sf_dir):
     return graph.nearest_node(points, nodes).select("point_id", "node", rounded(_c("distance"), 4).alias("distance"))
 
 
-@query("j13_adjacency", _GRAPH + "select src, dst from edges where src % 7 = 0")
+@query("j13_adjacency", _GRAPH + "select src, dst from edges")
 def j13(spark, sf_dir):
     nodes, edges, _, _ = road(spark, sf_dir)
-    return graph.neighbours(nodes.where("id % 7 = 0").select("id"), edges).select("src", "dst")
+    return graph.neighbours(nodes.select("id"), edges).select("src", "dst")
 
 
 _CROP = ", near as (select *, row_number() over (order by id) - 1 as idx from nodes where x * x + y * y <= 250000)\n"
@@ -260,30 +265,38 @@ def s30(spark, sf_dir):
     return graph.crop(nodes, edges, 500.0)[0].select("id", _c("idx").cast("long").alias("idx"), "x", "y")
 
 
-@query("g01_shortest_path", _GRAPH + "select o.id as node, abs(o.x - s.x) + abs(o.y - s.y) as cost from nodes o cross join (select * from nodes where id = 12) s where exists (select 1 from edges e where e.src = o.id) and o.id between 10 and 99")
-def g01(spark, sf_dir):
-    """Cost of the cheapest route from one node to those of the full rows of the grid."""
-    _, edges, _, _ = road(spark, sf_dir)
+# The grid's cheapest ways are as long as their steps east and north; of equal ones the last node before is the least.
+_WAYS = _GRAPH.replace("with ", "with recursive ", 1) + f""", co as (select s.id as query, o.id as node, abs(o.x - s.x) + abs(o.y - s.y) as cost from nodes o join nodes s on s.id in (12, 55) where o.id = s.id and exists (select 1 from edges e where e.src = s.id) or exists (select 1 from edges e where e.src = o.id) and exists (select 1 from edges e where e.src = s.id)),
+pv as (select c.query, c.node, min(e.src) as prev from co c join edges e on e.dst = c.node join co d on d.query = c.query and d.node = e.src and abs(d.cost + e.cost - c.cost) < 1e-6 where c.node <> c.query group by c.query, c.node),
+pa as (select query, node, node as cur, 0 as back from co union all select p.query, p.node, v.prev, p.back + 1 from pa p join pv v on v.query = p.query and v.node = p.cur),
+ro as (select query, node, cur as id, max(back) over (partition by query, node) - back as step from pa)
+"""
+
+
+def _routes(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """Ways from two nodes to all others."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    start = edges.where("src = 12").select(F.lit(1).alias("query"), _c("src").alias("node")).distinct()
-    return graph.routes(edges, start).where("node between 10 and 99").select("node", "cost")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return graph.routes(edges, edges.where("src in (12, 55)").select(_c("src").alias("query"), _c("src").alias("node")).distinct())
 
 
-@query("g02_path_reconstruction")
+@query("g01_shortest_path", _WAYS + "select query, node, cost from co")
+def g01(spark, sf_dir):
+    return _routes(spark, road(spark, sf_dir)[1]).select("query", "node", "cost")
+
+
+@query("g02_path_reconstruction", _WAYS + "select co.query, co.node, min(co.cost) as cost, string_agg(cast(ro.id as varchar), ' ' order by ro.step) as path from co join ro on ro.query = co.query and ro.node = co.node group by co.query, co.node")
 def g02(spark, sf_dir):
-    _, edges, _, _ = road(spark, sf_dir)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    start = edges.where("src in (12, 55)").select(_c("src").alias("query"), _c("src").alias("node")).distinct()
-    return graph.routes(edges, start).where("node between 60 and 69").select("query", "node", "cost", "path")
+    return graph.with_paths(_routes(spark, road(spark, sf_dir)[1])).select("query", "node", "cost", F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("path"))
 
 
-@query("g03_latlon_route")
+@query("g03_latlon_route", _WAYS + f"select p.query, p.node, cast(p.step as bigint) as step, {R('52.4::double + degrees(y / 6378137.0::double)', 7)} as lat, {R('-1.5::double + degrees(x / (6378137.0::double * cos(radians(52.4::double))))', 7)} as lon from ro p join nodes on nodes.id = p.id")
 def g03(spark, sf_dir):
-    nodes, _, _, _ = road(spark, sf_dir)
+    """The points of each way."""
+    nodes, edges, _, _ = road(spark, sf_dir)
     lat, lon = S.from_enu(_c("x"), _c("y"), F.lit(52.4), F.lit(-1.5))
-    return g02(spark, sf_dir).select("query", "node", F.posexplode("path").alias("step", "id")).join(nodes, "id").select("query", "node", "step", lat.alias("lat"), lon.alias("lon"))
+    steps = graph.with_paths(_routes(spark, edges)).select("query", "node", F.posexplode("path").alias("step", "id"))
+    return steps.join(nodes, "id").select("query", "node", _c("step").cast("long").alias("step"), rounded(lat, 7).alias("lat"), rounded(lon, 7).alias("lon"))
 
 
 # ---------------------------------------------------------------- models and fusion
@@ -337,12 +350,25 @@ def s34(spark, sf_dir):
     return e.select("event_id", F.explode(logs.route_steps(body)).alias("s")).select("event_id", "s.instruction", "s.distance_m", "s.lat")
 
 
-@query("s33_route_cascade", _GRAPH + f"select point_id, {R('2 * 6371000.0::double * asin(sqrt(pow(sin(radians(n / 1000) / 2), 2) + cos(radians(52.0::double)) * cos(radians(52.0::double + n / 1000)) * pow(sin(radians(e / 1000) / 2), 2))) / 8.33::double', 4)} as duration_s from points")
+_FROM_E, _FROM_N = 210.0, 110.0
+_STRAIGHT = f"2 * 6371000.0::double * asin(sqrt(pow(sin(radians((n - {_FROM_N}) / 111000.0::double) / 2), 2) + cos(radians(52.0::double + {_FROM_N} / 111000.0::double)) * cos(radians(52.0::double + n / 111000.0::double)) * pow(sin(radians((e - {_FROM_E}) / 111000.0::double) / 2), 2)))"
+
+
+@query("s33_route_cascade", _WAYS + f""", nn as (select p.point_id, p.e, p.n, o.id as node, sqrt(pow(p.e - o.x, 2) + pow(p.n - o.y, 2)) as off, row_number() over (partition by p.point_id order by sqrt(pow(p.e - o.x, 2) + pow(p.n - o.y, 2)), o.id) as rk from points p cross join nodes o),
+ds as (select point_id, case when co.node is null then 'straight' else 'offline' end as source, case when co.node is null then {_STRAIGHT} when co.node = 12 then sqrt(pow(e - {_FROM_E}, 2) + pow(n - {_FROM_N}, 2)) else sqrt(200.0::double) + co.cost + off end as distance_m from nn left join co on co.query = 12 and co.node = nn.node where rk = 1)
+select point_id, source, {R('distance_m', 3)} as distance_m, {R('distance_m / 8.33::double', 3)} as duration_s from ds""")
 def s33(spark, sf_dir):
-    """The straight line where no route is known."""
-    p = road(spark, sf_dir)[3]
-    steps = S.straight_steps(F.lit(52.0), F.lit(-1.0), F.lit(52.0) + _c("n") / 1000, F.lit(-1.0) + _c("e") / 1000)
-    return p.select("point_id", rounded(F.coalesce(F.lit(None).cast("double"), steps[0]["duration_s"]), 4).alias("duration_s"))
+    """Each point from one origin: over the road graph where it has a way, else the straight line."""
+    nodes, edges, _, points = road(spark, sf_dir)
+    near = graph.nearest_node(points, nodes).select("point_id", "node", _c("distance").alias("off"))
+    way = _routes(spark, edges).where("query = 12").select("node", "cost")
+    d = points.join(near, "point_id").join(way, "node", "left")
+    deg = lambda x, at: F.lit(at) + x / F.lit(111_000.0)
+    straight = S.straight_steps(deg(F.lit(_FROM_N), 52.0), deg(F.lit(_FROM_E), -1.0), deg(_c("n"), 52.0), deg(_c("e"), -1.0))[0]["distance_m"]
+    direct = F.sqrt((_c("e") - _FROM_E) ** 2 + (_c("n") - _FROM_N) ** 2)
+    offline = F.when(_c("cost").isNull(), F.lit(None).cast("double")).when(_c("node") == 12, direct).otherwise( F.sqrt(F.lit(200.0)) + _c("cost") + _c("off"))
+    d = d.withColumn("distance_m", F.coalesce(offline, straight))
+    return d.select("point_id", F.when(_c("cost").isNotNull(), "offline").otherwise("straight").alias("source"), rounded(_c("distance_m"), 3).alias("distance_m"), rounded(_c("distance_m") / 8.33, 3).alias("duration_s"))
 
 
 # ---------------------------------------------------------------- line formats

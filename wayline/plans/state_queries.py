@@ -1,18 +1,21 @@
-"""Queries of the fusion step's parts, each alone on every row, and of the log readers on files written for it."""
+"""Queries of the fusion step's parts: each act of the filter alone on every row, and the state of sessions."""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import deadreckon, outage
+from ..operators import deadreckon, graph
+from ..sources.graphs import read_segments, shared_folder, write_graph
 from ..sources.signals import signals
 from ..streaming import fusion
-from .other_queries import _GRAPH, fusion_rows, road, snapped
+from .other_queries import _GRAPH, _SNAP, fusion_rows, road
 from .reckoning_queries import _WIN0, _run_sql, fixed, vehicle
 from .registry import query, rounded
-from .series_queries import R
+from .series_queries import OVER, UPTO, R
 
 _c = F.col
 _OUT = "trip_key long, i int, ve double, vn double, heading double, pos_std double, done boolean"
@@ -82,10 +85,47 @@ _alone("f10_position_gate", lambda e, at, r: e.position(at, r["k"] * 2.0, np.zer
 _alone("f11_heading_gate", lambda e, at, r: e.heading(at, np.radians(r["heading_deg"] + r["k"] * 2), fusion.GNSS_HEADING, gate=True), _toward("radians(heading_deg + k * 2)", "radians(1.5::double)", gate=True))
 
 query("x03_gnss_side_input")(lambda s, d: fusion.fuse_batch(fusion_rows(s, d).withColumn("gnss_valid", _c("gnss_valid") & (F.pmod(F.floor(_c("t")), F.lit(2)) == 0))).select("session", "t", "mode", "gnss_health"))
-query("x06_window_reset")(lambda s, d: fusion.fuse_batch(fusion_rows(s, d).withColumn("acc_z", F.when(F.pmod(F.floor(_c("t") * 10), F.lit(97)) == 0, 40.0).otherwise(_c("acc_z")))).select("session", "t", "pothole", "window_fill"))
-query("x07_aligner_phases")(lambda s, d: fusion.fuse_batch(fusion_rows(s, d).withColumn("gyro_z", F.lit(0.0))).groupBy("session", "phase").agg(F.count("*").alias("n")))
+# Debouncing in SQL: a run of 2 good or 5 bad fixes decides; outputs begin with the first fix that is used.
+_USED = f""", ru as (select *, row_number() {OVER} as ord, sum(case when gnss_valid is distinct from pv then 1 else 0 end) {UPTO} as run from (select *, lag(gnss_valid) {OVER} as pv from sig) x),
+de as (select *, row_number() over (partition by trip_key, run order by i) as rs from ru),
+us as (select *, gnss_valid and coalesce(last_value(case when gnss_valid and rs >= 2 then 1 when not gnss_valid and rs >= 5 then 0 end ignore nulls) {UPTO}, 1) = 1 as used from de),
+st as (select trip_key as k0, min(i) as first from us where used group by trip_key)
+"""
+
+
+@query("x06_window_reset", f"""{_USED}, po as (select *, floor(t * 10)::bigint % 97 = 0 or least(abs(acc_z - 9.81::double), abs(acc_z + 9.81::double)) > 15 as pothole from us), gr as (select *, sum(case when pothole then 1 else 0 end) {UPTO} as g from po),
+fi as (select *, row_number() over (partition by trip_key, g order by i) as nth from gr) select cast(trip_key as varchar) as session, {R('t')} as t, pothole, cast(least(60, nth) as integer) as window_fill from fi join st on k0 = trip_key and i >= first""")
+def x06(spark, sf_dir):
+    d = fusion_rows(spark, sf_dir).withColumn("acc_z", F.when(F.pmod(F.floor(_c("t") * 10), F.lit(97)) == 0, 40.0).otherwise(_c("acc_z")))
+    return fusion.fuse_batch(d).select("session", rounded(_c("t")).alias("t"), "pothole", "window_fill")
+
+
+@query("x07_aligner_phases", f"""{_USED}, dy as (select *, sum(case when used and ord >= 50 and value / 10.0::double >= 3 and k <> 0 then 1 else 0 end) {UPTO} as turns from us)
+select cast(trip_key as varchar) as session, case when turns >= 60 then 'CALIBRATED' when ord >= 50 then 'STATIC_DONE' else 'UNCALIBRATED' end as phase, count(*) as n from dy join st on k0 = trip_key and i >= first group by all""")
+def x07(spark, sf_dir):
+    return fusion.fuse_batch(fusion_rows(spark, sf_dir).withColumn("gyro_z", F.lit(0.0))).groupBy("session", "phase").agg(F.count("*").alias("n"))
+
+
 query("x19_reinit")(lambda s, d: fusion.fuse_batch(fusion_rows(s, d)).where("mode = 'GNSS_REACQUIRE'").select("session", "t", "pos_std"))
-query("x22_static_map_join")(snapped)
+@query("x22_static_map_join", _SNAP)
+def x22(spark, sf_dir):
+    """A stream of points against the map as it is stored: each batch of the stream meets the whole of the static side."""
+    nodes, edges, segments, points = road(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/wayline/map-{uuid.uuid4().hex}"
+    write_graph(nodes, edges, segments, 52.0, -1.0, f"{folder}/graph")
+    points.repartition(4).write.parquet(f"{folder}/points")
+    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/points")
+    static = read_segments(spark, f"{folder}/graph", 52.0, -1.0)
+
+    def matched(batch, number: int) -> None:
+        graph.snap(batch, static).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    q = stream.writeStream.foreachBatch(matched).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    d = spark.read.parquet(f"{folder}/out")
+    return d.select("point_id", rounded(_c("snap_e"), 4).alias("snap_e"), rounded(_c("snap_n"), 4).alias("snap_n"), "snapped")
+
+
 query("x23_session_reset")(lambda s, d: fusion.fuse_batch(fusion_rows(s, d).withColumn("session", F.concat("session", F.lit("/"), F.floor(_c("t") / 24)))).groupBy("session").agg(F.count("*").alias("n"), F.min("t").alias("t0")))
 
 
