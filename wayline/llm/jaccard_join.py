@@ -411,9 +411,26 @@ def _pairs(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
 # ---------------------------------------------------------------- verification
 
 
+def within_bound(pairs: DataFrame, member: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of classes whose FINE groups allow a link: 256 bytes a side are read for it, not whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m, n = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, FINE) for k in (4, 5))
+            ok = np.minimum(x, y).sum(axis=1, dtype=np.int64) >= least_overlap(m, n, percent)
+            yield b.select([0, 1]).filter(pa.array(ok | (x == 255).any(axis=1) | (y == 255).any(axis=1)))
+
+    of = lambda c, n, f: member.select(F.col("class").alias(c), F.col("n").alias(n), F.col("fine").alias(f))
+    d = pairs.join(of("a", "m", "x"), "a").join(of("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y")
+    return d.mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, member: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) of classes that link. member: (class, doc_id, n), a text for each class."""
-    pairs = stage(pairs.distinct(), "pairs")
+    """The pairs (a, b) of classes that link. member: (class, doc_id, n, fine), a text for each class."""
+    found = stage(pairs.distinct(), "found")
+    pairs = stage(within_bound(found, member, percent), "pairs")
+    discard(found)
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(member, "class").select("class", F.col("doc_id").alias("__d"))
     wanted = stage(wanted, "wanted")
     # Only texts that may be wanted are shuffled.
