@@ -46,3 +46,18 @@ def test_pages_round_trip(spark, tmp_path):
     out = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_and_read(pages).collect())
     assert out == [(0, 100, "response", None), (1, 200, "response", None), (2, 200, "revisit", 1), (3, 0, "response", None), (4, 0, "response", None), (5, 99, "response", None), (6, 99, "response", None), (7, 100, "revisit", 0), (8, 500_000, "response", None), (8, 500_000, "response", None)]
     assert warc.archive_and_read(pages.limit(0)).collect() == []
+
+
+def test_ids_of_any_kind_and_other_columns(spark):
+    rows = [("b /ü", "u", "x" * 200, 1), ("a+%", "u", "x" * 200, 2), (None, "u", "x" * 200, 3), ("c", None, "", 4), ("d", None, None, 5)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string, payload int").withColumnRenamed("payload", "digest")
+    out = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_and_read(pages).collect()), key=repr)
+    assert out == sorted([("a+%", 200, "response", None), ("b /ü", 200, "revisit", "a+%"), (None, 200, "response", None), ("c", 0, "response", None), ("d", 0, "response", None)], key=repr)
+
+
+def test_lost_records_are_noticed(spark, monkeypatch):
+    read = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda files, folder: read(files, folder).limit(2))
+    pages = spark.createDataFrame([(k, "u", "x" * 200) for k in range(5)], "page_id long, url string, html string")
+    with pytest.raises(RuntimeError, match="5 records were written, 2 were read"):
+        warc.archive_and_read(pages)

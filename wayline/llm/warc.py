@@ -16,6 +16,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -49,6 +50,11 @@ def gzip_member(data: bytes, level: int = 4) -> bytes:
     return z.compress(data) + z.flush()
 
 
+def page_urn(page_id) -> str:
+    """The name of a page's record; that of a page without an id ends after the colon."""
+    return "urn:page:" + ("" if page_id is None else quote(str(page_id), safe=""))
+
+
 def clean_uri(uri: str | None, fallback: str) -> str:
     return "".join(f"%{ord(c):02X}" if c <= " " or c == "\x7f" else c for c in uri) if uri else fallback
 
@@ -59,9 +65,10 @@ def with_roles(pages: DataFrame, page_id: str = "page_id", html: str = "html", l
     payloads are repeated."""
     d = pages.withColumn("payload", F.coalesce(F.encode(html, "UTF-8"), F.lit(b"")))
     d = d.withColumn("digest", F.sha2("payload", 256))
-    long = d.where(F.octet_length("payload") >= least)
-    firsts = stage(long.groupBy("digest").agg(F.min(page_id).alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id"), "firsts")
-    d = d.join(firsts.withColumnRenamed("digest", "__d"), F.col("digest") == F.col("__d"), "left").drop("__d")
+    # Short payloads have no key: they meet nowhere, however many pages are empty.
+    d = d.withColumn("__key", F.when(F.octet_length("payload") >= least, F.col("digest")))
+    firsts = stage(d.where("__key is not null").groupBy("digest").agg(F.min(page_id).alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id"), "firsts")
+    d = d.join(firsts.withColumnRenamed("digest", "__d"), F.col("__key") == F.col("__d"), "left").drop("__d", "__key")
     return d.withColumn("first_id", F.when(F.col("first_id") != F.col(page_id), F.col("first_id")))
 
 
@@ -79,7 +86,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
                 if out is None:
                     name, size, records = f"{root}/{uuid.uuid4().hex}.warc" + ".gz" * gzip, 0, 0
                     out = store.open_output_stream(name, compression=None)
-                record = record_bytes("response" if first is None else "revisit", f"urn:page:{pid}", clean_uri(uri, f"urn:page:{pid}"), payload, digest, None if first is None else f"urn:page:{first}")
+                record = record_bytes("response" if first is None else "revisit", page_urn(pid), clean_uri(uri, page_urn(pid)), payload, digest, None if first is None else page_urn(first))
                 data = gzip_member(record) if gzip else record
                 out.write(data)
                 size, records = size + len(data), records + 1
@@ -258,20 +265,26 @@ def archive_and_read(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write (page_id, url, html) as WARC, read it back, and return what the archives say of each page.
 
     page_id, payload_bytes, payload_digest, record_type and refers_to (a revisit has its response's bytes). Null html is
-    an empty payload; a null url is written as urn:page:<id>; page_id must not be null. Two rows with one page_id
-    are two records; with equal payloads both are responses. Other columns are ignored.
+    an empty payload; a null url is written as the record's own name; a null page_id is a page that is never referred to, and its
+    record a response. Two rows with one page_id are two records; with equal payloads both are responses. page_id may be a number
+    or a string. Other columns are ignored. Fails if the archives give fewer records than were written, with the gaps' number.
     """
     spark: SparkSession = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
+    kind = pages.schema["page_id"].dataType
     manifest = write_archives(with_roles(pages.select("page_id", "url", "html")), folder)
-    n = max(1, manifest.count())
-    back = read_archives(manifest.repartition(min(n, 10_000), "file"), folder).where("kind = 'record'")
-    page = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("long")
-    digest = F.sha2("payload", 256)
-    records = stage(
-        back.select(page(F.col("record_id")).alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.when(F.col("warc_type") == "revisit", F.col("declared_digest")).otherwise(digest).alias("payload_digest"), F.col("warc_type").alias("record_type"), page(F.col("refers_to")).alias("refers_to")),
+    written = manifest.agg(F.count("*").alias("files"), F.sum("records").alias("records")).first()
+    back = read_archives(manifest.repartition(min(max(1, written["files"]), 10_000), "file"), folder)
+    page = lambda c: F.nullif(F.try_url_decode(F.regexp_extract(c, "^urn:page:(.*)$", 1)), F.lit("")).cast(kind)
+    digest = F.when(F.col("warc_type") == "revisit", F.col("declared_digest")).otherwise(F.sha2("payload", 256))
+    everything = stage(
+        back.select("kind", "file", "start", "end", "reason", page(F.col("record_id")).alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), digest.alias("payload_digest"), F.col("warc_type").alias("record_type"), page(F.col("refers_to")).alias("refers_to")),
         "records",
     )
+    read = everything.agg(F.count(F.when(F.col("kind") == "record", 1)).alias("records"), F.count(F.when(F.col("kind") == "gap", 1)).alias("gaps")).first()
+    if read["records"] != (written["records"] or 0):
+        raise RuntimeError(f"{written['records']} records were written, {read['records']} were read; {read['gaps']} byte gaps")
+    records = everything.where("kind = 'record'").drop("kind", "file", "start", "end", "reason")
     named = records.where("record_type = 'revisit'").select(F.col("refers_to").alias("__page"), F.col("payload_digest").alias("__digest")).distinct()
     origin = records.where("record_type = 'response'").select(F.col("page_id").alias("__page"), F.col("payload_digest").alias("__digest"), F.col("payload_bytes").alias("__bytes"))
     origin = named.join(origin, ["__page", "__digest"]).groupBy("__page", "__digest").agg(F.max("__bytes").alias("__bytes"))
