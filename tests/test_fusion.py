@@ -81,6 +81,17 @@ def test_sessions_in_lock_step_are_sessions_alone(spark):
     assert not got
 
 
+def test_reset_is_a_session_of_its_own(spark):
+    from pyspark.sql import functions as F
+
+    data = rows("a", 200, (40, 70)) + rows("b", 150, (0, 3), 2)
+    df = spark.createDataFrame(data, fusion.INPUT)
+    part = F.floor(F.col("t") / 6)
+    own = {r.t: r for r in fusion.fuse_batch(df.where("session = 'a'").withColumn("session", F.concat("session", part))).collect()}
+    got = fusion.fuse_batch(df.withColumn("reset", F.round(F.col("t") % 6, 6).isin(0.0, 6.0))).where("session = 'a'").collect()
+    assert len(got) == len(own) and all(r.lat == pytest.approx(own[r.t].lat, abs=1e-12) and r.phase == own[r.t].phase for r in got)
+
+
 def test_batch_is_stream(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     data = rows("a", 120, (40, 70)) + rows("b", 120, (60, 90), 2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,21 +52,24 @@ def training_windows(rows: DataFrame, features: list[str], target: str, seconds:
     """(by, end, X, y): windows of each sequence's own length, round(seconds * rate) rows and 2 at least, without gaps or missing
     values. X is an array of rows of features.
 
-    Rows are sent to the windows they are part of, so lengths may differ by sequence; the shuffle is by sequence alone.
+    Lengths may differ by sequence, a window function's frame may not: sequences are taken by length up to the next power of
+    two, and each window is the end of such a frame. One shuffle by sequence, and no row travels to the windows it is part of.
     """
     w = W.over(by)
-    dt = W.diff(F.col("t"), w)
-    d = rows.withColumn("__dt", dt)
+    d = rows.withColumn("__dt", W.diff(F.col("t"), w))
     rate = d.groupBy(by).agg(F.greatest(F.lit(2), F.bround(F.lit(seconds) / F.median(F.when(F.col("__dt") > 0, F.col("__dt")))).cast("int")).alias("wlen"))
-    d = d.withColumn("__bad", (F.coalesce(F.col("__dt") > max_gap_s, F.lit(False)) | F.greatest(*[F.col(c).isNull() for c in features]) | F.col(target).isNull()).cast("int"))
-    d = d.withColumn("__cum", F.sum("__bad").over(W.upto(by))).join(rate, by)
-    ends = d.where((F.col("i") >= F.col("wlen") - 1) & ((F.col("i") - F.col("wlen") + 1) % stride == 0)).select(by, F.col("i").alias("end"), "wlen", F.col("__cum").alias("__c1"), F.col(target).cast("float").alias("y"))
-    start = d.select(by, F.col("i").alias("__s"), (F.col("__cum") - F.col("__bad")).alias("__c0"))
-    ends = ends.withColumn("__s", F.col("end") - F.col("wlen") + 1).join(start, [by, "__s"]).where("__c1 = __c0")
-    parts = ends.select(by, "end", "y", F.explode(F.sequence("__s", "end")).alias("i"))
-    x = rows.select(by, "i", F.array(*[F.col(c).cast("float") for c in features]).alias("x"))
-    out = parts.join(x, [by, "i"]).groupBy(by, "end", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("X"))
-    return out.select(by, "end", "X", "y")
+    rate = rate.where("wlen is not null").withColumn("__frame", F.ceil(F.log2("wlen")).cast("int"))
+    frames = sorted(r[0] for r in rate.select("__frame").distinct().collect())  # at most 31
+    bad = F.coalesce(F.col("__dt") > max_gap_s, F.lit(False)) | F.greatest(*[F.col(c).isNull() for c in features]) | F.col(target).isNull()
+    row = F.struct(F.array(*[F.col(c).cast("float") for c in features]).alias("x"), bad.alias("bad"))
+    d = d.join(rate, by)
+    parts = [d.where(F.col("__frame") == k).withColumn("__rows", F.collect_list(row).over(w.rowsBetween(1 - (1 << k), 0))) for k in frames]
+    if not parts:
+        parts = [d.withColumn("__rows", F.array(row)).limit(0)]
+    wlen, i = F.col("wlen"), F.col("i")
+    out = reduce(DataFrame.unionByName, parts).where((i >= wlen - 1) & ((i - wlen + 1) % stride == 0))
+    out = out.withColumn("__rows", F.slice("__rows", F.size("__rows") - wlen + 1, wlen)).where(~F.exists("__rows", lambda x: x["bad"]))
+    return out.select(by, i.alias("end"), F.transform("__rows", lambda x: x["x"]).alias("X"), F.col(target).cast("float").alias("y"))
 
 
 def leakage_issues(splits: DataFrame, features: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import deadreckon, graph
@@ -86,22 +87,28 @@ _alone("f11_heading_gate", lambda e, at, r: e.heading(at, np.radians(r["heading_
 
 query("x03_gnss_side_input")(lambda s, d: fusion.fuse_batch(fusion_rows(s, d).withColumn("gnss_valid", _c("gnss_valid") & (F.pmod(F.floor(_c("t")), F.lit(2)) == 0))).select("session", "t", "mode", "gnss_health"))
 # Debouncing in SQL: a run of 2 good or 5 bad fixes decides; outputs begin with the first fix that is used.
-_USED = f""", ru as (select *, row_number() {OVER} as ord, sum(case when gnss_valid is distinct from pv then 1 else 0 end) {UPTO} as run from (select *, lag(gnss_valid) {OVER} as pv from sig) x),
-de as (select *, row_number() over (partition by trip_key, run order by i) as rs from ru),
-us as (select *, gnss_valid and coalesce(last_value(case when gnss_valid and rs >= 2 then 1 when not gnss_valid and rs >= 5 then 0 end ignore nulls) {UPTO}, 1) = 1 as used from de),
-st as (select trip_key as k0, min(i) as first from us where used group by trip_key)
+def _used(key: str = "trip_key", rows: str = "sig") -> str:
+    over = f"over (partition by {key} order by i)"
+    upto = f"over (partition by {key} order by i rows between unbounded preceding and current row)"
+    return f""", ru as (select *, row_number() {over} as ord, sum(case when gnss_valid is distinct from pv then 1 else 0 end) {upto} as run from (select *, lag(gnss_valid) {over} as pv from {rows}) x),
+de as (select *, row_number() over (partition by {key}, run order by i) as rs from ru),
+us as (select *, gnss_valid and coalesce(last_value(case when gnss_valid and rs >= 2 then 1 when not gnss_valid and rs >= 5 then 0 end ignore nulls) {upto}, 1) = 1 as used from de),
+st as (select {key}, min(i) as first from us where used group by {key})
 """
 
 
+_USED = _used()
+
+
 @query("x06_window_reset", f"""{_USED}, po as (select *, floor(t * 10)::bigint % 97 = 0 or least(abs(acc_z - 9.81::double), abs(acc_z + 9.81::double)) > 15 as pothole from us), gr as (select *, sum(case when pothole then 1 else 0 end) {UPTO} as g from po),
-fi as (select *, row_number() over (partition by trip_key, g order by i) as nth from gr) select cast(trip_key as varchar) as session, {R('t')} as t, pothole, cast(least(60, nth) as integer) as window_fill from fi join st on k0 = trip_key and i >= first""")
+fi as (select *, row_number() over (partition by trip_key, g order by i) as nth from gr) select cast(trip_key as varchar) as session, {R('t')} as t, pothole, cast(least(60, nth) as integer) as window_fill from fi join st using (trip_key) where i >= first""")
 def x06(spark, sf_dir):
     d = fusion_rows(spark, sf_dir).withColumn("acc_z", F.when(F.pmod(F.floor(_c("t") * 10), F.lit(97)) == 0, 40.0).otherwise(_c("acc_z")))
     return fusion.fuse_batch(d).select("session", rounded(_c("t")).alias("t"), "pothole", "window_fill")
 
 
 @query("x07_aligner_phases", f"""{_USED}, dy as (select *, sum(case when used and ord >= 50 and value / 10.0::double >= 3 and k <> 0 then 1 else 0 end) {UPTO} as turns from us)
-select cast(trip_key as varchar) as session, case when turns >= 60 then 'CALIBRATED' when ord >= 50 then 'STATIC_DONE' else 'UNCALIBRATED' end as phase, count(*) as n from dy join st on k0 = trip_key and i >= first group by all""")
+select cast(trip_key as varchar) as session, case when turns >= 60 then 'CALIBRATED' when ord >= 50 then 'STATIC_DONE' else 'UNCALIBRATED' end as phase, count(*) as n from dy join st using (trip_key) where i >= first group by all""")
 def x07(spark, sf_dir):
     return fusion.fuse_batch(fusion_rows(spark, sf_dir).withColumn("gyro_z", F.lit(0.0))).groupBy("session", "phase").agg(F.count("*").alias("n"))
 
@@ -126,7 +133,14 @@ def x22(spark, sf_dir):
     return d.select("point_id", rounded(_c("snap_e"), 4).alias("snap_e"), rounded(_c("snap_n"), 4).alias("snap_n"), "snapped")
 
 
-query("x23_session_reset")(lambda s, d: fusion.fuse_batch(fusion_rows(s, d).withColumn("session", F.concat("session", F.lit("/"), F.floor(_c("t") / 24)))).groupBy("session").agg(F.count("*").alias("n"), F.min("t").alias("t0")))
+@query("x23_session_reset", ", sg as (select *, cast(floor(t / 24) as bigint) as part from sig)" + _used("trip_key, part", "sg") + f"select cast(trip_key as varchar) as session, part, count(*) as n, {R('min(t)')} as t0 from us join st using (trip_key, part) where i >= first group by trip_key, part")
+def x23(spark, sf_dir):
+    """Each session begins anew every 24 seconds: the first output after that waits for a fix again."""
+    part = F.floor(_c("t") / 24)
+    d = fusion_rows(spark, sf_dir).withColumn("part", part)
+    d = d.withColumn("reset", F.coalesce(_c("part") != F.lag("part").over(Window.partitionBy("session").orderBy("t")), F.lit(False)))
+    return fusion.fuse_batch(d).groupBy("session", part.alias("part")).agg(F.count("*").alias("n"), rounded(F.min("t")).alias("t0"))
+
 
 
 @query("m01_pluggable_sources", _run_sql(_WIN0, (("walk", "north"), ("hold", "north")), f"select trip_key, speed_source, heading_source, {R('final_m', 3)} as final_m from me").replace("so as (select *,", "so as (select *, 1.4::double as v_walk, 0.0::double as h_north,"))

@@ -242,6 +242,12 @@ class Sessions:
             getattr(x, name)[: len(self.t)] = getattr(*mine[k])
         return out
 
+    def forget(self, at: np.ndarray) -> None:
+        """Begin these sessions anew."""
+        new = Sessions(1, self.c).parts()
+        for k, (x, name) in self.parts().items():
+            getattr(x, name)[at] = getattr(*new[k])[0]
+
     def dump(self) -> str:
         return json.dumps({k: getattr(x, name).tolist() for k, (x, name) in self.parts().items()})
 
@@ -252,8 +258,10 @@ class Sessions:
 
     def push(self, at: np.ndarray, r: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """A row for each session in `at` (none twice), as arrays by column. Returns which rows give an output, and the outputs:
-        none for late and repeated rows and before the first fix."""
+        none for late and repeated rows and before the first fix. A row with `reset` begins its session anew."""
         c, ekf = self.c, self.ekf
+        if r.get("reset") is not None:
+            self.forget(at[r["reset"]])
         rows = np.flatnonzero(~(r["t"] <= self.t[at]))
 
         def only(keep: np.ndarray) -> None:
@@ -334,7 +342,12 @@ class Sessions:
 
 
 def _columns(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-    return {k: pdf[k].to_numpy(float, na_value=np.nan) for k in _NUMBERS} | {"gnss_valid": pdf["gnss_valid"].fillna(False).to_numpy(bool)}
+    flags = [c for c in ("gnss_valid", "reset") if c in pdf.columns]
+    return {k: pdf[k].to_numpy(float, na_value=np.nan) for k in _NUMBERS} | {c: pdf[c].fillna(False).to_numpy(bool) for c in flags}
+
+
+def _input(rows: DataFrame) -> DataFrame:
+    return rows.select(*_IN, *[c for c in rows.columns if c == "reset"])
 
 
 def _steps(sessions: Sessions, at: np.ndarray, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -355,7 +368,8 @@ def _steps(sessions: Sessions, at: np.ndarray, pdf: pd.DataFrame) -> pd.DataFram
 
 
 def fuse_batch(rows: DataFrame, config: Config = Config()) -> DataFrame:
-    """Outputs of every session of a table with the columns of INPUT.
+    """Outputs of every session of a table with the columns of INPUT; a boolean column `reset`, if there is one, clears a session's
+    state before its row is taken.
 
     Sessions are dealt to tasks and a task's rows go by in order of time, so that it steps all its sessions at once, and holds
     their states and one batch of rows.
@@ -369,7 +383,7 @@ def fuse_batch(rows: DataFrame, config: Config = Config()) -> DataFrame:
                 sessions = sessions.grown(2 * len(known))
             yield _steps(sessions, at, pdf)
 
-    return rows.select(*_IN).repartition("session").sortWithinPartitions("t").mapInPandas(run, OUTPUT)
+    return _input(rows).repartition("session").sortWithinPartitions("t").mapInPandas(run, OUTPUT)
 
 
 def fuse_stream(rows: DataFrame, config: Config = Config()) -> DataFrame:
@@ -396,4 +410,4 @@ def fuse_stream(rows: DataFrame, config: Config = Config()) -> DataFrame:
         def close(self) -> None:
             pass
 
-    return rows.select(*_IN).groupBy("session").transformWithStateInPandas(Processor(), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
+    return _input(rows).groupBy("session").transformWithStateInPandas(Processor(), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
