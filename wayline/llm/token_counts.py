@@ -11,6 +11,9 @@ Two deterministic machines stand for a byte-level BPE tokenizer:
   annotated with the change in the number of emitted tokens. BPE has one segmentation in which all neighbours
   are a valid pair, so the last token of every prefix is determined and the machine is deterministic. States
   are made when they are first reached; beyond `MAX_STATES` the machine starts anew, with the same counts.
+
+Only the splitter's maps are composed by the scan. Once pre-tokens are marked they are independent, so the merger runs over
+distinct ones, each with its count of emitted tokens, and the counts are added up; no state is carried across.
 """
 
 from __future__ import annotations
