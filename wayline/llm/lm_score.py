@@ -116,10 +116,24 @@ def _sequence(arrays: dict[str, np.ndarray], name: str) -> EliasFano:
 # ---------------------------------------------------------------- the model
 
 
+def fits(shard: np.ndarray, span: int) -> bool:
+    """Whether pairs of these shards are numbers of 64 bits."""
+    return len(shard) > 0 and (int(shard.max()) + 1) * span <= 2**64
+
+
+def joined(shard: np.ndarray, local: np.ndarray, span: int) -> np.ndarray:
+    return shard.astype(np.uint64) * np.uint64(span % 2**64) + local.astype(np.uint64)
+
+
+def by_shard(shard: np.ndarray, shards: int) -> np.ndarray:
+    """An order by shard alone."""
+    return np.argsort(shard.astype(np.int16) if shards < 2**15 else shard, kind="stable")
+
+
 def distinct(shard: np.ndarray, local: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """An order of pairs by (shard, local), and where in it each distinct pair begins. span: more than any local."""
-    if len(shard) and (int(shard.max()) + 1) * span <= 2**64:
-        order = np.argsort(shard.astype(np.uint64) * np.uint64(span % 2**64) + local.astype(np.uint64), kind="stable")
+    if fits(shard, span):
+        order = np.argsort(joined(shard, local, span))
     else:
         order = np.lexsort((local, shard))
     s, x = shard[order], local[order]
@@ -209,23 +223,24 @@ class Model:
             count[at][ok] = total.get(k[ok] + 1) - total.get(k[ok])
         return node, count
 
-    def find(self, level: int, shard: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For children at sorted places: node or -1, its probability over the parent's count (0 if unknown), the parent's
-        back-off weight, and the number of the parent's first child."""
+    def find(self, level: int, shard: np.ndarray, code: np.ndarray, weights: bool = True, firsts: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For children at places in order of shards: node or -1, its probability over the parent's count (0 if unknown) and the
+        parent's back-off weight (if `weights`), and the number of the parent's first child (if `firsts`)."""
         lev = self.levels[level]
         node, first = np.full(len(code), -1, np.int64), np.zeros(len(code), np.int64)
         alpha, gamma = np.zeros(len(code)), np.ones(len(code))
         local = code // lev.width
         for s, at, arrays in self._each_shard(shard, level):
             e, pointers = _sequence(arrays, "nodes"), _sequence(arrays, "pointers")
-            each = np.flatnonzero(np.diff(local[at], prepend=-1))  # parents once each: codes are sorted
-            times = np.diff(each, append=at.stop - at.start)
-            gamma[at] = np.repeat(restore(arrays["gamma"][local[at][each]]), times)
-            first[at] = np.repeat(lev.starts[s] + pointers.get(local[at][each]), times)
+            if firsts:
+                each = np.flatnonzero(np.diff(local[at], prepend=-1))  # neighbours of one parent once
+                first[at] = np.repeat(lev.starts[s] + pointers.get(local[at][each]), np.diff(each, append=at.stop - at.start))
             k, exact = e.locate(code[at])
             ok = np.flatnonzero(exact)
             node[at][ok] = lev.starts[s] + k[ok]
-            alpha[at][ok] = restore(arrays["alpha"][k[ok]])
+            if weights:
+                gamma[at] = restore(arrays["gamma"][local[at]])
+                alpha[at][ok] = restore(arrays["alpha"][k[ok]])
         if len(lev.cut):
             parent = lev.parent[shard] + local
             k = np.minimum(np.searchsorted(lev.cut, parent), len(lev.cut) - 1)
@@ -265,11 +280,12 @@ def read_tokens(model: Model, col: pa.Array) -> Tokens:
     return Tokens(node[at], count[at], place, rows)
 
 
-def walk(model: Model, t: Tokens, levels: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def walk(model: Model, t: Tokens, levels: int, scoring: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Level by level: (level, tokens whose context is a node on it, alpha and gamma of these, and of all tokens their node on
     the level and its number among its parent's children; -1 where there is none).
 
-    The token's own nodes of one level are the contexts of its successor on the next.
+    The token's own nodes of one level are the contexts of its successor on the next. When scoring, nothing asks for numbers on
+    the last level, nor, when counting, for weights.
     """
     node, rank = t.node, t.node
     for level in range(1, levels):
@@ -278,9 +294,16 @@ def walk(model: Model, t: Tokens, levels: int) -> Iterator[tuple[int, np.ndarray
         known = rank[j] >= 0
         # An unknown continuation still needs the context's weight: number 0 is asked for, and its probability dropped.
         shard, code = model.levels[level].place(node[j - 1], np.where(known, rank[j], 0))
-        order, each = distinct(shard, code, model.span(level))
-        inverse = _inverse(order, each)
-        found, alpha, gamma, first = (x[inverse] for x in model.find(level, shard[order][each], code[order][each]))
+        firsts = not scoring or level < levels - 1
+        if firsts:
+            order, each = distinct(shard, code, model.span(level))
+            inverse = _inverse(order, each)
+            order = order[each]
+        else:
+            order = by_shard(shard, model.shards)
+            inverse = np.empty(len(order), np.int64)
+            inverse[order] = np.arange(len(order))
+        found, alpha, gamma, first = (x[inverse] for x in model.find(level, shard[order], code[order], scoring, firsts))
         node, rank = np.full(len(t.node), -1, np.int64), np.full(len(t.node), -1, np.int64)
         node[j] = np.where(known, found, -1)
         rank[j] = np.where(node[j] >= 0, node[j] - first, -1)
@@ -303,10 +326,18 @@ class Counter:
     """Adds up counts at places (shard, code) and gives them out as compressed rows per shard."""
 
     def __init__(self, span: int):
-        self.span, self.parts, self.size = span, [], 0
+        self.span, self.parts, self.size = min(span, 2**64 - 1), [], 0  # no code is that large
 
     def add(self, shard: np.ndarray, code: np.ndarray, counts: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        self._put(shard, code, np.ones(len(code), np.int64) if counts is None else counts)
+        if counts is None and fits(shard, self.span):  # ones: sorting the numbers is enough
+            x = np.sort(joined(shard, code, self.span))
+            first = np.flatnonzero(np.insert(x[1:] != x[:-1], 0, True))
+            n = np.diff(np.append(first, len(x)))
+            shard, code = np.divmod(x[first], np.uint64(self.span))
+            self.parts.append((shard.astype(np.int64), code.astype(np.int64), n))
+            self.size += len(first)
+        else:
+            self._put(shard, code, np.ones(len(code), np.int64) if counts is None else counts)
         if self.size > FLUSH:
             parts, self.parts, self.size = self.parts, [], 0
             self._put(*(np.concatenate(x) for x in zip(*parts)))
@@ -487,7 +518,7 @@ def train(texts: DataFrame, order: int = ORDER, folder: str | None = None, least
 def next_places(model: Model, t: Tokens, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Places on a level, of the tokens whose context is a node of the level above and whose last word succeeds it."""
     node = rank = t.node
-    for *_, node, rank in walk(model, t, level):
+    for *_, node, rank in walk(model, t, level, scoring=False):
         pass
     j = np.flatnonzero(t.place >= level)
     j = j[(node[j - 1] >= 0) & (rank[j] >= 0)]
