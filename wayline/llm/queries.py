@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, lm_score, mixing, pii, quality_rules, token_counts, url_filter, warc
-from .shared import table
+from . import decontaminate, jaccard_join, line_dedup, lm_score, mixing, periodic_runs, pieces, pii, quality_rules, token_counts, url_filter, warc, whitening
+from .shared import table, words_of
 
 #: (host, path, verdict) of op6.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -59,7 +60,44 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_token_counts, op3_quality_rules, op4_line_dedup, op5_lm_score, op6_url_filter, op7_mixing, op8_decontamination, op9_pii, op10_jaccard_join)}
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids as the library gives them, with begin and end, and what they decode to; spans_sha256 is of the packed ends of the source spans."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), model, packed=True)
+    back = pieces.decode(encoded, model, keep=("doc_id", "n_tokens", "ids", "ends"))
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2("ends", 256).alias("spans_sha256"))
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """documents, a tenth of them by hash with the words from some place on repeated periodically."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def edit(w):
+        n = F.size(w).cast("long")
+        a = g % F.greatest(n, F.lit(1))
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int"))))
+
+    made = F.array_join(F.transform(F.array(words_of()), edit)[0], " ")
+    return docs.select("doc_id", F.when(h % 10 == 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(repeated(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    d = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    d = d.withColumns({"start": -F.col("b.start"), "length": F.col("b.length"), "period": -F.col("b.period")})
+    return d.select("doc_id", "n_runs", "start", "length", "period", F.expr("1000 * length div period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_token_counts, op3_quality_rules, op4_line_dedup, op5_lm_score, op6_url_filter, op7_mixing, op8_decontamination, op9_pii, op10_jaccard_join, op11_sentencepiece, op12_periodic_runs, op13_whitening)}
 
 _W = r"'[\x20\x09-\x0D]+'"
 _CUT = {r: (a, b) for r, (a, b) in quality_rules.RULES.items()}
