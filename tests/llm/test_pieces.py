@@ -77,6 +77,7 @@ def test_frames(spark):
     for r, (_, t, _) in zip(full, rows):
         assert r.ids == LIB.encode(t or "", add_bos=True, add_eos=True) and r.n_tokens == len(r.ids) and len(r.starts) == len(r.ends) == len(r.ids)
     packed = pieces.decode(pieces.encode(docs, PATH, packed=True), PATH).collect()
+    assert [r.decoded for r in pieces.encode(docs, PATH, packed=True, decoded=True).collect()] == [r.decoded for r in packed]
     plain = pieces.decode(pieces.encode(docs, PATH), PATH).collect()
     assert [r.decoded for r in packed] == [r.decoded for r in plain] == ["a b", "a b", "", "", "é 😀"]
     assert [np.frombuffer(r.ids, "<u4").tolist() for r in packed] == [r.ids for r in full]

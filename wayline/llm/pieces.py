@@ -30,7 +30,7 @@ from .shared import small_batches, text_bytes
 
 SYMBOL = "▁".encode()
 NORMAL, UNKNOWN, CONTROL, BYTE, BPE = 1, 2, 3, 6, 2  # fixed values of the file format
-MOST_KEPT = 3 << 20  # ids of stretches that a worker remembers
+MOST_KEPT = 3 << 19  # ids of stretches that a worker remembers
 SHORT, NEVER = 32, float("inf")
 REPLACEMENT = "�".encode()
 
@@ -351,25 +351,27 @@ def _lists(values: np.ndarray, rows: np.ndarray, packed: bool) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", begin: bool = True, end: bool = True, packed: bool = False) -> DataFrame:
-    """id, n_tokens, ids, starts, ends: the ids of each text's pieces, and the UTF-8 bytes of the text that each stands for.
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", begin: bool = True, end: bool = True, packed: bool = False, decoded: bool = False) -> DataFrame:
+    """id, n_tokens, ids, starts, ends: the ids of each text's pieces, and the UTF-8 bytes of the text that each stands for. decoded adds
+    what decode() makes of the ids, in the same pass.
 
     model: a model file that every executor can read under this path. Null and empty texts have only the begin and end ids. packed:
     lists are binary, as little-endian unsigned 32-bit numbers, else arrays. Of a character that is written in byte pieces the last one
     stands for it, the others for nothing; so do begin and end ids. One row in, one row out, repeated ids included; other columns are ignored.
-    Nothing is shuffled; a task holds 4 MB of texts, or one text.
+    Nothing is shuffled; a task holds the pieces of 1 MB of texts at a time, or of one text.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(model)
-        for b in small_batches(batches, "__text", 4 << 20):
+        for b in small_batches(batches, "__text", 1 << 20):
             ids, starts, ends, rows = m.encode(b.column(1), begin, end)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(rows)), *(_lists(x, rows, packed) for x in (ids, starts, ends))], names=["__id", "n_tokens", "ids", "starts", "ends"])
+            back = [m.decode(ids, rows)] if decoded else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(rows)), *(_lists(x, rows, packed) for x in (ids, starts, ends)), *back], names=names)
 
-    lists = "binary" if packed else "array<int>"
+    lists, names = "binary" if packed else "array<int>", ["__id", "n_tokens", "ids", "starts", "ends", *["decoded"] * decoded]
     picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    return picked.mapInArrow(run, f"__id {kind}, n_tokens long, ids {lists}, starts {lists}, ends {lists}").withColumnRenamed("__id", id_col)
+    return picked.mapInArrow(run, f"__id {kind}, n_tokens long, ids {lists}, starts {lists}, ends {lists}" + ", decoded string" * decoded).withColumnRenamed("__id", id_col)
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id", "n_tokens", "ids")) -> DataFrame:

@@ -63,9 +63,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids as the library gives them, with begin and end, and what they decode to; spans_sha256 is of the packed ends of the source spans."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = pieces.encode(table(spark, sf_dir, "documents"), model, packed=True)
-    back = pieces.decode(encoded, model, keep=("doc_id", "n_tokens", "ids", "ends"))
-    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2("ends", 256).alias("spans_sha256"))
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), model, packed=True, decoded=True)
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2("ends", 256).alias("spans_sha256"))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
