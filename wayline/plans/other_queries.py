@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions import series as W
-from ..operators import alignment, graph, model, prep
+from ..operators import alignment, graph, model, prep, routing
 from ..sources import logs
 from ..sources.graphs import shared_folder
 from ..sources.signals import GAP_S, signals
@@ -273,21 +273,28 @@ ro as (select query, node, cur as id, max(back) over (partition by query, node)
 """
 
 
-def _routes(spark: SparkSession, edges: DataFrame) -> DataFrame:
+def _routes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Ways from two nodes to all others."""
+    g = routing.index(nodes, edges)
+    starts = edges.where("src in (12, 55)").select(_c("src").alias("query"), _c("src").alias("node")).distinct()
+    return routing.with_least_prev(g, routing.settle(g, starts)).select("query", "node", "cost", "prev")
+
+
+def _with_paths(found: DataFrame) -> DataFrame:
+    spark = found.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return graph.routes(edges, edges.where("src in (12, 55)").select(_c("src").alias("query"), _c("src").alias("node")).distinct())
+    return graph.with_paths(found)
 
 
 @query("g01_shortest_path", _WAYS + "select query, node, cost from co")
 def g01(spark, sf_dir):
-    return _routes(spark, road(spark, sf_dir)[1]).select("query", "node", "cost")
+    return _routes(*road(spark, sf_dir)[:2]).select("query", "node", "cost")
 
 
 @query("g02_path_reconstruction", _WAYS + "select co.query, co.node, min(co.cost) as cost, string_agg(cast(ro.id as varchar), ' ' order by ro.step) as path from co join ro on ro.query = co.query and ro.node = co.node group by co.query, co.node")
 def g02(spark, sf_dir):
-    return graph.with_paths(_routes(spark, road(spark, sf_dir)[1])).select("query", "node", "cost", F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("path"))
+    return _with_paths(_routes(*road(spark, sf_dir)[:2])).select("query", "node", "cost", F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("path"))
 
 
 @query("g03_latlon_route", _WAYS + f"select p.query, p.node, cast(p.step as bigint) as step, {R('52.4::double + degrees(y / 6378137.0::double)', 7)} as lat, {R('-1.5::double + degrees(x / (6378137.0::double * cos(radians(52.4::double))))', 7)} as lon from ro p join nodes on nodes.id = p.id")
@@ -295,10 +302,48 @@ def g03(spark, sf_dir):
     """The points of each way."""
     nodes, edges, _, _ = road(spark, sf_dir)
     lat, lon = S.from_enu(_c("x"), _c("y"), F.lit(52.4), F.lit(-1.5))
-    steps = graph.with_paths(_routes(spark, edges)).select("query", "node", F.posexplode("path").alias("step", "id"))
+    steps = _with_paths(_routes(nodes, edges)).select("query", "node", F.posexplode("path").alias("step", "id"))
     return steps.join(nodes, "id").select("query", "node", _c("step").cast("long").alias("step"), rounded(lat, 7).alias("lat"), rounded(lon, 7).alias("lon"))
 
 
+# Requests between two places for each customer. On this grid each cheapest way is as long as its steps east and north.
+_REQUESTS = _GRAPH.replace("with ", "with recursive ", 1) + """, rq as (select c_custkey as query, c_custkey * 37 % 950 + 0.5::double as fe, c_custkey * 53 % 950 + 0.25::double as fn, c_custkey * 71 % 950 + 0.5::double as te, c_custkey * 29 % 950 + 0.25::double as tn from customer),
+ns as (select query, id as start, row_number() over (partition by query order by sqrt(pow(fe - x, 2) + pow(fn - y, 2)), id) as rk from rq cross join nodes),
+ng as (select query, id as goal, row_number() over (partition by query order by sqrt(pow(te - x, 2) + pow(tn - y, 2)), id) as rk from rq cross join nodes),
+ok as (select distinct src as id from edges),
+st as (select rq.*, s.start, g.goal, case when s.start = g.goal then 0.0::double when s.start in (select id from ok) and g.goal in (select id from ok) then abs(a.x - b.x) + abs(a.y - b.y) end as cost from rq join ns s on s.query = rq.query and s.rk = 1 join ng g on g.query = rq.query and g.rk = 1 join nodes a on a.id = s.start join nodes b on b.id = g.goal),
+pv as (select s.id as start, e.dst as node, min(e.src) as prev from (select distinct n.* from nodes n join st on st.start = n.id) s join nodes v on true join edges e on e.dst = v.id join nodes u on u.id = e.src where abs(u.x - s.x) + abs(u.y - s.y) + e.cost = abs(v.x - s.x) + abs(v.y - s.y) group by s.id, e.dst),
+pa as (select query, start, goal as node, 0 as back from st where cost is not null union all select p.query, p.start, v.prev, p.back + 1 from pa p join pv v on v.start = p.start and v.node = p.node)
+"""
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = _c("c_custkey")
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("query"), (k * 37 % 950 + 0.5).alias("from_e"), (k * 53 % 950 + 0.25).alias("from_n"), (k * 71 % 950 + 0.5).alias("to_e"), (k * 29 % 950 + 0.25).alias("to_n"))
+
+
+@query("g05_point_to_point", _REQUESTS + "select st.query, st.cost, p.path from st left join (select query, string_agg(cast(node as varchar), ' ' order by back desc) as path from pa group by query) p on p.query = st.query")
+def g05(spark, sf_dir):
+    """The way of each request, by landmarks and a search of what lies between its ends."""
+    nodes, edges, _, _ = road(spark, sf_dir)
+    found = routing.route(routing.with_landmarks(routing.index(nodes, edges)), _requests(spark, sf_dir))
+    return found.select("query", "cost", F.array_join(F.transform("nodes", lambda x: x.cast("string")), " ").alias("path"))
+
+
+@query("g06_latlon_requests", _REQUESTS + f""", pt as (select query, fe as x, fn as y, -1 as k from st where cost is not null union all select query, te, tn, 1000000 from st where cost is not null union all select pa.query, n.x, n.y, 1000 - pa.back from pa join nodes n on n.id = pa.node join st on st.query = pa.query and st.start <> st.goal)
+select query, row_number() over (partition by query order by k) - 1 as step, {R('52.4::double + degrees(y / 6378137.0::double)', 7)} as lat, {R('-1.5::double + degrees(x / (6378137.0::double * cos(radians(52.4::double))))', 7)} as lon from pt""")
+def g06(spark, sf_dir):
+    """The points of each request's line, from degrees to degrees."""
+    nodes, edges, _, _ = road(spark, sf_dir)
+    r = _requests(spark, sf_dir)
+    for a in ("from", "to"):
+        lat, lon = S.from_enu(_c(f"{a}_e"), _c(f"{a}_n"), F.lit(52.4), F.lit(-1.5))
+        r = r.withColumns({f"{a}_lat": lat, f"{a}_lon": lon})
+    r = r.select("query", "from_lat", "from_lon", "to_lat", "to_lon")
+    found = routing.route_latlon(routing.with_landmarks(routing.index(nodes, edges)), r, 52.4, -1.5)
+    return found.select("query", F.posexplode("line").alias("step", "p")).select("query", _c("step").cast("long").alias("step"), rounded(_c("p.lat"), 7).alias("lat"), rounded(_c("p.lon"), 7).alias("lon"))
+
+
 # ---------------------------------------------------------------- models and fusion
 
 def _speeds(spark, sf_dir):
@@ -361,7 +406,7 @@ def s33(spark, sf_dir):
     """Each point from one origin: over the road graph where it has a way, else the straight line."""
     nodes, edges, _, points = road(spark, sf_dir)
     near = graph.nearest_node(points, nodes).select("point_id", "node", _c("distance").alias("off"))
-    way = _routes(spark, edges).where("query = 12").select("node", "cost")
+    way = _routes(nodes, edges).where("query = 12").select("node", "cost")
     d = points.join(near, "point_id").join(way, "node", "left")
     deg = lambda x, at: F.lit(at) + x / F.lit(111_000.0)
     straight = S.straight_steps(deg(F.lit(_FROM_N), 52.0), deg(F.lit(_FROM_E), -1.0), deg(_c("n"), 52.0), deg(_c("e"), -1.0))[0]["distance_m"]
