@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions import series as W
-from ..operators import alignment, graph, model, prep, routing
+from ..operators import alignment, graph, model, prep, recurrent, routing
 from ..sources import logs
 from ..sources.graphs import shared_folder
 from ..sources.signals import GAP_S, signals
+from ..sources.signals import SQL as SIGNALS_SQL
 from ..streaming import fusion
 from .registry import query, rounded
 from .series_queries import _NATIVE, OVER, STEP, R
@@ -346,24 +349,65 @@ def g06(spark, sf_dir):
 
 # ---------------------------------------------------------------- models and fusion
 
-def _speeds(spark, sf_dir):
-    x = prep.training_windows(signals(spark, sf_dir), ["speed", "gyro_z"], "speed", seconds=8.0, max_gap_s=GAP_S)
-    load = lambda: model.window_mean_model([1.0, 0.0])
-    return model.predict_speed(x, load, [12.0, 0.0], [8.0, 1.0], 12.0, 8.0)
+#: Twelve channels a row; the roll of error rows is missing.
+_CHANNELS = {
+    **{c: c for c in ("acc_x", "acc_y", "acc_z")}, **{c: f"(k * {n} % 100 - 50) / 100.0::double" for c, n in (("gyro_x", 17), ("gyro_y", 19))}, "gyro_z": "gyro_z",
+    **{c: f"(k * {n} % 100 - 50) / 2.0::double" for c, n in (("mag_x", 23), ("mag_y", 29), ("mag_z", 31))}, "roll": "case when event_type <> 'error' then roll end", "pitch": "pitch", "yaw": "heading_deg",
+}
+_SCALER = {"x_mean": [0.0, 0.0, 9.81] + [0.0] * 9, "x_std": [2.0, 2.0, 1.0, 0.5, 0.5, 0.5, 25.0, 25.0, 25.0, 0.25, 0.25, 180.0], "y_mean": 12.0, "y_std": 8.0}
+_WINDOW, _NET = 20, recurrent.random_weights(12, 3, 2, seed=7, dtype="float64")
+
+
+def _layer_sql(layer: recurrent.Layer, x: str, h: str) -> str:
+    """A layer's new state as a SQL list."""
+    n = layer.w_state.shape[1]
+    dot = lambda w, b, v: f"(list_inner_product([{', '.join(map(repr, w.tolist()))}]::double[], {v}) + {float(b)!r}::double)"
+    own = [(dot(layer.w_in[k], layer.b_in[k], x), dot(layer.w_state[k], layer.b_state[k], h)) for k in range(3 * n)]
+    gate = lambda k: f"(1 / (1 + exp(-({own[k][0]} + {own[k][1]}))))"
+    new = [f"(1 - 2 / (exp(2 * ({own[2 * n + k][0]} + {gate(k)} * {own[2 * n + k][1]})) + 1))" for k in range(n)]
+    return "[" + ", ".join(f"{new[k]} + {gate(n + k)} * ({h}[{k + 1}] - {new[k]})" for k in range(n)) + "]"
+
+
+def _net_sql(eps: float) -> str:
+    return SIGNALS_SQL.replace("with ", "with recursive ", 1) + f""", ch as (select trip_key, i, speed, {', '.join(f'{e} as {c}' for c, e in _CHANNELS.items())} from sig),
+fe as (select trip_key, i, [{', '.join(f'(coalesce({c}, 0) - {m}::double) / {d + eps!r}::double' for c, m, d in zip(_CHANNELS, _SCALER['x_mean'], _SCALER['x_std']))}] as x from ch),
+re(trip_key, e, k, h1, h2) as (select trip_key, i, 0, [0, 0, 0]::double[], [0, 0, 0]::double[] from fe where i >= {_WINDOW - 1} union all
+ select trip_key, e, k + 1, h1, {_layer_sql(_NET.layers[1], 'h1', 'h2')} from (select r.trip_key, r.e, r.k, {_layer_sql(_NET.layers[0], 'f.x', 'r.h1')} as h1, r.h2 from re r join fe f on f.trip_key = r.trip_key and f.i = r.e - {_WINDOW - 1} + r.k where r.k < {_WINDOW}) q),
+sp as (select c.trip_key, c.i, c.speed, sum((c.roll is null)::int) over (partition by c.trip_key order by c.i rows between {_WINDOW - 1} preceding and current row) as lost, case when re.h2 is not null then greatest(12.0::double + (list_inner_product([{', '.join(map(repr, _NET.head.tolist()))}]::double[], re.h2) + {_NET.bias!r}::double) * 8.0::double, 0.0::double) end as v from ch c left join re on re.trip_key = c.trip_key and re.e = c.i and re.k = {_WINDOW})
+"""
+
+
+def _model_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, model.Metadata, recurrent.Recurrent]:
+    """The twelve channels of each trip, and a stored model that has been read again."""
+    folder = f"{shared_folder(spark)}/models/{uuid.uuid4().hex}"
+    recurrent.save_model(spark, _NET, {"sequence_length": _WINDOW, "scaler": _SCALER, "input_name": "x", "output_name": "y"}, folder)
+    rows = signals(spark, sf_dir).select("trip_key", "i", "speed", *[F.expr(e).alias(c) for c, e in _CHANNELS.items()])
+    return rows, *recurrent.load_model(spark, folder)
 
 
-@query("m02_speed_model")
+@query("m02_speed_model", _net_sql(0.0) + f"select trip_key, i, case when lost = 0 then {R('v', 5)} end as model_speed from sp")
 def m02(spark, sf_dir):
-    return _speeds(spark, sf_dir).select("trip_key", "end", rounded(_c("model_speed"), 3).alias("model_speed"))
+    """Speeds of full windows; a window with a missing channel has none."""
+    rows, meta, net = _model_rows(spark, sf_dir)
+    return recurrent.speeds(rows, net, meta).select("trip_key", "i", rounded(_c("model_speed"), 5).alias("model_speed"))
 
 
-query("m03_speed_model_samples")(lambda s, d: _speeds(s, d).select("trip_key", "end", "model_speed"))
+@query("m03_speed_model_samples", _net_sql(1e-8) + f"select trip_key, i, {R('v', 5)} as model_speed from sp where v is not null")
+def m03(spark, sf_dir):
+    """The way of single samples: missing angles count as 0, and deviations get a small addition."""
+    rows, meta, net = _model_rows(spark, sf_dir)
+    d = recurrent.speeds(rows, net, meta, eps=1e-8, blank=("roll", "pitch", "yaw"))
+    return d.where("model_speed is not null").select("trip_key", "i", rounded(_c("model_speed"), 5).alias("model_speed"))
 
 
-@query("m04_model_comparison")
+@query("m04_model_comparison", _net_sql(0.0) + f", r as (select trip_key, sqrt(avg(case when lost = 0 then pow(v - speed, 2) end)) as r0, sqrt(avg(pow(v - speed, 2))) as r2 from sp where v is not null group by trip_key) select {R('avg(r0)', 4)} as old_rmse, {R('avg(r2)', 4)} as new_rmse, case when abs(avg(r2) - avg(r0)) < 0.05 then 'equal' else 'differs' end as verdict from r")
 def m04(spark, sf_dir):
-    d = _speeds(spark, sf_dir).withColumn("new", _c("model_speed") + 0.001)
-    return model.compare_runs(d, "trip_key", "model_speed", "new", "y")
+    """Both ways over the same rows, each against the true speed where it has one."""
+    rows, meta, net = _model_rows(spark, sf_dir)
+    d = recurrent.speeds(rows, net, meta).withColumnRenamed("model_speed", "old")
+    d = recurrent.speeds(d, net, meta, eps=1e-8, blank=("roll", "pitch", "yaw")).withColumnRenamed("model_speed", "new").where("new is not null")
+    m = model.compare_runs(d, "trip_key", "old", "new", "speed")
+    return m.select(rounded(_c("old_rmse"), 4).alias("old_rmse"), rounded(_c("new_rmse"), 4).alias("new_rmse"), "verdict")
 
 
 @query("a15_model_evaluation", f", r as (select trip_key, sqrt(avg(pow(speed - k / 2.0::double, 2))) as r0, sqrt(avg(pow(speed - k / 2.5::double, 2))) as r1 from sig group by trip_key) select {R('avg(r0)')} as old_rmse, {R('avg(r1)')} as new_rmse, case when abs(avg(r1) - avg(r0)) < 0.05 then 'equal' else 'differs' end as verdict from r")
