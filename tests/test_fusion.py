@@ -109,3 +109,34 @@ def test_batch_is_stream(spark, tmp_path):
     got = {(r.session, r.t): r for r in spark.table("fused").collect()}
     assert set(got) == set(want) and len(got) == 240
     assert all(abs(got[k].lat - want[k].lat) < 1e-9 and got[k].mode == want[k].mode for k in want)
+
+
+def test_silent_sessions_are_held_and_forgotten(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    data = {"a": rows("a", 120, (40, 70)), "b": rows("b", 120, (60, 90), 2), "nofix": rows("nofix", 60, (0, 60), 3)}
+    clock = [[("clock", t, *rows("clock", 1)[0][2:])] for t in (70.0, 71.0, 400.0, 401.0)]
+    names = [x.split()[0] for x in fusion.INPUT.split(", ")]
+    every = [x for d in data.values() for x in d]
+    parts = [[x for x in every if k * 4.0 <= x[1] < (k + 1) * 4.0] for k in range(3)] + clock
+    folder = str(tmp_path / "in")
+    for p in parts:
+        spark.createDataFrame(p, fusion.INPUT).coalesce(1).write.mode("append").json(folder)
+    want = {(r.session, r.t): r for r in fusion.fuse_batch(spark.createDataFrame(every, fusion.INPUT)).collect()}
+    stream = spark.readStream.schema(fusion.INPUT).option("maxFilesPerTrigger", 1).json(folder)
+    cp = str(tmp_path / "cp")
+    q = fusion.fuse_stream_timed(stream, delay="1 second", ttl_s=200.0, buckets=3).writeStream.format("memory").queryName("held").outputMode("append").option("checkpointLocation", cp).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = [r for r in spark.table("held").collect() if r.session != "clock"]
+    seen = [r for r in got if r.t < 12]
+    assert len(seen) == len(want) and all(abs(r.lat - want[r.session, r.t].lat) < 1e-9 and r.mode == want[r.session, r.t].mode for r in seen)
+    held = {r.session: r for r in got if r.t >= 12}
+    assert len(got) - len(seen) == len(held) == 2 and all(r.pos_std == 999.0 and r.gnss_health == "OUTAGE" for r in held.values())
+    for n in "ab":
+        last = max((k for k in want if k[0] == n), key=lambda k: k[1])
+        assert abs(held[n].lat - want[last].lat) < 1e-12 and held[n].t == pytest.approx(data[n][-1][1] + 45.0)
+    left = spark.read.format("statestore").option("path", cp).option("stateVarName", "sessions").load()
+    assert [r.user_map_key.session for r in left.collect()] == ["clock"]
+    assert names[0] == "session"

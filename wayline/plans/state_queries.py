@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import deadreckon, graph
 from ..sources.graphs import read_segments, shared_folder, write_graph
 from ..sources.signals import signals
-from ..streaming import fusion
+from ..streaming import fusion, ordered
 from .other_queries import _GRAPH, _SNAP, fusion_rows, road
 from .reckoning_queries import _WIN0, _run_sql, fixed, vehicle
 from .registry import query, rounded
@@ -85,7 +85,46 @@ _alone("x17_covariance_repair", _broken, _shown("v * sin(h)", "v * cos(h)", "h",
 _alone("f10_position_gate", lambda e, at, r: e.position(at, r["k"] * 2.0, np.zeros(len(at)), 4.0), _shown("v * sin(h)", "v * cos(h)", "h", "case when 4.0::double * k * k / 80 <= 25 then sqrt(64 * 16 / 80.0::double) else 8 end", "4.0::double * k * k / 80 <= 25"))
 _alone("f11_heading_gate", lambda e, at, r: e.heading(at, np.radians(r["heading_deg"] + r["k"] * 2), fusion.GNSS_HEADING, gate=True), _toward("radians(heading_deg + k * 2)", "radians(1.5::double)", gate=True))
 
-query("x03_gnss_side_input")(lambda s, d: fusion.fuse_batch(fusion_rows(s, d).withColumn("gnss_valid", _c("gnss_valid") & (F.pmod(F.floor(_c("t")), F.lit(2)) == 0))).select("session", "t", "mode", "gnss_health"))
+# Fixes of their own rate and times, beside the samples.
+_FIXES = "fx as (select trip_key, t + 0.37::double as t, lat, gnss_valid as valid from sig where k % 3 = 0)"
+
+
+def _fixes(spark, sf_dir):
+    return signals(spark, sf_dir).where(_c("k") % 3 == 0).select("trip_key", (_c("t") + 0.37).alias("t"), "lat", "lon", "speed", "heading_deg", _c("gnss_valid").alias("valid"))
+
+
+@query("x03_gnss_side_input")
+def x03(spark, sf_dir):
+    """Sessions whose samples take the latest fix of another input."""
+    rows, key = fusion_rows(spark, sf_dir), _c("trip_key").cast("string").alias("session")
+    fixes = _fixes(spark, sf_dir).select(key, "t", "lat", "lon", "speed", "heading_deg", "valid")
+    d = ordered.side_input(rows.drop("lat", "lon", "gnss_valid", "gnss_speed", "gnss_heading_deg"), fixes, "session")
+    d = d.withColumnsRenamed({"fix_lat": "lat", "fix_lon": "lon", "fix_valid": "gnss_valid", "fix_speed": "gnss_speed", "fix_heading_deg": "gnss_heading_deg"})
+    return fusion.fuse_batch(d).select("session", "t", "mode", "gnss_health")
+
+
+@query("x03_latest_fix", f", {_FIXES}, un as (select trip_key, t, i, 1 as kind, null::double as ft, null::double as lat, null::boolean as valid from sig union all select trip_key, t, null, 0, t, lat, valid from fx), fi as (select *, last_value(case when kind = 0 then struct_pack(ft := ft, lat := lat, valid := valid) end ignore nulls) over (partition by trip_key order by t, kind, lat, valid rows between unbounded preceding and current row) as f from un) select trip_key, cast(i as integer) as i, {R('f.ft')} as fix_t, f.lat as fix_lat, f.valid as fix_valid from fi where kind = 1")
+def x03_fix(spark, sf_dir):
+    d = ordered.side_input(signals(spark, sf_dir).select("trip_key", "t", "i"), _fixes(spark, sf_dir).select("trip_key", "t", "lat", "valid"), "trip_key")
+    return d.select("trip_key", "i", rounded(_c("fix_t")).alias("fix_t"), "fix_lat", "fix_valid")
+
+
+_TICK = lambda t: f"cast(floor(({t} - t0) / 0.25::double) as bigint) + case when t0 + (floor(({t} - t0) / 0.25::double) + 1) * 0.25::double <= {t} then 1 when t0 + floor(({t} - t0) / 0.25::double) * 0.25::double > {t} then -1 else 0 end"
+
+
+@query("x04_resampled_angles", f""", sa as (select trip_key, t, gyro_z as v, case when event_type <> 'error' then heading_deg end as h from sig),
+un as (select *, min(t) over (partition by trip_key) as t0 from (select *, row_number() over (partition by trip_key, t order by v nulls first, h nulls first) as rk from sa) x where rk = 1),
+le as (select *, lead(t) over w as b, lead(v) over w as vb, lead(h) over w as hb, t - lag(t) over w as own from un window w as (partition by trip_key order by t)),
+tk as (select *, unnest(range(case when t = t0 then 0 else {_TICK('t')} + 1 end, {_TICK('b')} + 1)) as tick from le where b is not null),
+al as (select *, (t0 + tick * 0.25::double - t) / (b - t) as al from tk)
+select trip_key, cast(tick as integer) as tick, {R('t0 + tick * 0.25::double')} as t, {R('case when al > 0 then al * (b - t) else own end')} as dt_ref, {R('v + al * (vb - v)')} as gyro_z, {R('(((h + al * (((((hb - h + 180) % 360) + 360) % 360) - 180)) % 360) + 360) % 360', 4)} as heading_deg from al""")
+def x04_angles(spark, sf_dir):
+    """Ticks from each trip's first sample on; headings turn the short way, and are missing beside a missing one."""
+    d = signals(spark, sf_dir).select("trip_key", "t", "gyro_z", F.when(_c("event_type") != "error", _c("heading_deg")).alias("heading_deg"))
+    out = ordered.resample_from_first(d, 0.25, ["gyro_z"], ["heading_deg"])
+    return out.select("trip_key", "tick", *[rounded(_c(c)).alias(c) for c in ("t", "dt_ref", "gyro_z")], rounded(_c("heading_deg"), 4).alias("heading_deg"))
+
+
 # Debouncing in SQL: a run of 2 good or 5 bad fixes decides; outputs begin with the first fix that is used.
 def _used(key: str = "trip_key", rows: str = "sig") -> str:
     over = f"over (partition by {key} order by i)"

@@ -7,6 +7,7 @@ state of many is held as arrays, and one step takes the next row of each. State
 from __future__ import annotations
 
 import json
+import pickle
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 RADIUS = 6_378_137.0
 # Process noise per second, measurement deviations, gates, and the covariance's floors and resets.
@@ -256,6 +258,14 @@ class Sessions:
         for k, (x, name) in self.parts().items():
             getattr(x, name)[:] = d[k]
 
+    def packed(self, k: int) -> bytes:
+        """The state of one session."""
+        return pickle.dumps([getattr(x, name)[k] for x, name in self.parts().values()])
+
+    def unpack(self, k: int, state: bytes) -> None:
+        for (x, name), v in zip(self.parts().values(), pickle.loads(state)):
+            getattr(x, name)[k] = v
+
     def push(self, at: np.ndarray, r: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """A row for each session in `at` (none twice), as arrays by column. Returns which rows give an output, and the outputs:
         none for late and repeated rows and before the first fix. A row with `reset` begins its session anew."""
@@ -411,3 +421,65 @@ def fuse_stream(rows: DataFrame, config: Config = Config()) -> DataFrame:
             pass
 
     return _input(rows).groupBy("session").transformWithStateInPandas(Processor(), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
+
+
+def fuse_stream_timed(rows: DataFrame, config: Config = Config(), delay: str = "10 seconds", ttl_s: float = 600.0, buckets: int = 256) -> DataFrame:
+    """fuse_stream() with a clock of event time: a session whose fix is `config.hold_s` old gives its held position once, without any row coming,
+    and a session without rows for `ttl_s` is forgotten; one that comes back begins anew.
+
+    Sessions are dealt to `buckets` keys, and a key steps all sessions of a batch at once; each has a state of its own, stored as bytes.
+    Rows of a batch are taken in order of time; rows of no session or time are left out, as are those behind the watermark.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+    from .ordered import SHIFT_S, timed
+
+    def due(t: float) -> int:
+        return int((t + SHIFT_S) * 1000)
+
+    class Buckets(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.sessions = handle.getMapState("sessions", "session string", "state binary, seen double, fix double")
+
+        def handleInputRows(self, key, batches, timerValues) -> Iterator[pd.DataFrame]:
+            pdf = pd.concat(list(batches)).sort_values("t", kind="stable")
+            at, names = pd.factorize(pdf["session"])
+            s, known = Sessions(len(names), config), {}
+            for k, name in enumerate(names):
+                if self.sessions.containsKey((name,)):
+                    known[k] = self.sessions.getValue((name,))
+                    s.unpack(k, known[k][0])
+            out = _steps(s, at, pdf)
+            seen = pdf.groupby(at)["t"].max()
+            timers = set()
+            for k, name in enumerate(names):
+                last = max(seen[k], known[k][1] if k in known else seen[k])
+                fix = None if np.isnan(s.fix_t[k]) else float(s.fix_t[k])
+                self.sessions.updateValue((name,), (s.packed(k), float(last), fix))
+                timers |= {due(last + ttl_s), *([due(fix + config.hold_s)] if fix is not None and fix + config.hold_s > last else [])}
+            for t in timers:
+                self.handle.registerTimer(t)
+            yield out
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            now, out = timerValues.getCurrentWatermarkInMs(), []
+            for (name,), (state, seen, fix) in list(self.sessions.iterator()):
+                if fix is not None and seen < fix + config.hold_s and due(fix + config.hold_s) <= now:
+                    s, one = Sessions(1, config), np.zeros(1, int)
+                    s.unpack(0, state)
+                    (lat,), (lon,) = s.ekf.latlon(one)
+                    lat, lon = (lat, lon) if np.isnan(s.hold[0, 0]) else s.hold[0]
+                    out.append((name, fix + config.hold_s, float(lat), float(lon), float(np.degrees(s.ekf.x[0, 4]) % 360), float(np.hypot(s.ekf.x[0, 2], s.ekf.x[0, 3])), 999.0, "DR_ACTIVE", "OUTAGE", str(PHASES[s.aligner.phase[0]]), False, False, int(s.fill[0]), None))
+                    s.hold[0] = lat, lon
+                    self.sessions.updateValue((name,), (s.packed(0), seen, None))
+                if due(seen + ttl_s) <= now:
+                    self.sessions.removeKey((name,))
+            if out:
+                yield pd.DataFrame(out, columns=_OUT)
+
+        def close(self) -> None:
+            pass
+
+    d = timed(_input(rows).where("session is not null and t is not null"), "t", delay).withColumn("bucket", F.pmod(F.xxhash64("session"), F.lit(buckets)).cast("int"))
+    return d.groupBy("bucket").transformWithStateInPandas(Buckets(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
