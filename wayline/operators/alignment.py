@@ -1,4 +1,4 @@
-"""Joins of series: by position, by lag, as-of, by interval."""
+"""Joins of series: by position, by lag, as-of."""
 
 from __future__ import annotations
 
@@ -13,32 +13,77 @@ def row_align(left: DataFrame, right: DataFrame, by: str = "trip_key", i: str =
     return left.join(right, [by, i])
 
 
+#: Rows of y that a task correlates at once; longer series are cut into blocks, whose sums are added up.
+BLOCK = 1 << 16
+
+
+def _pair_sums(x: np.ndarray, y: np.ndarray, shifts: np.ndarray, size: int) -> np.ndarray:
+    """(shifts, 6): n and the sums of x, y, x*x, y*y, x*y over the pairs y[p], x[(p + shift) mod size], whatever is missing left out.
+
+    Masks of both sides make missing values count nothing, so products of six transforms give all sums of all shifts.
+    """
+    some, use = np.isfinite(x), np.isfinite(y)
+    x, y = np.where(some, x, 0.0), np.where(use, y, 0.0)
+    fx = [np.fft.rfft(a, size) for a in (some.astype(float), x, x * x)]
+    fy = [np.conj(np.fft.rfft(a, size)) for a in (use.astype(float), y, y * y)]
+    sums = [np.fft.irfft(fx[a] * fy[b], size)[shifts] for a, b in ((0, 0), (1, 0), (0, 1), (2, 0), (0, 2), (1, 1))]
+    sums[0] = np.round(sums[0])
+    return np.stack(sums, axis=1)
+
+
 def lag_correlations(a: DataFrame, lags: list[int], by: str = "trip_key", x: str = "a", y: str = "b", least: int = 200, floor: float = 3.0, where: str | None = None) -> DataFrame:
     """(by, lag, n, r): correlation of x, turned round its series by each lag, with y where y > floor, or where the column
     `where` holds; r is null for fewer than `least` pairs or without spread.
 
-    a: (by, i, x, y). One shuffle by series; a series is turned within the task that holds it, whatever the number of lags.
+    a: (by, i, x, y), i from 0 without gaps. The sums of all lags come from transforms, at a cost that hardly depends on their number. A
+    series of more than BLOCK rows is cut into blocks of y for tasks of their own; a row of x goes to the blocks that its lags reach,
+    round the end too. Both columns are shifted by their series' means, which keeps sums exact enough.
     """
-    kind = a.schema[by].dataType.simpleString()
+    if max(map(abs, lags)) >= BLOCK:
+        raise ValueError(f"lags must be below {BLOCK}")
+    kind, tried, low_lag, high_lag = a.schema[by].dataType.simpleString(), np.array(lags, np.int64), min(lags), max(lags)
+    use = F.coalesce(F.col(where) if where else F.col(y) > floor, F.lit(False))
+    finite = lambda c: F.when(~F.isnan(c), F.col(c))
+    d = a.select(by, F.col("i").cast("long").alias("i"), F.col(x).cast("double").alias("x"), F.when(use, F.col(y).cast("double")).alias("y"))
+    d = d.join(d.groupBy(by).agg(F.count("*").alias("n"), F.avg(finite("x")).alias("mx"), F.avg(finite("y")).alias("my")), by)
+    n, i = F.col("n"), F.col("i")
+    part = lambda p: F.floor(p / BLOCK)
+    reach = []  # places i + lag, before the start and beyond the end too, are those of the series turned round
+    for s in (-n, F.lit(0), n):
+        first, last = F.greatest(i + low_lag + s, F.lit(0)), F.least(i + high_lag + s, n - 1)
+        reach.append(F.when(first <= last, F.sequence(part(first), part(last))).otherwise(F.array().cast("array<bigint>")))
+    blocks = F.when(n <= BLOCK, F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.concat(F.array(part(i)), *reach)))
+    d = d.withColumn("block", F.explode(blocks))
 
     def turn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        u, v = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
-        use = pdf["use"].fillna(False).to_numpy(bool) & np.isfinite(v)
-        v, out = v[use], []
-        for lag in lags:
-            p = np.roll(u, lag)[use]
-            ok = np.isfinite(p)
-            p, q = p[ok], v[ok]
-            if not len(p):
-                continue
-            dp, dq = p - p.mean(), q - q.mean()
-            some = len(p) >= least and min(p.std(), q.std()) > 1e-9
-            out.append((pdf[by].iloc[0], lag, len(p), float((dp * dq).sum() / np.sqrt((dp * dp).sum() * (dq * dq).sum())) if some else None))
-        return pd.DataFrame(out, columns=[by, "lag", "n", "r"])
-
-    use = F.col(where) if where else F.col(y) > floor
-    return a.select(by, "i", F.col(x).alias("x"), F.col(y).alias("y"), use.alias("use")).groupBy(by).applyInPandas(turn, f"`{by}` {kind}, lag int, n long, r double")
+        n, at, i = int(pdf["n"].iloc[0]), int(pdf["block"].iloc[0]) * BLOCK, pdf["i"].to_numpy()
+        u, v = pdf["x"].to_numpy(float) - pdf["mx"].iloc[0], pdf["y"].to_numpy(float) - pdf["my"].iloc[0]
+        own, mine = np.full(min(BLOCK, n - at), np.nan), i // BLOCK * BLOCK == at
+        own[i[mine] - at] = v[mine]
+        if n <= BLOCK:
+            around = np.full(n, np.nan)
+            around[i] = u
+            sums = _pair_sums(around, own, -tried % n, n)
+        else:
+            low = at - high_lag
+            around = np.full(len(own) + high_lag - low_lag, np.nan)
+            for k in (i - n - low, i - low, i + n - low):
+                fits = (k >= 0) & (k < len(around))
+                around[k[fits]] = u[fits]
+            sums = _pair_sums(around, own, high_lag - tried, 1 << (len(around) - 1).bit_length())
+        out = pd.DataFrame(sums, columns=["n", "sx", "sy", "sxx", "syy", "sxy"]).astype({"n": int})
+        out.insert(0, "lag", tried.astype(np.int32))
+        out.insert(0, by, pdf[by].iloc[0])
+        return out
+
+    cols = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    sums = d.groupBy(by, "block").applyInPandas(turn, f"`{by}` {kind}, lag int, n long, " + ", ".join(f"{c} double" for c in cols[1:]))
+    s = sums.groupBy(by, "lag").agg(*[F.sum(c).alias(c) for c in cols]).where("n > 0")
+    mean = lambda c: F.col(c) / F.col("n")
+    vx, vy = mean("sxx") - mean("sx") * mean("sx"), mean("syy") - mean("sy") * mean("sy")
+    # Below these, a variance is the rounding of the sums.
+    spread = (vx > F.greatest(F.lit(1e-18), 1e-13 * mean("sxx"))) & (vy > F.greatest(F.lit(1e-18), 1e-13 * mean("syy")))
+    return s.select(by, "lag", "n", F.when((F.col("n") >= least) & spread, (mean("sxy") - mean("sx") * mean("sy")) / F.sqrt(vx * vy)).alias("r"))
 
 
 def best_lag(correlations: DataFrame, by: str = "trip_key") -> DataFrame:
@@ -66,11 +111,6 @@ def as_of_backward(rows: DataFrame, value: Column, when: Column, by: str = "trip
     return rows.withColumn("latest", F.last(F.when(when, value), ignorenulls=True).over(w))
 
 
-def in_intervals(rows: DataFrame, intervals: DataFrame, by: str = "trip_key", how: str = "inner") -> DataFrame:
-    """Rows with i0 <= i < i1 of an interval of their trip. intervals: (by, i0, i1, ...)"""
-    return rows.join(intervals, (rows[by] == intervals[by]) & (rows["i"] >= intervals["i0"]) & (rows["i"] < intervals["i1"]), how).drop(intervals[by])
-
-
 def resample(rows: DataFrame, period: float, values: list[str], by: str = "trip_key", t: str = "t") -> DataFrame:
     """Uniform ticks between samples, linear in `values`; steps that don't go forward are skipped."""
     w = Window.partitionBy(by).orderBy(t, "i")
