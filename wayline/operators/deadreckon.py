@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,36 +38,110 @@ def lead_in(rows: DataFrame, anchored: DataFrame, seconds: float) -> DataFrame:
     return rows_of(rows, first.drop("__ts"), "__il", "__i0").drop("__i0", "__il")
 
 
-def course_rate(by: list[str] = KEY) -> Column:
-    """Turn rate of the true heading in deg/s, by steps of the lead-in."""
-    w = Window.partitionBy(*by).orderBy("i")
-    return S.wrap_deg(F.col("heading_deg") - F.lag("heading_deg").over(w)) / (F.col("t") - F.lag("t").over(w))
+#: Seconds of a trip whose outages share a task.
+SPAN_S = 3600.0
+_RATE, _GYRO, _PHONE, _WHEEL = "scale double, bias double", "scale double, bias double", "gx double, gy double, gz double, scale double, bias double, quality double", "radius double"
+
+
+def _dealt(rows: DataFrame, windows: DataFrame, seconds: float, columns: list[str]) -> DataFrame:
+    """Rows of the spans where windows begin; the last `seconds` of a span are in the next one too."""
+    span = F.floor(F.col("t") / SPAN_S)
+    d = rows.select("trip_key", "i", *[F.col(c).cast("double").alias(c) for c in columns])
+    d = d.withColumn("span", F.explode(F.array_distinct(F.array(span, F.floor((F.col("t") + seconds) / SPAN_S)))))
+    return d.join(windows.select("trip_key", "span").distinct(), ["trip_key", "span"], "left_semi")
+
+
+def _over_lead_ins(rows: DataFrame, anchored: DataFrame, seconds: float, columns: list[str], fit: Callable[[dict[str, np.ndarray]], tuple | None], out: str) -> DataFrame:
+    """(trip_key, window, out): fit(columns of the `seconds` before an outage, as arrays) for each outage; no row where it gives none.
+
+    A task has a span of a trip, the lead-in before it, and all outages that begin there; overlapping lead-ins are slices of the same arrays, so no
+    row is copied or shuffled for each. Times rise with i.
+    """
+    need = list(dict.fromkeys(["t", *columns]))
+    w = anchored.select("trip_key", "window", "i0", "ta", F.floor(F.col("ta") / SPAN_S).alias("span"))
+    d = _dealt(rows, w, seconds, need)
+    kind, window = rows.schema["trip_key"].dataType.simpleString(), anchored.schema["window"].dataType.simpleString()
+    names = ["trip_key", "window", *[x.split()[0] for x in out.split(", ")]]
+
+    def run(key: tuple, pdf: pd.DataFrame, windows: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        i, x, found = pdf["i"].to_numpy(), {c: pdf[c].to_numpy(float) for c in need}, []
+        for name, i0, ta in zip(windows["window"], windows["i0"], windows["ta"]):
+            a, b = int(np.searchsorted(x["t"], ta - seconds)), int(np.searchsorted(i, i0))
+            made = fit({c: v[a:b] for c, v in x.items()}) if b > a else None
+            if made is not None:
+                found.append((key[0], name, *made))
+        return pd.DataFrame(found, columns=names)
+
+    w = w.withColumnsRenamed({"trip_key": "trip", "span": "part"})
+    return d.groupBy("trip_key", "span").cogroup(w.groupBy("trip", "part")).applyInPandas(run, f"trip_key {kind}, window {window}, {out}")
+
+
+def _true_rate(x: dict[str, np.ndarray]) -> np.ndarray:
+    """Turn rate of the true heading in deg/s between rows; missing at the first."""
+    h, t = x["heading_deg"], x["t"]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rate = np.append(np.nan, (np.mod(np.diff(h) + 180.0, 360.0) - 180.0) / np.diff(t))[: len(t)]
+    return np.where(np.isfinite(rate), rate, np.nan)
+
+
+def _median(v: np.ndarray) -> float:
+    v = v[~np.isnan(v)]
+    return float(np.median(v)) if len(v) else np.nan
+
+
+def _line(y: np.ndarray, x: np.ndarray) -> tuple[float, float, float]:
+    """Slope and intercept of y by x, and their correlation (missing where either side is constant)."""
+    both = ~(np.isnan(x) | np.isnan(y))
+    x, y = x[both], y[both]
+    if len(x) < 1:
+        return np.nan, np.nan, np.nan
+    dx, dy = x - x.mean(), y - y.mean()
+    xx, yy, xy = (dx * dx).sum(), (dy * dy).sum(), (dx * dy).sum()
+    s = xy / xx if xx > 0 else np.nan
+    return s, y.mean() - s * x.mean(), xy / np.sqrt(xx * yy) if xx > 0 and yy > 0 else np.nan
+
+
+def _mean(v: np.ndarray) -> float:
+    return float(np.nanmean(v)) if np.any(~np.isnan(v)) else np.nan
 
 
 def calibrate_rate(rows: DataFrame, anchored: DataFrame, rate: str = "yaw_rate_dps", seconds: float = 300.0) -> DataFrame:
     """(trip_key, window, scale, bias) of a rate sensor: bias on straights, scale from the turns' net heading."""
-    d = lead_in(rows, anchored, seconds).withColumn("__true", course_rate()).withColumn("__dt", W.diff(F.col("t"), Window.partitionBy(*KEY).orderBy("i"))).where("__true is not null")
-    straight = F.abs("__true") < 1
-    bias = d.groupBy(*KEY).agg(F.when(F.sum(straight.cast("int")) > 20, F.median(F.when(straight, F.col(rate)))).otherwise(F.median(rate)).alias("bias"))
-    d = d.join(bias, KEY).withColumn("__r", F.col(rate) - F.col("bias"))
-    turn = F.abs("__true") > 3
-    agg = d.groupBy(*KEY, "bias").agg(
-        F.sum(turn.cast("int")).alias("turns"),
-        F.sum(F.when(turn, F.col("__true") * F.col("__dt"))).alias("net"), F.sum(F.when(turn, F.col("__r") * F.col("__dt"))).alias("own"),
-        F.sum(F.when(turn, F.col("__true") * F.col("__r"))).alias("xy"), F.sum(F.when(turn, F.col("__r") * F.col("__r"))).alias("xx"),
-    )
-    s = F.when(F.abs("own") > 20, F.col("net") / F.col("own")).otherwise(F.col("xy") / F.when(F.col("xx") > 0, F.col("xx")))
-    fine = (F.col("turns") > 30) & F.abs(s).between(0.2, 5)
-    return agg.select(*KEY, F.when(F.coalesce(fine, F.lit(False)), s).otherwise(1.0).alias("scale"), "bias")
+
+    def fit(x: dict[str, np.ndarray]) -> tuple | None:
+        true = _true_rate(x)
+        some = ~np.isnan(true)
+        if not some.any():
+            return None
+        true, own, dt = true[some], x[rate][some], np.append(np.nan, np.diff(x["t"]))[some]
+        straight, turn = np.abs(true) < 1, np.abs(true) > 3
+        bias = _median(own[straight]) if straight.sum() > 20 else _median(own)
+        r = own - bias
+        net, turned = np.nansum(true[turn] * dt[turn]), np.nansum(r[turn] * dt[turn])
+        xx = np.nansum(r[turn] ** 2)
+        s = net / turned if abs(turned) > 20 else np.nansum(true[turn] * r[turn]) / xx if xx > 0 else np.nan
+        return (s if turn.sum() > 30 and 0.2 <= abs(s) <= 5 else 1.0), (None if np.isnan(bias) else bias)
+
+    return _over_lead_ins(rows, anchored, seconds, ["heading_deg", rate], fit, _RATE)
 
 
 def calibrate_gyro(rows: DataFrame, anchored: DataFrame, gyro_dps: str = "gyro_dps", seconds: float = 60.0) -> DataFrame:
     """(trip_key, window, scale, bias) of a phone's gyro by least squares over turning lead-ins; else scale -1 and the mean."""
-    d = lead_in(rows, anchored, seconds).withColumn("__true", course_rate()).where("__true is not null")
-    s, b = F.regr_slope("__true", gyro_dps), F.regr_intercept("__true", gyro_dps)
-    agg = d.groupBy(*KEY).agg(F.count("*").alias("__n"), F.stddev_pop("__true").alias("__sd"), s.alias("__s"), b.alias("__b"), F.avg(F.col("__true") + F.col(gyro_dps)).alias("__m"))
-    fine = F.coalesce((F.col("__n") >= 20) & (F.col("__sd") > 1.5) & F.abs("__s").between(0.2, 5) & (F.col("__s") < 0), F.lit(False))
-    return agg.select(*KEY, F.when(fine, F.col("__s")).otherwise(-1.0).alias("scale"), F.when(fine, F.col("__b")).when(F.col("__n") >= 20, F.col("__m")).otherwise(0.0).alias("bias"))
+
+    def fit(x: dict[str, np.ndarray]) -> tuple | None:
+        true = _true_rate(x)
+        some = ~np.isnan(true)
+        if not some.any():
+            return None
+        true, own = true[some], x[gyro_dps][some]
+        s, b, _ = _line(true, own)
+        if len(true) >= 20 and true.std() > 1.5 and 0.2 <= abs(s) <= 5 and s < 0:
+            return s, b
+        m = _mean(true + own)
+        return -1.0, (0.0 if len(true) < 20 else None if np.isnan(m) else m)
+
+    return _over_lead_ins(rows, anchored, seconds, ["heading_deg", gyro_dps], fit, _GYRO)
 
 
 def align_phone(rows: DataFrame, anchored: DataFrame, seconds: float = 60.0, least: int = 30) -> DataFrame:
@@ -71,21 +149,32 @@ def align_phone(rows: DataFrame, anchored: DataFrame, seconds: float = 60.0, lea
 
     Only the third row of the tilt rotation turns the gyro into a turn rate, and that row is the unit gravity itself.
     """
-    d = lead_in(rows, anchored, seconds)
-    g = d.groupBy(*KEY).agg(*[F.avg(f"grav_{a}").alias(f"m{a}") for a in "xyz"])
-    length = F.sqrt(sum((F.col(f"m{a}") ** 2 for a in "xyz"), F.lit(0.0)))
-    g = g.select(*KEY, *[(F.col(f"m{a}") / length).alias(f"g{a}") for a in "xyz"])
-    d = d.join(g, KEY).withColumn("__true", course_rate()).withColumn("__z", F.degrees(F.col("gx") * F.col("gyro_x") + F.col("gy") * F.col("gyro_y") + F.col("gz") * F.col("gyro_z")))
-    d = d.where((F.abs("__true") < 60) & (F.col("speed") > 2))
-    agg = d.groupBy(*KEY, "gx", "gy", "gz").agg(F.count("*").alias("n"), F.stddev_pop("__true").alias("s1"), F.stddev_pop("__z").alias("s2"), F.regr_slope("__true", "__z").alias("s"), F.regr_intercept("__true", "__z").alias("b"), F.avg(F.col("__true") + F.col("__z")).alias("m"), W.pearson("__true", "__z").alias("r"))
-    fine = F.coalesce((F.col("s1") > 1) & (F.col("s2") > 1) & (F.abs("s") > 0.3) & (F.abs("s") < 3), F.lit(False))
-    return agg.where(F.col("n") >= least).select(*KEY, "gx", "gy", "gz", F.when(fine, F.col("s")).otherwise(-1.0).alias("scale"), F.when(fine, F.col("b")).otherwise(F.col("m")).alias("bias"), F.coalesce("r", F.lit(0.0)).alias("quality"))
+
+    def fit(x: dict[str, np.ndarray]) -> tuple | None:
+        g = np.array([_mean(x[f"grav_{a}"]) for a in "xyz"])
+        g = g / np.sqrt((g * g).sum())
+        true, z = _true_rate(x), np.degrees(sum(k * x[f"gyro_{a}"] for k, a in zip(g, "xyz")))
+        some = (np.abs(true) < 60) & (x["speed"] > 2)
+        true, z = true[some], z[some]
+        if len(true) < least:
+            return None
+        s, b, r = _line(true, z)
+        ok = z[~np.isnan(z)]
+        fine = true.std() > 1 and len(ok) > 0 and ok.std() > 1 and 0.3 < abs(s) < 3
+        m = _mean(true + z)
+        return (*(None if np.isnan(v) else v for v in g), s if fine else -1.0, b if fine else None if np.isnan(m) else m, 0.0 if np.isnan(r) else r)
+
+    return _over_lead_ins(rows, anchored, seconds, ["heading_deg", "speed", *[f"{k}_{a}" for k in ("grav", "gyro") for a in "xyz"]], fit, _PHONE)
 
 
 def wheel_radius(rows: DataFrame, anchored: DataFrame, seconds: float = 300.0) -> DataFrame:
-    d = lead_in(rows, anchored, seconds)
-    v = F.when((F.col("wheel") > 1) & (F.col("speed") > 1), F.col("speed") / F.col("wheel"))
-    return d.groupBy(*KEY).agg(F.when(F.count(v) > 20, F.median(v)).otherwise(0.30).alias("radius"))
+    """(trip_key, window, radius): metres a second for each unit of the wheel's speed."""
+
+    def fit(x: dict[str, np.ndarray]) -> tuple | None:
+        some = (x["wheel"] > 1) & (x["speed"] > 1)
+        return (float(np.median(x["speed"][some] / x["wheel"][some])) if some.sum() > 20 else 0.30,)
+
+    return _over_lead_ins(rows, anchored, seconds, ["speed", "wheel"], fit, _WHEEL)
 
 
 def level_acceleration() -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import wrap_rad
+from .numbering import numbered
 
 CELL_M = 120.0
 GATE = math.radians(50.0)
@@ -76,7 +77,7 @@ def neighbours(frontier: DataFrame, edges: DataFrame) -> DataFrame:
 def crop(nodes: DataFrame, edges: DataFrame, radius_m: float) -> tuple[DataFrame, DataFrame]:
     """Nodes within a radius of the origin, numbered from 0, and the edges with both ends among them."""
     near = nodes.where(F.col("x") * F.col("x") + F.col("y") * F.col("y") <= radius_m * radius_m)
-    near = near.withColumn("idx", F.row_number().over(Window.orderBy("id")) - 1)
+    near = numbered(near, ["id"])
     a, b = near.select(F.col("id").alias("src"), F.col("idx").alias("a")), near.select(F.col("id").alias("dst"), F.col("idx").alias("b"))
     return near, edges.join(a, "src").join(b, "dst").select("src", "dst", "a", "b", "cost")
 

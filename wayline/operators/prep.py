@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import series as W
 from ..functions.scalar import drive_group
+from .numbering import numbered, running
 
 BANNED = ("latitude", "longitude", "gnss_speed", "gnss_heading", "altitude", "reference_latitude", "reference_longitude", "reference_speed", "reference_heading", "reference_x", "reference_y")
 FEATURES = ("acc_x", "acc_y", "acc_z", "gyro_x", "gyro_y", "gyro_z", "mag_x", "mag_y", "mag_z", "roll", "pitch", "yaw")
@@ -28,24 +29,27 @@ def usable(flags: DataFrame) -> DataFrame:
     return flags.where(F.col("flag_has_full_imu") & F.col("flag_acc_units_ok") & ~F.col("flag_short") & F.col("flag_mostly_moving") & (F.col("path_len_km") >= 0.3) & F.coalesce(F.col("flag_truth_consistent"), F.lit(False)))
 
 
-def assign_splits(stats: DataFrame, order: Column, train: float = 0.70, val: float = 0.15, min_s: float = 60.0, min_km: float = 0.3) -> DataFrame:
-    """(sequence_id, grp, split): groups of drives are dealt by cumulative duration in a given order, so that parts of one
-    drive share a split; groups without a usable part are excluded. A short part takes its group's split."""
+def assign_splits(stats: DataFrame, order: Column | DataFrame, train: float = 0.70, val: float = 0.15, min_s: float = 60.0, min_km: float = 0.3) -> DataFrame:
+    """(sequence_id, grp, split): groups of drives are dealt by cumulative duration in a given order (a column, or a table of
+    grp and o), so that parts of one drive share a split; groups without a usable part are excluded. A short part takes its group's split."""
     s = stats.withColumn("grp", drive_group(F.col("sequence_id")))
     ok = s.where((F.col("duration_s") >= min_s) & (F.col("path_km") >= min_km)).groupBy("grp").agg(F.sum("duration_s").alias("d"))
-    every = Window.partitionBy(F.lit(1))  # one row a drive
-    ok = ok.withColumn("o", order).withColumn("at", (F.sum("d").over(every.orderBy("o", "grp").rowsBetween(Window.unboundedPreceding, 0)) - F.col("d")) / F.sum("d").over(every))
+    ok = ok.join(order, "grp") if isinstance(order, DataFrame) else ok.withColumn("o", order)
+    total = ok.agg(F.sum("d").alias("__all"))
+    ok = running(ok, ["o", "grp"], {"__upto": "d"}).crossJoin(F.broadcast(total)).withColumn("at", (F.col("__upto") - F.col("d")) / F.col("__all"))  # one row
     split = F.when(F.col("at") < train, "train").when(F.col("at") < train + val, "val").otherwise("test")
     return s.join(ok.select("grp", split.alias("__s")), "grp", "left").select("sequence_id", "grp", F.coalesce("__s", F.lit("excluded")).alias("split"))
 
 
-def shuffled_order(groups: list[str], seed: int = 26168) -> dict[str, int]:
-    """Place of each drive group after a seeded shuffle of the sorted names (a short list, on the driver)."""
+def shuffled(groups: DataFrame, seed: int = 26168) -> DataFrame:
+    """groups (grp), distinct, with their place `o` after a seeded shuffle of the sorted names. The driver shuffles numbers, not names."""
     import numpy as np
+    import pandas as pd
 
-    names = sorted(groups)
-    np.random.default_rng(seed).shuffle(names)
-    return {n: k for k, n in enumerate(names)}
+    named = numbered(groups.select("grp").distinct(), ["grp"], "k")
+    places = np.arange(named.count())
+    np.random.default_rng(seed).shuffle(places)
+    return named.join(groups.sparkSession.createDataFrame(pd.DataFrame({"k": places, "o": np.arange(len(places))}), "k long, o long"), "k").select("grp", "o")
 
 
 def training_windows(rows: DataFrame, features: list[str], target: str, seconds: float = 2.0, stride: int = 1, max_gap_s: float = 0.6, by: str = "trip_key") -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions import series as W
-from ..operators import alignment, graph, model, prep, recurrent, routing
-from ..sources import logs
+from ..operators import alignment, graph, model, numbering, prep, recurrent, routing
+from ..sources import logs, packed, sinks
 from ..sources.graphs import shared_folder
 from ..sources.signals import GAP_S, signals
 from ..sources.signals import SQL as SIGNALS_SQL
@@ -73,17 +73,16 @@ def j14(spark, sf_dir):
 
 @query("d23_balanced_split")
 def d23(spark, sf_dir):
-    """The seeded shuffle of drive groups: the short list of names is shuffled on the driver and sent back as a table."""
+    """Groups in a seeded shuffle of their names."""
     s = summary(spark, sf_dir)
-    ok = s.where("duration_s >= 60 and path_km >= 0.3").select(S.drive_group(_c("sequence_id")).alias("g")).distinct()
-    order = prep.shuffled_order([r.g for r in ok.collect()])
-    place = F.create_map(*[x for g, k in order.items() for x in (F.lit(g), F.lit(k))]) if order else F.create_map()
-    return prep.assign_splits(s, place[_c("grp")] if order else F.lit(0))
+    ok = s.where("duration_s >= 60 and path_km >= 0.3").select(S.drive_group(_c("sequence_id")).alias("grp"))
+    return prep.assign_splits(s, prep.shuffled(ok))
 
 
 @query("t03_sort_splits", f"{_SPLIT}select sequence_id, split, row_number() over (order by split, sequence_id) as place from sp")
 def t03(spark, sf_dir):
-    return splits(spark, sf_dir).select("sequence_id", "split", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("split", "sequence_id")).cast("long").alias("place"))
+    d = numbering.numbered(splits(spark, sf_dir), ["split", "sequence_id"], "place")
+    return d.select("sequence_id", "split", (_c("place") + 1).alias("place"))
 
 
 @query("a28_group_durations", f"{_SPLIT}select grp, {R('sum(duration_s)')} as duration_s from gr group by grp")
@@ -101,15 +100,37 @@ def u04(spark, sf_dir):
     return splits(spark, sf_dir).groupBy("grp").agg(F.count_distinct("split").alias("n"))
 
 
-@query("u02_feature_intersection", "select f from (values ('reference_x'), ('gnss_speed')) v(f)")
+# Parts of a drive dealt each for itself: groups leak.
+@query("a30_leaking_groups", f"{_SPLIT}, lk as (select sequence_id, grp, case when sequence_id like '%a' then 'train' else 'test' end as split from sp) select 'drive group ' || grp || ' in ' || string_agg(distinct split, ', ' order by split) as issue from lk group by grp having count(distinct split) > 1")
+def a30_leak(spark, sf_dir):
+    d = splits(spark, sf_dir).withColumn("split", F.when(_c("sequence_id").endswith("a"), "train").otherwise("test"))
+    return prep.leakage_issues(d, ["acc_x", "yaw"])
+
+
+#: Names of what rows hold: inputs, positions of the receiver, the reference.
+_HELD = {"acc_x": "acc_x", "gyro_z": "gyro_z", "roll": "case when event_type <> 'error' then roll end", "latitude": "case when gnss_valid then lat end", "gnss_speed": "case when k > 90 then speed end", "reference_speed": "case when k < 3 then speed end"}
+_HELD_SQL = ", he as (" + " union all ".join(f"select distinct trip_key, '{n}' as f from sig where {e} is not null" for n, e in _HELD.items()) + ")\n"
+
+
+def held(spark, sf_dir) -> DataFrame:
+    """(trip_key, f): which features each trip has values of."""
+    d = signals(spark, sf_dir).groupBy("trip_key").agg(*[F.count(F.expr(e)).alias(n) for n, e in _HELD.items()])
+    return d.select("trip_key", F.explode(F.filter(F.array(*[F.when(_c(n) > 0, F.lit(n)) for n in _HELD]), lambda x: x.isNotNull())).alias("f"))
+
+
+@query("u02_feature_intersection", f"{_HELD_SQL}select trip_key, f from he where f in ({', '.join(repr(x) for x in prep.BANNED)})")
 def u02(spark, sf_dir):
-    a = spark.createDataFrame([(x,) for x in (*prep.FEATURES, "gnss_speed", "reference_x")], "f string")
-    return a.intersect(spark.createDataFrame([(x,) for x in prep.BANNED], "f string"))
+    """The features of each trip that are no inputs."""
+    d = held(spark, sf_dir)
+    banned = d.select("trip_key", F.explode(F.array(*map(F.lit, prep.BANNED))).alias("f"))
+    return d.intersect(banned)
 
 
-@query("u03_banned_union", "select f from (values ('a'), ('b'), ('c')) v(f)")
+@query("u03_banned_union", f"{_HELD_SQL}select distinct trip_key, f from he where f like 'gnss%' or f like 'lat%' or f like 'reference%'")
 def u03(spark, sf_dir):
-    return spark.createDataFrame([("a",), ("b",)], "f string").union(spark.createDataFrame([("b",), ("c",)], "f string")).distinct()
+    """Of each trip, what the receiver and the reference gave."""
+    d = held(spark, sf_dir)
+    return d.where("f like 'gnss%' or f like 'lat%'").union(d.where("f like 'reference%'")).distinct()
 
 
 @query("u01_append_rows", "select trip_key, count(*) as n from (select trip_key from sig where k < 50 union all select trip_key from sig where k >= 20) x group by trip_key")
@@ -268,6 +289,18 @@ def s30(spark, sf_dir):
     return graph.crop(nodes, edges, 500.0)[0].select("id", _c("idx").cast("long").alias("idx"), "x", "y")
 
 
+@query("s30_packed_graph", _GRAPH + _CROP + "select 'node' as kind, cast(idx as bigint) as a, null::bigint as b, cast(cast(x as float) as double) as u, cast(cast(y as float) as double) as v from near union all select 'edge', cast(a.idx as bigint), cast(b.idx as bigint), cast(cast(e.cost as float) as double), null from edges e join near a on a.id = e.src join near b on b.id = e.dst")
+def s30_bytes(spark, sf_dir):
+    """The packed export, written and unpacked again."""
+    nodes, edges, _, _ = road(spark, sf_dir)
+    near, ways = graph.crop(nodes, edges, 500.0)
+    folder = f"{shared_folder(spark)}/packed/{uuid.uuid4().hex}"
+    packed.save_packed(packed.pack(near, ways, 52.4, -1.5), folder)
+    n, e = packed.load_packed(spark, folder)
+    n = n.select(F.lit("node").alias("kind"), _c("idx").alias("a"), F.lit(None).cast("long").alias("b"), _c("x").alias("u"), _c("y").alias("v"))
+    return n.unionByName(e.select(F.lit("edge").alias("kind"), "a", "b", _c("cost").alias("u"), F.lit(None).cast("double").alias("v")))
+
+
 # The grid's cheapest ways are as long as their steps east and north; of equal ones the last node before is the least.
 _WAYS = _GRAPH.replace("with ", "with recursive ", 1) + f""", co as (select s.id as query, o.id as node, abs(o.x - s.x) + abs(o.y - s.y) as cost from nodes o join nodes s on s.id in (12, 55) where o.id = s.id and exists (select 1 from edges e where e.src = s.id) or exists (select 1 from edges e where e.src = o.id) and exists (select 1 from edges e where e.src = s.id)),
 pv as (select c.query, c.node, min(e.src) as prev from co c join edges e on e.dst = c.node join co d on d.query = c.query and d.node = e.src and abs(d.cost + e.cost - c.cost) < 1e-6 where c.node <> c.query group by c.query, c.node),
@@ -497,9 +530,16 @@ def s20(spark, sf_dir):
     return logs.phone_messages(m).select("session", rounded(_c("t")).alias("t"), rounded(_c("acc_x")).alias("acc_x"), "gyro_x", "gnss_valid")
 
 
-@query("s24_json_lines", "with x as (select 1) select event_id, '{\"event_id\":' || event_id || ',\"user_id\":' || user_id || '}' as value from events")
+@query("s24_json_lines", "with x as (select 1) select cast(event_id % 7 as varchar) as part, '{\"event_id\":' || event_id || ',\"user_id\":' || user_id || '}' as value from events")
 def s24(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.to_json(F.struct("event_id", "user_id")).alias("value"))
+    """Written by a stream, a line an object, and read again."""
+    at = f"{shared_folder(spark)}/lines/{uuid.uuid4().hex}"
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+    e.withColumn("part", _c("event_id") % 7).write.partitionBy("part").parquet(f"{at}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 3).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{at}/in")
+    sinks.json_lines(stream, F.struct("event_id", "user_id"), f"{at}/out", f"{at}/checkpoint", once=True).awaitTermination()
+    lines = spark.read.option("recursiveFileLookup", "true").text(f"{at}/out")
+    return lines.select((F.get_json_object("value", "$.event_id").cast("long") % 7).cast("string").alias("part"), "value")
 
 
 @query("s38_sensor_series", f"select trip_key, i, {R('t')} as t, {R('acc_x')} as acc_x, {R('acc_y')} as acc_y, {R('acc_z')} as acc_z from sig")

@@ -7,12 +7,13 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import series as W
 from ..operators import deadreckon as D
 from ..operators import outage
 from ..sources.signals import GAP_S, signals
 from ..sources.signals import SQL as S_SQL
 from .registry import query, rounded
-from .series_queries import _ENU0, _HAV, OVER, UPTO, R, _enu
+from .series_queries import _ENU0, _HAV, OVER, STEP, UPTO, R, _enu
 
 _c = F.col
 
@@ -202,9 +203,17 @@ def d20(spark, sf_dir):
     return d.select("trip_key", "i", rounded(_c("east"), 3).alias("east"), rounded(_c("north"), 3).alias("north"), rounded(_c("std_m")).alias("std_m"))
 
 
-@query("d03_scenarios", "select * from (values ('isro_60s', 60.0::double, cast(null as double), 1), ('isro_1km', null, 1000.0::double, 1), ('short_30s', 30.0::double, null, 1), ('tunnels', 30.0::double, null, 8), ('every_2min', 60.0::double, null, 50)) as v(name, duration_s, length_m, max_windows)")
+_PRESETS = ", ".join(f"('{k}', {'null' if s.duration_s is None else s.duration_s}::double, {'null' if s.length_m is None else s.length_m}::double, {s.max_windows})" for k, s in outage.SCENARIOS.items())
+
+
+@query("d03_scenarios", f"{STEP}, le as (select trip_key, max(t) - min(t) as d, sum(coalesce(step, 0)) as m from st group by trip_key) select trip_key, name, duration_s, length_m, max_windows, coalesce(d >= duration_s, false) or coalesce(m >= length_m, false) as long_enough from le cross join (values {_PRESETS}) v(name, duration_s, length_m, max_windows)")
 def d03(spark, sf_dir):
-    return spark.createDataFrame([(k, s.duration_s, s.length_m, s.max_windows) for k, s in outage.SCENARIOS.items()], "name string, duration_s double, length_m double, max_windows int")
+    """The presets for each trip, and whether it is as long as their outage."""
+    d = signals(spark, sf_dir).withColumn("step", F.coalesce(W.step_m(_c("lat"), _c("lon")), F.lit(0.0))).groupBy("trip_key").agg((F.max("t") - F.min("t")).alias("d"), F.sum("step").alias("m"))
+    preset = lambda k, s: F.struct(F.lit(k).alias("name"), F.lit(s.duration_s).cast("double").alias("duration_s"), F.lit(s.length_m).cast("double").alias("length_m"), F.lit(s.max_windows).alias("max_windows"))
+    d = d.withColumn("s", F.explode(F.array(*[preset(k, s) for k, s in outage.SCENARIOS.items()]))).select("trip_key", "d", "m", "s.*")
+    fits = F.coalesce(_c("d") >= _c("duration_s"), F.lit(False)) | F.coalesce(_c("m") >= _c("length_m"), F.lit(False))
+    return d.select("trip_key", "name", "duration_s", "length_m", "max_windows", fits.alias("long_enough"))
 
 
 TUNNELS = outage.Spec(10.0, warmup_s=10.0, cooldown_s=2.0, min_gap_s=8.0, max_windows=3, lead_s=8.0, max_step_s=GAP_S)
