@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,7 +94,6 @@ def rename_map(headers: list[str], mapping: dict[str, list[str]]) -> dict[str, s
 
 def write_files(rows: DataFrame, root: str, path: str = "path", order: str = "i") -> None:
     """A CSV file per value of `path` below root, in latin-1, written by the task that holds its rows; columns other than these two."""
-    import pandas as pd
     from pyarrow import fs
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -134,14 +134,32 @@ def pointers(spark: SparkSession, folder: str, longest: int = 4096) -> DataFrame
     return d.where((F.col("length") <= longest) & F.substring(F.col("content"), 1, 40).cast("string").startswith(POINTER)).select("path")
 
 
-def read_layouts(spark: SparkSession, files: DataFrame, folder: str, read) -> DataFrame:
-    """The files (path) below a folder, read by read_phone or read_vehicle, those with one header together: a reader's plan
-    holds the paths of its files, as any plan over files does."""
-    heads = csv_lines(spark, folder).where("i = -1").select(plain_path(F.col("file")).alias("__p"), "columns")
-    groups: dict[tuple, list[str]] = {}
-    for r in files.select("path").join(heads, plain_path(F.col("path")) == F.col("__p")).collect():
-        groups.setdefault(tuple(r["columns"]), []).append(r["path"])
-    return reduce(DataFrame.unionByName, [read(spark, sorted(paths)) for paths in groups.values()])
+def read_mixed(spark: SparkSession, folder: str, kind: str, files: DataFrame | None = None) -> DataFrame:
+    """What read_phone (kind "phone") or read_vehicle ("vehicle") give, for files of any layouts below a folder in one read.
+
+    Lines are read by byte ranges, so a large file is worked on by many tasks. Each distinct header is mapped by a task, and a line's cells are
+    taken by its file's places; columns that nothing asks for are not cut out. files: (path), the files to read; else those whose names
+    tell their kind. A quoted cell holds no line break here. Nothing is collected.
+    """
+    mapping = PHONE if kind == "phone" else VEHICLE
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            heads = [[x.strip() for x in h] for h in pdf["columns"]]
+            back = [{v: h.index(k) for k, v in rename_map(h, mapping).items()} for h in heads]
+            yield pdf.assign(places=[[b.get(n) for n in mapping] for b in back])
+
+    lines = csv_lines(spark, folder).where("i >= 0")
+    if files is not None:
+        lines = lines.join(files.select(plain_path(F.col("path")).alias("__p")).distinct(), plain_path(F.col("file")) == F.col("__p"), "left_semi")
+    else:
+        lines = lines.where(S.file_kind(F.regexp_extract("file", r"([^/]+)$", 1)) == kind)
+    heads = lines.select("columns").distinct().mapInPandas(places, "columns array<string>, places array<int>")
+    d = lines.join(heads, "columns")
+    value = {n: F.nullif(F.trim(F.get("cells", F.get("places", F.lit(k)))), F.lit("")) for k, n in enumerate(mapping)}
+    number = lambda n: S.split_sats(value[n]) if n == "gps_sats" else F.nanvl(value[n].try_cast("double"), F.lit(None).cast("double"))
+    d = d.select("file", "i", *[(value[n] if n == "date" else number(n)).alias(n) for n in mapping])
+    return _phone_time(d) if kind == "phone" else _vehicle_time(d)
 
 
 def discover_pairs(spark: SparkSession, root: str, least: int = 200, max_lag: int = 60) -> DataFrame:
@@ -156,7 +174,7 @@ def discover_pairs(spark: SparkSession, root: str, least: int = 200, max_lag: in
         raise FileNotFoundError(f"no synced trips below {root}")
     of = lambda d: d.withColumn("folder", F.regexp_extract(plain_path(F.col("file")), r"^(.*)/[^/]+$", 1))
     ends = lambda d, c, n: d.groupBy("folder").agg(F.count("*").alias(f"n_{n}"), F.max_by("t", "i").alias(f"t_{n}"), F.avg(F.col(c).isNotNull().cast("double")).alias(f"ok_{n}"))
-    phone, vehicle = (of(read_layouts(spark, trips.select(F.col(c).alias("path")), root, read)) for c, read in (("phone", read_phone), ("vehicle", read_vehicle)))
+    phone, vehicle = (of(read_mixed(spark, root, c, trips.select(F.col(c).alias("path")))) for c in ("phone", "vehicle"))
     both = phone.select("folder", "i", F.col("t").alias("tp"), F.col("gps_speed_ms").alias("a")).join(vehicle.select("folder", "i", F.col("t").alias("tv"), F.col("speed_ms").alias("b")), ["folder", "i"])
     overlap = both.groupBy("folder").agg(F.max_by(F.least("tp", "tv"), "i").alias("overlap"))
     smooth = both.select("folder", "i", *[W.smooth(F.coalesce(F.col(x), F.lit(0.0)), by="folder").alias(x) for x in "ab"])
@@ -202,9 +220,12 @@ def _canonical(raw: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 def read_phone(spark: SparkSession, path: str | list[str], glob: str = "S-*.csv") -> DataFrame:
     """Canonical phone columns and t in seconds: the date if over 90 % parse (gaps are interpolated by row), else t_ms, else 0.1 i."""
+    return _phone_time(_canonical(read_raw(spark, path, glob), PHONE))
+
+
+def _phone_time(d: DataFrame) -> DataFrame:
     from ..functions.series import interpolate
 
-    d = _canonical(read_raw(spark, path, glob), PHONE)
     stamp = F.try_to_timestamp(F.regexp_replace("date", r":(\d+)$", ".$1"), F.lit("yyyy-MM-dd HH:mm:ss.SSS"))
     d = d.withColumn("__abs", F.unix_micros(stamp) / F.lit(1e6))
     whole = Window.partitionBy("file")
@@ -219,7 +240,10 @@ def read_phone(spark: SparkSession, path: str | list[str], glob: str = "S-*.csv"
 
 def read_vehicle(spark: SparkSession, path: str | list[str], glob: str = "V-*.csv") -> DataFrame:
     """Canonical vehicle columns, t in seconds, and speed_ms; the clock is the seconds of the day, else summed periods, else 0.1 i."""
-    d = _canonical(read_raw(spark, path, glob), VEHICLE)
+    return _vehicle_time(_canonical(read_raw(spark, path, glob), VEHICLE))
+
+
+def _vehicle_time(d: DataFrame) -> DataFrame:
     whole = Window.partitionBy("file")
     up = whole.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     share = lambda c: F.avg(F.col(c).isNotNull().cast("double")).over(whole)
@@ -364,14 +388,18 @@ def write_windows(windows: DataFrame, path: str) -> None:
 
 def csv_lines(spark: SparkSession, folder: str) -> DataFrame:
     """(file, i, cells, columns): the cells of each line of all CSV files below a folder, whatever their headers; i from 0. Blank
-    lines are left out; a file with a header alone has no rows here."""
+    lines are left out; a file's header is the row -1. Files are read by byte ranges; lines are numbered within a range, and ranges by
+    their counts, so no task needs a whole file."""
     cells = lambda c: F.transform(F.split(c, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda x: F.regexp_replace(x, r'^"|"$', ""))
     whole = {"sep": "\u0001", "quote": "", "escape": "", "encoding": "ISO-8859-1", "mode": "PERMISSIVE"}  # the text reader knows no encodings
     d = spark.read.options(recursiveFileLookup=True, pathGlobFilter="*.csv", **whole).schema("value string").csv(folder)
-    d = d.select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("at")).where("trim(value) <> ''")
-    w = Window.partitionBy("file").orderBy("at")
-    d = d.withColumns({"i": F.row_number().over(w) - 2, "__head": F.first("value").over(w)})
-    return d.select("file", "i", F.when(F.col("i") >= 0, cells(F.col("value"))).alias("cells"), cells(F.col("__head")).alias("columns"))
+    d = d.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).where("trim(value) <> ''")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    blocks = d.groupBy("file", "block").agg(F.count("*").alias("n"), F.min_by("value", "id").alias("first"))
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.first("first").over(Window.partitionBy("file").orderBy("block")).alias("head"))
+    d = d.withColumn("k", F.row_number().over(Window.partitionBy("file", "block").orderBy("id"))).join(blocks, ["file", "block"])
+    d = d.select("file", (F.col("before") + F.col("k") - 2).cast("int").alias("i"), "value", "head")
+    return d.select("file", "i", F.when(F.col("i") >= 0, cells(F.col("value"))).alias("cells"), cells(F.col("head")).alias("columns"))
 
 
 def inventory(spark: SparkSession, folder: str, cache: str | None = None) -> DataFrame:
