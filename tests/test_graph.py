@@ -1,4 +1,10 @@
+import math
+import random
+
+from pyspark.sql import functions as F
+
 from wayline.operators import graph
+from wayline.sources import graphs
 
 
 def test_routes_of_more_than_64_edges(spark):
@@ -7,3 +13,46 @@ def test_routes_of_more_than_64_edges(spark):
     found = graph.routes(spark.createDataFrame(edges, "src long, dst long, cost double").coalesce(1), start)
     out = {x.node: x for x in graph.with_paths(found).collect()}
     assert {k: x.cost for k, x in out.items()} == {k: float(k) for k in range(67)} and list(out[66].path) == list(range(67))
+
+
+def test_a_dense_cell_is_work_for_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CELL_ROWS", 32)
+    draw = random.Random(1)
+    place = lambda dense: (draw.uniform(10, 110), draw.uniform(10, 110)) if dense else (draw.uniform(0, 5000), draw.uniform(0, 5000))
+    segments, points = [], []
+    for k in range(1000):
+        x, y = place(k % 10)
+        segments.append((k, x, y, x + 3, y + 4, 0.6))
+    for k in range(60):
+        points.append((k, *place(k % 3)))
+    s, p = spark.createDataFrame(segments, "id long, ax double, ay double, bx double, by double, bearing double"), spark.createDataFrame(points, "point_id long, e double, n double")
+    got = sorted(map(tuple, graph.segment_candidates(p, s).select("point_id", "id").collect()))
+    assert got == sorted((q, k) for q, e, n in points for k, ax, ay, bx, by, _ in segments if ax - 120 <= e <= bx + 120 and ay - 120 <= n <= by + 120)
+    cell = lambda d, x, y: d.withColumns({"cx": F.floor(F.col(x) / 120), "cy": F.floor(F.col(y) / 120)})
+    # Rows of both sides by the whole key of the join: 90 % of segments lie in one cell.
+    keys = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        joined = graph.join_cells(cell(p, "e", "n").repartition(200), cell(s, "ax", "ay"), "point_id", 32)
+        most = joined.groupBy("cx", "cy", F.pmod(F.xxhash64("id"), F.lit(math.ceil(900 / 32)))).agg(F.count_distinct("id").alias("n")).agg(F.max("n")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", keys)
+    assert most <= 50  # under 5 % of 1,000
+    nodes = spark.createDataFrame([(k, x, y) for k, x, y, *_ in segments], "id long, x double, y double")
+    for r in graph.nearest_node(p, nodes).collect():
+        e, n = points[r.point_id][1:]
+        assert r.node == min(segments, key=lambda t: (math.dist(t[1:3], (e, n)), t[0]))[0]
+
+
+def test_a_bounded_read_leaves_tiles_alone(spark, tmp_path):
+    rows = [(k, 500.0 * k, 100.0, 500.0 * k + 450, 120.0, 1.5) for k in range(100)]
+    s = spark.createDataFrame(rows, "id long, ax double, ay double, bx double, by double, bearing double")
+    none = spark.createDataFrame([], "id long, x double, y double")
+    folder = f"file://{tmp_path}/graph"
+    graphs.write_graph(none, spark.createDataFrame([], "src long, dst long, cost double"), s, 52.0, -1.0, folder)
+    some = graphs.read_segments(spark, folder, 52.0, -1.0, (10_200.0, 11_300.0, 0.0, 200.0))
+    assert sorted(r.id for r in some.collect()) == [20, 21, 22] and graphs.read_segments(spark, folder, 52.0, -1.0).count() == 100
+    whole = graphs.read_segments(spark, folder, 52.0, -1.0)
+    read = lambda d: d.select(F.input_file_name()).distinct().count()
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(tx" in plan and read(some) <= 4 < read(whole)

@@ -18,15 +18,32 @@ def _cells(lo: str, hi: str, cell: float):
     return F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
 
 
+#: Rows of either side that meet under one key of a join by cells.
+CELL_ROWS = 4096
+
+
+def join_cells(points: DataFrame, things: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """points and things (with `id`) in the same cell (cx, cy). A cell with more than `limit` rows of a side is split by counts: that side is dealt
+    to parts, and the other side's rows go to each of them, so a key holds `limit` of either side and a dense place is work for many tasks."""
+    limit = limit or CELL_ROWS
+    parts = lambda d, n: d.groupBy("cx", "cy").agg(F.ceil(F.count("*") / limit).alias(n)).where(F.col(n) > 1)
+    dense = parts(things, "__a").join(parts(points, "__b"), ["cx", "cy"], "full").select("cx", "cy", F.coalesce("__a", F.lit(1).cast("long")).alias("__a"), F.coalesce("__b", F.lit(1).cast("long")).alias("__b"))
+    one = lambda c: F.coalesce(c, F.lit(1).cast("long"))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), one(c) - 1))
+    p = points.join(dense, ["cx", "cy"], "left").withColumn("__s", every("__a")).withColumn("__p", F.pmod(F.xxhash64(key), one("__b"))).drop("__a", "__b")
+    t = things.join(dense, ["cx", "cy"], "left").withColumn("__p", every("__b")).withColumn("__s", F.pmod(F.xxhash64("id"), one("__a"))).drop("__a", "__b")
+    return p.join(t, ["cx", "cy", "__s", "__p"]).drop("__s", "__p")
+
+
 def segment_candidates(points: DataFrame, segments: DataFrame, reach: float = CELL_M) -> DataFrame:
     """Pairs of points (point_id, e, n, ...) and segments (id, ax, ay, bx, by, bearing) whose boxes are within `reach`.
 
-    Segments are listed in every grid cell that their widened box touches, so the join is on the point's cell.
+    Segments are listed in every grid cell that their widened box touches, so the join is on the point's cell; dense cells are split.
     """
     s = segments.withColumns({"x0": F.least("ax", "bx") - reach, "x1": F.greatest("ax", "bx") + reach, "y0": F.least("ay", "by") - reach, "y1": F.greatest("ay", "by") + reach})
     s = s.withColumn("cx", F.explode(_cells("x0", "x1", reach))).withColumn("cy", F.explode(_cells("y0", "y1", reach)))
     p = points.withColumns({"cx": F.floor(F.col("e") / reach), "cy": F.floor(F.col("n") / reach)})
-    return p.join(s, ["cx", "cy"]).where("e between x0 and x1 and n between y0 and y1").drop("cx", "cy", "x0", "x1", "y0", "y1")
+    return join_cells(p, s, "point_id").where("e between x0 and x1 and n between y0 and y1").drop("cx", "cy", "x0", "x1", "y0", "y1")
 
 
 def snap(points: DataFrame, segments: DataFrame, reach: float = CELL_M, limit: float = 40.0, gate: float = GATE) -> DataFrame:
@@ -61,7 +78,7 @@ def nearest_node(points: DataFrame, nodes: DataFrame, cell: float = 500.0) -> Da
         grid = nodes.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
         p = left.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
         p = p.withColumns({"cx": F.floor(F.col("e") / cell) + F.col("dx"), "cy": F.floor(F.col("n") / cell) + F.col("dy")})
-        d = p.join(grid, ["cx", "cy"]).withColumn("distance", F.sqrt((F.col("e") - F.col("x")) ** 2 + (F.col("n") - F.col("y")) ** 2))
+        d = join_cells(p, grid, "point_id").withColumn("distance", F.sqrt((F.col("e") - F.col("x")) ** 2 + (F.col("n") - F.col("y")) ** 2))
         best = d.groupBy("point_id").agg(F.min(F.struct("distance", "id")).alias("b")).where(F.col("b.distance") <= cell).select("point_id", F.col("b.id").alias("node"), F.col("b.distance").alias("distance"))
         found = best if found is None else found.union(best)
         left = left.join(best.select("point_id"), "point_id", "left_anti")
