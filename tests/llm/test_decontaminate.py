@@ -126,3 +126,12 @@ def test_near_copies_at_edges_and_in_another_order(spark):
         "swapped": (0, 60, round(52 / 60, 9)), "swapped inside": (50, 60, round(52 / 60, 9)), "swapped at the end": (50, 60, round(52 / 60, 9)),
         "too short": (0, 50, round(46 / 56, 9)),
     }
+
+
+def test_items_without_an_id_count(spark):
+    words = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(1, "before " + " ".join(words) + " after"), (2, "quite another text of some length " * 3), (None, " ".join(words[:40]))], "doc_id long, text string")
+    items = spark.createDataFrame([(None, " ".join(words)), (None, " ".join(words)), (None, None), (7, "nothing that anyone has written down here at all"), (None, " ".join(reversed(words)))], "item_id long, text string")
+    found = decontaminate.leaks(docs, items).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.item_id, r.start) for r in found if r.similarity == 1.0) == [(False, 1, None, 1), (True, None, None, 0)]
+    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [2]

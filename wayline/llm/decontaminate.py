@@ -84,19 +84,26 @@ def blocks(fp: Column, flips: int) -> Column:
 
 def item_shingles(benchmark: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(item_id, m, k, place, h) of each item with words: m words, shingles of k words or the whole item if it is shorter."""
-    d = benchmark.where("item_id is not null").select("item_id", _hashes().alias("w")).withColumn("m", F.size("w")).where("m > 0").dropDuplicates(["item_id", "w"])
+    d = benchmark.select("item_id", _hashes().alias("w")).withColumn("m", F.size("w")).where("m > 0").dropDuplicates(["item_id", "w"])
     short = [F.when(F.col("m") == j, _shingles(F.col("w"), F.col("m"), j)) for j in range(1, k)]
     d = d.withColumn("s", F.coalesce(*short, _shingles(F.col("w"), F.col("m"), k)))
     return d.select("item_id", "m", F.least("m", F.lit(k)).alias("k"), F.posexplode("s").alias("place", "h"))
 
 
+def _keyed(benchmark: DataFrame) -> DataFrame:
+    """benchmark with a key for each item: its id after a sign, or a hash of its text where it has none."""
+    return benchmark.withColumn("item_id", F.coalesce(F.concat(F.lit("="), F.col("item_id").cast("string")), F.concat(F.lit("?"), F.sha2("text", 256)))).where("item_id is not null")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, start, words, hamming, similarity): windows that repeat an item, start counted in words from 0.
 
-    Nulls and empty texts leak nothing; items without words are left out; rows with one doc_id are one document each,
+    Nulls and empty texts leak nothing; items without words are left out; items without an id count, one for each text, and
+    have a null item_id in the result; rows with one doc_id are one document each,
     and equal rows give each window once. Words are compared with A-Z in lower case.
     """
-    items = stage(item_shingles(benchmark, k), "items")
+    kind = benchmark.schema["item_id"].dataType
+    items = stage(item_shingles(_keyed(benchmark), k), "items")
     fps = with_fingerprints(items, ["item_id", "m"])
     sizes = sorted(r[0] for r in items.select("k").distinct().collect())  # at most SHINGLE values
     d = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("thash"), _hashes().alias("w")).withColumn("n", F.size("w"))
@@ -128,7 +135,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similarity: f
         more = _similar(docs, other.select("doc_id", "thash", "m", "start").distinct(), items, fps, sizes, k, similarity)
         wanted = other.withColumnsRenamed({"doc_id": "__d", "thash": "__t", "item_id": "__i", "m": "__m", "start": "__s"})
         both = both.unionByName(more.join(wanted, same & (F.col("start") == F.col("__s")), "left_semi"))
-    return both.groupBy("doc_id", "item_id", "start", "words").agg(F.min("hamming").cast("int").alias("hamming"), F.max("similarity").alias("similarity"))
+    both = both.groupBy("doc_id", "item_id", "start", "words").agg(F.min("hamming").cast("int").alias("hamming"), F.max("similarity").alias("similarity"))
+    return both.withColumn("item_id", F.when(F.col("item_id").startswith("="), F.substr("item_id", F.lit(2))).cast(kind))
 
 
 def _similar(docs: DataFrame, windows: DataFrame, items: DataFrame, fps: DataFrame, sizes: list[int], k: int, similarity: float) -> DataFrame:
