@@ -7,26 +7,43 @@ from pyspark.sql import functions as F
 
 from .shared import discard, stage
 
+#: A node with more than one in so many edges is cut into parts.
+SHARE = 1000
+
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """edges (u, v) with the m of their u in `least` (u, m, n), n being the number of its edges.
+
+    A node with more than 1 in `SHARE` of all `total` edges is cut into parts by the other end, and its m goes to each part.
+    There are at most `SHARE` such nodes, so their list may be broadcast.
+    """
+    most = max(1, total // SHARE)
+    hot = least.where(F.col("n") > most).select("u", F.ceil(F.col("n") / most).alias("__parts"))
+    parts = F.coalesce(F.when(F.col("n") > most, F.ceil(F.col("n") / most)), F.lit(1))
+    copies = least.select("u", "m", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("__part"))
+    dealt = edges.join(F.broadcast(hot), "u", "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64("v"), "__parts"), F.lit(0).cast("long"))).drop("__parts")
+    return dealt.join(copies, ["u", "__part"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b), longs: root is the smallest node reachable.
 
-    Each step is a partial minimum per node and a join on it, so a node with very many edges is split like any hot key.
+    Each step is a partial minimum per node and a join on it, in which nodes with very many edges are cut into parts.
     Each step's edges are written to the shared folder. The number of steps grows with the logarithm of the longest path.
     """
     e = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = _mark(e)
     while before[0]:
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = with_least(both, least, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
+        least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = with_least(down, least, 2 * before[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
         last, e = e, stage(small, "edges")
         discard(last)
         now = _mark(e)
