@@ -445,8 +445,8 @@ def train(texts: DataFrame, order: int = ORDER, folder: str | None = None, least
             yield _built({"shard": s, "file": name, "n": len(codes), "total": int(total[-1]), "width": 0, "cut": []})
 
     def gather(packed: DataFrame, build, name: str) -> tuple[Level, np.ndarray, list]:
-        """A row per shard is all that reaches the driver."""
-        rows = sorted(stage(packed.repartition(shards, "shard").mapInArrow(build, BUILT), name).collect(), key=lambda r: r.shard)
+        """A task builds one shard; a row per shard is all that reaches the driver."""
+        rows = sorted(stage(packed.repartitionById(shards, "shard").mapInArrow(build, BUILT), name).collect(), key=lambda r: r.shard)
         files, sizes, totals = [None] * shards, np.zeros(shards, np.int64), np.zeros(shards, np.int64)
         for r in rows:
             files[r.shard], sizes[r.shard], totals[r.shard] = r.file, r.n, r.total
