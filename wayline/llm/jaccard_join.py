@@ -47,8 +47,11 @@ FINE = 256
 #: Keys that a task holds at once, and members of a bucket that one holds; larger buckets are cut into blocks.
 SHARD_ROWS = 500_000
 BLOCK = 8_192
-#: A key with so many classes among SHARD_ROWS keys is dealt by class, not by key.
+#: A key with more classes than this among SHARD_ROWS keys is dealt by class, not by key; with many shards it takes fewer, so
+#: that what a key just below it brings to its shard from all tasks stays near SHARD_ROWS.
 HOT = 256
+#: Bytes that a Python worker gets at once where rows hold sets or points.
+WIDE_BATCH = 8 << 20
 U64 = np.uint64
 
 
@@ -186,6 +189,7 @@ def shared_buckets(texts: DataFrame) -> DataFrame:
     total = texts.agg(F.sum(F.octet_length("keys") / 6)).first()[0] or 0
     shards = int(max(8, -(-total // SHARD_ROWS)))
     wide = -(-(1 << 48) // shards)
+    most = min(HOT, max(2, SHARD_ROWS // shards))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -195,7 +199,7 @@ def shared_buckets(texts: DataFrame) -> DataFrame:
             keys, classes = _distinct(*(np.concatenate(x) for x in zip(*held)))
             starts = np.flatnonzero(np.insert(keys[1:] != keys[:-1], 0, True))
             n = np.diff(np.append(starts, len(keys)))
-            hot, nth = np.repeat(n > HOT, n), np.arange(len(keys)) - np.repeat(starts, n)
+            hot, nth = np.repeat(n > most, n), np.arange(len(keys)) - np.repeat(starts, n)
             rest = ~hot | (nth < 2)
             rows = list(dealt(keys[rest], classes[rest], np.searchsorted(keys[rest], np.arange(shards + 1) * wide), 0))
             if hot.any():
@@ -247,7 +251,7 @@ def shared_buckets(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)]), pa.array(classes[k : k + (1 << 16)])], names=["key", "class"])
 
     packed = texts.where("class is not null").select("class", "keys").mapInArrow(pack, "shard int, keys binary, places binary, classes binary")
-    return packed.repartition(2 * shards, "shard").mapInArrow(meet, "key long, class long")
+    return packed.repartitionById(2 * shards, "shard").mapInArrow(meet, "key long, class long")
 
 
 # ---------------------------------------------------------------- R-trees
@@ -428,8 +432,8 @@ def within_bound(pairs: DataFrame, member: DataFrame, percent: int = PERCENT) ->
 
 def verified(pairs: DataFrame, docs: DataFrame, member: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) of classes that link. member: (class, doc_id, n, fine), a text for each class."""
-    found = stage(pairs.distinct(), "found")
-    pairs = stage(within_bound(found, member, percent), "pairs")
+    found = stage(pairs.distinct(), "found", WIDE_BATCH)
+    pairs = stage(within_bound(found, member, percent), "pairs", WIDE_BATCH)
     discard(found)
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(member, "class").select("class", F.col("doc_id").alias("__d"))
     wanted = stage(wanted, "wanted")
@@ -443,7 +447,7 @@ def verified(pairs: DataFrame, docs: DataFrame, member: DataFrame, percent: int
             own = [k for k, (c, s) in enumerate(zip(b.column(0).to_pylist(), found)) if len(s) and xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 == c]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.array([found[k].tobytes() for k in own], pa.binary())], names=["class", "set"])
 
-    found = stage(texts.mapInArrow(sets, "class long, set binary").dropDuplicates(["class"]), "sets")
+    found = stage(texts.mapInArrow(sets, "class long, set binary").dropDuplicates(["class"]), "sets", WIDE_BATCH)
     discard(wanted)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,7 +461,7 @@ def verified(pairs: DataFrame, docs: DataFrame, member: DataFrame, percent: int
 
     left = found.withColumnsRenamed({"class": "a", "set": "x"})
     right = found.withColumnsRenamed({"class": "b", "set": "y"})
-    links = stage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    links = stage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links", WIDE_BATCH)
     discard(pairs, found)
     return links
 
@@ -468,7 +472,7 @@ def linked(pairs: DataFrame, links: DataFrame | None, docs: DataFrame, member: D
     First each class is held against the partner that it shares most buckets with; of the other pairs only those between
     different components are verified. So about two sets travel per class, not per pair.
     """
-    counted = stage(pairs.groupBy("a", "b").agg(F.count("*").alias("n")), "counted")
+    counted = stage(pairs.groupBy("a", "b").agg(F.count("*").alias("n")), "counted", WIDE_BATCH)
     pair = F.struct("n", "a", "b")
     ends = counted.select(F.col("a").alias("u"), pair.alias("p")).union(counted.select("b", pair))
     best = stage(ends.groupBy("u").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct(), "best")
@@ -489,11 +493,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     link nothing. A doc_id with several texts belongs to each text's component, a row each. Other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    described = stage(describe(docs, percent, size), "described")
+    described = stage(describe(docs, percent, size), "described", WIDE_BATCH)
     texts = stage(described.select("doc_id", "n", "class"), "texts")
     named = described.where("class is not null and doc_id is not null")
     member = stage(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point"), F.min("fine").alias("fine")), "classes")
-    buckets = stage(shared_buckets(named), "buckets")
+    buckets = stage(shared_buckets(named), "buckets", WIDE_BATCH)
     discard(described)
     big = stage(buckets.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).alias("__blocks")), "big")
     points = member.select("class", "n", "point")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 GAP = r"[\x20\x09-\x0D]+"
 LOCAL_SCRATCH = "/tmp/checkpoints"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,18 +31,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/wayline/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and survives lost executors.
 
-    The shuffle files of the step are deleted when it ends, for nothing reads them again.
+    The shuffle files of the step are deleted when it ends, for nothing reads them again. With `batch_bytes`, no more goes
+    to a Python worker at once (one row at least), for steps on wide rows.
     """
     spark = df.sparkSession
-    path, before = scratch_path(spark, name), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true"} | ({BATCH: str(batch_bytes)} if batch_bytes else {})
+    path, before = scratch_path(spark, name), {k: spark.conf.get(k) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
