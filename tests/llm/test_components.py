@@ -29,11 +29,11 @@ def test_against_union_find(spark):
     assert components(d.limit(0)).collect() == []
 
 
-def test_a_node_with_most_edges_is_cut_into_parts(spark):
+def test_edges_of_a_node_with_most_of_them_stay_where_they_are(spark):
     star = spark.range(1, 20_001).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
-    edges = star.union(spark.range(30_000, 40_000).selectExpr("id as u", "id + 1 as v"))
+    edges = star.union(spark.range(30_000, 40_000).selectExpr("id as u", "id + 1 as v")).repartition(8, "v")
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     out = with_least(edges, least, 30_000)
     assert out.count() == 30_000 and out.where("u = 0 and m <> 1 or u > 0 and m <> v").count() == 0
-    parts = [x["count"] for x in out.where("u = 0").groupBy("__part").count().collect()]
-    assert len(parts) == 667 and max(parts) < 100
+    parts = [x["count"] for x in out.where("u = 0").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(parts) < 10_000  # not all in one task

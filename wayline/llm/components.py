@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .shared import discard, stage
 
-#: A node with more than one in so many edges is cut into parts.
+#: A node with more than one in so many edges is met by a broadcast.
 SHARE = 1000
 
 
@@ -16,23 +16,21 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """edges (u, v) with the m of their u in `least` (u, m, n), n being the number of its edges.
+    """(u, v, m): edges (u, v) with the m of their u in `least` (u, m, n), n being the number of its edges.
 
-    A node with more than 1 in `SHARE` of all `total` edges is cut into parts by the other end, and its m goes to each part.
-    There are at most `SHARE` such nodes, so their list may be broadcast.
+    Nodes with more than one in `SHARE` of all `total` edges, of which there are at most `SHARE`, are broadcast with their m,
+    so their edges stay where they are; only the edges of other nodes are shuffled.
     """
-    most = max(1, total // SHARE)
-    hot = least.where(F.col("n") > most).select("u", F.ceil(F.col("n") / most).alias("__parts"))
-    parts = F.coalesce(F.when(F.col("n") > most, F.ceil(F.col("n") / most)), F.lit(1))
-    copies = least.select("u", "m", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("__part"))
-    dealt = edges.join(F.broadcast(hot), "u", "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64("v"), "__parts"), F.lit(0).cast("long"))).drop("__parts")
-    return dealt.join(copies, ["u", "__part"])
+    most = total // SHARE
+    hot = F.broadcast(least.where(F.col("n") > most).select("u", "m"))
+    rest = edges.join(hot.select("u"), "u", "left_anti").join(least.where(F.col("n") <= most).select("u", "m"), "u")
+    return edges.join(hot, "u").select("u", "v", "m").union(rest.select("u", "v", "m"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b), longs: root is the smallest node reachable.
 
-    Each step is a partial minimum per node and a join on it, in which nodes with very many edges are cut into parts.
+    Each step is a partial minimum per node and a join on it, in which edges of nodes with very many are not shuffled.
     Each step's edges are written to the shared folder. The number of steps grows with the logarithm of the longest path.
     """
     e = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
