@@ -36,3 +36,10 @@ def test_fifty_windows_of_a_trip(spark, monkeypatch, span):
     phone = D.align_phone(d, w, 40.0).collect()
     assert len(phone) == 50 and all(abs(r.gz - 1) < 1e-12 for r in phone) and max(abs(r.quality) for r in phone) > 0.95
     assert D.calibrate_rate(d.limit(0), w).collect() == [] and D.wheel_radius(d, w.limit(0)).collect() == []
+
+
+def test_half_turns_fall_on_the_side_of_the_sql():
+    h = np.array([k * 3.6 for a in range(50) for k in (a, a + 50)])
+    rate = D._true_rate({"heading_deg": h, "t": np.arange(100.0)})
+    want = [math.fmod(math.fmod(b - a + 180.0, 360.0) + 360.0, 360.0) - 180.0 for a, b in zip(h, h[1:])]
+    assert math.isnan(rate[0]) and rate[1:].tolist() == want

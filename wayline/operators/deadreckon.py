@@ -78,10 +78,13 @@ def _over_lead_ins(rows: DataFrame, anchored: DataFrame, seconds: float, columns
 
 
 def _true_rate(x: dict[str, np.ndarray]) -> np.ndarray:
-    """Turn rate of the true heading in deg/s between rows; missing at the first."""
+    """Turn rate of the true heading in deg/s between rows; missing at the first.
+
+    Half turns lie where the angle wraps, so the side that each falls on is decided by rounding: the steps are those of the SQL.
+    """
     h, t = x["heading_deg"], x["t"]
     with np.errstate(divide="ignore", invalid="ignore"):
-        rate = np.append(np.nan, (np.mod(np.diff(h) + 180.0, 360.0) - 180.0) / np.diff(t))[: len(t)]
+        rate = np.append(np.nan, (np.fmod(np.fmod(np.diff(h) + 180.0, 360.0) + 360.0, 360.0) - 180.0) / np.diff(t))[: len(t)]
     return np.where(np.isfinite(rate), rate, np.nan)
 
 
