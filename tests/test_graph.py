@@ -56,3 +56,13 @@ def test_a_bounded_read_leaves_tiles_alone(spark, tmp_path):
     read = lambda d: d.select(F.input_file_name()).distinct().count()
     plan = some._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(tx" in plan and read(some) <= 4 < read(whole)
+
+
+def test_points_and_nodes_of_a_cell_are_not_paired_as_rows(spark, monkeypatch):
+    rows, own = [], graph.join_cells
+    monkeypatch.setattr(graph, "join_cells", lambda *a: rows.append(own(*a)) or rows[-1])
+    p = spark.range(200).selectExpr("id as point_id", "id * 1.0 as e", "id % 7 * 1.0 as n")
+    nodes = spark.range(50).selectExpr("id", "id * 4.0 as x", "3.0 as y")
+    got = {r.point_id: r.node for r in graph.nearest_node(p, nodes).collect()}
+    assert got == {k: min(range(50), key=lambda v: (abs(v * 4 - k) ** 2 + (k % 7 - 3) ** 2, v)) for k in range(200)}
+    assert sum(d.count() for d in rows) == 200

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import wrap_rad
 from .numbering import numbered
+from .rounds import written
 
 CELL_M = 120.0
 GATE = math.radians(50.0)
@@ -67,7 +68,8 @@ def nearest_node(points: DataFrame, nodes: DataFrame, cell: float = 500.0) -> Da
     """(point_id, node, distance): the nearest node, the smaller id first among equals.
 
     A point looks into its grid cell and the eight around it, and takes what is found within one cell's length; points left over look
-    again with cells four times as wide. An empty graph gives no rows.
+    again with cells four times as wide. The nodes of a cell's neighbourhood are listed once (in lists of at most CELL_ROWS), and a
+    point takes the least of a list in its own row, so pairs of points and nodes are neither sorted nor shuffled. An empty graph gives no rows.
     """
     extent = nodes.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("m")).first().m
     if extent is None:
@@ -75,11 +77,15 @@ def nearest_node(points: DataFrame, nodes: DataFrame, cell: float = 500.0) -> Da
     reach = points.agg(F.max(F.greatest(F.abs("e"), F.abs("n"))).alias("m")).first().m or 0.0
     left, found, around = points.select("point_id", "e", "n"), None, F.sequence(F.lit(-1), F.lit(1))
     while True:
-        grid = nodes.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-        p = left.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-        p = p.withColumns({"cx": F.floor(F.col("e") / cell) + F.col("dx"), "cy": F.floor(F.col("n") / cell) + F.col("dy")})
-        d = join_cells(p, grid, "point_id").withColumn("distance", F.sqrt((F.col("e") - F.col("x")) ** 2 + (F.col("n") - F.col("y")) ** 2))
-        best = d.groupBy("point_id").agg(F.min(F.struct("distance", "id")).alias("b")).where(F.col("b.distance") <= cell).select("point_id", F.col("b.id").alias("node"), F.col("b.distance").alias("distance"))
+        grid = nodes.select("id", "x", "y").withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
+        grid = grid.withColumns({"cx": F.floor(F.col("x") / cell) + F.col("dx"), "cy": F.floor(F.col("y") / cell) + F.col("dy")})
+        lists = grid.groupBy("cx", "cy").agg(F.ceil(F.count("*") / CELL_ROWS).alias("k"))
+        lists = grid.join(lists, ["cx", "cy"]).groupBy("cx", "cy", F.pmod(F.xxhash64("id"), "k").alias("id")).agg(F.collect_list(F.struct("x", "y", "id")).alias("near"))
+        p = left.withColumns({"cx": F.floor(F.col("e") / cell), "cy": F.floor(F.col("n") / cell)})
+        far = lambda s: F.sqrt((F.col("e") - s["x"]) ** 2 + (F.col("n") - s["y"]) ** 2)
+        d = join_cells(p, lists, "point_id").select("point_id", F.array_min(F.transform("near", lambda s: F.struct(far(s).alias("distance"), s["id"].alias("id")))).alias("b"))
+        best = d.where(F.col("b.distance") <= cell).groupBy("point_id").agg(F.min("b").alias("b")).select("point_id", F.col("b.id").alias("node"), F.col("b.distance").alias("distance"))
+        best = written(best, "nearest")
         found = best if found is None else found.union(best)
         left = left.join(best.select("point_id"), "point_id", "left_anti")
         if cell > 3 * (extent + reach) or left.isEmpty():
