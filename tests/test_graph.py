@@ -66,3 +66,19 @@ def test_points_and_nodes_of_a_cell_are_not_paired_as_rows(spark, monkeypatch):
     got = {r.point_id: r.node for r in graph.nearest_node(p, nodes).collect()}
     assert got == {k: min(range(50), key=lambda v: (abs(v * 4 - k) ** 2 + (k % 7 - 3) ** 2, v)) for k in range(200)}
     assert sum(d.count() for d in rows) == 200
+
+
+def test_whole_paths_of_few_nodes_pass_between_rounds(spark, monkeypatch):
+    sizes, own = [], graph.written
+
+    def counted(d, name):
+        d = own(d, name)
+        sizes.append(d.selectExpr("sum(size(path))").first()[0] or 0)
+        return d
+
+    monkeypatch.setattr(graph, "written", counted)
+    monkeypatch.setattr(graph, "EVERY", 16)
+    n = 500
+    found = spark.range(n).selectExpr("1 as query", "id as node", "id * 1.0 as cost", "nullif(id - 1, -1) as prev")
+    assert {r.node: r.path for r in graph.with_paths(found).collect()} == {k: list(range(k + 1)) for k in range(n)}
+    assert max(sizes) < n * n / 2 / 5

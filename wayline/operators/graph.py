@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import wrap_rad
 from .numbering import numbered
-from .rounds import written
+from .rounds import discard, written
 
 CELL_M = 120.0
 GATE = math.radians(50.0)
@@ -125,11 +125,32 @@ def routes(edges: DataFrame, starts: DataFrame) -> DataFrame:
         best = front.union(best.join(front.select("query", "node"), ["query", "node"], "left_anti")).checkpoint()
 
 
-def with_paths(found: DataFrame) -> DataFrame:
-    """(query, node, cost, path) of routes(): each node's stretch of path is put behind that of the node where it begins, so
-    stretches double each round."""
-    d = found.select("query", "node", "cost", F.col("prev").alias("before"), F.array("node").alias("path")).checkpoint()
-    while not d.where("before is not null").isEmpty():
+#: One node in so many has its whole path made before the others'.
+EVERY = 128
+
+
+def _behind(d: DataFrame, ends) -> DataFrame:
+    """Rows (query, node, cost, before, path) whose stretch is put behind that of the row where it begins, until `ends` holds for the
+    node before each: stretches double each round."""
+    d = written(d, "stretches")
+    while not d.where(~ends("before")).isEmpty():
         upper = d.select("query", F.col("node").alias("before"), F.col("before").alias("__b"), F.col("path").alias("__p"))
-        d = d.join(upper, ["query", "before"], "left").select("query", "node", "cost", F.col("__b").alias("before"), F.concat(F.coalesce("__p", F.array().cast(d.schema["path"].dataType)), "path").alias("path")).checkpoint()
-    return d.drop("before")
+        more = d.where(~ends("before")).join(upper, ["query", "before"], "left").select("query", "node", "cost", F.col("__b").alias("before"), F.concat(F.coalesce("__p", F.array().cast(d.schema["path"].dataType)), "path").alias("path"))
+        old, d = d, written(d.where(ends("before")).unionByName(more), "stretches")
+        discard(old)
+    return d
+
+
+def with_paths(found: DataFrame, item: Column | None = None) -> DataFrame:
+    """(query, node, cost, path) of routes(); path holds `item` of each node on the way, the node itself if that is not given.
+
+    Whole paths of all nodes are as long as the square of the graph's width, so only those of one node in EVERY, picked by a hash, pass between
+    rounds. Other nodes have the stretch behind the last such node, and the path up to there is put before it as the last step.
+    """
+    picked = lambda c: F.pmod(F.xxhash64(c), F.lit(EVERY)) == 0
+    d = found.select("query", "node", "cost", F.col("prev").alias("before"), F.array(F.col("node") if item is None else item).alias("path"))
+    d = _behind(d, lambda c: F.col(c).isNull() | picked(c))
+    whole = _behind(d.where(picked("node")), lambda c: F.col(c).isNull())
+    upper = whole.select("query", F.col("node").alias("before"), F.col("path").alias("__p"))
+    rest = d.where(~picked("node")).join(upper, ["query", "before"], "left").withColumn("path", F.concat(F.coalesce("__p", F.array().cast(d.schema["path"].dataType)), "path"))
+    return whole.select("query", "node", "cost", "path").unionByName(rest.select("query", "node", "cost", "path"))
