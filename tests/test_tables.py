@@ -73,3 +73,11 @@ def test_the_seeded_shuffle_is_that_of_sorted_names(spark):
         total += size[n]
     if split:
         assert split == {n: "train" if at[n] / total < 0.7 else "val" if at[n] / total < 0.85 else "test" for n in split}
+
+
+def test_quantile_between_two_values_without_a_task_of_all(spark):
+    d = spark.range(1000).select((F.col("id") * 7 % 1000 / 4.0).alias("v")).repartition(5)
+    got = numbering.quantile(numbering.numbered(d, ["v"]), "v", 0.995).first().v
+    assert abs(got - np.quantile(np.arange(1000) / 4.0, 0.995)) < 1e-12
+    assert numbering.quantile(numbering.numbered(d.limit(1), ["v"]), "v", 0.5).first().v == d.limit(1).first().v
+    assert numbering.quantile(numbering.numbered(d.limit(0), ["v"]), "v", 0.5).first().v is None

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 
 from ..functions import scalar as S
 from ..functions import series as W
-from ..operators import alignment, outage
+from ..operators import alignment, numbering, outage
 from ..sources.signals import GAP_S, signals
 from .registry import query, rounded
 
@@ -384,8 +384,8 @@ def a23(spark, sf_dir):
 
 @query("a24_interval_histogram", f"{_DT}, b as (select quantile_cont(dt, 0.995) as hi from q where dt > 0), x as (select least(79, cast(floor(dt / hi * 80) as bigint)) as bin from q, b where dt > 0 and dt <= hi) select bin, count(*) as n from x group by bin")
 def a24(spark, sf_dir):
-    d = signals(spark, sf_dir).withColumn("dt", W.diff(_c("t"))).where("dt > 0")
-    hi = d.agg(F.percentile("dt", 0.995).alias("hi"))  # one row
+    d = numbering.numbered(signals(spark, sf_dir).select(W.diff(_c("t")).alias("dt")).where("dt > 0"), ["dt"])
+    hi = numbering.quantile(d, "dt", 0.995).withColumnRenamed("dt", "hi")  # one row
     x = d.crossJoin(hi).where("dt <= hi").select(F.least(F.lit(79).cast("long"), F.floor(_c("dt") / _c("hi") * 80)).alias("bin"))
     return x.groupBy("bin").agg(F.count("*").alias("n"))
 
