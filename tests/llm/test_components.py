@@ -37,3 +37,17 @@ def test_edges_of_a_node_with_most_of_them_stay_where_they_are(spark):
     assert out.count() == 30_000 and out.where("u = 0 and m <> 1 or u > 0 and m <> v").count() == 0
     parts = [x["count"] for x in out.where("u = 0").groupBy(F.spark_partition_id()).count().collect()]
     assert max(parts) < 10_000  # not all in one task
+
+
+def test_few_edges_are_met_without_broadcasts(spark, monkeypatch):
+    from wayline.llm import components as module
+
+    def never(*a):
+        raise AssertionError("a broadcast for few edges")
+
+    monkeypatch.setattr(module, "with_least", never)
+    d = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(90, 91)], "a long, b long")
+    assert {x.node: x.root for x in components(d).collect()} == {**{k: 0 for k in range(31)}, 90: 90, 91: 90}
+    least = spark.createDataFrame([(1, 0, 1)], "u long, m long, n long")
+    plan = module._met(spark.createDataFrame([(1, 0)], "u long, v long"), least, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
