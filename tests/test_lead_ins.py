@@ -43,3 +43,16 @@ def test_half_turns_fall_on_the_side_of_the_sql():
     rate = D._true_rate({"heading_deg": h, "t": np.arange(100.0)})
     want = [math.fmod(math.fmod(b - a + 180.0, 360.0) + 360.0, 360.0) - 180.0 for a, b in zip(h, h[1:])]
     assert math.isnan(rate[0]) and rate[1:].tolist() == want
+
+
+def test_all_sources_take_one_pass_over_lead_ins(spark):
+    from wayline.plans import reckoning_queries as Q
+
+    v = Q.vehicle(spark, "/root/testdata/sf0.001")
+    both = D.with_sources(v, Q.fixed(v), [("wheel_speed", "veh_yawrate"), ("hold", "imu_aligned")], least=5)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsInPandas") == 1
+    got = {(r.trip_key, r.window, r.i): (r.v_wheel_speed, r.h_veh_yawrate, r.h_imu_aligned) for r in both.collect()}
+    for k, pair in enumerate([("wheel_speed", "truth"), ("truth", "veh_yawrate"), ("truth", "imu_aligned")]):
+        c = f"v_{pair[0]}" if k == 0 else f"h_{pair[1]}"
+        one = {(r.trip_key, r.window, r.i): r[c] for r in D.with_sources(v, Q.fixed(v), [pair], least=5).collect()}
+        assert one == {key: x[k] for key, x in got.items()} and one

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -51,30 +52,45 @@ def _dealt(rows: DataFrame, windows: DataFrame, seconds: float, columns: list[st
     return d.join(windows.select("trip_key", "span").distinct(), ["trip_key", "span"], "left_semi")
 
 
-def _over_lead_ins(rows: DataFrame, anchored: DataFrame, seconds: float, columns: list[str], fit: Callable[[dict[str, np.ndarray]], tuple | None], out: str) -> DataFrame:
-    """(trip_key, window, out): fit(columns of the `seconds` before an outage, as arrays) for each outage; no row where it gives none.
+@dataclass(frozen=True)
+class Fit:
+    """run(columns of the `seconds` before an outage, as arrays) gives the values of `out`, or None."""
 
-    A task has a span of a trip, the lead-in before it, and all outages that begin there; overlapping lead-ins are slices of the same arrays, so no
-    row is copied or shuffled for each. Times rise with i.
+    seconds: float
+    columns: list[str]
+    run: Callable[[dict[str, np.ndarray]], tuple | None]
+    out: str
+
+    def names(self) -> list[str]:
+        return [x.split()[0] for x in self.out.split(", ")]
+
+
+def _over_lead_ins(rows: DataFrame, anchored: DataFrame, *fits: Fit) -> DataFrame:
+    """(trip_key, window, out of each fit): the values of an outage's fits, null for one that gives none; no row where none gives any.
+
+    A task has a span of a trip, the lead-in before it, and all outages that begin there, for all fits at once; overlapping lead-ins are slices of
+    the same arrays, so no row is copied or shuffled for each. Times rise with i.
     """
-    need = list(dict.fromkeys(["t", *columns]))
+    need = list(dict.fromkeys(["t", *[c for f in fits for c in f.columns]]))
     w = anchored.select("trip_key", "window", "i0", "ta", F.floor(F.col("ta") / SPAN_S).alias("span"))
-    d = _dealt(rows, w, seconds, need)
+    d = _dealt(rows, w, max(f.seconds for f in fits), need)
     kind, window = rows.schema["trip_key"].dataType.simpleString(), anchored.schema["window"].dataType.simpleString()
-    names = ["trip_key", "window", *[x.split()[0] for x in out.split(", ")]]
+    names = ["trip_key", "window", *[n for f in fits for n in f.names()]]
 
     def run(key: tuple, pdf: pd.DataFrame, windows: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
         i, x, found = pdf["i"].to_numpy(), {c: pdf[c].to_numpy(float) for c in need}, []
         for name, i0, ta in zip(windows["window"], windows["i0"], windows["ta"]):
-            a, b = int(np.searchsorted(x["t"], ta - seconds)), int(np.searchsorted(i, i0))
-            made = fit({c: v[a:b] for c, v in x.items()}) if b > a else None
-            if made is not None:
-                found.append((key[0], name, *made))
+            made, b = [], int(np.searchsorted(i, i0))
+            for f in fits:
+                a = int(np.searchsorted(x["t"], ta - f.seconds))
+                made.append(f.run({c: x[c][a:b] for c in ("t", *f.columns)}) if b > a else None)
+            if any(m is not None for m in made):
+                found.append((key[0], name, *[v for m, f in zip(made, fits) for v in (m if m is not None else (None,) * len(f.names()))]))
         return pd.DataFrame(found, columns=names)
 
     w = w.withColumnsRenamed({"trip_key": "trip", "span": "part"})
-    return d.groupBy("trip_key", "span").cogroup(w.groupBy("trip", "part")).applyInPandas(run, f"trip_key {kind}, window {window}, {out}")
+    return d.groupBy("trip_key", "span").cogroup(w.groupBy("trip", "part")).applyInPandas(run, f"trip_key {kind}, window {window}, " + ", ".join(f.out for f in fits))
 
 
 def _true_rate(x: dict[str, np.ndarray]) -> np.ndarray:
@@ -109,9 +125,7 @@ def _mean(v: np.ndarray) -> float:
     return float(np.nanmean(v)) if np.any(~np.isnan(v)) else np.nan
 
 
-def calibrate_rate(rows: DataFrame, anchored: DataFrame, rate: str = "yaw_rate_dps", seconds: float = 300.0) -> DataFrame:
-    """(trip_key, window, scale, bias) of a rate sensor: bias on straights, scale from the turns' net heading."""
-
+def _rate_fit(rate: str = "yaw_rate_dps", seconds: float = 300.0, out: str = _RATE) -> Fit:
     def fit(x: dict[str, np.ndarray]) -> tuple | None:
         true = _true_rate(x)
         some = ~np.isnan(true)
@@ -126,12 +140,15 @@ def calibrate_rate(rows: DataFrame, anchored: DataFrame, rate: str = "yaw_rate_d
         s = net / turned if abs(turned) > 20 else np.nansum(true[turn] * r[turn]) / xx if xx > 0 else np.nan
         return (s if turn.sum() > 30 and 0.2 <= abs(s) <= 5 else 1.0), (None if np.isnan(bias) else bias)
 
-    return _over_lead_ins(rows, anchored, seconds, ["heading_deg", rate], fit, _RATE)
+    return Fit(seconds, ["heading_deg", rate], fit, out)
 
 
-def calibrate_gyro(rows: DataFrame, anchored: DataFrame, gyro_dps: str = "gyro_dps", seconds: float = 60.0) -> DataFrame:
-    """(trip_key, window, scale, bias) of a phone's gyro by least squares over turning lead-ins; else scale -1 and the mean."""
+def calibrate_rate(rows: DataFrame, anchored: DataFrame, rate: str = "yaw_rate_dps", seconds: float = 300.0) -> DataFrame:
+    """(trip_key, window, scale, bias) of a rate sensor: bias on straights, scale from the turns' net heading."""
+    return _over_lead_ins(rows, anchored, _rate_fit(rate, seconds))
+
 
+def _gyro_fit(gyro_dps: str = "gyro_dps", seconds: float = 60.0, out: str = _GYRO) -> Fit:
     def fit(x: dict[str, np.ndarray]) -> tuple | None:
         true = _true_rate(x)
         some = ~np.isnan(true)
@@ -144,15 +161,15 @@ def calibrate_gyro(rows: DataFrame, anchored: DataFrame, gyro_dps: str = "gyro_d
         m = _mean(true + own)
         return -1.0, (0.0 if len(true) < 20 else None if np.isnan(m) else m)
 
-    return _over_lead_ins(rows, anchored, seconds, ["heading_deg", gyro_dps], fit, _GYRO)
+    return Fit(seconds, ["heading_deg", gyro_dps], fit, out)
 
 
-def align_phone(rows: DataFrame, anchored: DataFrame, seconds: float = 60.0, least: int = 30) -> DataFrame:
-    """(trip_key, window, gx, gy, gz, scale, bias, quality): mean gravity, and the fit of the vertical turn rate to the course.
+def calibrate_gyro(rows: DataFrame, anchored: DataFrame, gyro_dps: str = "gyro_dps", seconds: float = 60.0) -> DataFrame:
+    """(trip_key, window, scale, bias) of a phone's gyro by least squares over turning lead-ins; else scale -1 and the mean."""
+    return _over_lead_ins(rows, anchored, _gyro_fit(gyro_dps, seconds))
 
-    Only the third row of the tilt rotation turns the gyro into a turn rate, and that row is the unit gravity itself.
-    """
 
+def _phone_fit(seconds: float = 60.0, least: int = 30, out: str = _PHONE) -> Fit:
     def fit(x: dict[str, np.ndarray]) -> tuple | None:
         g = np.array([_mean(x[f"grav_{a}"]) for a in "xyz"])
         g = g / np.sqrt((g * g).sum())
@@ -167,17 +184,28 @@ def align_phone(rows: DataFrame, anchored: DataFrame, seconds: float = 60.0, lea
         m = _mean(true + z)
         return (*(None if np.isnan(v) else v for v in g), s if fine else -1.0, b if fine else None if np.isnan(m) else m, 0.0 if np.isnan(r) else r)
 
-    return _over_lead_ins(rows, anchored, seconds, ["heading_deg", "speed", *[f"{k}_{a}" for k in ("grav", "gyro") for a in "xyz"]], fit, _PHONE)
+    return Fit(seconds, ["heading_deg", "speed", *[f"{k}_{a}" for k in ("grav", "gyro") for a in "xyz"]], fit, out)
 
 
-def wheel_radius(rows: DataFrame, anchored: DataFrame, seconds: float = 300.0) -> DataFrame:
-    """(trip_key, window, radius): metres a second for each unit of the wheel's speed."""
+def align_phone(rows: DataFrame, anchored: DataFrame, seconds: float = 60.0, least: int = 30) -> DataFrame:
+    """(trip_key, window, gx, gy, gz, scale, bias, quality): mean gravity, and the fit of the vertical turn rate to the course.
 
+    Only the third row of the tilt rotation turns the gyro into a turn rate, and that row is the unit gravity itself.
+    """
+    return _over_lead_ins(rows, anchored, _phone_fit(seconds, least))
+
+
+def _wheel_fit(seconds: float = 300.0) -> Fit:
     def fit(x: dict[str, np.ndarray]) -> tuple | None:
         some = (x["wheel"] > 1) & (x["speed"] > 1)
         return (float(np.median(x["speed"][some] / x["wheel"][some])) if some.sum() > 20 else 0.30,)
 
-    return _over_lead_ins(rows, anchored, seconds, ["speed", "wheel"], fit, _WHEEL)
+    return Fit(seconds, ["speed", "wheel"], fit, _WHEEL)
+
+
+def wheel_radius(rows: DataFrame, anchored: DataFrame, seconds: float = 300.0) -> DataFrame:
+    """(trip_key, window, radius): metres a second for each unit of the wheel's speed."""
+    return _over_lead_ins(rows, anchored, _wheel_fit(seconds))
 
 
 def level_acceleration() -> Column:
@@ -200,14 +228,13 @@ def with_sources(rows: DataFrame, windows: DataFrame, combos=COMBOS, fixed_bias:
     w = Window.partitionBy(*KEY).orderBy("i")
     up = w.rowsBetween(Window.unboundedPreceding, 0)
     fits = {
-        "h_veh_yawrate": lambda: calibrate_rate(rows, a).withColumnsRenamed({"scale": "y_scale", "bias": "y_bias"}),
-        "h_gyro": lambda: calibrate_gyro(rows, a).withColumnsRenamed({"scale": "g_scale", "bias": "g_bias"}),
-        "h_imu_aligned": lambda: align_phone(rows, a, least=least).withColumnsRenamed({"scale": "p_scale", "bias": "p_bias"}),
-        "v_wheel_speed": lambda: wheel_radius(rows, a),
+        "h_veh_yawrate": lambda: _rate_fit(out="y_scale double, y_bias double"),
+        "h_gyro": lambda: _gyro_fit(out="g_scale double, g_bias double"),
+        "h_imu_aligned": lambda: _phone_fit(least=least, out="gx double, gy double, gz double, p_scale double, p_bias double, quality double"),
+        "v_wheel_speed": _wheel_fit,
     }
-    for name, fit in fits.items():
-        if name in wanted:
-            d = d.join(fit(), KEY, "left")
+    if made := [fit() for name, fit in fits.items() if name in wanted]:
+        d = d.join(_over_lead_ins(rows, a, *made), KEY, "left")
     d = d.withColumn("dt", F.coalesce(W.diff(F.col("t"), w), F.lit(0.0)))
     if "v_imu_integrate" in wanted:
         d = d.withColumn("__s", F.sum(level_acceleration() * F.col("dt")).over(up))

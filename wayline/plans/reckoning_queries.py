@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import series as W
 from ..operators import deadreckon as D
 from ..operators import outage
+from ..operators.rounds import written
 from ..sources.signals import GAP_S, signals
 from ..sources.signals import SQL as S_SQL
 from .registry import query, rounded
@@ -268,7 +269,8 @@ def f09(spark, sf_dir):
 
 def full_metrics(spark, sf_dir):
     d = vehicle(spark, sf_dir)
-    return D.drift_metrics(D.dead_reckon(D.with_sources(d, outage.outages(d, TUNNELS), least=LEAST)))
+    found = written(outage.outages(d, TUNNELS), "outages")  # a few rows for each trip, read by several steps
+    return D.drift_metrics(D.dead_reckon(D.with_sources(d, found, least=LEAST)))
 
 
 _DRIFT = "final_m * 100 / greatest(path_m, 1e-6::double)"
