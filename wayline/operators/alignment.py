@@ -71,13 +71,12 @@ def lag_correlations(a: DataFrame, lags: list[int], by: str = "trip_key", x: str
                 fits = (k >= 0) & (k < len(around))
                 around[k[fits]] = u[fits]
             sums = _pair_sums(around, own, high_lag - tried, 1 << (len(around) - 1).bit_length())
-        out = pd.DataFrame(sums, columns=["n", "sx", "sy", "sxx", "syy", "sxy"]).astype({"n": int})
-        out.insert(0, "lag", tried.astype(np.int32))
-        out.insert(0, by, pdf[by].iloc[0])
-        return out
+        return pd.DataFrame([(pdf[by].iloc[0], *sums.T)], columns=[by, *cols])
 
     cols = ["n", "sx", "sy", "sxx", "syy", "sxy"]
-    sums = d.groupBy(by, "block").applyInPandas(turn, f"`{by}` {kind}, lag int, n long, " + ", ".join(f"{c} double" for c in cols[1:]))
+    # A row for each block goes through the shuffle, and its lags become rows behind it.
+    sums = d.groupBy(by, "block").applyInPandas(turn, f"`{by}` {kind}, " + ", ".join(f"{c} array<double>" for c in cols)).repartition(by)
+    sums = sums.select(by, F.explode(F.arrays_zip(F.array(*[F.lit(int(x)) for x in tried]).alias("lag"), *cols)).alias("z")).select(by, F.col("z.lag").alias("lag"), F.col("z.n").cast("long").alias("n"), *[F.col(f"z.{c}").alias(c) for c in cols[1:]])
     s = sums.groupBy(by, "lag").agg(*[F.sum(c).alias(c) for c in cols]).where("n > 0")
     mean = lambda c: F.col(c) / F.col("n")
     vx, vy = mean("sxx") - mean("sx") * mean("sx"), mean("syy") - mean("sy") * mean("sy")
