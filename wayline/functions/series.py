@@ -19,7 +19,8 @@ def upto(by: str = BY, i: str = I) -> WindowSpec:
 
 
 def since(by: str = BY, i: str = I) -> WindowSpec:
-    return over(by, i).rowsBetween(0, Window.unboundedFollowing)
+    """From the row to the last, backwards: a frame that shrinks forwards would be added up anew for each row."""
+    return Window.partitionBy(by).orderBy(F.col(i).desc()).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def diff(x: Column, w: WindowSpec | None = None) -> Column:
@@ -42,11 +43,11 @@ def forward_fill(x: Column, w: WindowSpec | None = None) -> Column:
 
 
 def interpolate(x: Column, i: Column, before: WindowSpec | None = None, after: WindowSpec | None = None) -> Column:
-    """Linear over the row index, held at the ends."""
+    """Linear over the row index, held at the ends. after: the frame from the last row back to this one, as since() gives it."""
     before, after = before or upto(), after or since()
     here = F.when(x.isNotNull(), i)
     x0, i0 = F.last(x, True).over(before), F.last(here, True).over(before)
-    x1, i1 = F.first(x, True).over(after), F.first(here, True).over(after)
+    x1, i1 = F.last(x, True).over(after), F.last(here, True).over(after)
     return F.coalesce(x, F.when(i1 > i0, x0 + (x1 - x0) * (i - i0) / (i1 - i0)), x0, x1)
 
 
