@@ -82,3 +82,41 @@ def test_whole_paths_of_few_nodes_pass_between_rounds(spark, monkeypatch):
     found = spark.range(n).selectExpr("1 as query", "id as node", "id * 1.0 as cost", "nullif(id - 1, -1) as prev")
     assert {r.node: r.path for r in graph.with_paths(found).collect()} == {k: list(range(k + 1)) for k in range(n)}
     assert max(sizes) < n * n / 2 / 5
+
+
+def test_points_of_ways_are_made_from_stretches_that_ways_share(spark, monkeypatch):
+    for name, value in (("LEAP", 6), ("TILE", 8), ("RUN", 4), ("FEW", 2), ("TASK_ROWS", 500)):
+        monkeypatch.setattr(graph, name, value)
+    draw, prev = random.Random(2), {0: None}
+    for k in range(1, 240):  # a tree of long ways, and one node with many behind it
+        prev[k] = 7 if k % 4 == 0 and k > 7 else draw.randint(max(0, k - 3), k - 1)
+    way = lambda prev, k: [] if k is None else [*way(prev, prev[k]), k]
+    trees = {1: prev, 2: {k: k - 1 if k else None for k in range(90)}, 3: {5: None}}
+    rows = [(q, k, p, f"at {k}") for q, t in trees.items() for k, p in t.items()]
+    found = spark.createDataFrame(rows, "query int, node long, prev long, name string")
+    points = graph.way_points(found, F.struct("name"))
+    got = sorted((r.query, r.node, r.step, r.item.name) for r in points.collect())
+    assert got == sorted((q, k, i, f"at {v}") for q, t in trees.items() for k in t for i, v in enumerate(way(t, k)))
+    assert points.rdd.getNumPartitions() == math.ceil(len(got) / 500)
+    assert graph.way_points(found.limit(0), F.struct("name")).count() == 0
+
+
+def test_g03_writes_no_whole_ways(spark, monkeypatch, tmp_path):
+    from wayline.plans import other_queries
+
+    n, sizes, own = 1500, [], graph.written
+
+    def counted(d, name):
+        d = own(d, name)
+        sizes.append(d.selectExpr("sum(size(path))").first()[0] if "path" in d.columns else 0)
+        return d
+
+    monkeypatch.setattr(graph, "written", counted)
+    spark.range(n).selectExpr("id as s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(1).selectExpr("id as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    points = other_queries.g03(spark, str(tmp_path))
+    assert max(sizes) <= 25 * 2 * n  # so many points for each of 2 * n ways, however long they are
+    far = lambda q: f"abs(node % 10 - {q % 10}) + abs(node div 10 - {q // 10})"
+    steps = points.groupBy("query", "node").agg(F.count("*").alias("n"), F.count_distinct("step").alias("d"), F.min("step").alias("lo"), F.max("step").alias("hi"))
+    steps = steps.withColumn("far", F.expr(f"case query when 12 then {far(12)} else {far(55)} end"))
+    assert steps.count() == 2 * n and steps.where("n <> far + 1 or d <> n or lo <> 0 or hi <> far").isEmpty()

@@ -127,30 +127,112 @@ def routes(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 #: One node in so many has its whole path made before the others'.
 EVERY = 128
+#: Of the nodes of a level, one in so many is of the next level too.
+LEAP = 16
+#: Nodes, and points of the stretch that they share, of a tile.
+TILE = 2048
+#: A task pairs so many nodes and points of its tiles at once.
+RUN, FEW = 256, 16
+#: Rows of way_points() that a task makes, about; a tile is not divided.
+TASK_ROWS = 1 << 23
+
+
+def _picked(c, every: int):
+    return F.pmod(F.xxhash64(c), F.lit(every)) == 0
 
 
 def _behind(d: DataFrame, ends) -> DataFrame:
-    """Rows (query, node, cost, before, path) whose stretch is put behind that of the row where it begins, until `ends` holds for the
+    """Rows (query, node, before, path, ...) whose stretch is put behind that of the row where it begins, until `ends` holds for the
     node before each: stretches double each round."""
     d = written(d, "stretches")
     while not d.where(~ends("before")).isEmpty():
         upper = d.select("query", F.col("node").alias("before"), F.col("before").alias("__b"), F.col("path").alias("__p"))
-        more = d.where(~ends("before")).join(upper, ["query", "before"], "left").select("query", "node", "cost", F.col("__b").alias("before"), F.concat(F.coalesce("__p", F.array().cast(d.schema["path"].dataType)), "path").alias("path"))
-        old, d = d, written(d.where(ends("before")).unionByName(more), "stretches")
+        more = d.where(~ends("before")).join(upper, ["query", "before"], "left")
+        more = more.withColumns({"before": F.col("__b"), "path": F.concat(F.coalesce("__p", F.array().cast(d.schema["path"].dataType)), "path")})
+        old, d = d, written(d.where(ends("before")).unionByName(more.select(*d.columns)), "stretches")
         discard(old)
     return d
 
 
-def with_paths(found: DataFrame, item: Column | None = None) -> DataFrame:
-    """(query, node, cost, path) of routes(); path holds `item` of each node on the way, the node itself if that is not given.
+def with_paths(found: DataFrame) -> DataFrame:
+    """(query, node, cost, path) of routes(); path holds the nodes of the way.
 
     Whole paths of all nodes are as long as the square of the graph's width, so only those of one node in EVERY, picked by a hash, pass between
     rounds. Other nodes have the stretch behind the last such node, and the path up to there is put before it as the last step.
     """
-    picked = lambda c: F.pmod(F.xxhash64(c), F.lit(EVERY)) == 0
-    d = found.select("query", "node", "cost", F.col("prev").alias("before"), F.array(F.col("node") if item is None else item).alias("path"))
-    d = _behind(d, lambda c: F.col(c).isNull() | picked(c))
-    whole = _behind(d.where(picked("node")), lambda c: F.col(c).isNull())
+    d = found.select("query", "node", "cost", F.col("prev").alias("before"), F.array("node").alias("path"))
+    d = _behind(d, lambda c: F.col(c).isNull() | _picked(c, EVERY))
+    whole = _behind(d.where(_picked("node", EVERY)), lambda c: F.col(c).isNull())
     upper = whole.select("query", F.col("node").alias("before"), F.col("path").alias("__p"))
-    rest = d.where(~picked("node")).join(upper, ["query", "before"], "left").withColumn("path", F.concat(F.coalesce("__p", F.array().cast(d.schema["path"].dataType)), "path"))
+    rest = d.where(~_picked("node", EVERY)).join(upper, ["query", "before"], "left").withColumn("path", F.concat(F.coalesce("__p", F.array().cast(d.schema["path"].dataType)), "path"))
     return whole.select("query", "node", "cost", "path").unionByName(rest.select("query", "node", "cost", "path"))
+
+
+def _levels(found: DataFrame, item: Column) -> list[DataFrame]:
+    """Tables (query, node, before, path): the first of all nodes, each other of one in LEAP of those of the table before. path is the stretch of a
+    node's way behind `before`, the last node on it that is of the next table, or the whole way (before is null)."""
+    levels = []
+    d = found.select("query", "node", F.col("prev").alias("before"), F.array(item).alias("path"))
+    while True:
+        every = LEAP ** (len(levels) + 1)
+        levels.append(_behind(d, lambda c: F.col(c).isNull() | _picked(c, every)))  # noqa: B023
+        if levels[-1].where("before is not null").isEmpty():
+            return levels
+        d = levels[-1].where(_picked("node", every))
+
+
+def _begins(levels: list[DataFrame]) -> list[DataFrame]:
+    """Tables (query, node, before, begin, n) of _levels(): where on its way a node's stretch begins, and its length."""
+    found = []
+    for d in reversed(levels):
+        n = d.select("query", "node", "before", F.size("path").cast("long").alias("n"))
+        if found:
+            ends = found[-1].select("query", F.col("node").alias("before"), (F.col("begin") + F.col("n")).alias("begin"))
+            n = n.join(ends, ["query", "before"], "left")
+        else:
+            n = n.withColumn("begin", F.lit(None).cast("long"))
+        found.append(written(n.select("query", "node", "before", F.coalesce("begin", F.lit(0).cast("long")).alias("begin"), "n"), "begins"))
+    return found[::-1]
+
+
+def _cut(c: str, n: int):
+    """A list as lists of n."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / n).cast("int")), lambda k: F.slice(c, k * n + 1, n))
+
+
+def way_points(found: DataFrame, item: Column) -> DataFrame:
+    """(query, node, step, item) of routes(): a row for each node on the way to each node, `item` of it (made of the columns of found), numbered from the start.
+
+    These rows are as many as the square of the graph's length, but no whole way is made before them. Nodes are of levels, and a way is a stretch of
+    each level, which it shares with the other nodes under that stretch. A tile is up to TILE such nodes and up to TILE points of the stretch; a task
+    gets both lists and pairs them. Rows come point by point for RUN nodes, so that they take little room when they are written.
+    """
+    levels = _levels(found, item)
+    begins, key = _begins(levels), ["level", "query", "top"]
+    rows = begins[0].agg(F.sum(F.col("begin") + F.col("n"))).first()[0] or 0
+
+    def stretches(k: int) -> DataFrame:
+        d = levels[k].join(begins[k].select("query", "node", "begin"), ["query", "node"])
+        d = d.select(F.lit(k).alias("level"), "query", F.col("node").alias("top"), "begin", F.posexplode(_cut("path", TILE)).alias("p", "points"))
+        return d.withColumn("begin", F.col("begin") + F.col("p") * TILE).drop("p")
+
+    # A node has its own stretch of the first level to itself. Of each other level it has that of the node before the last one's.
+    tiles = stretches(0).select(*key, F.lit(0).cast("long").alias("chunk"), F.array("top").alias("nodes"), "begin", "points")
+    top, nodes, shared = begins[0].select("query", "node", F.col("node").alias("top")), None, None
+    for k in range(1, len(levels)):
+        top = top.join(begins[k - 1].select("query", F.col("node").alias("top"), "before"), ["query", "top"]).where("before is not null")
+        top = written(top.select("query", "node", F.col("before").alias("top")), "tops")
+        own = top.withColumn("level", F.lit(k))
+        nodes, shared = (own, stretches(k)) if nodes is None else (nodes.unionByName(own), shared.unionByName(stretches(k)))
+    if nodes is not None:
+        many = nodes.groupBy(*key).agg(F.ceil(F.count("*") / TILE).alias("chunks")).where("chunks > 1")
+        chunk = F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1).cast("long")))
+        nodes = nodes.join(many, key, "left").groupBy(*key, chunk.alias("chunk")).agg(F.collect_list("node").alias("nodes"))
+        tiles = tiles.unionByName(nodes.join(shared, key))
+    tiles = tiles.repartition(max(1, math.ceil(rows / TASK_ROWS)), *key, "chunk", "begin")
+    d = tiles.select(*key, "chunk", F.posexplode(_cut("nodes", RUN)).alias("run", "nodes"), "begin", "points")
+    d = d.select(*key, "chunk", "run", "nodes", "begin", F.posexplode(_cut("points", FEW)).alias("p", "points")).withColumn("begin", F.col("begin") + F.col("p") * FEW)
+    # Generators of one stage hold all rows that a row of its input gives; the sort begins another stage, with short lists as its input.
+    d = d.sortWithinPartitions(*key, "chunk", "run", "begin")
+    d = d.select("query", "nodes", "begin", F.posexplode("points").alias("k", "item")).withColumn("step", F.col("begin") + F.col("k"))
+    return d.select("query", F.explode("nodes").alias("node"), "step", "item")

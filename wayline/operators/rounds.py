@@ -9,11 +9,18 @@ from pyspark.sql import DataFrame
 
 from ..sources.graphs import shared_folder
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table. The shuffle files of the step are deleted when it ends, for nothing reads them again."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/rounds/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, before = f"{shared_folder(spark)}/rounds/{name}-{uuid.uuid4().hex}", spark.conf.get(CLEANUP)
+    try:
+        spark.conf.set(CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
